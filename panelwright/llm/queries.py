@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontaminate, jaccard, linededup, pack
+from panelwright.llm import decontaminate, jaccard, linededup, pack, suffixdedup
 from panelwright.llm.shared import table
 
 
@@ -17,6 +17,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.without_repeats(table(spark, sf_dir, "documents"), length=100)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
@@ -36,6 +40,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
