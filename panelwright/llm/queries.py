@@ -5,14 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontaminate, jaccard, jpegmedia, linededup, pack, quality, suffixdedup, toxicity
+from panelwright.llm import brownlm, decontaminate, jaccard, jpegmedia, linededup, pack, quality, suffixdedup, tokencount, toxicity
 from panelwright.llm.shared import table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brownlm.scores(table(spark, sf_dir, "documents"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpegmedia.digests(jpegmedia.encoded(table(spark, sf_dir, "documents")))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document by sentence, those over a sentence's boundary given to the larger share."""
+    found = tokencount.field_tokens(table(spark, sf_dir, "documents"), kind="sentence", rule="largest")
+    return found.select(
+        "doc_id",
+        "n_tokens",
+        "n_crossing",
+        F.size("fields").cast("long").alias("n_fields"),
+        F.array_max(F.transform("fields", lambda f: f.tokens)).alias("most_tokens"),
+        F.array_join(F.transform("fields", lambda f: f.tokens), ",").alias("field_tokens"),
+    )
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.packed(table(spark, sf_dir, "documents"), capacity=4096)
 
@@ -50,7 +67,9 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_media_columns": op2_media_columns,
+    "op3_token_counts": op3_token_counts,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,

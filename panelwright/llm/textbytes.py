@@ -118,6 +118,21 @@ def words(raw: np.ndarray, off: np.ndarray, keep: str) -> tuple[np.ndarray, np.n
     return h, starts, np.searchsorted(off, starts, "right") - 1
 
 
+def word_sizes(raw: np.ndarray, off: np.ndarray, starts: np.ndarray, keep: str) -> np.ndarray:
+    """Bytes of the words that begin at ``starts``."""
+    stops = np.union1d(np.flatnonzero(~_tables(keep)[0][raw]), off[1:])
+    return stops[np.searchsorted(stops, starts, "right")] - starts
+
+
+def prefixes(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, n: int, keep: str) -> tuple[np.ndarray, np.ndarray]:
+    """Which words have over n bytes, and the hash of their first n."""
+    which = np.flatnonzero(sizes > n)
+    total = np.zeros(len(raw) + 1, U)
+    np.cumsum(_tables(keep)[1][raw] * powers(len(raw)), out=total[1:])
+    at = starts[which]
+    return which, mix((total[at + n] - total[at]) * powers(len(raw) + 1, True)[at] + U(n))
+
+
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each k consecutive words, by the first one's place (len(h) - k + 1 of them)."""
     if len(h) < k:

@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 from panelwright.llm import textbytes as tb
 from panelwright.llm.labelled import labelled_sample, remainder
 
-BITS = 18
+BITS = 20
+#: Besides whole words, their first so many bytes are features, so that inflected forms share what they have in common.
+STEMS = (5, 6, 7)
 _ENDS = np.zeros(256, np.int64)
 _ENDS[[0x0A, 0x21, 0x2E, 0x3F]] = 1
 
 
 def sentence_words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Feature of each word, its sentence (numbered over the chunk), each sentence's text, first byte and end byte."""
+    """Features of words and their stems, the sentence of each (numbered over the chunk), each sentence's text, first byte and end byte."""
     h, start, owner = tb.words(raw, off, "alnum")
     if not len(h):
         return (np.zeros(0, np.int64),) * 5
@@ -44,7 +46,14 @@ def sentence_words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     text = owner[first]
     at = np.searchsorted(stops, where)
     end = np.minimum(np.append(stops + 1, len(raw))[at], off[text + 1])
-    return (h >> np.uint64(64 - BITS)).astype(np.int64), np.cumsum(new) - 1, text, where, end
+    place = np.cumsum(new) - 1
+    features, places = [h], [place]
+    sizes = tb.word_sizes(raw, off, start, "alnum")
+    for n in STEMS:
+        which, stem = tb.prefixes(raw, start, sizes, n, "alnum")
+        features.append(stem)
+        places.append(place[which])
+    return (np.concatenate(features) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(places), text, where, end
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,19 +70,23 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def fit(documents: DataFrame, labels: DataFrame, divisor: int = 5, held_out: int = 0, max_labelled: int = 8000, epochs: int = 30, penalty: float = 2e-5, seed: int = 1) -> tuple[np.ndarray, float]:
-    """Weights of the words and the bias."""
+def fit(documents: DataFrame, labels: DataFrame, divisor: int = 5, held_out: int = 0, max_labelled: int = 8000, epochs: int = 20, penalty: float = 1e-4, least: int = 10, seed: int = 1) -> tuple[np.ndarray, float]:
+    """Weights of words and stems, and the bias; features in fewer than ``least`` labelled documents have none."""
     sample = labelled_sample(documents, labels, "toxic", divisor, held_out, max_labelled).select("doc_id", "text", "label").orderBy("doc_id")
     got = sample.mapInArrow(_features, "label int, sentence array<int>, word array<int>").toArrow().combine_chunks()
     label = got.column("label").to_numpy()
-    docs = [(np.asarray(s), np.asarray(w)) for s, w in zip(got.column("sentence").to_pylist(), got.column("word").to_pylist(), strict=True)]
-    docs = [(np.unique(s, return_inverse=True)[1], w) for s, w in docs]
+    docs = []
+    if got.num_rows:
+        batch = got.to_batches()[0]
+        sentence, word = (batch.column(i).values.to_numpy() for i in (1, 2))
+        cut = batch.column(1).offsets.to_numpy()
+        docs = [(np.unique(sentence[a:b], return_inverse=True)[1], word[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     full = [i for i, (_, w) in enumerate(docs) if len(w)]
     weight, bias = np.zeros(1 << BITS), -5.0
     if not full:
         return weight.astype(np.float32), bias
     seen = np.bincount(np.concatenate([np.unique(docs[i][1]) for i in full]), minlength=1 << BITS)
-    usable = seen >= 2
+    usable = seen >= min(least, 1 + len(full) // 200)
     squares, bias_squares = np.full(1 << BITS, 1e-2), 1.0
     random = np.random.default_rng(seed)
     for _ in range(epochs):
