@@ -7,9 +7,10 @@ hash; it only decides how much work is done, never which links are found.
 
 Documents of a task with the same prefix and size form one group and only its first member's prefix is emitted;
 group pairs are filtered by size and by how many prefix elements they share; then groups are expanded and
-members verified on whole sets. Nothing is emitted per pair of a large group: a first round verifies a linear
-number of likely links (neighbours in size order and each group's first), and the exact second round only looks
-at pairs whose members are not yet in the same component.
+members verified on whole sets. Nothing is emitted per pair of a large group of similar documents: two rounds
+verify a linear number of likely links (neighbours in size order and each token's first; then, for tokens that
+still have many components, the set that shares most of its prefix), and the exact last round only looks at pairs
+whose members are not yet in the same component and whose prefixes leave room for enough common elements.
 
 Shingles and sets are named by 64-bit and 128-bit hashes of their content.
 
@@ -233,9 +234,16 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 75) -> Data
     links = written(verified(_of_reps(pairs, copies), docs, k, percent), "links")
 
     comps = components(links)
-    rest = _unsettled(met, copies, comps, percent)
-    more = verified(written(rest, "rest"), docs, k, percent)
-    settled = components(written(links.unionByName(more), "links"))
+    member = written(_members(met, copies, comps), "members")
+    live = written(_live(met, member, percent), "live")
+    links = written(links.unionByName(verified(written(_to_leaders(live, member), "leaders"), docs, k, percent)), "links")
+    comps = components(links)
+    member = written(_relabelled(member, comps), "members")
+    live = _relabelled(live, comps).distinct()
+    mixed = live.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
+    live = written(live.join(mixed, "token", "left_semi"), "live")
+    rest = written(_unsettled(live, member, percent), "rest")
+    settled = components(written(links.unionByName(verified(rest, docs, k, percent)), "links"))
 
     label = sets.select("doc_id", "n").join(copies, "doc_id", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("node"))
     return label.join(settled, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
@@ -249,28 +257,60 @@ def _of_reps(pairs: DataFrame, copies: DataFrame) -> DataFrame:
     return b.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a != b").distinct()
 
 
-def _unsettled(met: DataFrame, copies: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Every pair of nodes that prefixes cannot rule out and that is not in one component yet.
-
-    What is joined are parts: the members of one group that are in one component. A token whose parts are all in
-    one component is settled; for the others, each part meets the parts of the other components only.
-    """
+def _members(met: DataFrame, copies: DataFrame, comps: DataFrame) -> DataFrame:
+    """(g, doc_id, node, n, component): which group each emitting document belongs to, and the component of its node."""
     node = F.coalesce("rep", "doc_id").alias("node")
     member = met.where(place(F.col("at")) < 0).join(copies, "doc_id", "left").select(F.col("token").alias("g"), "doc_id", node, size(F.col("at")).alias("n"))
-    member = written(member.join(comps, "node", "left").select("g", "doc_id", "node", "n", F.coalesce("component", "node").alias("component")).distinct(), "members")
-    part = member.select("g", "component", "n").distinct()
+    return member.join(comps, "node", "left").select("g", "doc_id", "node", "n", F.coalesce("component", "node").alias("component")).distinct()
+
+
+def _live(met: DataFrame, member: DataFrame, percent: int) -> DataFrame:
+    """(token, g, component, n, partner, same) of tokens whose parts are in several components.
+
+    A part is the members of one group that are in one component; the group's own name is a token too (``same``).
+    partner: how large a similar set may be, as elements of a prefix that no other group holds are in none.
+    """
     tokens = met.where((place(F.col("at")) >= 0) & (F.col("near").isNotNull() | F.col("next").isNotNull())).select("token", "doc_id")
-    tokens = tokens.join(member.select("doc_id", "g").distinct(), "doc_id").select("token", "g").distinct()
-    label = tokens.join(part, "g").select("token", "g", "component", "n", F.lit(False).alias("same"))
-    label = written(label.unionByName(part.select(F.col("g").alias("token"), "g", "component", "n", F.lit(True).alias("same"))), "label")
+    shared = member.join(tokens.groupBy("doc_id").count(), "doc_id").groupBy("g").agg(F.max("count").alias("shared"))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1
+    left = F.col("n") - prefix + F.coalesce("shared", F.lit(0))
+    part = member.select("g", "component", "n").distinct()
+    sized = part.join(shared, "g", "left").select("g", "component", "n", F.floor(left * (100 + percent) / percent - F.col("n") + 1e-9).alias("partner"))
+    label = tokens.join(member.select("doc_id", "g").distinct(), "doc_id").select("token", "g").distinct().join(part.select("g", "component"), "g").select("token", "g", "component", F.lit(False).alias("same"))
+    label = label.unionByName(part.select(F.col("g").alias("token"), "g", "component", F.lit(True).alias("same")))
     mixed = label.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
-    live = label.join(mixed, "token", "left_semi")
-    others = live.groupBy("token", "component").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("component", "cb")
-    x = live.select("token", F.col("g").alias("ga"), F.col("component").alias("ca"), "n", "same")
-    reach = x.join(others, "token").where((F.col("ca") < F.col("cb")) & (F.col("least") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("most") * 100))
-    y = live.select("token", F.col("g").alias("gb"), F.col("component").alias("cb"), F.col("n").alias("m"))
-    pairs = reach.select("token", "ga", "ca", "n", "cb", "same").join(y, ["token", "cb"])
-    pairs = pairs.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+    return label.join(mixed, "token", "left_semi").join(sized, ["g", "component"])
+
+
+def _relabelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """``rows`` with components as they are now; a component's name is one of its nodes."""
+    now = comps.select(F.col("node").alias("component"), F.col("component").alias("now"))
+    return rows.join(now, "component", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
+
+
+def _to_leaders(live: DataFrame, member: DataFrame, hot: int = 32) -> DataFrame:
+    """For tokens of many components, each part's nodes with a node of the part that shares most of its prefix: a linear number of likely pairs."""
+    lead = live.where("not same").groupBy("token").agg(F.max_by(F.struct("g", "component", "n"), F.struct("partner", "g", "component")).alias("lead"), F.count_distinct("component").alias("c")).where(F.col("c") > hot)
+    met = live.where("not same").join(lead, "token").where("component != lead.component").where((F.col("lead.n") <= F.col("partner")))
+    met = met.select("g", "component", F.col("lead.g").alias("lg"), F.col("lead.component").alias("lc")).distinct()
+    first = member.groupBy(F.col("g").alias("lg"), F.col("component").alias("lc")).agg(F.min("node").alias("y"))
+    wide = met.join(member.select("g", "component", F.col("node").alias("x")).distinct(), ["g", "component"]).join(first, ["lg", "lc"])
+    return wide.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b").distinct()
+
+
+def _unsettled(live: DataFrame, member: DataFrame, percent: int) -> DataFrame:
+    """Every pair of nodes that prefixes cannot rule out and that is not in one component yet.
+
+    Each part meets the parts of the other components of its token only.
+    """
+    others = live.groupBy("token", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("partner").alias("reach")).withColumnRenamed("component", "cb")
+    x = live.select("token", F.col("g").alias("ga"), F.col("component").alias("ca"), "n", "partner", "same")
+    fits = (F.col("least") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("most") * 100)
+    fits &= F.col("same") | ((F.col("least") <= F.col("partner")) & (F.col("n") <= F.col("reach")))
+    reach = x.join(others, "token").where((F.col("ca") < F.col("cb")) & fits)
+    y = live.select("token", F.col("g").alias("gb"), F.col("component").alias("cb"), F.col("n").alias("m"), F.col("partner").alias("partner_b"))
+    pairs = reach.select("token", "ga", "ca", "n", "partner", "cb", "same").join(y, ["token", "cb"])
+    pairs = pairs.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).where(F.col("same") | ((F.col("m") <= F.col("partner")) & (F.col("n") <= F.col("partner_b"))))
     counted = pairs.groupBy("ga", "ca", "n", "gb", "cb", "m").agg(F.count("*").alias("shared"), F.max("same").alias("same"))
     kept = counted.where(F.col("same") | likely(F.least("n", "m"), F.greatest("n", "m"), F.col("shared"), percent)).select("ga", "ca", "gb", "cb")
     one = member.select(F.col("g").alias("ga"), F.col("component").alias("ca"), F.col("node").alias("x")).distinct()
