@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,7 +132,7 @@ def _segments(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            h, doc, start, body = [], [], [], []
+            h, doc, start, body, place = [], [], [], [], []
             for d, key, packed, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 text = unpack.decompress(packed.as_py())
                 for x in wanted.as_py():
@@ -140,7 +141,8 @@ def _segments(length: int):
                     doc.append(d)
                     start.append(key << START_BITS | lo)
                     body.append(text[lo : x["at"] + length])
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(body, pa.binary())], ["h", "doc_id", "start", "body"])
+                    place.append(x["at"] - lo)
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(body, pa.binary()), pa.array(place, pa.int32())], ["h", "doc_id", "start", "body", "place"])
 
     return run
 
@@ -246,36 +248,62 @@ def _runs(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc[first], start[first] >> START_BITS, start[first] & mask, start[last] & mask)], ["doc_id", "text_key", "lo", "hi"])
 
 
+def with_company(bodies: list[bytes], places: list[int], length: int) -> list[int]:
+    """Segments of one anchor that can share a string of ``length`` bytes with another.
+
+    Such a string holds the anchor and either half of the rest before it or more than half after it.
+    """
+    half = (length - K) // 2
+    before = [b[p - half : p + K] if p >= half else None for b, p in zip(bodies, places, strict=True)]
+    after = [b[p : p + K + half] for b, p in zip(bodies, places, strict=True)]
+    n_before, n_after = Counter(before), Counter(after)
+    return [i for i, (x, y) in enumerate(zip(before, after, strict=True)) if (x is not None and n_before[x] > 1) or n_after[y] > 1]
+
+
 def _blocks(length: int):
     """Rows come sorted by h; a block takes whole anchors until it is full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bodies: list[bytes] = []
-        docs: list[int] = []
-        starts: list[int] = []
+        block: list[tuple[int, int, bytes]] = []
+        anchor: list[tuple[int, int, bytes, int]] = []
         size, last = 0, None
+
+        def close() -> None:
+            nonlocal size
+            if len(anchor) > 1:
+                for i in with_company([x[2] for x in anchor], [x[3] for x in anchor], length):
+                    block.append(anchor[i][:3])
+                    size += len(anchor[i][2]) + 1
+            anchor.clear()
+
+        def out() -> pa.RecordBatch:
+            docs, starts, bodies = zip(*block, strict=True)
+            return _runs(*repeats_in_block(list(bodies), np.array(docs), np.array(starts), length))
+
         for batch in batches:
-            for h, d, s, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if h != last and size > BLOCK_BYTES:
-                    yield _runs(*repeats_in_block(bodies, np.array(docs), np.array(starts), length))
-                    bodies, docs, starts, size = [], [], [], 0
-                last = h
-                bodies.append(body)
-                docs.append(d)
-                starts.append(s)
-                size += len(body) + 1
-        if bodies:
-            yield _runs(*repeats_in_block(bodies, np.array(docs), np.array(starts), length))
+            for h, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if h != last:
+                    close()
+                    last = h
+                    if size > BLOCK_BYTES:
+                        yield out()
+                        block, size = [], 0
+                anchor.append(tuple(row))
+        close()
+        if block:
+            yield out()
 
     return run
 
 
 def _strings(length: int):
-    """128-bit hash, doc_id and start code of every string of ``length`` bytes in a segment."""
+    """Strings of ``length`` bytes in segments: of each the earliest in some rows, with its 128-bit hash; and runs of the later ones (no hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["s1", "s2", "doc_id", "text_key", "lo", "hi"]
         for batch in batches:
             doc, start = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            parts = []
             for first, _, raw, off in tb.chunks(batch.column(3)):
                 size = np.diff(off)
                 at = ranges(off[:-1], off[:-1] + np.maximum(size - length + 1, 0))
@@ -285,7 +313,21 @@ def _strings(length: int):
                 for salt in (1, 2):
                     total = prefix_hash(raw, salt)
                     both.append(tb.mix((total[at + length] - total[at]) * inverse[at]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(doc[first + owner]), pa.array(start[first + owner] + at - off[owner])], ["s1", "s2", "doc_id", "start"])
+                parts.append((*both, doc[first + owner], start[first + owner] + at - off[owner]))
+            if not parts:
+                continue
+            s1, s2, d, s = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((s, d, s2, s1))
+            s1, s2, d, s = s1[order], s2[order], d[order], s[order]
+            head = np.ones(len(s1), bool)
+            head[1:] = (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])
+            at = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0)) if len(head) else np.zeros(0, np.int64)
+            later = (d != d[at]) | (s != s[at])
+            key, low = s[head] >> START_BITS, s[head] & ((1 << START_BITS) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (s1[head], s2[head], d[head], key, low, low)], names)
+            spans = _runs(d[later], s[later])
+            none = pa.nulls(spans.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, *spans.columns], names)
 
     return run
 
@@ -316,17 +358,18 @@ def repeated_spans(documents: DataFrame, length: int = 100, hot: int = 4096) ->
     packed = docs.mapInArrow(_compressed, "doc_id long, text_key long, packed binary").dropDuplicates(["doc_id", "text_key"])
     fetched = packed.join(wanted, ["doc_id", "text_key"]).select("doc_id", "text_key", "packed", "wanted")
     hot_anchors = met.where("not again").groupBy("h").count().where(F.col("count") > hot).select("h")
-    segments = written(fetched.mapInArrow(_segments(length), "h long, doc_id long, start long, body binary"), "segments")
-    cold = segments.join(hot_anchors, "h", "left_anti").select("h", "doc_id", "start", "body")
+    segments = written(fetched.mapInArrow(_segments(length), "h long, doc_id long, start long, body binary, place int"), "segments")
+    cold = segments.join(hot_anchors, "h", "left_anti").select("h", "doc_id", "start", "body", "place")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     in_blocks = cold.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_blocks(length), spans)
 
-    strings = segments.join(hot_anchors, "h", "left_semi").select("h", "doc_id", "start", "body").mapInArrow(_strings(length), "s1 long, s2 long, doc_id long, start long")
+    strings = segments.join(hot_anchors, "h", "left_semi").select("h", "doc_id", "start", "body").mapInArrow(_strings(length), "s1 long, s2 long, doc_id long, text_key long, lo long, hi long")
     strings = written(strings, "strings")
-    place = F.struct("doc_id", "start")
-    groups = strings.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("s1", "s2", "first")
-    spread = strings.join(groups, ["s1", "s2"]).where(place != F.col("first")).select("doc_id", F.shiftright("start", START_BITS).alias("text_key"), F.col("start").bitwiseAND(F.lit(mask)).alias("lo")).distinct()
-    spread = spread.withColumn("hi", F.col("lo"))
+    firsts = strings.where("s1 is not null")
+    place = F.struct("doc_id", "text_key", "lo")
+    groups = firsts.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("s1", "s2", "first")
+    spread = firsts.join(groups, ["s1", "s2"]).where(place != F.col("first")).select("doc_id", "text_key", "lo", "hi").distinct()
+    spread = spread.unionByName(strings.where("s1 is null").select("doc_id", "text_key", "lo", "hi"))
 
     near = docs.mapInArrow(_later_anchors(length), spans)
     far = later.select("doc_id", "text_key", F.greatest(F.lit(0), F.col("at") - (length - K)).alias("lo"), F.col("at").alias("hi"))
