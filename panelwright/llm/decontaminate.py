@@ -196,6 +196,26 @@ def contaminated_spans(documents: DataFrame, benchmark: DataFrame, window: int =
     return out
 
 
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 4_000_000) -> DataFrame:
+    """The rows of ``documents``, all columns, in which no item window occurs."""
+    spark = documents.sparkSession
+
+    def clean(broadcast):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for first, _, _, owner, start, _, _ in _documents(batch.column("text"), broadcast.value):
+                    keep[first + owner[start]] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    out = documents
+    for block in blocks(benchmark, window, block_words):
+        out = out.mapInArrow(clean(spark.sparkContext.broadcast(block)), documents.schema)
+    return out
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 4_000_000) -> DataFrame:
     """One row per document: its words, the words inside occurrences of item windows, and the items."""
     if window <= K:

@@ -16,7 +16,7 @@ Shingles and sets are named by 64-bit and 128-bit hashes of their content.
 
 Defined cases: null or empty texts and texts without words have no shingles and are linked with nothing; with
 fewer than k words the whole sequence is one shingle; equal sets are one node; rows that repeat an id are one
-node that any of their texts may link; an empty table gives an empty table; other columns are ignored.
+node that any of their texts may link; rows without an id are linked with nothing and have no component; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -208,13 +208,14 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 75) -> Data
     broadcast = spark.sparkContext.broadcast((value, level))
 
     # one node for equal sets: the smallest id
-    named = sets.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    copies = sets.where("n > 0").join(named.where("first != last"), ["a", "b", "n"]).select("doc_id", F.col("first").alias("rep")).where("doc_id != rep")
+    linked = sets.where("n > 0 and doc_id is not null")
+    named = linked.groupBy("a", "b", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    copies = linked.join(named.where("first != last"), ["a", "b", "n"]).select("doc_id", F.col("first").alias("rep")).where("doc_id != rep")
     copies = written(copies.distinct(), "copies")
 
     by_token = Window.partitionBy("token")
     in_order = by_token.orderBy("at", "doc_id")
-    rows = docs.mapInArrow(_prefixes(k, percent, broadcast), "token long, doc_id long, at long")
+    rows = docs.where("doc_id is not null").mapInArrow(_prefixes(k, percent, broadcast), "token long, doc_id long, at long")
     met = rows.select(
         *("token", "doc_id", "at"),
         F.lag("doc_id").over(in_order).alias("near"),
@@ -249,6 +250,15 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 75) -> Data
     return label.join(settled, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
 
 
+def one_of_each(documents: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``documents``, all columns, that stand for their component: those with the smallest id, once; rows without an id stay."""
+    keep = near_duplicates(documents, k, percent).where("doc_id = component_id").select("doc_id").distinct()
+    kept = documents.join(keep, "doc_id", "left_semi").select(*documents.columns)
+    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    kept = kept.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
+    return kept.unionByName(documents.where("doc_id is null"))
+
+
 def _of_reps(pairs: DataFrame, copies: DataFrame) -> DataFrame:
     """Pairs of documents as pairs of the nodes that stand for them."""
     a = pairs.join(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a", "left")

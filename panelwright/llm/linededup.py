@@ -8,7 +8,7 @@ finds the later occurrences of a very common line is one that adaptive execution
 Defined cases: a null text stays null and has no units; an empty text has one empty unit, which stays; units
 shorter than ``min_chars`` after normalisation always stay; rows that repeat both id and text are one document
 (they get equal results); rows that repeat an id with other text rank by a hash of the text; a document all of
-whose units go keeps its row with an empty text; other columns are carried along untouched.
+whose units go keeps its row with an empty text; a null id ranks first; other columns are carried along untouched.
 """
 
 from __future__ import annotations
@@ -30,6 +30,13 @@ def units(documents: DataFrame, min_chars: int) -> DataFrame:
     return norm.where(F.length("unit") >= min_chars).select(*KEY, "place", F.unhex(F.md5("unit")).alias("digest"))
 
 
+def without_repeated_lines(documents: DataFrame, min_chars: int = 20) -> DataFrame:
+    """``documents`` with what is left of each text, and without rows that had text and have none left; ``n_chars`` follows the text."""
+    found = repeated_lines(documents, min_chars).where((F.size("removed") == 0) | (F.trim("kept_text") != ""))
+    columns = [F.col("kept_text").alias(c) if c == "text" else F.length("kept_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in documents.columns]
+    return found.select(*columns)
+
+
 def repeated_lines(documents: DataFrame, min_chars: int = 20) -> DataFrame:
     """``documents`` with ``kept_text``, ``n_units``, and ``removed``: place, start and end (characters) of each unit that goes."""
     judged = units(documents, min_chars)
@@ -39,7 +46,7 @@ def repeated_lines(documents: DataFrame, min_chars: int = 20) -> DataFrame:
     goes = later.groupBy(*KEY).agg(F.collect_list("place").alias("__goes"))
     kept_columns = documents.columns
     keyed = documents.withColumn("__text_key", F.xxhash64("text"))
-    joined = keyed.join(goes.withColumnRenamed("doc_id", "__doc_id").withColumnRenamed("__text_key", "__key"), (F.col("doc_id") == F.col("__doc_id")) & (F.col("__text_key") == F.col("__key")), "left")
+    joined = keyed.join(goes.withColumnRenamed("doc_id", "__doc_id").withColumnRenamed("__text_key", "__key"), F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("__text_key") == F.col("__key")), "left")
     lines = F.split("text", "\n", -1)
     goes_or_none = F.coalesce("__goes", F.array().cast("array<int>"))
     kept = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda u: ~F.array_contains(goes_or_none, u.i))

@@ -187,4 +187,4 @@ def quality(documents: DataFrame, labels: DataFrame, divisor: int = 3, held_out:
     """Every document's score, and whether its label could have been learnt from."""
     broadcast = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, divisor, held_out))
     found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scores(broadcast), "doc_id long, score double")
-    return found.select("doc_id", (remainder(F.col("doc_id"), divisor) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return found.select("doc_id", F.coalesce(remainder(F.col("doc_id"), divisor) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -16,7 +16,7 @@ anchor at the same place inside. Around each anchor lies a *segment*: every such
 
 Defined cases: null texts are empty; texts shorter than ``length`` lose nothing; matches never cross texts; a row
 that repeats id and text is the same text (both rows get equal results); rows that repeat an id with other text
-rank by a 24-bit hash of the text after the id; an empty table gives an empty table; other columns are ignored.
+rank by a 24-bit hash of the text after the id; rows without an id rank first; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ K = 32
 BLOCK_BYTES = 1 << 20
 #: Starts are kept in the low bits, the text's 24-bit hash above them.
 START_BITS = 38
+#: Stands for a null id inside; such rows rank first.
+NO_ID = -(1 << 63)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -332,12 +334,16 @@ def _strings(length: int):
     return run
 
 
+def _ranked(documents: DataFrame) -> DataFrame:
+    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+
+
 def repeated_spans(documents: DataFrame, length: int = 100, hot: int = 4096) -> DataFrame:
     """(doc_id, text_key, lo, hi): the strings of ``length`` bytes that start at lo..hi also start earlier."""
     if length < 2 * K:
         raise ValueError(f"length must be at least {2 * K}")
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = _ranked(documents)
     spans = "doc_id long, text_key long, lo long, hi long"
     here = docs.mapInArrow(_first_anchors(length), "h long, segment long, doc_id long, at long")
     ordered = Window.partitionBy("h").orderBy("segment", "doc_id", "at")
@@ -400,7 +406,7 @@ def _cut(length: int):
 
 def without_repeats(documents: DataFrame, length: int = 100, hot: int = 4096) -> DataFrame:
     """One row per document: bytes, bytes removed, maximal removed runs, and the digest of what is left."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = _ranked(documents)
     spans = repeated_spans(documents, length, hot).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     packed = docs.mapInArrow(_compressed, "doc_id long, text_key long, packed binary")
-    return packed.join(spans, ["doc_id", "text_key"], "left").select("doc_id", "packed", "spans").mapInArrow(_cut(length), RESULT)
+    return packed.join(spans, ["doc_id", "text_key"], "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "packed", "spans").mapInArrow(_cut(length), RESULT)

@@ -112,20 +112,24 @@ def fit(documents: DataFrame, labels: DataFrame, divisor: int = 5, held_out: int
     return weight.astype(np.float32), float(bias)
 
 
+def bag_scores(raw: np.ndarray, off: np.ndarray, weight: np.ndarray, bias: float) -> tuple[np.ndarray, ...]:
+    """Noisy-or of each text of a chunk; and each sentence's probability, text, first byte and end byte."""
+    n = len(off) - 1
+    word, sentence, text, start, stop = sentence_words(raw, off)
+    if not len(word):
+        return np.zeros(n), np.zeros(0), text, start, stop
+    pairs = np.unique(sentence << BITS | word)
+    z = bias + np.bincount(pairs >> BITS, weight[pairs & ((1 << BITS) - 1)], len(text))
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    return 1 - np.exp(np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), n)), p, text, start, stop
+
+
 def _scores(model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, bias = model.value
         for batch in batches:
             for first, end, raw, off in tb.chunks(batch.column(1)):
                 n = end - first
-                word, sentence, text, start, stop = sentence_words(raw, off)
-                if len(word):
-                    pairs = np.unique(sentence << BITS | word)
-                    z = bias + np.bincount(pairs >> BITS, weight[pairs & ((1 << BITS) - 1)], len(text))
-                    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                    score = 1 - np.exp(np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), n))
-                else:
-                    p, score = np.zeros(0), np.zeros(n)
+                score, p, text, start, stop = bag_scores(raw, off, *model.value)
                 hot = np.flatnonzero(p >= threshold)
                 cut = np.searchsorted(text[hot], np.arange(n + 1))
                 spans = pa.StructArray.from_arrays([pa.array(start[hot] - off[text[hot]], pa.int64()), pa.array(stop[hot] - off[text[hot]], pa.int64()), pa.array(p[hot])], ["start", "end", "score"])
@@ -140,7 +144,19 @@ def scored(documents: DataFrame, model: tuple[np.ndarray, float], threshold: flo
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scores(broadcast, threshold), "doc_id long, score double, sentences array<struct<start:long,end:long,score:double>>")
 
 
+def without_toxic(documents: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.5) -> DataFrame:
+    """The rows of ``documents``, all columns, whose score is below the threshold."""
+    broadcast = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = [bag_scores(raw, off, *broadcast.value)[0] < threshold for _, _, raw, off in tb.chunks(batch.column("text"))]
+            yield batch.filter(pa.array(np.concatenate(low) if low else np.zeros(0, bool)))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def toxicity(documents: DataFrame, labels: DataFrame, divisor: int = 5, held_out: int = 0) -> DataFrame:
     """Every document's score, with its offending sentences and whether its label could have been learnt from."""
     found = scored(documents, fit(documents, labels, divisor, held_out))
-    return found.select("doc_id", (remainder(F.col("doc_id"), divisor) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "sentences")
+    return found.select("doc_id", F.coalesce(remainder(F.col("doc_id"), divisor) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "sentences")
