@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 UNIT = 576
 FILL = 255
 SHIFT = 2
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 BANDS = ((1, 5), (6, 63))
 #: Macroblocks or blocks between restart markers, by scan: DC, short band, long band, refinements.
 RESTART = {"dc": 32, (1, 5): 32, (6, 63): 8, "refine": 32}
