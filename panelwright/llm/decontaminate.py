@@ -9,7 +9,7 @@ pass over the documents carries to each task, so memory has a bound whatever the
 document or occurrence is left out.
 
 Defined cases: null or empty texts have no words and no hits; an item with fewer words than ``window`` is one
-window of its own length; an item without words is ignored; equal items all count; documents that repeat an id
+window of its own length; an item without words is ignored; rows that repeat an item's id count as one item; documents that repeat an id
 keep a row each when there is one block, and are told apart by a row number otherwise; an empty benchmark gives
 no hits; other columns of either table are ignored.
 """
@@ -134,7 +134,8 @@ def _digests(broadcast):
                     pairs = np.unique(owner[start] * len(block.ids) + item)
                     doc, cut = np.unique(pairs // len(block.ids), return_index=True)
                     for d, which in zip(doc, np.split(pairs % len(block.ids), cut[1:]), strict=True):
-                        n_items[d], digest[d] = len(which), items_digest(list(block.ids[which]))
+                        found = list(set(block.ids[which]))
+                        n_items[d], digest[d] = len(found), items_digest(found)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, rows), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items), pa.array(digest), pa.array(n_hit > 0)],
                     ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
