@@ -323,8 +323,8 @@ def test_lm_counts_and_gain(spark, docs, rows, nothing):
 
 def test_exchange_finds_alternating_words(spark):
     r = random.Random(1)
-    rows = [(i, " ".join(x for _ in range(40) for x in (f"a{r.randrange(6)}", f"b{r.randrange(6)}"))) for i in range(60)]
-    out = brownlm.scores(spark.createDataFrame(rows, "doc_id long, text string"), single=13, shapes=2, classes=3, rounds=8).collect()
+    rows = [(i, " ".join(x for _ in range(40) for x in (f"a{r.randrange(3)}", f"b{r.randrange(8)}"))) for i in range(60)]
+    out = brownlm.scores(spark.createDataFrame(rows, "doc_id long, text string"), single=12, shapes=2, classes=4, rounds=8).collect()
     held = [x for x in out if x.held_out]
     assert sum(x.score for x in held) > sum(x.base_score for x in held) + 5 * len(held)
 
