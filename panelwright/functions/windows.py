@@ -7,36 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_TICKER = Window.partitionBy("ticker").orderBy("date")
 
+def by_ticker() -> WindowSpec:
+    return Window.partitionBy("ticker").orderBy("date")
 
-def last_rows(n: int, by: WindowSpec = BY_TICKER) -> WindowSpec:
-    return by.rowsBetween(-(n - 1), 0)
 
+def last_rows(n: int, by: WindowSpec | None = None) -> WindowSpec:
+    return (by or by_ticker()).rowsBetween(-(n - 1), 0)
 
-def next_rows(h: int, by: WindowSpec = BY_TICKER) -> WindowSpec:
-    return by.rowsBetween(1, h)
 
+def next_rows(h: int, by: WindowSpec | None = None) -> WindowSpec:
+    return (by or by_ticker()).rowsBetween(1, h)
 
-def rolling(f: Callable[[Column], Column], x: Column, n: int, least: int | None = None, by: WindowSpec = BY_TICKER) -> Column:
+
+def rolling(f: Callable[[Column], Column], x: Column, n: int, least: int | None = None, by: WindowSpec | None = None) -> Column:
     """f over the last n rows where at least ``least`` (n unless given) have a value, else NULL."""
     w = last_rows(n, by)
     return F.when(F.count(x).over(w) >= (least or n), f(x).over(w))
 
 
-def forward(f: Callable[[Column], Column], x: Column, h: int, by: WindowSpec = BY_TICKER) -> Column:
+def forward(f: Callable[[Column], Column], x: Column, h: int, by: WindowSpec | None = None) -> Column:
     """f over the next h rows, where all of them exist."""
     w = next_rows(h, by)
     return F.when(F.count(x).over(w) == h, f(x).over(w))
 
 
-def lagged_return(x: Column, n: int, by: WindowSpec = BY_TICKER) -> Column:
-    return F.try_divide(x, F.lag(x, n).over(by)) - 1
+def lagged_return(x: Column, n: int, by: WindowSpec | None = None) -> Column:
+    return F.try_divide(x, F.lag(x, n).over(by or by_ticker())) - 1
 
 
-def log_return(x: Column, by: WindowSpec = BY_TICKER) -> Column:
+def log_return(x: Column, by: WindowSpec | None = None) -> Column:
     """ln of a price over the one before, prices held above 1e-9."""
-    return F.ln(F.greatest(x, F.lit(1e-9))) - F.ln(F.greatest(F.lag(x).over(by), F.lit(1e-9)))
+    return F.ln(F.greatest(x, F.lit(1e-9))) - F.ln(F.greatest(F.lag(x).over(by or by_ticker()), F.lit(1e-9)))
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:

@@ -20,7 +20,7 @@ def block_bootstrap(rows: DataFrame, value: str, order: list[str], block: int, d
     size = series.groupBy().agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
     slots = rows.sparkSession.range(draws).withColumnRenamed("id", "r").join(F.broadcast(size)).withColumn("s", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)))
     starts = slots.select("r", "mean", draw(F.col("r"), F.col("s").cast("long"), F.greatest(F.col("n") - block + 1, F.lit(1)), seed).alias("start"))
-    places = starts.select("r", "mean", (F.col("start") + F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).alias("i"))
+    places = starts.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).select("r", "mean", (F.col("start") + F.col("j")).alias("i"))
     means = places.join(series, "i").groupBy("r").agg(F.avg("v").alias("m"), F.first("mean").alias("mean"))
     return means.agg(F.first("mean").alias("mean"), F.percentile("m", F.lit(0.05)).alias("low"), F.percentile("m", F.lit(0.95)).alias("high"))
 

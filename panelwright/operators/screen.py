@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions.windows import BY_TICKER, clamp, lagged_return, last_rows, log_return, percent_rank_of, rolling
+from panelwright.functions.windows import by_ticker, clamp, lagged_return, last_rows, log_return, percent_rank_of, rolling
 
 
 def riser_metrics(bars: DataFrame) -> DataFrame:
@@ -14,7 +14,7 @@ def riser_metrics(bars: DataFrame) -> DataFrame:
     ddw10 is the worst fall from a running high within the last 11 closes.
     """
     d = log_return(F.col("adj_close"))
-    rows = bars.select("ticker", "date", "adj_close", "close").withColumn("d", d).withColumn("i", F.row_number().over(BY_TICKER))
+    rows = bars.select("ticker", "date", "adj_close", "close").withColumn("d", d).withColumn("i", F.row_number().over(by_ticker()))
     path = F.transform(F.array_agg("adj_close").over(last_rows(11)), lambda x: x)
     fall = F.aggregate(
         path,
@@ -37,7 +37,7 @@ def candidates(rows: DataFrame, top_n: int = 50, up: float = 0.6) -> DataFrame:
     gate = (F.col("up10") >= up) & (F.col("net10") > 0)
     place = F.row_number().over(Window.partitionBy("date").orderBy(F.when(gate, F.col("net10")).desc_nulls_last(), "ticker"))
     out = rows.withColumn("net10_pct", F.round(100 * percent_rank_of(F.col("net10"), "date"), 1)).withColumn("candidate", F.when(gate & (place <= top_n), 1).otherwise(0))
-    out = out.withColumn("__island", F.row_number().over(BY_TICKER) - F.row_number().over(Window.partitionBy("ticker", "candidate").orderBy("date")))
+    out = out.withColumn("__island", F.row_number().over(by_ticker()) - F.row_number().over(Window.partitionBy("ticker", "candidate").orderBy("date")))
     days = F.row_number().over(Window.partitionBy("ticker", "candidate", "__island").orderBy("date"))
     return out.withColumn("streak_days", F.when(F.col("candidate") == 1, days).otherwise(0)).drop("__island")
 
@@ -50,7 +50,7 @@ def signals(bars: DataFrame, spx: DataFrame, min_bars: int = 60) -> DataFrame:
     px = F.col("adj_close")
     enough = F.count(F.lit(1)).over(Window.partitionBy("ticker")) >= min_bars
     rows = bars.withColumn("__ok", enough).where("__ok").drop("__ok").join(spx.select("date", F.col("close").alias("spx")), "date", "left")
-    rows = rows.withColumn("spx", F.last("spx", ignorenulls=True).over(BY_TICKER)).withColumn("step", px - F.lag(px).over(BY_TICKER))
+    rows = rows.withColumn("spx", F.last("spx", ignorenulls=True).over(by_ticker())).withColumn("step", px - F.lag(px).over(by_ticker()))
     up = F.when(F.col("step") > 0, F.col("volume")).otherwise(F.lit(0))
     down = F.when(F.coalesce(F.col("step") <= 0, F.lit(True)), F.col("volume")).otherwise(F.lit(0))
     r63, r126 = lagged_return(px, 63), lagged_return(px, 126)
@@ -60,7 +60,7 @@ def signals(bars: DataFrame, spx: DataFrame, min_bars: int = 60) -> DataFrame:
         ((r63 - lagged_return(F.col("spx"), 63)) + (r126 - lagged_return(F.col("spx"), 126))).alias("rs_raw"),
         *(rolling(F.avg, px, n).alias(f"ma{n}") for n in (50, 150, 200)),
         F.try_divide(px, rolling(F.max, px, 252, 126)).alias("high_prox"),
-        clamp(F.try_divide(F.abs(px - F.lag(px, 63).over(BY_TICKER)), rolling(F.sum, F.abs("step"), 63))).alias("trend_quality"),
+        clamp(F.try_divide(F.abs(px - F.lag(px, 63).over(by_ticker())), rolling(F.sum, F.abs("step"), 63))).alias("trend_quality"),
         F.try_divide(rolling(F.avg, volume, 50), rolling(F.avg, volume, 200)).alias("vol_ratio"),
         F.try_divide(rolling(F.sum, up, 50), rolling(F.sum, down, 50).cast("double")).alias("ud_vol_ratio"),
     )
@@ -75,7 +75,7 @@ def weights(k: float) -> dict[str, float]:
 def composite(rows: DataFrame, k: float = 0.5) -> DataFrame:
     """Percentile of rs_raw among rows that have one, its 21-row change, component scores, composite and rank by date."""
     out = rows.where("rs_raw is not null").withColumn("rs_pct", 100 * percent_rank_of(F.col("rs_raw"), "date"))
-    out = out.withColumn("rs_accel", F.col("rs_pct") - F.lag("rs_pct", 21).over(BY_TICKER))
+    out = out.withColumn("rs_accel", F.col("rs_pct") - F.lag("rs_pct", 21).over(by_ticker()))
     parts: dict[str, Column] = {
         "rs": clamp(F.col("rs_pct") / 100), "high": clamp((F.col("high_prox") - 0.7) / 0.3), "trend": clamp(F.col("trend_quality")),
         "vol": clamp((F.col("vol_ratio") - 1) / 0.6 + 0.5), "accel": clamp(F.coalesce("rs_accel", F.lit(0.0)) / 100 + 0.5),

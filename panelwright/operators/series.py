@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions.windows import BY_TICKER
+from panelwright.functions.windows import by_ticker
 
 
 def ordered_values(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -63,12 +63,12 @@ def spaced_events(events: DataFrame, key: str, place: str, spacing: int) -> Data
         F.array(F.lit(-(10**9)).cast("long")),
         lambda a, p: F.when(p - F.element_at(a, -1) >= spacing, F.concat(a, F.array(p))).otherwise(a),
     )
-    return events.groupBy(key).agg(kept.alias("k")).select(key, F.explode(F.slice("k", 2, 10**6)).alias(place))
+    return events.groupBy(key).agg(kept.alias("__kept")).select(key, F.explode(F.slice("__kept", 2, 10**6)).alias(place))
 
 
 def entries(flag: Column) -> Column:
     """True where a flag is set and was not on the row before."""
-    return flag & ~F.coalesce(F.lag(flag).over(BY_TICKER), F.lit(False))
+    return flag & ~F.coalesce(F.lag(flag).over(by_ticker()), F.lit(False))
 
 
 def week_ending(d: Column) -> Column:

@@ -37,7 +37,7 @@ def segment_weights(members: DataFrame, cap: float = 0.30) -> DataFrame:
 
 
 def chained_index(bars: DataFrame, members: DataFrame, cap: float = 0.30) -> DataFrame:
-    """(theme, date, level): 100 at a theme's first statement, then times one plus the weighted return of members priced on both days.
+    """(theme, date, ret, level, log_level): 100 at a theme's first statement, then times one plus the weighted return of members priced on both days.
 
     A day's weights are those in force on the axis date before it; the axis is all dates of those that were ever members.
     """
@@ -56,5 +56,5 @@ def chained_index(bars: DataFrame, members: DataFrame, cap: float = 0.30) -> Dat
     priced = held.join(now, ["ticker", "date"]).join(then, ["ticker", "before"])
     moves = priced.groupBy("theme", "date").agg(F.try_divide(F.sum(F.col("weight") * (F.col("p1") / F.col("p0") - 1)), F.sum("weight")).alias("ret"))
     path = axis.join(moves, ["theme", "date"], "left")
-    level = 100 * F.exp(F.sum(F.log1p(F.coalesce("ret", F.lit(0.0)))).over(w))
-    return path.select("theme", "date", "ret", level.alias("level"))
+    growth = F.sum(F.log1p(F.coalesce("ret", F.lit(0.0)))).over(w)
+    return path.select("theme", "date", "ret", (100 * F.exp(growth)).alias("level"), (F.ln(F.lit(100.0)) + growth).alias("log_level"))

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions.windows import BY_TICKER
-from panelwright.operators import asof, rotation, screen, series, tables, themes, valuation
+from panelwright.functions.windows import by_ticker
+from panelwright.operators import asof, fundamentals, research, rotation, screen, series, tables, text, themes, valuation
 from panelwright.operators import crosssection as cs
+from panelwright.operators import quality as checks
 from panelwright.plans.sqltext import sql
 from panelwright.sources import adapters as src
 
@@ -17,13 +18,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(text: str | None = None):
+def query(oracle: str | None = None):
     """Register a query under its function's name, with its SQL."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
-        if text:
-            ORACLE_SQL[f.__name__] = sql(text)
+        if oracle:
+            ORACLE_SQL[f.__name__] = sql(oracle)
         return f
 
     return add
@@ -178,7 +179,7 @@ ORACLE_SQL["x1_capped_weights"] = _recursive("SELECT theme, segment, ticker, rou
 @query()
 def x3_chained_index(spark, sf):
     """X3, J5, U4."""
-    return rounded(themes.chained_index(src.daily_bars(spark, sf), _members(spark, sf), cap=0.03).select("theme", "date", F.ln("level").alias("log_level")), 5)
+    return rounded(themes.chained_index(src.daily_bars(spark, sf), _members(spark, sf), cap=0.03).select("theme", "date", "log_level"), 5)
 
 
 ORACLE_SQL["x3_chained_index"] = _recursive(
@@ -190,7 +191,7 @@ ORACLE_SQL["x3_chained_index"] = _recursive(
   seg AS (SELECT theme, segment, coalesce(lead(segment) OVER (PARTITION BY theme ORDER BY segment), DATE '9999-12-31') AS until FROM (SELECT DISTINCT theme, segment FROM w)),
   mv AS (SELECT d.theme, d.date, sum(weight * (n.px / p.px - 1)) / sum(weight) AS ret FROM days d JOIN seg s ON d.theme = s.theme AND s.segment <= d.before AND d.before < s.until JOIN w ON w.theme = s.theme AND w.segment = s.segment
     JOIN bars n ON n.ticker = w.ticker AND n.date = d.date JOIN bars p ON p.ticker = w.ticker AND p.date = d.before GROUP BY 1, 2)
-  SELECT theme, date, round(ln(100 * exp(sum(ln(1 + coalesce(ret, 0))) OVER (PARTITION BY theme ORDER BY date))), 5) AS log_level FROM axis LEFT JOIN mv USING (theme, date)""",
+  SELECT theme, date, round(ln(100) + sum(ln(1 + coalesce(ret, 0))) OVER (PARTITION BY theme ORDER BY date), 5) AS log_level FROM axis LEFT JOIN mv USING (theme, date)""",
     0.03,
 )
 
@@ -258,7 +259,7 @@ def w9_percentile_family(spark, sf):
 )
 def a10_spearman_ic(spark, sf):
     """A9, A10, W16, Q6."""
-    r = screen.riser_metrics(src.daily_bars(spark, sf)).withColumn("fwd", F.try_divide(F.lead("close", 5).over(BY_TICKER), "close") - 1)
+    r = screen.riser_metrics(src.daily_bars(spark, sf)).withColumn("fwd", F.try_divide(F.lead("close", 5).over(by_ticker()), "close") - 1)
     return rounded(cs.spearman(r, "net20", "fwd", "date", 10))
 
 
@@ -333,7 +334,7 @@ def s4_largest_of(spark, sf):
     "SELECT ticker, CAST(place AS BIGINT) AS place FROM (SELECT ticker, unnest(list_slice(list_reduce(list_prepend([-1000000000]::BIGINT[], list(CAST([i] AS BIGINT[]) ORDER BY i)), lambda a, p: CASE WHEN p[1] - a[-1] >= 20 THEN list_concat(a, p) ELSE a END), 2, 100000)) AS place FROM (SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i, up10 >= 0.6 AND net10 > 0 AS g FROM riser) WHERE g GROUP BY ticker)"
 )
 def w23_spaced_events(spark, sf):
-    rows = screen.riser_metrics(src.daily_bars(spark, sf)).withColumn("place", F.row_number().over(BY_TICKER)).where("up10 >= 0.6 and net10 > 0")
+    rows = screen.riser_metrics(src.daily_bars(spark, sf)).withColumn("place", F.row_number().over(by_ticker())).where("up10 >= 0.6 and net10 > 0")
     return series.spaced_events(rows, "ticker", "place", 20)
 
 
@@ -351,7 +352,7 @@ def w16_forward_windows(spark, sf):
     from panelwright.functions.windows import forward, next_rows
 
     b, c = src.daily_bars(spark, sf), F.col("close")
-    return rounded(b.select("ticker", "date", (forward(F.min, c, 20) / c - 1).alias("trough20"), (forward(F.max, c, 20) / c - 1).alias("drawup20"), (F.lead(c, 20).over(BY_TICKER) / c - 1).alias("fwd20"), (F.least(c, F.min(c).over(next_rows(20))) / c - 1).alias("trough_from_entry")))
+    return rounded(b.select("ticker", "date", (forward(F.min, c, 20) / c - 1).alias("trough20"), (forward(F.max, c, 20) / c - 1).alias("drawup20"), (F.lead(c, 20).over(by_ticker()) / c - 1).alias("fwd20"), (F.least(c, F.min(c).over(next_rows(20))) / c - 1).alias("trough_from_entry")))
 
 
 @query(
@@ -360,7 +361,7 @@ def w16_forward_windows(spark, sf):
 def w7_rolling_regression(spark, sf):
     from panelwright.functions.windows import last_rows
 
-    b = src.daily_bars(spark, sf).select("ticker", "date", F.ln("close").alias("y"), F.row_number().over(BY_TICKER).cast("double").alias("i"))
+    b = src.daily_bars(spark, sf).select("ticker", "date", F.ln("close").alias("y"), F.row_number().over(by_ticker()).cast("double").alias("i"))
     w = last_rows(90)
     full = F.count(F.lit(1)).over(w) == 90
     return rounded(b.select("ticker", "date", F.when(full, F.regr_slope("y", "i").over(w)).alias("slope"), F.when(full, F.regr_r2("y", "i").over(w)).alias("r2")), slope=9)
@@ -384,3 +385,305 @@ def e13_equity_stats(spark, sf):
     by = Window.partitionBy("bucket").orderBy("date")
     r = src.sector_bars(spark, sf).withColumn("r", F.try_divide("close", F.lag("close").over(by)) - 1).where("r is not null")
     return rounded(series.iid_equity(r, "bucket", "date", "r"))
+
+
+# --- fundamentals from facts
+
+
+def _facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Even entities report quarters, odd ones the year to date; every period is restated 200 days later."""
+    q = src.quarterly_revenue(spark, sf).withColumn("qs", F.add_months(F.date_add("period_end", 1), -3))
+    year = F.trunc("period_end", "year")
+    ytd = F.sum("revenue").over(Window.partitionBy("ticker", year).orderBy("period_end"))
+    base = q.select(F.col("ticker").alias("entity"), F.lit("revenue").alias("metric"), F.when(F.col("k") % 2 == 0, F.col("qs")).otherwise(year).alias("start"), F.col("period_end").alias("end"), F.when(F.col("k") % 2 == 0, F.col("revenue")).otherwise(ytd).alias("val"))
+    return base.withColumn("filed", F.date_add("end", 35)).unionByName(base.withColumn("val", F.col("val") * 1.1).withColumn("filed", F.date_add("end", 200)))
+
+
+@query("SELECT ticker AS entity, period_end AS \"end\", round(revenue, 5) AS val, period_end + 35 AS filed FROM revenue")
+def v3_single_quarters(spark, sf):
+    """Whatever way an entity reports, its single quarters come out."""
+    return fundamentals.single_quarters(_facts(spark, sf)).select("entity", "end", F.round("val", 5).alias("val"), "filed")
+
+
+@query("SELECT ticker AS entity, period_end AS \"end\", round(ttm, 4) AS ttm, period_end + 35 AS filed FROM ttm WHERE n4 = 4 AND date_diff('day', first_end, period_end) BETWEEN 250 AND 295")
+def v6_trailing_four(spark, sf):
+    """V5, V6."""
+    f = _facts(spark, sf)
+    out = fundamentals.trailing_four(fundamentals.single_quarters(f))
+    return out.select("entity", "end", F.round("ttm", 4).alias("ttm"), "filed")
+
+
+@query("SELECT ticker, period_end, revenue_ttm, filed_date, date_diff('day', period_end, effective_eod_date) AS disclosure_lag, revenue_ttm / nullif(lag(revenue_ttm, 4) OVER (PARTITION BY ticker ORDER BY period_end), 0) - 1 AS yoy FROM filings WHERE effective_eod_date <= DATE '2001-01-01'")
+def v17_revenue_history(spark, sf):
+    """V17, W22."""
+    w = Window.partitionBy("ticker").orderBy("period_end")
+    f = src.fundamentals(spark, sf).where("effective_eod_date <= date'2001-01-01'")
+    return f.select("ticker", "period_end", "revenue_ttm", "filed_date", F.datediff("effective_eod_date", "period_end").cast("long").alias("disclosure_lag"), (F.try_divide("revenue_ttm", F.lag("revenue_ttm", 4).over(w)) - 1).alias("yoy"))
+
+
+CROSS = "2001-06-15"
+
+
+@query(
+    f"SELECT ticker, round(ps, 4) AS ps, age, round(CASE WHEN count(*) OVER () = 1 THEN 50.0 ELSE 100.0 * (row_number() OVER (ORDER BY ps, ticker) - 1) / nullif(count(*) OVER () - 1, 0) END, 6) AS percentile FROM (SELECT ticker, ps, date_diff('day', as_of_period_end, date) AS age FROM valued WHERE date = DATE '{CROSS}' AND ps IS NOT NULL) WHERE age <= 95"
+)
+def v14_vintage_percentile(spark, sf):
+    p = valuation.vintage_percentile(_valued(spark, sf), "ps", CROSS)
+    return p.select("ticker", F.round("ps", 4).alias("ps"), F.col("age").cast("long").alias("age"), F.round("percentile", 6).alias("percentile"))
+
+
+@query(
+    f"SELECT v.ticker, name, sector, round(ps, 4) AS ps, date_diff('day', as_of_period_end, DATE '{CROSS}') AS age, date_diff('day', as_of_period_end, as_of_filed) AS disclosure_lag, CASE WHEN date_diff('day', as_of_period_end, DATE '{CROSS}') <= 95 THEN 'fresh' WHEN date_diff('day', as_of_period_end, DATE '{CROSS}') <= 160 THEN 'stale' ELSE 'overdue' END AS freshness "
+    f"FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS n FROM valued WHERE date <= DATE '{CROSS}') v LEFT JOIN universe u ON u.ticker = v.ticker WHERE n = 1"
+)
+def v16_cross_section(spark, sf):
+    """V16, J7, J10, F7."""
+    v = valuation.latest(_valued(spark, sf), "ticker", "date", CROSS).join(src.universe(spark, sf), "ticker", "left")
+    age = F.datediff(F.lit(CROSS).cast("date"), "as_of_period_end")
+    return v.select("ticker", "name", "sector", F.round("ps", 4).alias("ps"), age.cast("long").alias("age"), F.datediff("as_of_filed", "as_of_period_end").cast("long").alias("disclosure_lag"), valuation.freshness(age).alias("freshness"))
+
+
+# --- sources, filters, joins
+
+
+@query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE round(o_totalprice, 2) END AS amount FROM orders")
+def s2_money_strings(spark, sf):
+    o = src.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 9 == 0, F.lit("n/a")).otherwise(F.concat(F.lit("$"), F.format_number("o_totalprice", 2))).alias("s"))
+    return o.select("k", F.round(F.nullif(F.regexp_replace("s", "[$,\\s]", "").try_cast("double"), F.lit(0.0)), 2).alias("amount"))
+
+
+@query("SELECT ticker, date, field, value FROM (SELECT ticker, date, high, low, close FROM bars) UNPIVOT (value FOR field IN (high, low, close))")
+def s6_wide_to_long(spark, sf):
+    return src.daily_bars(spark, sf).unpivot(["ticker", "date"], ["high", "low", "close"], "field", "value").where("value is not null")
+
+
+@query("SELECT 'T' || s_suppkey AS ticker FROM supplier WHERE s_acctbal >= 5000 OR s_suppkey IN (SELECT s_suppkey FROM supplier ORDER BY s_acctbal DESC NULLS LAST, s_suppkey LIMIT 25) OR s_suppkey < 3")
+def s8_target_selection(spark, sf):
+    """A floor or the largest, and a seed list."""
+    u = src.table(spark, sf, "supplier")
+    picked = u.where("s_acctbal >= 5000").unionByName(u.orderBy(F.desc_nulls_last("s_acctbal"), "s_suppkey").limit(25)).unionByName(u.where("s_suppkey < 3"))
+    return picked.select(src.ticker(F.col("s_suppkey")).alias("ticker")).distinct()
+
+
+@query("SELECT ticker, lpad(CAST(s_suppkey * 37 AS VARCHAR), 10, '0') AS cik FROM universe JOIN supplier ON ticker = 'T' || s_suppkey WHERE s_suppkey % 6 <> 0")
+def s25_identifiers(spark, sf):
+    ids = src.table(spark, sf, "supplier").where("s_suppkey % 6 <> 0").select(src.ticker(F.col("s_suppkey")).alias("ticker"), F.lpad((F.col("s_suppkey") * 37).cast("string"), 10, "0").alias("cik"))
+    return src.universe(spark, sf).select("ticker").join(ids, "ticker")
+
+
+@query("SELECT 'bars' AS surface, count(*) AS n, max(date) AS as_of FROM bars UNION ALL SELECT 'filings', count(*), max(effective_eod_date) FROM filings UNION ALL SELECT 'membership', count(*), max(as_of_date) FROM membership")
+def s22_manifest(spark, sf):
+    surface = lambda n, df, c: df.agg(F.count("*").alias("n"), F.max(c).alias("as_of")).select(F.lit(n).alias("surface"), "n", "as_of")
+    return surface("bars", src.daily_bars(spark, sf), "date").unionByName(surface("filings", src.fundamentals(spark, sf), "effective_eod_date")).unionByName(surface("membership", _members(spark, sf), "as_of_date"))
+
+
+@query("SELECT ticker, date, close FROM bars WHERE date IN (SELECT DISTINCT date FROM bars ORDER BY date DESC LIMIT 20)")
+def f3_last_dates(spark, sf):
+    b = src.daily_bars(spark, sf).select("ticker", "date", "close")
+    return b.join(b.select("date").distinct().orderBy(F.desc("date")).limit(20), "date", "left_semi")
+
+
+@query("SELECT ticker, sector, rank() OVER (ORDER BY mktcap DESC NULLS LAST) AS place FROM universe WHERE sector = 'ASIA' OR ticker IN ('T1', 'T2')")
+def f4_scope_then_rank(spark, sf):
+    """The scope holds before the rank."""
+    u = src.universe(spark, sf).where((F.col("sector") == "ASIA") | F.col("ticker").isin("T1", "T2"))
+    return u.select("ticker", "sector", F.rank().over(Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("mktcap"))).cast("long").alias("place"))
+
+
+@query("SELECT ticker, n_bars, last_date FROM (SELECT ticker, count(*) AS n_bars, max(date) AS last_date FROM bars GROUP BY ticker), (SELECT max(date) AS panel_end FROM bars) WHERE n_bars >= 500 AND last_date >= panel_end - 10")
+def f12_eligible_and_recent(spark, sf):
+    """F11, F12."""
+    b = src.daily_bars(spark, sf)
+    g = b.groupBy("ticker").agg(F.count("*").alias("n_bars"), F.max("date").alias("last_date"))
+    end = g.groupBy().agg(F.max("last_date").alias("panel_end"))
+    return g.join(end, (F.col("n_bars") >= 500) & (F.col("last_date") >= F.date_sub("panel_end", 10))).select("ticker", "n_bars", "last_date")
+
+
+@query(
+    ", w AS (SELECT bucket, date + CAST((4 - (isodow(date) - 1) + 7) % 7 AS INTEGER) AS week, max_by(close, date) AS close FROM sector_bars GROUP BY 1, 2), ax AS (SELECT DISTINCT week FROM w ORDER BY week DESC LIMIT 12), g AS (SELECT bucket, week FROM (SELECT DISTINCT bucket FROM w) CROSS JOIN ax) "
+    "SELECT bucket, row_number() OVER (PARTITION BY bucket ORDER BY week) - 1 AS place, close FROM g LEFT JOIN w USING (bucket, week)"
+)
+def j13_shared_axis(spark, sf):
+    """Aligned arrays that keep their NULLs."""
+    w = rotation.weekly(src.sector_bars(spark, sf), "bucket")
+    axis = w.select("week").distinct().orderBy(F.desc("week")).limit(12)
+    grid = asof.reindex(w, "bucket", axis, "week")
+    return grid.groupBy("bucket").agg(F.transform(F.array_sort(F.collect_list(F.struct("week", "close"))), lambda x: x.close).alias("closes")).select("bucket", F.posexplode("closes").alias("place", "close")).select("bucket", F.col("place").cast("long").alias("place"), "close")
+
+
+@query("SELECT ticker, date, last_value(v IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS v FROM (SELECT ticker, date, CASE WHEN volume % 4 = 0 THEN close END AS v FROM bars)")
+def j3_fill_limit(spark, sf):
+    b = src.daily_bars(spark, sf).select("ticker", "date", F.when(F.col("volume") % 4 == 0, F.col("close")).alias("v"))
+    return asof.fill_forward(b, "ticker", "date", "v", limit=5)
+
+
+@query("SELECT 'T' || s_suppkey AS ticker FROM supplier WHERE 'T' || s_suppkey NOT IN (SELECT ticker FROM filings)")
+def j15_without_filings(spark, sf):
+    """J15, U5."""
+    return src.universe(spark, sf).select("ticker").join(src.fundamentals(spark, sf), "ticker", "left_anti")
+
+
+@query("SELECT ticker, date, x, y FROM (SELECT b.ticker, b.date, b.close AS x, CASE WHEN b.volume % 50 = 0 THEN b.close * 1.5 WHEN b.volume % 51 = 0 THEN NULL ELSE b.close END AS y FROM bars b) WHERE y IS NULL OR abs(x - y) > 0.01")
+def k5_surfaces_agree(spark, sf):
+    """Only the rows that were changed differ."""
+    b = src.daily_bars(spark, sf).select("ticker", "date", "close", "volume")
+    other = b.withColumn("close", F.when(F.col("volume") % 50 == 0, F.col("close") * 1.5).when(F.col("volume") % 51 == 0, None).otherwise(F.col("close")))
+    return checks.agree(b, other, ["ticker", "date"], "close", 0.01)
+
+
+@query("SELECT 'null_close' AS \"check\", count(*) FILTER (close IS NULL) = 0 AS ok, count(*) FILTER (close IS NULL) AS detail FROM bars UNION ALL SELECT 'high_below_low', count(*) FILTER (high < low) = 0, count(*) FILTER (high < low) FROM bars UNION ALL SELECT 'no_volume', count(*) FILTER (volume <= 0) = 0, count(*) FILTER (volume <= 0) FROM bars UNION ALL SELECT 'large_day', count(*) FILTER (volume > 100) = 0, count(*) FILTER (volume > 100) FROM bars")
+def k1_bar_checks(spark, sf):
+    b = src.daily_bars(spark, sf)
+    return checks.checks(b, null_close=F.col("close").isNull(), high_below_low=F.col("high") < F.col("low"), no_volume=F.col("volume") <= 0, large_day=F.col("volume") > 100)
+
+
+@query(
+    "SELECT 'streak_without_flag' AS \"check\", count(*) FILTER ((streak_days > 0) <> (candidate = 1)) = 0 AS ok, count(*) FILTER ((streak_days > 0) <> (candidate = 1)) AS detail FROM streaks UNION ALL SELECT 'flag_without_gate', count(*) FILTER (candidate = 1 AND NOT (up10 >= 0.6 AND net10 > 0)) = 0, count(*) FILTER (candidate = 1 AND NOT (up10 >= 0.6 AND net10 > 0)) FROM streaks"
+)
+def k1_screen_checks(spark, sf):
+    r, flag = _risers(spark, sf), F.col("candidate") == 1
+    return checks.checks(r, streak_without_flag=(F.col("streak_days") > 0) != flag, flag_without_gate=flag & ~((F.col("up10") >= 0.6) & (F.col("net10") > 0)))
+
+
+@query()
+def k3_no_retro_probe(spark, sf):
+    """M6, K3: a later restatement leaves every earlier level of its theme as it was. Returns levels that changed before it (none)."""
+    m, bars = _members(spark, sf), src.daily_bars(spark, sf)
+    probe = m.groupBy("theme").agg(F.max_by("ticker", F.struct("exposure", "ticker")).alias("ticker")).select("ticker", "theme", F.lit(0.0).alias("exposure"), F.lit("2001-03-05").cast("date").alias("as_of_date"))
+    before = themes.chained_index(bars, m, 0.03).where("date <= date'2001-03-05'").select("theme", "date", F.col("log_level").alias("level"))
+    after = themes.chained_index(bars, m.unionByName(probe), 0.03).where("date <= date'2001-03-05'").select("theme", "date", F.col("log_level").alias("level"))
+    return checks.agree(before, after, ["theme", "date"], "level", 1e-9)
+
+
+ORACLE_SQL["k3_no_retro_probe"] = "SELECT c_mktsegment AS theme, CAST(NULL AS DATE) AS date, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y FROM customer WHERE false"
+
+
+# --- windows and paths
+
+
+@query("SELECT ticker, arg_max(date, i) AS last_high, date_diff('day', arg_max(date, i), max(d)) AS days_since FROM (SELECT ticker, date, i, d FROM (SELECT ticker, date, close, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i, max(date) OVER (PARTITION BY ticker) AS d, max(close) OVER (PARTITION BY ticker ORDER BY date) AS top FROM bars) WHERE close >= top) GROUP BY ticker")
+def w19_last_high(spark, sf):
+    b = src.daily_bars(spark, sf).withColumn("top", F.max("close").over(by_ticker())).withColumn("d", F.max("date").over(Window.partitionBy("ticker")))
+    return b.where("close >= top").groupBy("ticker").agg(F.max("date").alias("last_high"), F.datediff(F.max("d"), F.max("date")).cast("long").alias("days_since"))
+
+
+@query("SELECT sector, ticker, round(net10, 6) AS net10, place FROM (SELECT sector, r.ticker, net10, row_number() OVER (PARTITION BY sector ORDER BY net10 DESC NULLS LAST, r.ticker) AS place FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS n FROM riser) r JOIN universe u ON u.ticker = r.ticker WHERE n = 1) WHERE place <= 6")
+def w20_top_members(spark, sf):
+    """A bounded list per sector."""
+    r = valuation.latest(screen.riser_metrics(src.daily_bars(spark, sf)).select("ticker", "date", "net10"), "ticker", "date").join(src.universe(spark, sf).select("ticker", "sector"), "ticker")
+    r = r.withColumn("place", F.row_number().over(Window.partitionBy("sector").orderBy(F.desc_nulls_last("net10"), "ticker")).cast("long"))
+    return rounded(r.where("place <= 6").select("sector", "ticker", "net10", "place"))
+
+
+@query("SELECT ticker, date, close >= coalesce(lag(close, 3) OVER (PARTITION BY ticker ORDER BY date), first_value(close) OVER (PARTITION BY ticker ORDER BY date)) AS rising FROM bars")
+def w24_slope_signs(spark, sf):
+    return src.daily_bars(spark, sf).select("ticker", "date", (F.col("close") >= F.coalesce(F.lag("close", 3).over(by_ticker()), F.first("close").over(by_ticker()))).alias("rising"))
+
+
+@query("SELECT ticker, date, round(covar_samp(r, m) OVER w / nullif(var_samp(m) OVER w, 0), 5) AS beta FROM (SELECT *, count(r) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS k FROM (SELECT ticker, b.date, close / lag(close) OVER (PARTITION BY ticker ORDER BY b.date) - 1 AS r, s.m FROM bars b JOIN (SELECT date, close / lag(close) OVER (ORDER BY date) - 1 AS m FROM spx) s ON s.date = b.date)) WHERE r IS NOT NULL AND m IS NOT NULL WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) QUALIFY count(*) OVER w >= 126")
+def w6_rolling_beta(spark, sf):
+    from panelwright.functions.windows import last_rows
+
+    one = Window.partitionBy(F.lit(0)).orderBy("date")
+    m = src.benchmark(spark, sf).select("date", (F.try_divide("close", F.lag("close").over(one)) - 1).alias("m"))
+    b = src.daily_bars(spark, sf).select("ticker", "date", (F.try_divide("close", F.lag("close").over(by_ticker())) - 1).alias("r")).join(m, "date").where("r is not null and m is not null")
+    w = last_rows(252)
+    out = b.select("ticker", "date", F.try_divide(F.covar_samp("r", "m").over(w), F.nullif(F.var_samp("m").over(w), F.lit(0.0))).alias("beta"), F.count(F.lit(1)).over(w).alias("k"))
+    return rounded(out.where("k >= 126").drop("k"), 5)
+
+
+@query("SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS place, date, close FROM (SELECT ticker, date, close, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS n FROM bars) WHERE n <= 90")
+def d2_chart_arrays(spark, sf):
+    """The last 90 bars of each ticker as arrays side by side."""
+    b = src.daily_bars(spark, sf).withColumn("n", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))).where("n <= 90")
+    s = b.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("date", "close"))).alias("s"))
+    return s.select("ticker", F.posexplode("s").alias("place", "x")).select("ticker", F.col("place").cast("long").alias("place"), "x.date", "x.close")
+
+
+@query(
+    "SELECT ticker, sector, CAST(candidate AS BIGINT) AS candidate, CAST(streak_days AS BIGINT) AS streak_days, round(net10, 6) AS net10, round(ps, 4) AS ps, themes FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS n FROM streaks) s JOIN universe u USING (ticker) "
+    "LEFT JOIN (SELECT ticker, ps FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS n FROM valued) WHERE n = 1) v USING (ticker) LEFT JOIN (SELECT ticker, string_agg(theme, ',' ORDER BY exposure DESC, theme) AS themes FROM (SELECT *, row_number() OVER (PARTITION BY ticker, theme ORDER BY as_of_date DESC) AS n FROM membership WHERE as_of_date <= DATE '2001-11-04') WHERE n = 1 AND exposure > 0 GROUP BY ticker) t USING (ticker) WHERE n = 1"
+)
+def d3_board_rows(spark, sf):
+    """Identity, screen, valuation and theme chips of each ticker."""
+    r = valuation.latest(_risers(spark, sf).select("ticker", "date", "candidate", "streak_days", "net10"), "ticker", "date")
+    v = valuation.latest(_valued(spark, sf).select("ticker", "date", "ps"), "ticker", "date").select("ticker", "ps")
+    m = asof.membership_at(_members(spark, sf), "2001-11-04").groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct((-F.col("exposure")).alias("e"), "theme"))).alias("s"))
+    chips = m.select("ticker", F.array_join(F.transform("s", lambda x: x.theme), ",").alias("themes"))
+    out = r.join(src.universe(spark, sf).select("ticker", "sector"), "ticker").join(v, "ticker", "left").join(chips, "ticker", "left")
+    return rounded(out.select("ticker", "sector", "candidate", "streak_days", "net10", "ps", "themes"), ps=4)
+
+
+# --- research
+
+FORWARD = "SELECT r.ticker, r.date, sector, up10, net10, CASE WHEN lead(close, 20) OVER (PARTITION BY r.ticker ORDER BY r.date) / close - 1 > 0 THEN 1 ELSE 0 END AS y, lead(close, 20) OVER (PARTITION BY r.ticker ORDER BY r.date) / close - 1 AS fwd FROM riser r JOIN universe u ON u.ticker = r.ticker"
+
+
+def _forward(spark: SparkSession, sf: str) -> DataFrame:
+    r = screen.riser_metrics(src.daily_bars(spark, sf)).withColumn("fwd", F.try_divide(F.lead("close", 20).over(by_ticker()), "close") - 1).where("fwd is not null and up10 is not null")
+    return r.withColumn("y", (F.col("fwd") > 0).cast("int")).join(src.universe(spark, sf).select("ticker", "sector"), "ticker")
+
+
+@query(f", f AS ({FORWARD}), c AS (SELECT sector, year(date) AS yr, count(*) FILTER (up10 >= 0.6) AS n1, count(*) FILTER (up10 < 0.6) AS n0, avg(y) FILTER (up10 >= 0.6) AS r1, avg(y) FILTER (up10 < 0.6) AS r0 FROM f WHERE fwd IS NOT NULL AND up10 IS NOT NULL GROUP BY 1, 2) SELECT count(*) AS cells, round(sum(n1 * r1) / sum(n1), 6) AS treated, round(sum(n1 * r0) / sum(n1), 6) AS control FROM c WHERE n1 >= 20 AND n0 >= 20")
+def q17_matched_lift(spark, sf):
+    """Q17, A13."""
+    f = _forward(spark, sf).withColumn("t", F.col("up10") >= 0.6).withColumn("yr", F.year("date"))
+    return rounded(research.matched_lift(f, ["sector", "yr"], "t", "y", 20))
+
+
+@query(
+    ", d AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS o, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM bars)), f AS (SELECT unnest(range(5)) AS fold), m AS (SELECT date, fold, o, floor(n * 0.3) + fold * floor((n - floor(n * 0.3)) / 5) AS s, floor((n - floor(n * 0.3)) / 5) AS size FROM d, f), "
+    "p AS (SELECT date, fold, CASE WHEN o >= s AND o < s + size THEN 'test' WHEN o < s - 25 THEN 'train' END AS part FROM m) SELECT fold, part, count(*) AS n, min(b.date) AS first, max(b.date) AS last FROM bars b JOIN p ON p.date = b.date WHERE part IS NOT NULL GROUP BY fold, part"
+)
+def q27_walk_forward(spark, sf):
+    """Q4, Q27."""
+    f = research.walk_forward(src.daily_bars(spark, sf), "date", folds=5, gap=25)
+    return f.groupBy("fold", "part").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
+
+
+@query(
+    f", f AS (SELECT * FROM ({FORWARD}) WHERE fwd IS NOT NULL AND up10 IS NOT NULL), r AS (SELECT sector, y, up10, rank() OVER (PARTITION BY sector ORDER BY up10) + (count(*) OVER (PARTITION BY sector, up10) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY sector ORDER BY up10 DESC) AS seen, sum(y) OVER (PARTITION BY sector ORDER BY up10 DESC) AS hits FROM f) "
+    "SELECT sector, count(*) AS n, round((sum(CASE WHEN y = 1 THEN rk END) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 6) AS auc, round(avg(CASE WHEN y = 1 THEN hits / seen END), 6) AS average_precision, round(avg((up10 - y) * (up10 - y)), 6) AS brier FROM r GROUP BY sector"
+)
+def q29_fold_metrics(spark, sf):
+    return rounded(research.fold_metrics(_forward(spark, sf), "sector", "y", "up10"))
+
+
+@query(
+    ", s AS (SELECT row_number() OVER (ORDER BY bucket, date) - 1 AS i, ln(close) AS v FROM sector_bars WHERE bucket = 'ASIA'), z AS (SELECT count(*) AS n, avg(v) AS mean FROM s), d AS (SELECT r, mean, (((r * 7919 + k * 104729 + 1299709) % 2147483647) * 48271 % 2147483647) % greatest(n - 20 + 1, 1) AS start FROM (SELECT unnest(range(200)) AS r), z, LATERAL (SELECT unnest(range(CAST(ceil(n / 20) AS BIGINT))) AS k)), "
+    "m AS (SELECT r, avg(v) AS m, any_value(mean) AS mean FROM d, (SELECT unnest(range(20)) AS j) JOIN s ON s.i = start + j GROUP BY r) SELECT round(any_value(mean), 6) AS mean, round(quantile_cont(m, 0.05), 6) AS low, round(quantile_cont(m, 0.95), 6) AS high FROM m"
+)
+def q8_block_bootstrap(spark, sf):
+    """Q8, Q10."""
+    s = src.sector_bars(spark, sf).where("bucket = 'ASIA'").withColumn("v", F.ln("close"))
+    return rounded(research.block_bootstrap(s, "v", ["bucket", "date"], block=20, draws=200))
+
+
+# --- text
+
+
+@query(
+    "SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?i)</(p|div|tr|li|h[1-6]|table)>|<br ?/?>', chr(10), 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&#39;', ''''), '[ ' || chr(9) || ']+', ' ', 'g'), chr(10) || ' ?(' || chr(10) || ' ?)+', chr(10), 'g')) AS text FROM pages"
+)
+def l1_html_text(spark, sf):
+    return src.table(spark, sf, "pages").select("page_id", text.html_text(F.col("html")).alias("text"))
+
+
+@query()
+def l2_keyword_windows(spark, sf):
+    """Windows around a word in whole texts, overlapping ones merged; tests hold it against a plain version."""
+    return text.keyword_windows(src.table(spark, sf, "documents"), "doc_id", "text", "that", before=50, after=300, most=12).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.md5("piece").alias("piece_md5"))
+
+
+@query("SELECT theme, ticker, try_cast(e AS DOUBLE) AS exposure, CASE WHEN c IN ('high', 'medium', 'low') THEN c ELSE 'low' END AS confidence FROM (SELECT theme, ticker, CASE WHEN ticker LIKE '%7' THEN 'n/a' WHEN ticker LIKE '%8' THEN '1.5' ELSE CAST(exposure AS VARCHAR) END AS e, CASE WHEN ticker LIKE '%1' THEN 'high' WHEN ticker LIKE '%2' THEN '?' END AS c FROM membership) WHERE theme <> 'MACHINERY' AND try_cast(e AS DOUBLE) BETWEEN 0 AND 1")
+def l3_valid_rows(spark, sf):
+    """L3, S11."""
+    m, t = _members(spark, sf), F.col("ticker")
+    raw = m.select("theme", "ticker", F.when(t.endswith("7"), "n/a").when(t.endswith("8"), "1.5").otherwise(F.col("exposure").cast("string")).alias("exposure"), F.when(t.endswith("1"), "high").when(t.endswith("2"), "?").alias("confidence"))
+    return text.valid_rows(raw, m.where("theme <> 'MACHINERY'"), "theme").select("theme", "ticker", "exposure", "confidence")
+
+
+@query("SELECT o_custkey AS k, arg_min(o_orderkey, o_orderkey) FILTER (o_orderstatus = 'F') AS first_id FROM orders GROUP BY o_custkey")
+def l4_first_of_form(spark, sf):
+    s = src.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("s"))
+    return s.select("k", text.first_of_form(F.transform("s", lambda x: x.o_orderstatus), F.transform("s", lambda x: x.o_orderkey), "F").alias("first_id"))
