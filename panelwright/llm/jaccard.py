@@ -36,7 +36,7 @@ from panelwright.llm.shared import written
 
 U = np.uint64
 #: Shingles counted together before those above COMMON of the texts are reported.
-FLUSH_SHINGLES = 4_000_000
+FLUSH_SHINGLES = 2_000_000
 COMMON = 1 / 2000
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Chunks hold whole texts of about this many bytes together; a longer text is a chunk alone.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 _P = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -76,6 +76,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         end = min(max(end, first + 1), rows)
         yield first, end, raw[off[first] : off[end]], off[first : end + 1] - off[first]
         first = end
+    pa.default_memory_pool().release_unused()
 
 
 def byte_class(keep: str) -> np.ndarray:

@@ -70,7 +70,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def fit(documents: DataFrame, labels: DataFrame, divisor: int = 5, held_out: int = 0, max_labelled: int = 8000, epochs: int = 20, penalty: float = 1e-4, least: int = 10, seed: int = 1) -> tuple[np.ndarray, float]:
+def fit(documents: DataFrame, labels: DataFrame, divisor: int = 5, held_out: int = 0, max_labelled: int = 5000, epochs: int = 20, penalty: float = 1e-4, least: int = 10, seed: int = 1) -> tuple[np.ndarray, float]:
     """Weights of words and stems, and the bias; features in fewer than ``least`` labelled documents have none."""
     sample = labelled_sample(documents, labels, "toxic", divisor, held_out, max_labelled).select("doc_id", "text", "label").orderBy("doc_id")
     got = sample.mapInArrow(_features, "label int, sentence array<int>, word array<int>").toArrow().combine_chunks()
