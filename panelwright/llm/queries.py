@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm import brownlm, decontaminate, jaccard, jpegmedia, linededup, pack, quality, suffixdedup, tokencount, toxicity
+from panelwright.llm.oracles import ORACLE_SQL
 from panelwright.llm.shared import table
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brownlm.scores(table(spark, sf_dir, "documents"))
@@ -78,5 +81,3 @@ QUERIES = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_classifier": op10_quality_classifier,
 }
-
-ORACLE_SQL: dict[str, str] = {}
