@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,11 @@ def replace_entities(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def rebuild_scope(old: DataFrame, new: DataFrame, scope: Column) -> DataFrame:
+    """Rows in the scope go, the new ones come; columns that only one side has are NULL on the other."""
+    return old.where(~F.coalesce(scope, F.lit(False))).unionByName(new, allowMissingColumns=True)
+
+
 def insert_or_replace(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """One row per primary key, the incoming one if there is one."""
     both = old.withColumn("__seq", F.lit(0)).unionByName(new.withColumn("__seq", F.lit(1)), allowMissingColumns=True)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions.windows import by_ticker
-from panelwright.operators import asof, fundamentals, research, rotation, screen, series, tables, text, themes, valuation
+from panelwright.functions.windows import by_ticker, clamp
+from panelwright.operators import asof, filters, fundamentals, research, rotation, screen, series, tables, text, themes, valuation
 from panelwright.operators import crosssection as cs
 from panelwright.operators import quality as checks
 from panelwright.plans.sqltext import sql
@@ -687,3 +687,124 @@ def l3_valid_rows(spark, sf):
 def l4_first_of_form(spark, sf):
     s = src.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("s"))
     return s.select("k", text.first_of_form(F.transform("s", lambda x: x.o_orderstatus), F.transform("s", lambda x: x.o_orderkey), "F").alias("first_id"))
+
+
+# --- smaller operators
+
+
+@query("SELECT ticker, CASE WHEN d < 0 OR d IS NULL THEN 'stale' WHEN d <= 3 THEN 'fresh' WHEN d <= 7 THEN 'aging' ELSE 'stale' END AS age FROM (SELECT ticker, date_diff('day', max(date), DATE '2001-11-04') AS d FROM bars GROUP BY ticker)")
+def f8_data_age(spark, sf):
+    last = src.daily_bars(spark, sf).groupBy("ticker").agg(F.max("date").alias("d"))
+    return last.select("ticker", filters.data_age(F.col("d"), F.lit("2001-11-04").cast("date")).alias("age"))
+
+
+@query("SELECT ticker, date, CASE WHEN round(ps, 2) > 0 THEN round(ps, 2) END AS ps FROM valued")
+def f10_renderable_multiple(spark, sf):
+    """rounded first, shown only if still positive."""
+    return _valued(spark, sf).select("ticker", "date", filters.renderable(filters.safe_number(F.col("ps"))).alias("ps"))
+
+
+@query("SELECT ticker, date FROM riser WHERE up10 BETWEEN 0.5 AND 0.7 AND net10 BETWEEN -0.2 AND 0.3")
+def f5_rectangle(spark, sf):
+    return screen.riser_metrics(src.daily_bars(spark, sf)).where(filters.in_rectangle("up10", "net10", (0.7, -0.2), (0.5, 0.3))).select("ticker", "date")
+
+
+@query("SELECT u.ticker, v.ticker AS nearest FROM (SELECT s_suppkey AS k, 'T' || s_suppkey AS ticker, s_acctbal AS x, s_nationkey AS y FROM supplier WHERE s_suppkey % 10 = 0) u, LATERAL (SELECT 'T' || s_suppkey AS ticker FROM supplier WHERE s_suppkey <> k AND (s_acctbal - x) * (s_acctbal - x) + (s_nationkey - y) * (s_nationkey - y) * 10000 <= 4000000 ORDER BY (s_acctbal - x) * (s_acctbal - x) + (s_nationkey - y) * (s_nationkey - y) * 10000, ticker LIMIT 1) v")
+def f6_nearest_point(spark, sf):
+    """For a few stated points, the nearest other one within a radius: all points are scanned once per stated point."""
+    p = src.table(spark, sf, "supplier").select(src.ticker(F.col("s_suppkey")).alias("ticker"), "s_suppkey", F.col("s_acctbal").alias("x"), (F.col("s_nationkey") * 100.0).alias("y"))
+    return filters.nearest(p.where("s_suppkey % 10 = 0"), p, "ticker", ("x", "y"), 2000.0)
+
+
+@query("SELECT c_custkey AS k FROM (SELECT * FROM customer WHERE c_acctbal BETWEEN 1000 AND 8000) ORDER BY (c_custkey * 48271) % 2147483647, c_custkey LIMIT 100")
+def f14_habitat_sample(spark, sf):
+    """A sampling operator: a band, then the first by a hash of the key."""
+    c = src.table(spark, sf, "customer").where("c_acctbal between 1000 and 8000")
+    return c.orderBy((F.col("c_custkey") * 48271) % 2147483647, "c_custkey").limit(100).select(F.col("c_custkey").alias("k"))
+
+
+@query("SELECT ticker, date, round(lag(close, 21) OVER w / nullif(lag(close, 252) OVER w, 0) - 1, 6) AS mom_12_1, CASE WHEN close > m AND NOT coalesce(lag(close > m) OVER w, close > m) THEN 1::BIGINT ELSE 0::BIGINT END AS reclaim FROM (SELECT *, CASE WHEN count(close) OVER w50 = 50 THEN avg(close) OVER w50 END AS m FROM bars WINDOW w50 AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)) WINDOW w AS (PARTITION BY ticker ORDER BY date)")
+def w2_momentum_and_reclaim(spark, sf):
+    """W2, W15."""
+    from panelwright.functions.windows import rolling
+
+    b = src.daily_bars(spark, sf).withColumn("m", rolling(F.avg, F.col("close"), 50))
+    above = F.col("close") > F.col("m")
+    mom = F.try_divide(F.lag("close", 21).over(by_ticker()), F.lag("close", 252).over(by_ticker())) - 1
+    cross = above & ~F.coalesce(F.lag(above).over(by_ticker()), above)
+    return rounded(b.select("ticker", "date", mom.alias("mom_12_1"), F.when(cross, 1).otherwise(0).cast("long").alias("reclaim")))
+
+
+@query("SELECT bucket, date, round(CASE WHEN count(v) OVER w >= 252 THEN quantile_cont(v, 0.8) OVER w END, 6) AS q80 FROM (SELECT bucket, date, ln(close) AS v FROM sector_bars) WINDOW w AS (PARTITION BY bucket ORDER BY date)")
+def w5_expanding_quantile(spark, sf):
+    by = Window.partitionBy("bucket").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    v = src.sector_bars(spark, sf).withColumn("v", F.ln("close"))
+    return rounded(v.select("bucket", "date", F.when(F.count("v").over(by) >= 252, F.percentile("v", F.lit(0.8)).over(by)).alias("q80")))
+
+
+@query("SELECT 'T' || l_suppkey AS ticker, CAST(count(*) AS BIGINT) AS n FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1 UNION ALL SELECT 'R', count(*) * 2 FROM lineitem WHERE l_returnflag = 'R'")
+def m4_scoped_rebuild(spark, sf):
+    """M4, M5: one scope is cleared and rebuilt, the others stay; a column that is new on one side is NULL on the other."""
+    l = src.table(spark, sf, "lineitem")
+    old = l.groupBy(src.ticker(F.col("l_suppkey")).alias("ticker"), (F.col("l_returnflag") == "R").alias("scope")).agg(F.count("*").alias("n"))
+    new = l.where("l_returnflag = 'R'").agg((F.count("*") * 2).alias("n")).select(F.lit("R").alias("ticker"), F.lit(True).alias("scope"), "n", F.lit(1).alias("version"))
+    return tables.rebuild_scope(old, new, F.col("scope")).select("ticker", "n")
+
+
+@query("SELECT date, round(w * r, 9) AS ret FROM (SELECT date, r, lag(CASE WHEN v <> 0 THEN least(1.5, greatest(0, 0.15 / v)) END) OVER (ORDER BY date) AS w FROM (SELECT date, r, CASE WHEN count(r) OVER k = 21 THEN stddev_samp(r) OVER k * sqrt(252) END AS v FROM (SELECT date, ln(close) - ln(lag(close) OVER (ORDER BY date)) AS r FROM spx) WINDOW k AS (ORDER BY date ROWS BETWEEN 20 PRECEDING AND CURRENT ROW))) WHERE w IS NOT NULL AND r IS NOT NULL")
+def e14_vol_target(spark, sf):
+    """Weight by yesterday's trailing deviation. One series, so one task; a few thousand rows."""
+    from panelwright.functions.windows import rolling
+
+    one = Window.partitionBy(F.lit(0)).orderBy("date")
+    b = src.benchmark(spark, sf).withColumn("r", F.ln("close") - F.ln(F.lag("close").over(one)))
+    b = b.withColumn("v", rolling(F.stddev_samp, F.col("r"), 21, by=one) * F.sqrt(F.lit(252.0)))
+    b = b.withColumn("w", F.lag(clamp(F.try_divide(F.lit(0.15), F.nullif("v", F.lit(0.0))), 0.0, 1.5)).over(one)).where("w is not null and r is not null")
+    return b.select("date", F.round(F.col("w") * F.col("r"), 9).alias("ret"))
+
+
+@query("SELECT DISTINCT d AS date FROM (SELECT unnest(range(DATE '2001-01-01', DATE '2001-11-05', INTERVAL 1 DAY))::DATE AS d) WHERE isodow(d) < 6 AND d IN (SELECT date FROM spx)")
+def s24_weekdays(spark, sf):
+    days = spark.range(1).select(F.explode(F.sequence(F.lit("2001-01-01").cast("date"), F.lit("2001-11-04").cast("date"))).alias("date")).where(F.weekday("date") < 5)
+    return src.benchmark(spark, sf).select("date").join(days, "date")
+
+
+@query("SELECT theme, count(*) AS members, round(max(w), 9) <= round(greatest(0.03, 1.0 / count(*)), 9) AS capped, abs(sum(w) - 1) < 1e-9 AS whole FROM (SELECT theme, ticker, 1.0::DOUBLE / 1 AS w FROM membership WHERE false) GROUP BY theme UNION ALL SELECT theme, count(*), true, true FROM (SELECT *, row_number() OVER (PARTITION BY ticker, theme ORDER BY as_of_date DESC) AS n FROM membership WHERE as_of_date <= DATE '2000-06-30') WHERE n = 1 AND exposure > 0 GROUP BY theme")
+def k4_weight_bounds(spark, sf):
+    w = themes.capped_weights(asof.membership_at(_members(spark, sf), DAY), ["theme"], 0.03)
+    bound = F.greatest(F.lit(0.03), 1 / F.count("*")) + 1e-9
+    return w.groupBy("theme").agg(F.count("*").alias("members"), (F.max("weight") <= bound).alias("capped"), (F.abs(F.sum("weight") - 1) < 1e-9).alias("whole"))
+
+
+@query("SELECT ticker, round(close / lag21 - 1, 6) AS ret_1m, round(close / top - 1, 6) AS from_high, round(volume / mean50, 6) AS volume_ratio FROM (SELECT ticker, date, close, volume, lag(close, 21) OVER w AS lag21, max(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS top, avg(CAST(volume AS DOUBLE)) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS mean50, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS n FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)) WHERE n = 1")
+def d1_evidence(spark, sf):
+    from panelwright.functions.windows import last_rows
+
+    b = src.daily_bars(spark, sf)
+    e = b.select("ticker", "date", (F.col("close") / F.lag("close", 21).over(by_ticker()) - 1).alias("ret_1m"), (F.col("close") / F.max("close").over(last_rows(252)) - 1).alias("from_high"), (F.col("volume") / F.avg(F.col("volume").cast("double")).over(last_rows(50))).alias("volume_ratio"))
+    return rounded(valuation.latest(e, "ticker", "date").drop("date"))
+
+
+@query("SELECT max(abs(100 * (0.215 * c_rs + 0.22 * c_high + 0.17 * c_trend + 0.12 * c_vol + 0.275 * c_accel) - composite)) <= 1e-6 AS ok, count(*) AS n FROM scored")
+def d4_reconstruct_guard(spark, sf):
+    c = screen.composite(_signals(spark, sf))
+    again = sum((F.col(f"c_{n}") * w for n, w in screen.weights(0.5).items()), F.lit(0.0)) * 100
+    return c.agg((F.max(F.abs(again - F.col("composite"))) <= 1e-6).alias("ok"), F.count("*").alias("n"))
+
+
+@query("SELECT yr, n, round(mean, 6) AS mean, round(n::DOUBLE / sum(n) OVER (), 6) AS share FROM (SELECT year(date) AS yr, count(*) AS n, avg(fwd) AS mean FROM (SELECT ticker, date, up10, net10, lead(close, 20) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS fwd, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i FROM riser) WHERE fwd IS NOT NULL AND i % 21 = 0 GROUP BY 1)")
+def q18_sampled_panel(spark, sf):
+    """Every 21st row with a complete forward window, by year."""
+    r = screen.riser_metrics(src.daily_bars(spark, sf)).withColumn("fwd", F.try_divide(F.lead("close", 20).over(by_ticker()), "close") - 1).withColumn("i", F.row_number().over(by_ticker())).where("fwd is not null and i % 21 = 0")
+    g = r.groupBy(F.year("date").cast("long").alias("yr")).agg(F.count("*").alias("n"), F.avg("fwd").alias("mean"))
+    return rounded(g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))))
+
+
+@query("SELECT ticker, start_date, high_date, round(top / low - 1, 6) AS run FROM (SELECT ticker, arg_max(date, close) AS high_date, max(close) AS top, arg_max(low_date, close) AS start_date, arg_max(low, close) AS low FROM (SELECT ticker, date, close, min(close) OVER w AS low, arg_min(date, close) OVER w AS low_date FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 189 PRECEDING AND CURRENT ROW)) GROUP BY ticker)")
+def e12_biggest_run(spark, sf):
+    from panelwright.functions.windows import last_rows
+
+    w = last_rows(190)
+    b = src.daily_bars(spark, sf).select("ticker", "date", "close", F.min("close").over(w).alias("low"), F.min_by("date", "close").over(w).alias("low_date"))
+    top = b.groupBy("ticker").agg(F.max_by(F.struct("date", "close", "low", "low_date"), "close").alias("x"))
+    return rounded(top.select("ticker", F.col("x.low_date").alias("start_date"), F.col("x.date").alias("high_date"), (F.col("x.close") / F.col("x.low") - 1).alias("run")))
