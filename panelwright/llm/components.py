@@ -11,13 +11,15 @@ from panelwright.llm.shared import written
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: long); component is the smallest node reachable.
 
-    Each round points all larger neighbours of a node to its smallest neighbour, then all smaller ones; the
-    number of rounds grows with the logarithm of the longest path. Rounds are written to the shared folder, so
-    lineage stays short. Loops and repeated edges are allowed; an empty table gives an empty table.
+    Each round points all larger neighbours of a node to its smallest neighbour, then all smaller ones, until every
+    node points to one that points nowhere; the number of rounds grows with the logarithm of the longest path. Rounds
+    are written to the shared folder, so lineage stays short. Loops and repeated edges are allowed; an empty table
+    gives an empty table.
     """
     current = written(_oriented(edges), "edges")
-    mark = _mark(current)
     for _ in range(max_rounds):
+        if _settled(current):
+            break
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -25,19 +27,27 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         current = written(_oriented(small), "edges")
-        now = _mark(current)
-        if now == mark:
-            break
-        mark = now
     else:
         raise RuntimeError("components did not settle")
     nodes = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
 
 
-def _oriented(edges: DataFrame) -> DataFrame:
-    return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components ``comps`` after more links: only the links between different components are looked at."""
+    now = comps.select(F.col("node").alias("a"), F.col("component").alias("ca")), comps.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    between = links.join(now[0], "a", "left").join(now[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = components(between.where("a != b"))
+    step = joined.select(F.col("node").alias("component"), F.col("component").alias("now"))
+    moved = comps.join(step, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    return written(moved.unionByName(joined.join(comps.select("node"), "node", "left_anti")), "components")
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node points once, to a node that points nowhere."""
+    onward = edges.select(F.col("b").alias("a")).distinct().withColumn("n", F.lit(1)).unionByName(edges.select("a", F.lit(1).alias("n")))
+    return not onward.groupBy("a").agg(F.sum("n").alias("n")).where("n > 1").take(1)
+
+
+def _oriented(edges: DataFrame) -> DataFrame:
+    return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()

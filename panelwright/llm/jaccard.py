@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.llm import textbytes as tb
-from panelwright.llm.components import components
+from panelwright.llm.components import components, merged
 from panelwright.llm.shared import written
 
 U = np.uint64
@@ -237,14 +237,13 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 75) -> Data
     comps = components(links)
     member = written(_members(met, copies, comps), "members")
     live = written(_live(met, member, percent), "live")
-    links = written(links.unionByName(verified(written(_to_leaders(live, member), "leaders"), docs, k, percent)), "links")
-    comps = components(links)
+    comps = merged(comps, verified(written(_to_leaders(live, member), "leaders"), docs, k, percent))
     member = written(_relabelled(member, comps), "members")
     live = _relabelled(live, comps).distinct()
     mixed = live.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
     live = written(live.join(mixed, "token", "left_semi"), "live")
     rest = written(_unsettled(live, member, percent), "rest")
-    settled = components(written(links.unionByName(verified(rest, docs, k, percent)), "links"))
+    settled = merged(comps, verified(rest, docs, k, percent))
 
     label = sets.select("doc_id", "n").join(copies, "doc_id", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("node"))
     return label.join(settled, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
