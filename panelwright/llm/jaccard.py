@@ -99,7 +99,8 @@ def _survey(k: int):
 def _prefixes(k: int, percent: int, common):
     """Prefix elements (token, doc_id, size and place in one number) of the first document of each group of a task.
 
-    Place -1 marks a document's membership of the group that its token names.
+    Place -1 marks a document's membership of the group that its token names; such rows alone have an ``end``, where in
+    the order of all shingles the prefix ends.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,6 +111,7 @@ def _prefixes(k: int, percent: int, common):
             out_token: list[np.ndarray] = []
             out_doc: list[np.ndarray] = []
             out_place: list[np.ndarray] = []
+            out_end: list[int] = []
             for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k), strict=True):
                 n = len(s)
                 if not n or (name := (*set_name(s), n, 0)) in sets_seen:
@@ -120,7 +122,8 @@ def _prefixes(k: int, percent: int, common):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     key = np.where(known[at] == s, U(1 << 63) | (level[at] << U(57)) | key, key)
                 length = n - -(-percent * n // 100) + 1
-                prefix = s[np.argsort(key, kind="stable")[:length]]
+                first = np.argsort(key, kind="stable")[:length]
+                prefix = s[first]
                 group = set_name(prefix + U(n))[0]
                 tokens = [np.array([group], np.int64)]
                 places = [np.array([-1])]
@@ -132,8 +135,12 @@ def _prefixes(k: int, percent: int, common):
                 out_token.append(token)
                 out_doc.append(np.full(len(token), doc_id, np.int64))
                 out_place.append(place + (n << 32))
+                out_end.append(int((key[first[-1]] ^ U(1 << 63)).view(np.int64)))
             if out_token:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (out_token, out_doc, out_place)], ["token", "doc_id", "at"])
+                at = np.concatenate(out_place)
+                end = np.zeros(len(at), np.int64)
+                end[member := at & 0xFFFFFFFF == 0xFFFFFFFF] = out_end
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x), pa.int64()) for x in (out_token, out_doc)), pa.array(at, pa.int64()), pa.array(end, pa.int64(), mask=~member)], ["token", "doc_id", "at", "end"])
 
     return run
 
@@ -184,13 +191,13 @@ def size(at: Column) -> Column:
     return F.shiftright(at - place(at), 32)
 
 
-def likely(n: Column, m: Column, shared: Column, percent: int) -> Column:
+def likely(n: Column, m: Column, shared: Column, percent: int, first: Column | None = None) -> Column:
     """Whether sets of sizes n <= m that share so many prefix elements can be similar.
 
-    What is not counted lies behind the end of one of the two prefixes.
+    What is not counted lies behind the prefix that ends first, that of the set of size ``first`` (by default the larger, which leaves most room).
     """
     need = F.ceil(percent * (n + m) / (100 + percent) - 1e-9)
-    return (n * 100 >= m * percent) & (shared + F.ceil(m * percent / 100 - 1e-9) - 1 >= need)
+    return (n * 100 >= m * percent) & (shared + F.ceil((m if first is None else first) * percent / 100 - 1e-9) - 1 >= need)
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -215,9 +222,9 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 75) -> Data
 
     by_token = Window.partitionBy("token")
     in_order = by_token.orderBy("at", "doc_id")
-    rows = docs.where("doc_id is not null").mapInArrow(_prefixes(k, percent, broadcast), "token long, doc_id long, at long")
+    rows = docs.where("doc_id is not null").mapInArrow(_prefixes(k, percent, broadcast), "token long, doc_id long, at long, end long")
     met = rows.select(
-        *("token", "doc_id", "at"),
+        *("token", "doc_id", "at", "end"),
         F.lag("doc_id").over(in_order).alias("near"),
         F.lag("at").over(in_order).alias("near_at"),
         F.lead("doc_id").over(in_order).alias("next"),
@@ -267,24 +274,25 @@ def _of_reps(pairs: DataFrame, copies: DataFrame) -> DataFrame:
 
 
 def _members(met: DataFrame, copies: DataFrame, comps: DataFrame) -> DataFrame:
-    """(g, doc_id, node, n, component): which group each emitting document belongs to, and the component of its node."""
+    """(g, doc_id, node, n, end, component): which group each emitting document belongs to, and the component of its node."""
     node = F.coalesce("rep", "doc_id").alias("node")
-    member = met.where(place(F.col("at")) < 0).join(copies, "doc_id", "left").select(F.col("token").alias("g"), "doc_id", node, size(F.col("at")).alias("n"))
-    return member.join(comps, "node", "left").select("g", "doc_id", "node", "n", F.coalesce("component", "node").alias("component")).distinct()
+    member = met.where(place(F.col("at")) < 0).join(copies, "doc_id", "left").select(F.col("token").alias("g"), "doc_id", node, size(F.col("at")).alias("n"), "end")
+    return member.join(comps, "node", "left").select("g", "doc_id", "node", "n", "end", F.coalesce("component", "node").alias("component")).distinct()
 
 
 def _live(met: DataFrame, member: DataFrame, percent: int) -> DataFrame:
-    """(token, g, component, n, partner, same) of tokens whose parts are in several components.
+    """(token, g, component, n, end, partner, same) of tokens whose parts are in several components.
 
     A part is the members of one group that are in one component; the group's own name is a token too (``same``).
-    partner: how large a similar set may be, as elements of a prefix that no other group holds are in none.
+    partner: how large a similar set may be whose prefix ends no earlier, as elements of this prefix that no other prefix
+    holds are not in it; a set whose prefix ends earlier may hold them behind its prefix, and its own bound counts.
     """
     tokens = met.where((place(F.col("at")) >= 0) & (F.col("near").isNotNull() | F.col("next").isNotNull())).select("token", "doc_id")
     shared = member.join(tokens.groupBy("doc_id").count(), "doc_id").groupBy("g").agg(F.max("count").alias("shared"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1
     left = F.col("n") - prefix + F.coalesce("shared", F.lit(0))
-    part = member.select("g", "component", "n").distinct()
-    sized = part.join(shared, "g", "left").select("g", "component", "n", F.floor(left * (100 + percent) / percent - F.col("n") + 1e-9).alias("partner"))
+    part = member.select("g", "component", "n", "end").distinct()
+    sized = part.join(shared, "g", "left").select("g", "component", "n", "end", F.floor(left * (100 + percent) / percent - F.col("n") + 1e-9).alias("partner"))
     label = tokens.join(member.select("doc_id", "g").distinct(), "doc_id").select("token", "g").distinct().join(part.select("g", "component"), "g").select("token", "g", "component", F.lit(False).alias("same"))
     label = label.unionByName(part.select(F.col("g").alias("token"), "g", "component", F.lit(True).alias("same")))
     mixed = label.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
@@ -298,7 +306,10 @@ def _relabelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _to_leaders(live: DataFrame, member: DataFrame, hot: int = 32) -> DataFrame:
-    """For tokens of many components, each part's nodes with a node of the part that shares most of its prefix: a linear number of likely pairs."""
+    """For tokens of many components, each part's nodes with a node of the part that shares most of its prefix: a linear number of likely pairs.
+
+    Only a guess at links: the last round decides about all that is left out here.
+    """
     lead = live.where("not same").groupBy("token").agg(F.max_by(F.struct("g", "component", "n"), F.struct("partner", "g", "component")).alias("lead"), F.count_distinct("component").alias("c")).where(F.col("c") > hot)
     met = live.where("not same").join(lead, "token").where("component != lead.component").where((F.col("lead.n") <= F.col("partner")))
     met = met.select("g", "component", F.col("lead.g").alias("lg"), F.col("lead.component").alias("lc")).distinct()
@@ -312,16 +323,18 @@ def _unsettled(live: DataFrame, member: DataFrame, percent: int) -> DataFrame:
 
     Each part meets the parts of the other components of its token only.
     """
-    others = live.groupBy("token", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("partner").alias("reach")).withColumnRenamed("component", "cb")
-    x = live.select("token", F.col("g").alias("ga"), F.col("component").alias("ca"), "n", "partner", "same")
+    others = live.groupBy("token", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("partner").alias("reach"), F.min("end").alias("soonest"), F.max("end").alias("latest")).withColumnRenamed("component", "cb")
+    x = live.select("token", F.col("g").alias("ga"), F.col("component").alias("ca"), "n", "end", "partner", "same")
     fits = (F.col("least") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("most") * 100)
-    fits &= F.col("same") | ((F.col("least") <= F.col("partner")) & (F.col("n") <= F.col("reach")))
+    fits &= F.col("same") | ((F.col("least") <= F.col("partner")) & (F.col("end") <= F.col("latest"))) | ((F.col("n") <= F.col("reach")) & (F.col("soonest") <= F.col("end")))
     reach = x.join(others, "token").where((F.col("ca") < F.col("cb")) & fits)
-    y = live.select("token", F.col("g").alias("gb"), F.col("component").alias("cb"), F.col("n").alias("m"), F.col("partner").alias("partner_b"))
-    pairs = reach.select("token", "ga", "ca", "n", "partner", "cb", "same").join(y, ["token", "cb"])
-    pairs = pairs.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).where(F.col("same") | ((F.col("m") <= F.col("partner")) & (F.col("n") <= F.col("partner_b"))))
-    counted = pairs.groupBy("ga", "ca", "n", "gb", "cb", "m").agg(F.count("*").alias("shared"), F.max("same").alias("same"))
-    kept = counted.where(F.col("same") | likely(F.least("n", "m"), F.greatest("n", "m"), F.col("shared"), percent)).select("ga", "ca", "gb", "cb")
+    y = live.select("token", F.col("g").alias("gb"), F.col("component").alias("cb"), F.col("n").alias("m"), F.col("end").alias("end_b"), F.col("partner").alias("partner_b"))
+    pairs = reach.select("token", "ga", "ca", "n", "end", "partner", "cb", "same").join(y, ["token", "cb"])
+    bound = ((F.col("m") <= F.col("partner")) & (F.col("end") <= F.col("end_b"))) | ((F.col("n") <= F.col("partner_b")) & (F.col("end_b") <= F.col("end")))
+    pairs = pairs.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).where(F.col("same") | bound)
+    first = F.when(F.col("end") < F.col("end_b"), F.col("n")).when(F.col("end_b") < F.col("end"), F.col("m")).otherwise(F.greatest("n", "m"))
+    counted = pairs.groupBy("ga", "ca", "n", "gb", "cb", "m", first.alias("first")).agg(F.count("*").alias("shared"), F.max("same").alias("same"))
+    kept = counted.where(F.col("same") | likely(F.least("n", "m"), F.greatest("n", "m"), F.col("shared"), percent, F.col("first"))).select("ga", "ca", "gb", "cb")
     one = member.select(F.col("g").alias("ga"), F.col("component").alias("ca"), F.col("node").alias("x")).distinct()
     two = member.select(F.col("g").alias("gb"), F.col("component").alias("cb"), F.col("node").alias("y")).distinct()
     wide = kept.join(one, ["ga", "ca"]).join(two, ["gb", "cb"])
