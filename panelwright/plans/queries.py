@@ -253,6 +253,12 @@ def w9_percentile_family(spark, sf):
     return rounded(cs.percentile_family(r, "net20", "date", "ticker"), 9)
 
 
+@query()
+def w9_percentile_family_whole(spark, sf):
+    """T7, W8, W9, V14, V15 on every date of the table; w9_percentile_family and its SQL stop at 2001. Tests hold it against a plain version."""
+    return rounded(cs.percentile_family(screen.riser_metrics(src.daily_bars(spark, sf)), "net20", "date", "ticker"), 9)
+
+
 @query(
     ", f AS (SELECT ticker, date, net20, lead(close, 5) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS fwd FROM riser), r AS (SELECT date, rank() OVER (PARTITION BY date ORDER BY net20) + (count(*) OVER (PARTITION BY date, net20) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY date ORDER BY fwd) + (count(*) OVER (PARTITION BY date, fwd) - 1) / 2.0 AS ry FROM f WHERE net20 IS NOT NULL AND fwd IS NOT NULL) "
     "SELECT date, count(*) AS n, round(corr(rx, ry), 6) AS ic FROM r GROUP BY date HAVING count(*) >= 10"
