@@ -1,32 +1,56 @@
-"""Connected components of an edge table, by alternating star contractions."""
+"""Connected components of an edge table."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm.shared import written
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the edges that is not the smallest of its component, and that smallest."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], low)
+        np.minimum.at(label, label[y], low)
+        while (up := label[label] != label).any():
+            label[up] = label[label[up]]
+        if (label[x] == label[y]).all():
+            break
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[moved], nodes[label[moved]]
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if got:
+        a, b = forest(*(np.concatenate(x) for x in zip(*got, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: long); component is the smallest node reachable.
 
-    Each round points all larger neighbours of a node to its smallest neighbour, then all smaller ones, until every
-    node points to one that points nowhere; the number of rounds grows with the logarithm of the longest path. Rounds
-    are written to the shared folder, so lineage stays short. Loops and repeated edges are allowed; an empty table
-    gives an empty table.
+    Each round deals edges by their larger end, lets every task find the components of the edges it has, and then
+    points each node to what its own target points to, until every node points once, to a node that points nowhere.
+    The number of rounds grows with the logarithm of the longest path. Rounds are written to the shared folder, so
+    lineage stays short. Loops and repeated edges are allowed; an empty table gives an empty table.
     """
-    current = written(_oriented(edges), "edges")
+    ends = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
     for _ in range(max_rounds):
+        current = written(ends.repartition("a").mapInArrow(_forests, "a long, b long"), "edges")
         if _settled(current):
             break
-        both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = _oriented(large.unionByName(least.select("a", F.col("m").alias("b"))))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        current = written(_oriented(small), "edges")
+        up = current.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("up"))
+        ends = current.join(up, "b", "left").select("a", F.coalesce("up", "b").alias("b")).distinct()
     else:
         raise RuntimeError("components did not settle")
     nodes = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
@@ -47,7 +71,3 @@ def _settled(edges: DataFrame) -> bool:
     """Whether every node points once, to a node that points nowhere."""
     onward = edges.select(F.col("b").alias("a")).distinct().withColumn("n", F.lit(1)).unionByName(edges.select("a", F.lit(1).alias("n")))
     return not onward.groupBy("a").agg(F.sum("n").alias("n")).where("n > 1").take(1)
-
-
-def _oriented(edges: DataFrame) -> DataFrame:
-    return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()

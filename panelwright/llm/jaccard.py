@@ -7,16 +7,26 @@ hash; it only decides how much work is done, never which links are found.
 
 Documents of a task with the same prefix and size form one group and only its first member's prefix is emitted;
 group pairs are filtered by size and by how many prefix elements they share; then groups are expanded and
-members verified on whole sets. Nothing is emitted per pair of a large group of similar documents: two rounds
-verify a linear number of likely links (neighbours in size order and each token's first; then, for tokens that
-still have many components, the set that shares most of its prefix), and the exact last round only looks at pairs
-whose members are not yet in the same component and whose prefixes leave room for enough common elements.
+members verified on whole sets. That runs in three steps, of which only the last decides what is not linked:
 
-Shingles and sets are named by 64-bit and 128-bit hashes of their content.
+1. Guesses, a linear number: neighbours in size order among the rows of a prefix element, and its smallest set.
+2. For elements of more than ``hot`` sets that are still in several components, each set's closest one of another
+   component, by sketches.
+3. All pairs of sets in different components that share a prefix element, less those that sketches rule out.
+
+A sketch has one bit for each residue of the shingles' hashes, the parity of how many fall there. Two sets differ in
+at least as many shingles as their sketches differ in bits, so what a sketch rules out is no link. Sketches are
+compared inside the tasks and pairs leave a task only if their sketches allow a link. Rows of one prefix element
+that do not fit a block are dealt into pairs of blocks: the sets outside the element's largest component, against
+all, so no task holds more than two blocks of an element and no pair within that component is looked at.
+
+Shingles and sets are named by 64-bit and 128-bit hashes of their content. ``hot``, block sizes and COMMON change the
+amount of work, never the links.
 
 Defined cases: null or empty texts and texts without words have no shingles and are linked with nothing; with
 fewer than k words the whole sequence is one shingle; equal sets are one node; rows that repeat an id are one
-node that any of their texts may link; rows without an id are linked with nothing and have no component; an empty table gives an empty table; other columns are ignored.
+node that any of their texts may link; rows without an id are linked with nothing and have no component; an empty
+table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +48,11 @@ U = np.uint64
 #: Shingles counted together before those above COMMON of the texts are reported.
 FLUSH_SHINGLES = 2_000_000
 COMMON = 1 / 2000
+#: Rows of one prefix element that are dealt out together.
+BLOCK = 4096
+#: Bits of a sketch, least and most; and pairs whose sketches are compared at once.
+SKETCH_BITS = (64, 8192)
+PAIRS_AT_ONCE = 1 << 17
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -96,51 +111,55 @@ def _survey(k: int):
     return run
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parity of the number of elements at each residue of their hashes; wide enough for sets of up to a quarter of SKETCH_BITS[1]."""
+    least, most = SKETCH_BITS
+    bits = min(max(1 << int(2 * len(s) - 1).bit_length(), least), most)
+    at = (tb.mix(s + U(0x2545F491)) & U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def _prefixes(k: int, percent: int, common):
-    """Prefix elements (token, doc_id, size and place in one number) of the first document of each group of a task.
+    """Prefix elements (token, doc_id, n, part) of the first document of each group of a task.
 
-    Place -1 marks a document's membership of the group that its token names; such rows alone have an ``end``, where in
-    the order of all shingles the prefix ends.
+    A row with a ``lead`` states instead which document of the task stands for ``doc_id``'s group, and has its sketch.
+    part is 0 but for common shingles, whose rows are dealt into parts of about BLOCK rows from 1 on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, level = common.value
         sets_seen: set[tuple] = set()
-        groups_seen: set[int] = set()
+        leads: dict[int, int] = {}
         for batch in batches:
-            out_token: list[np.ndarray] = []
-            out_doc: list[np.ndarray] = []
-            out_place: list[np.ndarray] = []
-            out_end: list[int] = []
+            out: dict[str, list] = {x: [] for x in ("token", "doc_id", "n", "part", "lead", "sketch")}
+
+            def add(token: np.ndarray, doc_id: int, n: int, part: np.ndarray, lead: int | None = None, bits: bytes | None = None, out=out) -> None:
+                rows = len(token)
+                for name, x in zip(out, (token, np.full(rows, doc_id), np.full(rows, n), part, [lead] * rows, [bits] * rows), strict=True):
+                    out[name].append(x)
+
             for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k), strict=True):
                 n = len(s)
-                if not n or (name := (*set_name(s), n, 0)) in sets_seen:
+                if not n or (name := (*set_name(s), n)) in sets_seen:
                     continue
                 sets_seen.add(name)
-                key = s >> U(7)
+                key, parts = s >> U(7), np.zeros(n, np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    key = np.where(known[at] == s, U(1 << 63) | (level[at] << U(57)) | key, key)
-                length = n - -(-percent * n // 100) + 1
-                first = np.argsort(key, kind="stable")[:length]
+                    listed = known[at] == s
+                    key = np.where(listed, U(1 << 63) | (level[at] << U(57)) | key, key)
+                    deal = int(tb.mix(np.array([doc_id], np.int64).view(U))[0] >> U(32))
+                    parts[listed] = 1 + (deal & ((1 << np.maximum(level[at[listed]].astype(np.int64) - BLOCK.bit_length() + 1, 0)) - 1))
+                first = np.argsort(key, kind="stable")[: n - -(-percent * n // 100) + 1]
                 prefix = s[first]
-                group = set_name(prefix + U(n))[0]
-                tokens = [np.array([group], np.int64)]
-                places = [np.array([-1])]
-                if group not in groups_seen:
-                    groups_seen.add(group)
-                    tokens.append(prefix.view(np.int64))
-                    places.append(np.arange(length))
-                token, place = np.concatenate(tokens), np.concatenate(places)
-                out_token.append(token)
-                out_doc.append(np.full(len(token), doc_id, np.int64))
-                out_place.append(place + (n << 32))
-                out_end.append(int((key[first[-1]] ^ U(1 << 63)).view(np.int64)))
-            if out_token:
-                at = np.concatenate(out_place)
-                end = np.zeros(len(at), np.int64)
-                end[member := at & 0xFFFFFFFF == 0xFFFFFFFF] = out_end
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x), pa.int64()) for x in (out_token, out_doc)), pa.array(at, pa.int64()), pa.array(end, pa.int64(), mask=~member)], ["token", "doc_id", "at", "end"])
+                lead = leads.setdefault(set_name(prefix + U(n))[0], doc_id)
+                add(tb.mix(np.array([doc_id], np.int64).view(U)).view(np.int64), doc_id, n, np.array([-1]), lead, sketch(s))
+                if lead == doc_id:
+                    add(prefix.view(np.int64), doc_id, n, parts[first])
+            if out["token"]:
+                numbers = [pa.array(np.concatenate(out[x]), t) for x, t in (("token", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("part", pa.int32()))]
+                rest = [pa.array([v for x in out[c] for v in x], t) for c, t in (("lead", pa.int64()), ("sketch", pa.binary()))]
+                yield pa.RecordBatch.from_arrays([*numbers, *rest], list(out))
 
     return run
 
@@ -183,12 +202,82 @@ def verified(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> Da
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verified(k, percent), "a long, b long").distinct()
 
 
-def place(at: Column) -> Column:
-    return F.shiftright(F.shiftleft(at, 32), 32)
+def _close(percent: int, closest: bool):
+    """Pairs (a, b, n, m) of nodes in different components whose sketches allow a link, from rows sorted by block.
+
+    Each row with role 1 meets each row with role 2 of its block; rows have both as 3. closest: of each row's
+    partners only the one whose sketch differs least.
+    """
+
+    def rows_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        token, block, node, component, n, role = (batch.column(c).to_numpy() for c in ("token", "block", "node", "component", "n", "role"))
+        new = np.ones(len(node), bool)
+        new[1:] = (token[1:] != token[:-1]) | (block[1:] != block[:-1])
+        fresh = new.copy()
+        fresh[1:] |= node[1:] != node[:-1]  # a node stands for many documents; its row counts once
+        group = np.cumsum(new) - 1
+        raw, off = tb.text_buffer(batch.column("sketch"))
+        width = np.diff(off)
+        asks, told = np.flatnonzero(fresh & (role & 1 > 0)), np.flatnonzero(fresh & (role & 2 > 0))
+        first = np.searchsorted(group[told], np.arange(group[-1] + 2))
+        partners = np.diff(first)[group[asks]]
+        ends = np.cumsum(partners)
+        at = 0
+        while at < len(asks):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+            many = partners[at:to]
+            x = np.repeat(asks[at:to], many)
+            y = told[np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[group[asks[at:to]]], many)]
+            at = to
+            least, most = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+            keep = (component[x] != component[y]) & (least * 100 >= most * percent)
+            if not closest:
+                keep &= (role[y] & 1 == 0) | (node[x] < node[y])
+            x, y = x[keep], y[keep]
+            total = n[x] + n[y]
+            room = total - 2 * -(-percent * total // (100 + percent))
+            differ = np.zeros(len(x), np.int64)
+            narrow = np.minimum(width[x], width[y])
+            for w in np.unique(narrow).tolist():
+                some = np.flatnonzero(narrow == w)
+                sides = []
+                for side in (x[some], y[some]):
+                    own, back = np.unique(side, return_inverse=True)
+                    folded = np.zeros((len(own), w), np.uint8)
+                    for half in range(int(width[own].max()) // w):
+                        has = width[own] > half * w
+                        folded[has] ^= raw[off[own[has], None] + half * w + np.arange(w)]
+                    sides.append((folded.view(U), back))
+                (p, i), (q, j) = sides
+                for a in range(0, len(some), max(1, PAIRS_AT_ONCE * 32 // w)):
+                    b = a + max(1, PAIRS_AT_ONCE * 32 // w)
+                    differ[some[a:b]] = np.bitwise_count(p[i[a:b]] ^ q[j[a:b]]).sum(axis=1)
+            near = np.flatnonzero(differ <= room)
+            if closest and len(near):
+                near = near[np.lexsort((differ[near] / total[near], x[near]))]
+                near = near[np.concatenate([[True], x[near[1:]] != x[near[:-1]]])]
+            x, y = x[near], y[near]
+            a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.minimum(n[x], n[y])), pa.array(np.maximum(n[x], n[y]))], ["a", "b", "n", "m"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token, block = batch.column("token").to_numpy(), batch.column("block").to_numpy()
+            before = np.flatnonzero((token != token[-1]) | (block != block[-1]))
+            cut = before[-1] + 1 if len(before) else 0  # the last block goes on in the next batch
+            same = held and (held[-1].column("token")[0].as_py(), held[-1].column("block")[0].as_py()) == (token[-1], block[-1])
+            if not cut and (same or not held):
+                held.append(batch)
+                continue
+            yield from rows_of(pa.concat_batches([*held, batch.slice(0, cut)]))
+            held = [batch.slice(cut)]
+        if held:
+            yield from rows_of(pa.concat_batches(held))
 
-def size(at: Column) -> Column:
-    return F.shiftright(at - place(at), 32)
+    return run
 
 
 def likely(n: Column, m: Column, shared: Column, percent: int, first: Column | None = None) -> Column:
@@ -200,19 +289,12 @@ def likely(n: Column, m: Column, shared: Column, percent: int, first: Column | N
     return (n * 100 >= m * percent) & (shared + F.ceil((m if first is None else first) * percent / 100 - 1e-9) - 1 >= need)
 
 
-def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 75, hot: int = 32) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest id reachable by links, for every row of ``documents``."""
-    spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     survey = written(docs.mapInArrow(_survey(k), "kind int, doc_id long, a long, b long, n long"), "survey")
     sets = survey.where("kind = 0")
-    floor = max(4, math.floor(sets.count() * COMMON / 2))
-    # at most 2 / COMMON times the mean set size: a shingle is listed only if so large a share of all documents holds it
-    common = survey.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= floor).toPandas()
-    order = np.argsort(common["a"].to_numpy(np.int64).view(np.uint64))
-    value = common["a"].to_numpy(np.int64).view(np.uint64)[order]
-    level = np.log2(np.maximum(common["n"].to_numpy(np.float64)[order], 1)).astype(np.uint64)
-    broadcast = spark.sparkContext.broadcast((value, level))
+    broadcast = docs.sparkSession.sparkContext.broadcast(_common(survey))
 
     # one node for equal sets: the smallest id
     linked = sets.where("n > 0 and doc_id is not null")
@@ -220,49 +302,68 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 75) -> Data
     copies = linked.join(named.where("first != last"), ["a", "b", "n"]).select("doc_id", F.col("first").alias("rep")).where("doc_id != rep")
     copies = written(copies.distinct(), "copies")
 
-    by_token = Window.partitionBy("token")
-    in_order = by_token.orderBy("at", "doc_id")
-    rows = docs.where("doc_id is not null").mapInArrow(_prefixes(k, percent, broadcast), "token long, doc_id long, at long, end long")
+    in_order = Window.partitionBy("token", "part").orderBy("n", "doc_id")
+    rows = docs.where("doc_id is not null").mapInArrow(_prefixes(k, percent, broadcast), "token long, doc_id long, n int, part int, lead long, sketch binary")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = rows.select(
-        *("token", "doc_id", "at", "end"),
-        F.lag("doc_id").over(in_order).alias("near"),
-        F.lag("at").over(in_order).alias("near_at"),
+        *("token", "doc_id", "n", "part", "lead", "sketch"),
+        F.lag(F.struct("doc_id", "n")).over(in_order).alias("near"),
         F.lead("doc_id").over(in_order).alias("next"),
-        F.first("doc_id").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("lead"),
-        F.first("at").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("lead_at"),
-    ).where(F.col("near").isNotNull() | F.col("next").isNotNull() | (place(F.col("at")) < 0))
-    met = written(met, "met")
-
-    near = met.where("near is not null")
-    guesses = near.select(F.col("near").alias("a"), F.col("near_at").alias("x"), F.col("doc_id").alias("b"), F.col("at").alias("y"))
-    guesses = guesses.unionByName(near.select(F.col("lead").alias("a"), F.col("lead_at").alias("x"), F.col("doc_id").alias("b"), F.col("at").alias("y")).where("a != b"))
-    guesses = guesses.select("a", "b", size(F.col("x")).alias("n"), size(F.col("y")).alias("m"), (place(F.col("y")) < 0).alias("same"))
-    pairs = guesses.groupBy("a", "b", "n", "m").agg(F.count("*").alias("shared"), F.max("same").alias("same"))
-    pairs = pairs.where(F.col("same") | likely(F.col("n"), F.col("m"), F.col("shared"), percent)).select("a", "b").where("a != b").distinct()
-    links = written(verified(_of_reps(pairs, copies), docs, k, percent), "links")
+        F.first(F.struct("doc_id", "n")).over(so_far).alias("smallest"),
+    ).where("near is not null or next is not null or part != 0")
+    met = written(met.select("token", "doc_id", "n", "lead", "sketch", "near", F.when(F.col("smallest") != F.col("near"), F.col("smallest")).alias("smallest")), "met")
 
+    links = written(verified(_of_reps(_guesses(met, percent), copies), docs, k, percent), "links")
     comps = components(links)
-    member = written(_members(met, copies, comps), "members")
-    live = written(_live(met, member, percent), "live")
-    comps = merged(comps, verified(written(_to_leaders(live, member), "leaders"), docs, k, percent))
-    member = written(_relabelled(member, comps), "members")
-    live = _relabelled(live, comps).distinct()
-    mixed = live.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
-    live = written(live.join(mixed, "token", "left_semi"), "live")
-    rest = written(_unsettled(live, member, percent), "rest")
-    settled = merged(comps, verified(rest, docs, k, percent))
+
+    member = met.where("lead is not null").join(copies, "doc_id", "left").select("lead", F.coalesce("rep", "doc_id").alias("node"), "n", "sketch")
+    shape = written(member.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    places = met.where("lead is null").select("token", F.col("doc_id").alias("lead")).join(member.select("lead", "node").distinct(), "lead").select("token", "node")
+    live = places.join(comps, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
+    live = written(_mixed(live), "live")
+
+    best = _pairs_by_sketch(live.where(F.col("c") > hot), shape, percent, closest=True).select("a", "b").distinct()
+    comps = merged(comps, verified(written(best, "closest"), docs, k, percent))
+    now = comps.select(F.col("node").alias("component"), F.col("component").alias("now"))
+    live = live.join(now, "component", "left").select("token", "node", F.coalesce("now", "component").alias("component"))
+    rest = _pairs_by_sketch(_mixed(live), shape, percent, closest=False).groupBy("a", "b", "n", "m").agg(F.count("*").alias("shared"))
+    rest = rest.where(likely(F.col("n"), F.col("m"), F.col("shared"), percent)).select("a", "b")
+    settled = merged(comps, verified(written(rest, "rest"), docs, k, percent))
 
     label = sets.select("doc_id", "n").join(copies, "doc_id", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("node"))
     return label.join(settled, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
 
 
 def one_of_each(documents: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of ``documents``, all columns, that stand for their component: those with the smallest id, once; rows without an id stay."""
+    """The rows of ``documents``, all columns, that stand for their component: those with its smallest id.
+
+    Of rows that repeat both id and text one stays; rows that repeat an id with other texts stay, as do rows without an id.
+    """
     keep = near_duplicates(documents, k, percent).where("doc_id = component_id").select("doc_id").distinct()
-    kept = documents.join(keep, "doc_id", "left_semi").select(*documents.columns)
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = kept.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
-    return kept.unionByName(documents.where("doc_id is null"))
+    kept = documents.where("doc_id is not null").join(keep, "doc_id", "left_semi").select(*documents.columns)
+    return kept.dropDuplicates(["doc_id", "text"]).unionByName(documents.where("doc_id is null"))
+
+
+def _common(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that at least COMMON / 2 of all documents hold, in order, and the doubling of their counts.
+
+    At most 2 / COMMON times the mean set size: a shingle is listed only if so large a share of all documents holds it.
+    """
+    floor = max(4, math.floor(survey.where("kind = 0").count() * COMMON / 2))
+    found = survey.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= floor).toArrow()
+    value, count = found.column("a").to_numpy().view(np.uint64), found.column("n").to_numpy().astype(np.float64)
+    order = np.argsort(value)
+    return value[order], np.log2(np.maximum(count[order], 1)).astype(np.uint64)
+
+
+def _guesses(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of likely links; those of one group are always among them."""
+    row = met.where("lead is null")
+    pairs = row.select(F.explode(F.array("near", "smallest")).alias("x"), F.col("doc_id").alias("b"), F.col("n").alias("m")).where("x is not null")
+    pairs = pairs.select(F.col("x.doc_id").alias("a"), "b", F.col("x.n").alias("n"), "m").where((F.col("a") != F.col("b")) & (F.col("n") * 100 >= F.col("m") * percent))
+    counted = pairs.groupBy("a", "b", "n", "m").agg(F.count("*").alias("shared")).where(likely(F.col("n"), F.col("m"), F.col("shared"), percent))
+    group = met.where("lead != doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))
+    return counted.select("a", "b").unionByName(group).distinct()
 
 
 def _of_reps(pairs: DataFrame, copies: DataFrame) -> DataFrame:
@@ -273,69 +374,28 @@ def _of_reps(pairs: DataFrame, copies: DataFrame) -> DataFrame:
     return b.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a != b").distinct()
 
 
-def _members(met: DataFrame, copies: DataFrame, comps: DataFrame) -> DataFrame:
-    """(g, doc_id, node, n, end, component): which group each emitting document belongs to, and the component of its node."""
-    node = F.coalesce("rep", "doc_id").alias("node")
-    member = met.where(place(F.col("at")) < 0).join(copies, "doc_id", "left").select(F.col("token").alias("g"), "doc_id", node, size(F.col("at")).alias("n"), "end")
-    return member.join(comps, "node", "left").select("g", "doc_id", "node", "n", "end", F.coalesce("component", "node").alias("component")).distinct()
-
-
-def _live(met: DataFrame, member: DataFrame, percent: int) -> DataFrame:
-    """(token, g, component, n, end, partner, same) of tokens whose parts are in several components.
-
-    A part is the members of one group that are in one component; the group's own name is a token too (``same``).
-    partner: how large a similar set may be whose prefix ends no earlier, as elements of this prefix that no other prefix
-    holds are not in it; a set whose prefix ends earlier may hold them behind its prefix, and its own bound counts.
-    """
-    tokens = met.where((place(F.col("at")) >= 0) & (F.col("near").isNotNull() | F.col("next").isNotNull())).select("token", "doc_id")
-    shared = member.join(tokens.groupBy("doc_id").count(), "doc_id").groupBy("g").agg(F.max("count").alias("shared"))
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1
-    left = F.col("n") - prefix + F.coalesce("shared", F.lit(0))
-    part = member.select("g", "component", "n", "end").distinct()
-    sized = part.join(shared, "g", "left").select("g", "component", "n", "end", F.floor(left * (100 + percent) / percent - F.col("n") + 1e-9).alias("partner"))
-    label = tokens.join(member.select("doc_id", "g").distinct(), "doc_id").select("token", "g").distinct().join(part.select("g", "component"), "g").select("token", "g", "component", F.lit(False).alias("same"))
-    label = label.unionByName(part.select(F.col("g").alias("token"), "g", "component", F.lit(True).alias("same")))
-    mixed = label.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
-    return label.join(mixed, "token", "left_semi").join(sized, ["g", "component"])
-
-
-def _relabelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """``rows`` with components as they are now; a component's name is one of its nodes."""
-    now = comps.select(F.col("node").alias("component"), F.col("component").alias("now"))
-    return rows.join(now, "component", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
-
-
-def _to_leaders(live: DataFrame, member: DataFrame, hot: int = 32) -> DataFrame:
-    """For tokens of many components, each part's nodes with a node of the part that shares most of its prefix: a linear number of likely pairs.
-
-    Only a guess at links: the last round decides about all that is left out here.
-    """
-    lead = live.where("not same").groupBy("token").agg(F.max_by(F.struct("g", "component", "n"), F.struct("partner", "g", "component")).alias("lead"), F.count_distinct("component").alias("c")).where(F.col("c") > hot)
-    met = live.where("not same").join(lead, "token").where("component != lead.component").where((F.col("lead.n") <= F.col("partner")))
-    met = met.select("g", "component", F.col("lead.g").alias("lg"), F.col("lead.component").alias("lc")).distinct()
-    first = member.groupBy(F.col("g").alias("lg"), F.col("component").alias("lc")).agg(F.min("node").alias("y"))
-    wide = met.join(member.select("g", "component", F.col("node").alias("x")).distinct(), ["g", "component"]).join(first, ["lg", "lc"])
-    return wide.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b").distinct()
+def _mixed(live: DataFrame) -> DataFrame:
+    """The rows (token, node, component) of tokens in several components, with the token's rows ``c``, its largest component ``major`` and the rows ``s`` outside it."""
+    sizes = live.groupBy("token", "component").agg(F.count("*").alias("c"))
+    tokens = sizes.groupBy("token").agg(F.sum("c").alias("c"), F.max(F.struct("c", "component")).alias("most")).where("c > most.c")
+    tokens = tokens.select("token", "c", F.col("most.component").alias("major"), (F.col("c") - F.col("most.c")).alias("s"))
+    return live.select("token", "node", "component").join(tokens, "token")
 
 
-def _unsettled(live: DataFrame, member: DataFrame, percent: int) -> DataFrame:
-    """Every pair of nodes that prefixes cannot rule out and that is not in one component yet.
+def _pairs_by_sketch(live: DataFrame, shape: DataFrame, percent: int, closest: bool) -> DataFrame:
+    """(a, b, n, m) once for every token at which the two meet, see ``_close``.
 
-    Each part meets the parts of the other components of its token only.
+    Rows outside the largest component ask, dealt into ``asked`` blocks; all rows are told, dealt into ``told`` blocks.
     """
-    others = live.groupBy("token", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("partner").alias("reach"), F.min("end").alias("soonest"), F.max("end").alias("latest")).withColumnRenamed("component", "cb")
-    x = live.select("token", F.col("g").alias("ga"), F.col("component").alias("ca"), "n", "end", "partner", "same")
-    fits = (F.col("least") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("most") * 100)
-    fits &= F.col("same") | ((F.col("least") <= F.col("partner")) & (F.col("end") <= F.col("latest"))) | ((F.col("n") <= F.col("reach")) & (F.col("soonest") <= F.col("end")))
-    reach = x.join(others, "token").where((F.col("ca") < F.col("cb")) & fits)
-    y = live.select("token", F.col("g").alias("gb"), F.col("component").alias("cb"), F.col("n").alias("m"), F.col("end").alias("end_b"), F.col("partner").alias("partner_b"))
-    pairs = reach.select("token", "ga", "ca", "n", "end", "partner", "cb", "same").join(y, ["token", "cb"])
-    bound = ((F.col("m") <= F.col("partner")) & (F.col("end") <= F.col("end_b"))) | ((F.col("n") <= F.col("partner_b")) & (F.col("end_b") <= F.col("end")))
-    pairs = pairs.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).where(F.col("same") | bound)
-    first = F.when(F.col("end") < F.col("end_b"), F.col("n")).when(F.col("end_b") < F.col("end"), F.col("m")).otherwise(F.greatest("n", "m"))
-    counted = pairs.groupBy("ga", "ca", "n", "gb", "cb", "m", first.alias("first")).agg(F.count("*").alias("shared"), F.max("same").alias("same"))
-    kept = counted.where(F.col("same") | likely(F.least("n", "m"), F.greatest("n", "m"), F.col("shared"), percent, F.col("first"))).select("ga", "ca", "gb", "cb")
-    one = member.select(F.col("g").alias("ga"), F.col("component").alias("ca"), F.col("node").alias("x")).distinct()
-    two = member.select(F.col("g").alias("gb"), F.col("component").alias("cb"), F.col("node").alias("y")).distinct()
-    wide = kept.join(one, ["ga", "ca"]).join(two, ["gb", "cb"])
-    return wide.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b").distinct()
+    asked, told = (F.ceil(F.col(x) / F.lit(float(BLOCK))).cast("int") for x in ("s", "c"))
+    deal = F.xxhash64("node")
+    mine, own = F.pmod(deal, asked).cast("int"), F.pmod(F.shiftright(deal, 20), told).cast("int")
+    asks = F.col("component") != F.col("major")
+    cell = lambda i, j, role: F.struct((i.cast("long") * told + j).alias("block"), role.cast("int").alias("role"))
+    both = F.transform(F.sequence(F.lit(0), asked - 1), lambda i: cell(i, own, F.when(asks & (i == mine), F.lit(3)).otherwise(F.lit(2))))
+    others = F.filter(F.sequence(F.lit(0), told - 1), lambda j: asks & (j != own))
+    cells = F.concat(both, F.transform(others, lambda j: cell(mine, j, F.lit(1))))
+    placed = live.select("token", "node", "component", F.explode(cells).alias("cell")).select("token", "node", "component", "cell.block", "cell.role")
+    ready = placed.join(shape, "node").select("token", "block", "node", "component", "n", "role", "sketch")
+    ready = ready.repartition("token", "block").sortWithinPartitions("token", "block", "node")
+    return ready.mapInArrow(_close(percent, closest), "a long, b long, n int, m int")
