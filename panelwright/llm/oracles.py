@@ -25,12 +25,15 @@ kept AS (SELECT doc_id, string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER B
 SELECT d.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(g.removed, 0) AS BIGINT) AS n_removed, coalesce(g.n, 0) AS n_spans, sha256(unhex(CASE WHEN g.n IS NULL THEN x ELSE coalesce(s, '') END)) AS kept_sha256
 FROM d LEFT JOIN (SELECT doc_id, sum(b - a) AS removed, count(*) AS n FROM runs GROUP BY doc_id) g USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
-OP8 = r"""
-WITH u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place FROM documents WHERE text IS NOT NULL),
-n AS (SELECT *, lower(trim(regexp_replace(unit, '[ \t\r\x0B\x0C]+', ' ', 'g'))) AS norm, coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM u),
-r AS (SELECT *, length(norm) >= 20 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, place) > 1 AS gone FROM n),
-g AS (SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, coalesce(sum(length(unit)) FILTER (gone), 0) AS chars, coalesce(string_agg(CAST(a AS BIGINT) || '-' || CAST(a + length(unit) AS BIGINT), ',' ORDER BY place) FILTER (gone), '') AS spans,
-    coalesce(string_agg(unit, chr(10) ORDER BY place) FILTER (NOT gone), '') AS kept FROM r GROUP BY doc_id)
+OP8 = rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]*[.!?\n]+|[^.!?\n]+') AS x FROM documents WHERE text <> ''),
+u AS (SELECT doc_id, unnest(x) AS text, generate_subscripts(x, 1) - 1 AS place FROM t),
+n AS (SELECT *, trim(regexp_replace({AZ}, '[\x20\x09-\x0D]+', ' ', 'g')) AS norm, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM u),
+l AS (SELECT *, w > 0 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, place) > 1 AS later FROM n),
+s AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id, later ORDER BY place) AS stretch FROM l),
+r AS (SELECT *, later AND sum(w) OVER (PARTITION BY doc_id, later, stretch) >= 25 AS gone FROM s),
+g AS (SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, coalesce(sum(length(text)) FILTER (gone), 0) AS chars, coalesce(string_agg(CAST(a AS BIGINT) || '-' || CAST(a + length(text) AS BIGINT), ',' ORDER BY place) FILTER (gone), '') AS spans,
+    coalesce(string_agg(text, '' ORDER BY place) FILTER (NOT gone), '') AS kept FROM r GROUP BY doc_id)
 SELECT doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, CAST(coalesce(chars, 0) AS BIGINT) AS chars_removed, coalesce(spans, '') AS removed_spans, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents LEFT JOIN g USING (doc_id)"""
 

@@ -50,7 +50,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linededup.repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = linededup.repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
         "doc_id",
         F.col("n_units").cast("long").alias("n_units"),

@@ -93,17 +93,24 @@ def shingle_components(docs, k=5, percent=75):
     return [(d, len(s), find(d)) for d, s in sets.items()]
 
 
-def kept_lines(docs, min_chars=20):
-    """Per (doc_id, text): text without lines whose normal form came earlier."""
+def kept_units(docs, min_words=25):
+    """Per (doc_id, text): text without stretches of sentences whose normal form came earlier, and the places of these sentences."""
     seen, out = set(), []
-    for d, t in sorted(docs):
-        keep = []
-        for line in (t or "").split("\n"):
-            n = re.sub("[ \t\r\x0b\x0c]+", " ", line).strip(" ").lower()
-            if len(n) >= min_chars:
-                if n in seen:
-                    continue
-                seen.add(n)
-            keep.append(line)
-        out.append((d, "\n".join(keep)))
+    for d, t in sorted(docs, key=lambda x: (x[0], x[1] or "")):
+        units = re.findall(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+", t or "")
+        later = []
+        for u in units:
+            words = re.findall(r"[^\x20\x09-\x0D]+", u.translate(AZ))
+            n = " ".join(words)
+            later.append((bool(n) and n in seen, len(words)))
+            seen.add(n)
+        gone, at = set(), 0
+        while at < len(units):
+            end = at
+            while end < len(units) and later[end][0]:
+                end += 1
+            if end > at and sum(w for _, w in later[at:end]) >= min_words:
+                gone |= set(range(at, end))
+            at = max(end, at + 1)
+        out.append((d, "".join(u for i, u in enumerate(units) if i not in gone), sorted(gone)))
     return out

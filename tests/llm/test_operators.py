@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import sys
 import zlib
 from pathlib import Path
@@ -221,16 +222,38 @@ def test_components(spark):
     assert all(out[i] == 0 for i in range(41)) and out[101] == 100 and out[200] == 50 and out[199] == 50
 
 
-def test_lines(docs, rows, nothing, odd):
-    out = linededup.repeated_lines(docs)
-    want = [(d, t) for d, t in brute.kept_lines(rows)]
-    assert sorted((r.doc_id, r.kept_text or "") for r in out.collect()) == sorted(want)
-    for r in out.where("size(removed) > 0").collect():
-        lines = r.text.split("\n")
-        assert all(r.text[x.start : x.end] == lines[x.place] for x in r.removed)
-    assert linededup.repeated_lines(nothing).count() == 0
-    kept = linededup.without_repeated_lines(odd).collect()
-    assert sorted((r.doc_id or 0, bool(r.text)) for r in kept) == [(0, False), (0, True), (1, True)]
+@pytest.mark.parametrize("min_words", [1, 25])
+def test_units(docs, rows, nothing, odd, min_words):
+    out = linededup.repeated_units(docs, min_words).collect()
+    want = {d: (t, p) for d, t, p in brute.kept_units(rows, min_words)}
+    assert len(out) == len(rows) and any(r.removed for r in out)
+    for r in out:
+        assert (r.kept_text or "", [x.place for x in r.removed]) == want[r.doc_id]
+        units = re.findall(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+", r.text or "")
+        assert r.n_units == len(units) and all(r.text[x.start : x.end] == units[x.place] for x in r.removed)
+        assert r.text is not None or r.kept_text is None
+    assert linededup.repeated_units(nothing).count() == 0
+    kept = linededup.without_repeated_units(odd, 1).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(0, ""), (0, odd.first().text), (1, "another text")])
+
+
+def test_units_of_many_chunks(spark):
+    r = random.Random(4)
+    rows = [(d, "".join(f"{r.choice('abcd')} x{r.randrange(9)}{r.choice(['. ', '! ', '.5 ', chr(10)])}" for _ in range(r.randrange(30)))) for d in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = {d: places for d, _, places in brute.kept_units(rows, 0) if places}
+    for flush in (5, 1_000_000):
+        assert {r.doc_id: sorted(r.goes) for r in linededup.later_units(df, flush).collect()} == want
+
+
+def test_units_leave_columns_alone(spark):
+    t = "a passage of some words that is long enough to be judged as one unit, and of which there are two copies in all of the rows that there are. "
+    names = ["kept_text", "n_units", "removed", "found", "key", "later_doc", "goes"]
+    df = spark.createDataFrame([(1, t, *"abcdefg"), (2, t + "More.", *"hijklmn")], ["doc_id", "text", *names])
+    kept = linededup.without_repeated_units(df)
+    assert kept.columns == df.columns and {tuple(r)[2:] for r in kept.collect()} == {tuple("abcdefg"), tuple("hijklmn")}
+    assert {r.doc_id: r.text for r in kept.collect()} == {1: t, 2: " More."}
+    assert linededup.repeated_units(df).columns == [*df.columns, "kept_text_", "n_units_", "removed_"]
 
 
 def test_media_round_trip(docs, rows, nothing):
