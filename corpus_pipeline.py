@@ -1,4 +1,4 @@
-"""A training corpus from raw documents: toxicity, near duplicates, repeated lines, benchmark passages, packing.
+"""A training corpus from raw documents: toxicity, near duplicates, repeated passages, benchmark passages, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and returns the rows it keeps with the columns
 of ``documents``; the last returns the packed pieces. ``run`` writes each stage as Parquet into the shared folder and
@@ -26,10 +26,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return jaccard.one_of_each(docs)
 
 
-def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that came earlier go; what is left of a text is its text from here on."""
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stretches of sentences that came earlier go; what is left of a text is its text from here on."""
     ship(spark)
-    return linededup.without_repeated_lines(docs)
+    return linededup.without_repeated_units(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("toxicity", drop_toxic),
     ("ngram_jaccard_join", drop_near_duplicates),
-    ("substring_dedup", drop_repeated_lines),
+    ("substring_dedup", drop_repeated_passages),
     ("benchmark_decontamination", drop_benchmark),
     ("best_fit_packing", pack_sequences),
 ]
