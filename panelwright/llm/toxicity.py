@@ -5,12 +5,16 @@ document's is their noisy-or, one minus the product of what the sentences leave.
 likelihood of the noisy-or trains the sentence model, which then says where the offending sentences are.
 
 Fitting takes at most ``max_labelled`` labelled documents, whole texts, chosen by a hash of the id; scoring covers
-every text and runs map-only with the weights (2**BITS numbers) broadcast.
+every text and runs map-only with the weights (2**BITS numbers) broadcast. Where labels are rare or wrong in part,
+the likelihood's own scores lie low. So the log odds are shifted by one number, which puts 0.5 where two halves of
+the same learning rows, each scored by a model of the other, tell the labels apart best (most of the toxic above
+less clean above); ranks stay as they are.
 
 Defined cases: null or empty texts and texts without words have no sentence and score 0; a sentence is what lies
 between full stops, exclamation and question marks and line ends; repeated rows score alike; a document whose
 label is null teaches nothing; of several labels of an id the largest holds; with no labelled rows or one class
-only, all scores fall to the bias; an empty table gives an empty table; other columns are ignored.
+only, all scores fall to the bias and nothing is shifted; an empty table gives an empty table; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -57,6 +61,7 @@ def sentence_words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Label, and each distinct (sentence of the text from 0, word) as two lists, sentences in order."""
     for batch in batches:
         for first, end, raw, off in tb.chunks(batch.column(1)):
             word, sentence, text, _, _ = sentence_words(raw, off)
@@ -64,64 +69,120 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sentence, word = pairs >> BITS, pairs & ((1 << BITS) - 1)
             owner = text[sentence] if len(text) else sentence
             cut = np.searchsorted(owner, np.arange(end - first + 1))
+            own = sentence - np.searchsorted(text, np.arange(end - first))[owner] if len(text) else sentence
             yield pa.RecordBatch.from_arrays(
-                [batch.column(2).slice(first, end - first), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(sentence, pa.int32())), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(word, pa.int32()))],
+                [batch.column(2).slice(first, end - first), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(own, pa.int32())), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(word, pa.int32()))],
                 ["label", "sentence", "word"],
             )
 
 
-def fit(documents: DataFrame, labels: DataFrame, divisor: int = 5, held_out: int = 0, max_labelled: int = 5000, epochs: int = 20, penalty: float = 1e-4, least: int = 10, seed: int = 1) -> tuple[np.ndarray, float]:
-    """Weights of words and stems, and the bias; features in fewer than ``least`` labelled documents have none."""
-    sample = labelled_sample(documents, labels, "toxic", divisor, held_out, max_labelled).select("doc_id", "text", "label").orderBy("doc_id")
-    got = sample.mapInArrow(_features, "label int, sentence array<int>, word array<int>").toArrow().combine_chunks()
-    label = got.column("label").to_numpy()
-    docs = []
-    if got.num_rows:
-        batch = got.to_batches()[0]
-        sentence, word = (batch.column(i).values.to_numpy() for i in (1, 2))
-        cut = batch.column(1).offsets.to_numpy()
-        docs = [(np.unique(sentence[a:b], return_inverse=True)[1], word[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    full = [i for i, (_, w) in enumerate(docs) if len(w)]
-    weight, bias = np.zeros(1 << BITS), -5.0
-    if not full:
-        return weight.astype(np.float32), bias
-    seen = np.bincount(np.concatenate([np.unique(docs[i][1]) for i in full]), minlength=1 << BITS)
-    usable = seen >= min(least, 1 + len(full) // 200)
-    squares, bias_squares = np.full(1 << BITS, 1e-2), 1.0
+class Bags:
+    """Labelled documents: the sentence and word of every feature, those of document i from cut[i] to cut[i + 1]."""
+
+    def __init__(self, table: pa.Table):
+        chunks = table.to_batches()
+        self.label = np.concatenate([b.column(0).to_numpy() for b in chunks]) if chunks else np.zeros(0, np.int32)
+        self.sentence, self.word = (np.concatenate([b.column(i).flatten().to_numpy() for b in chunks]) if chunks else np.zeros(0, np.int32) for i in (1, 2))
+        sizes = np.concatenate([b.column(1).value_lengths().to_numpy() for b in chunks]) if chunks else np.zeros(0, np.int64)
+        self.cut = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        self.full = np.flatnonzero(sizes)
+
+    def join(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sentence (numbered over all) and word of each feature of some documents, the document of each sentence, and the labels."""
+        spans = [slice(a, b) for a, b in zip(self.cut[part], self.cut[part + 1], strict=True)]
+        sizes = np.array([self.sentence[s.stop - 1] + 1 for s in spans], np.int64)
+        base = np.repeat(np.cumsum(sizes) - sizes, self.cut[part + 1] - self.cut[part])
+        sentence = np.concatenate([self.sentence[s] for s in spans]) + base
+        return sentence, np.concatenate([self.word[s] for s in spans]), np.repeat(np.arange(len(part)), sizes), self.label[part]
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def pull(p: np.ndarray, owner: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Slope, by each sentence's log odds, of minus the log likelihood of labels under the noisy-or of sentences with chances p."""
+    none = np.exp(np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-9)), len(label)))
+    return np.where(label > 0, -none / np.maximum(1 - none, 1e-6), 1.0)[owner] * p
+
+
+def _descend(bags: Bags, rows: np.ndarray, epochs: int, penalty: float, least: int, seed: int) -> tuple[np.ndarray, float]:
+    """Weights and bias from these documents, by steps scaled with each feature's past slopes."""
+    weight, bias = np.zeros(1 << BITS, np.float32), -5.0
+    if not len(rows):
+        return weight, bias
+    seen = np.zeros(1 << BITS, np.int32)
+    for i in rows:
+        seen[np.unique(bags.word[bags.cut[i] : bags.cut[i + 1]])] += 1
+    usable = seen >= min(least, 1 + len(rows) // 200)
+    squares, bias_squares = np.full(1 << BITS, 1e-2, np.float32), 1.0
     random = np.random.default_rng(seed)
     for _ in range(epochs):
-        order = random.permutation(full)
+        order = random.permutation(rows)
         for at in range(0, len(order), 64):
             part = order[at : at + 64]
-            sizes = np.array([docs[i][0][-1] + 1 for i in part])
-            base = np.cumsum(sizes) - sizes
-            sentence = np.concatenate([docs[i][0] + b for i, b in zip(part, base, strict=True)])
-            word = np.concatenate([docs[i][1] for i in part])
-            z = bias + np.bincount(sentence, weight[word], int(sizes.sum()))
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            owner = np.repeat(np.arange(len(part)), sizes)
-            none = np.exp(np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-9)), len(part)))
-            pull = np.where(label[part] > 0, -none / np.maximum(1 - none, 1e-6), 1.0)
-            slope = pull[owner] * p
+            sentence, word, owner, label = bags.join(part)
+            slope = pull(_sigmoid(bias + np.bincount(sentence, weight[word], len(owner))), owner, label)
             used, inverse = np.unique(word, return_inverse=True)
             g = np.bincount(inverse, slope[sentence]) * usable[used] + penalty * len(part) * weight[used]
             squares[used] += g * g
             weight[used] -= 0.3 * g / np.sqrt(squares[used])
             bias_squares += slope.sum() ** 2
             bias -= 0.3 * slope.sum() / np.sqrt(bias_squares)
-    return weight.astype(np.float32), float(bias)
+    return weight, float(bias)
+
+
+def _noisy_or_odds(bags: Bags, rows: np.ndarray, weight: np.ndarray, bias: float) -> np.ndarray:
+    out = np.zeros(len(rows))
+    for at in range(0, len(rows), 64):
+        sentence, word, owner, label = bags.join(rows[at : at + 64])
+        p = _sigmoid(bias + np.bincount(sentence, weight[word], len(owner)))
+        out[at : at + 64] = log_odds(-np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), len(label)))
+    return out
+
 
+def log_odds(miss: np.ndarray) -> np.ndarray:
+    """Log odds of 1 - exp(-miss)."""
+    return np.log(np.maximum(np.expm1(np.maximum(miss, 1e-300)), 1e-300))
 
-def bag_scores(raw: np.ndarray, off: np.ndarray, weight: np.ndarray, bias: float) -> tuple[np.ndarray, ...]:
-    """Noisy-or of each text of a chunk; and each sentence's probability, text, first byte and end byte."""
+
+def best_cut(odds: np.ndarray, label: np.ndarray) -> float:
+    """The log odds that tell labels apart best: between the two rows where most of the ones less most of the zeros lie above."""
+    ones, zeros = int((label > 0).sum()), int((label <= 0).sum())
+    if min(ones, zeros) < 20:
+        return 0.0
+    order = np.argsort(-odds, kind="stable")
+    gain = np.cumsum(label[order] > 0) / ones - np.cumsum(label[order] <= 0) / zeros
+    gain[:-1][odds[order[1:]] == odds[order[:-1]]] = -1  # no cut between equal scores
+    at = int(np.argmax(gain))
+    return float(odds[order[at : at + 2]].mean())
+
+
+def fit(documents: DataFrame, labels: DataFrame, divisor: int = 5, held_out: int = 0, max_labelled: int = 8000, epochs: int = 20, penalty: float = 1e-4, least: int = 10, seed: int = 1) -> tuple[np.ndarray, float, float]:
+    """Weights of words and stems, the bias, and the shift of log odds; features in fewer than ``least`` labelled documents have no weight."""
+    sample = labelled_sample(documents, labels, "toxic", divisor, held_out, max_labelled).select("doc_id", "text", "label").orderBy("doc_id")
+    bags = Bags(sample.mapInArrow(_features, "label int, sentence array<int>, word array<int>").toArrow())
+    cut = 0.0
+    if len(np.unique(bags.label[bags.full] > 0)) == 2:
+        half = np.random.default_rng(seed).permutation(len(bags.full)) % 2
+        odds = np.zeros(len(bags.full))
+        for h in (0, 1):
+            odds[half == h] = _noisy_or_odds(bags, bags.full[half == h], *_descend(bags, bags.full[half != h], epochs, penalty, least, seed))
+        cut = best_cut(odds, bags.label[bags.full])
+    weight, bias = _descend(bags, bags.full, epochs, penalty, least, seed)
+    return weight, bias, -cut
+
+
+def bag_scores(raw: np.ndarray, off: np.ndarray, weight: np.ndarray, bias: float, shift: float) -> tuple[np.ndarray, ...]:
+    """Shifted noisy-or of each text of a chunk; and each sentence's shifted probability, text, first byte and end byte."""
     n = len(off) - 1
     word, sentence, text, start, stop = sentence_words(raw, off)
     if not len(word):
         return np.zeros(n), np.zeros(0), text, start, stop
     pairs = np.unique(sentence << BITS | word)
     z = bias + np.bincount(pairs >> BITS, weight[pairs & ((1 << BITS) - 1)], len(text))
-    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    return 1 - np.exp(np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), n)), p, text, start, stop
+    miss = -np.bincount(text, np.log1p(-np.minimum(_sigmoid(z), 1 - 1e-12)), n)
+    return np.where(miss > 0, _sigmoid(log_odds(miss) + shift), 0.0), _sigmoid(z + shift), text, start, stop
 
 
 def _scores(model, threshold: float):
@@ -138,13 +199,13 @@ def _scores(model, threshold: float):
     return run
 
 
-def scored(documents: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.5) -> DataFrame:
+def scored(documents: DataFrame, model: tuple[np.ndarray, float, float], threshold: float = 0.5) -> DataFrame:
     """(doc_id, score, sentences): the noisy-or, and UTF-8 byte spans of sentences that reach the threshold alone."""
     broadcast = documents.sparkSession.sparkContext.broadcast(model)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scores(broadcast, threshold), "doc_id long, score double, sentences array<struct<start:long,end:long,score:double>>")
 
 
-def without_toxic(documents: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.5) -> DataFrame:
+def without_toxic(documents: DataFrame, model: tuple[np.ndarray, float, float], threshold: float = 0.5) -> DataFrame:
     """The rows of ``documents``, all columns, whose score is below the threshold."""
     broadcast = documents.sparkSession.sparkContext.broadcast(model)
 

@@ -385,6 +385,35 @@ def test_toxicity(spark, nothing):
     assert {r.predicted for r in toxicity.toxicity(docs, none).collect()} == {0}
 
 
+def test_noisy_or_slope():
+    r = np.random.default_rng(1)
+    z, owner, label = r.normal(-1, 1, 9), np.array([0, 0, 1, 1, 1, 2, 3, 3, 3]), np.array([1, 0, 1, 0])
+
+    def loss(x):
+        chance = [1 - np.prod([1 - 1 / (1 + np.exp(-v)) for v in x[owner == k]]) for k in range(4)]
+        return -sum(np.log(c if y else 1 - c) for c, y in zip(chance, label, strict=True))
+
+    plain = [(loss(z + d) - loss(z - d)) / 2e-6 for d in 1e-6 * np.eye(9)]
+    assert np.allclose(toxicity.pull(1 / (1 + np.exp(-z)), owner, label), plain, atol=1e-6)
+
+
+def test_cut_tells_labels_apart():
+    odds = np.concatenate([np.linspace(-6, -2, 50), np.linspace(-1, 4, 30)])
+    label = np.repeat([0, 1], [50, 30])
+    assert -2 < toxicity.best_cut(odds, label) < -1
+    assert toxicity.best_cut(odds[:60], label[:60]) == 0.0  # too few to tell
+
+
+def test_toxicity_of_odd_rows(odd):
+    labels = odd.sparkSession.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
+    out = toxicity.toxicity(odd, labels).collect()
+    assert len(out) == 6 and len({r.score for r in out if r.doc_id == 2}) == 1 and all(0 <= r.score <= 1 for r in out)
+    # a text of very many words and sentences, and ties
+    long = odd.sparkSession.createDataFrame([(1, "word. " * 20_000), (2, "word. " * 20_000), (3, "x " * 20_000)], "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in toxicity.toxicity(long, labels).collect()}
+    assert scores[1] == scores[2]
+
+
 def test_quality(spark, nothing):
     docs, labels, truth = labelled(spark)
     out = quality.quality(docs, labels).collect()
