@@ -16,12 +16,13 @@ members verified on whole sets. That runs in three steps, of which only the last
 
 A sketch has one bit for each residue of the shingles' hashes, the parity of how many fall there. Two sets differ in
 at least as many shingles as their sketches differ in bits, so what a sketch rules out is no link. Sketches are
-compared inside the tasks and pairs leave a task only if their sketches allow a link. Rows of one prefix element
+compared inside the tasks and pairs leave a task only if their sketches allow a link; the rows of an element that
+only FEW sets have go without sketches. Texts to verify are picked by a bitmap of bounded size. Rows of one prefix element
 that do not fit a block are dealt into pairs of blocks: the sets outside the element's largest component, against
 all, so no task holds more than two blocks of an element and no pair within that component is looked at.
 
-Shingles and sets are named by 64-bit and 128-bit hashes of their content. ``hot``, block sizes and COMMON change the
-amount of work, never the links.
+Shingles and sets are named by 64-bit and 128-bit hashes of their content. ``hot``, FEW, the sizes of blocks and
+bitmaps and COMMON change the amount of work, never the links.
 
 Defined cases: null or empty texts and texts without words have no shingles and are linked with nothing; with
 fewer than k words the whole sequence is one shingle; equal sets are one node; rows that repeat an id are one
@@ -53,6 +54,9 @@ BLOCK = 4096
 #: Bits of a sketch, least and most; and pairs whose sketches are compared at once.
 SKETCH_BITS = (64, 8192)
 PAIRS_AT_ONCE = 1 << 17
+#: Up to so many rows of a prefix element are paired without sketches.
+FEW = 4
+SIEVE_BITS = 1 << 26
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -164,10 +168,41 @@ def _prefixes(k: int, percent: int, common):
     return run
 
 
-def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack.compress((t.as_py() or "").encode()) for t in batch.column(1)], pa.binary())], ["doc_id", "packed"])
+def sieve(ids: DataFrame, column: str) -> tuple[np.ndarray, int]:
+    """A bitmap of hashed ids and the logarithm of its bits: what it leaves out is none of the ids.
+
+    At most SIEVE_BITS bits, whatever the number of ids; where they are many more, it lets most others through.
+    """
+    power = min(max(math.ceil(math.log2(16 * ids.count() + 1)), 16), SIEVE_BITS.bit_length() - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = np.zeros(1 << power - 3, np.uint8)
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            np.bitwise_or.at(mine, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        words = mine.view(np.int64)
+        there = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(words[there])], ["at", "word"])
+
+    found = ids.select(hashed(column, power)).mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    out = np.zeros(1 << power - 6, np.int64)
+    out[found.column("at").to_numpy()] = found.column("word").to_numpy()
+    return out.view(np.uint8), power
+
+
+def hashed(column: str, power: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(column), 64 - power)
+
+
+def _compressed(broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            some = batch.filter(pa.array(broadcast.value[at >> 3] >> (at & 7) & 1 > 0))
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([pack.compress((t.as_py() or "").encode()) for t in some.column(1)], pa.binary())], ["doc_id", "packed"])
+
+    return run
 
 
 def _verified(k: int, percent: int):
@@ -195,8 +230,11 @@ def _verified(k: int, percent: int):
 
 def verified(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose whole sets are similar; each side's text travels compressed, for the documents in a pair only."""
+    pairs = written(pairs, "pairs")
     needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = documents.select("doc_id", "text").mapInArrow(_compressed, "doc_id long, packed binary").join(needed, "doc_id", "left_semi")
+    bits, power = sieve(needed, "doc_id")
+    pack = _compressed(documents.sparkSession.sparkContext.broadcast(bits))
+    texts = documents.where("doc_id is not null").select("doc_id", "text", hashed("doc_id", power)).mapInArrow(pack, "doc_id long, packed binary")
     texts = written(texts, "texts")
     left, right = texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("x")), texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verified(k, percent), "a long, b long").distinct()
@@ -238,7 +276,7 @@ def _close(percent: int, closest: bool):
             room = total - 2 * -(-percent * total // (100 + percent))
             differ = np.zeros(len(x), np.int64)
             narrow = np.minimum(width[x], width[y])
-            for w in np.unique(narrow).tolist():
+            for w in np.unique(narrow[narrow > 0]).tolist():  # 0: no sketch, so nothing is ruled out
                 some = np.flatnonzero(narrow == w)
                 sides = []
                 for side in (x[some], y[some]):
@@ -313,22 +351,21 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 75, hot: in
     ).where("near is not null or next is not null or part != 0")
     met = written(met.select("token", "doc_id", "n", "lead", "sketch", "near", F.when(F.col("smallest") != F.col("near"), F.col("smallest")).alias("smallest")), "met")
 
-    links = written(verified(_of_reps(_guesses(met, percent), copies), docs, k, percent), "links")
-    comps = components(links)
+    comps = components(verified(_of_reps(_guesses(met, percent), copies), docs, k, percent))
 
     member = met.where("lead is not null").join(copies, "doc_id", "left").select("lead", F.coalesce("rep", "doc_id").alias("node"), "n", "sketch")
-    shape = written(member.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
-    places = met.where("lead is null").select("token", F.col("doc_id").alias("lead")).join(member.select("lead", "node").distinct(), "lead").select("token", "node")
-    live = places.join(comps, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
+    shape = written(member.groupBy("node").agg(F.first("sketch").alias("sketch")), "nodes")
+    places = met.where("lead is null").select("token", F.col("doc_id").alias("lead")).join(member.select("lead", "node", "n").distinct(), "lead").select("token", "node", "n")
+    live = places.join(comps, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("component"))
     live = written(_mixed(live), "live")
 
     best = _pairs_by_sketch(live.where(F.col("c") > hot), shape, percent, closest=True).select("a", "b").distinct()
-    comps = merged(comps, verified(written(best, "closest"), docs, k, percent))
+    comps = merged(comps, verified(best, docs, k, percent))
     now = comps.select(F.col("node").alias("component"), F.col("component").alias("now"))
-    live = live.join(now, "component", "left").select("token", "node", F.coalesce("now", "component").alias("component"))
+    live = live.join(now, "component", "left").select("token", "node", "n", F.coalesce("now", "component").alias("component"))
     rest = _pairs_by_sketch(_mixed(live), shape, percent, closest=False).groupBy("a", "b", "n", "m").agg(F.count("*").alias("shared"))
     rest = rest.where(likely(F.col("n"), F.col("m"), F.col("shared"), percent)).select("a", "b")
-    settled = merged(comps, verified(written(rest, "rest"), docs, k, percent))
+    settled = merged(comps, verified(rest, docs, k, percent))
 
     label = sets.select("doc_id", "n").join(copies, "doc_id", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("node"))
     return label.join(settled, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
@@ -375,11 +412,11 @@ def _of_reps(pairs: DataFrame, copies: DataFrame) -> DataFrame:
 
 
 def _mixed(live: DataFrame) -> DataFrame:
-    """The rows (token, node, component) of tokens in several components, with the token's rows ``c``, its largest component ``major`` and the rows ``s`` outside it."""
+    """The rows (token, node, n, component) of tokens in several components, with the token's rows ``c``, its largest component ``major`` and the rows ``s`` outside it."""
     sizes = live.groupBy("token", "component").agg(F.count("*").alias("c"))
     tokens = sizes.groupBy("token").agg(F.sum("c").alias("c"), F.max(F.struct("c", "component")).alias("most")).where("c > most.c")
     tokens = tokens.select("token", "c", F.col("most.component").alias("major"), (F.col("c") - F.col("most.c")).alias("s"))
-    return live.select("token", "node", "component").join(tokens, "token")
+    return live.select("token", "node", "n", "component").join(tokens, "token")
 
 
 def _pairs_by_sketch(live: DataFrame, shape: DataFrame, percent: int, closest: bool) -> DataFrame:
@@ -395,7 +432,8 @@ def _pairs_by_sketch(live: DataFrame, shape: DataFrame, percent: int, closest: b
     both = F.transform(F.sequence(F.lit(0), asked - 1), lambda i: cell(i, own, F.when(asks & (i == mine), F.lit(3)).otherwise(F.lit(2))))
     others = F.filter(F.sequence(F.lit(0), told - 1), lambda j: asks & (j != own))
     cells = F.concat(both, F.transform(others, lambda j: cell(mine, j, F.lit(1))))
-    placed = live.select("token", "node", "component", F.explode(cells).alias("cell")).select("token", "node", "component", "cell.block", "cell.role")
-    ready = placed.join(shape, "node").select("token", "block", "node", "component", "n", "role", "sketch")
+    placed = live.select("token", "node", "component", "n", "c", F.explode(cells).alias("cell")).select("token", "cell.block", "node", "component", "n", "cell.role", "c")
+    ready = placed.where(F.col("c") > FEW).drop("c").join(shape, "node").select("token", "block", "node", "component", "n", "role", "sketch")
+    ready = ready.unionByName(placed.where(F.col("c") <= FEW).drop("c").withColumn("sketch", F.lit(None).cast("binary")))
     ready = ready.repartition("token", "block").sortWithinPartitions("token", "block", "node")
     return ready.mapInArrow(_close(percent, closest), "a long, b long, n int, m int")
