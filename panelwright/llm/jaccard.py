@@ -57,6 +57,9 @@ PAIRS_AT_ONCE = 1 << 17
 #: Up to so many rows of a prefix element are paired without sketches.
 FEW = 4
 SIEVE_BITS = 1 << 26
+#: Documents whose prefixes leave a task together.
+ROWS_AT_ONCE = 1000
+PREFIX_ROWS = {"token": pa.int64(), "doc_id": pa.int64(), "n": pa.int32(), "part": pa.int32(), "lead": pa.int64(), "sketch": pa.binary()}
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -134,36 +137,31 @@ def _prefixes(k: int, percent: int, common):
         known, level = common.value
         sets_seen: set[tuple] = set()
         leads: dict[int, int] = {}
-        for batch in batches:
-            out: dict[str, list] = {x: [] for x in ("token", "doc_id", "n", "part", "lead", "sketch")}
-
-            def add(token: np.ndarray, doc_id: int, n: int, part: np.ndarray, lead: int | None = None, bits: bytes | None = None, out=out) -> None:
-                rows = len(token)
-                for name, x in zip(out, (token, np.full(rows, doc_id), np.full(rows, n), part, [lead] * rows, [bits] * rows), strict=True):
-                    out[name].append(x)
-
-            for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k), strict=True):
+        for part in (batch.slice(at, ROWS_AT_ONCE) for batch in batches for at in range(0, batch.num_rows, ROWS_AT_ONCE)):
+            prefixes: list[tuple] = []
+            members: list[tuple] = []
+            for doc_id, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), k), strict=True):
                 n = len(s)
                 if not n or (name := (*set_name(s), n)) in sets_seen:
                     continue
                 sets_seen.add(name)
-                key, parts = s >> U(7), np.zeros(n, np.int64)
+                key, dealt = s >> U(7), np.zeros(n, np.int64)
+                own = tb.mix(np.array([doc_id], np.int64).view(U))
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     listed = known[at] == s
                     key = np.where(listed, U(1 << 63) | (level[at] << U(57)) | key, key)
-                    deal = int(tb.mix(np.array([doc_id], np.int64).view(U))[0] >> U(32))
-                    parts[listed] = 1 + (deal & ((1 << np.maximum(level[at[listed]].astype(np.int64) - BLOCK.bit_length() + 1, 0)) - 1))
+                    dealt[listed] = 1 + (int(own[0] >> U(32)) & ((1 << np.maximum(level[at[listed]].astype(np.int64) - BLOCK.bit_length() + 1, 0)) - 1))
                 first = np.argsort(key, kind="stable")[: n - -(-percent * n // 100) + 1]
                 prefix = s[first]
                 lead = leads.setdefault(set_name(prefix + U(n))[0], doc_id)
-                add(tb.mix(np.array([doc_id], np.int64).view(U)).view(np.int64), doc_id, n, np.array([-1]), lead, sketch(s))
+                members.append((own.view(np.int64)[0], doc_id, n, -1, lead, sketch(s)))
                 if lead == doc_id:
-                    add(prefix.view(np.int64), doc_id, n, parts[first])
-            if out["token"]:
-                numbers = [pa.array(np.concatenate(out[x]), t) for x, t in (("token", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("part", pa.int32()))]
-                rest = [pa.array([v for x in out[c] for v in x], t) for c, t in (("lead", pa.int64()), ("sketch", pa.binary()))]
-                yield pa.RecordBatch.from_arrays([*numbers, *rest], list(out))
+                    prefixes.append((prefix.view(np.int64), np.full(len(prefix), doc_id), np.full(len(prefix), n), dealt[first]))
+            for rows, columns in ((len(members), list(zip(*members, strict=True))), (sum(len(x[0]) for x in prefixes), [np.concatenate(x) for x in zip(*prefixes, strict=True)])):
+                if rows:
+                    columns += [None] * (len(PREFIX_ROWS) - len(columns))
+                    yield pa.RecordBatch.from_arrays([pa.nulls(rows, t) if x is None else pa.array(x, t) for x, t in zip(columns, PREFIX_ROWS.values(), strict=True)], list(PREFIX_ROWS))
 
     return run
 

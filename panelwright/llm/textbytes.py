@@ -6,6 +6,7 @@ Hashes are 64-bit and depend on content alone, so they agree between tasks, runs
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,7 +15,9 @@ import pyarrow as pa
 
 U = np.uint64
 #: Chunks hold whole texts of about this many bytes together; a longer text is a chunk alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: The C library's own way to give back what was freed, where it has one.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _P = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -36,7 +39,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
         have = np.full(max(n, CHUNK_BYTES + 4096), base, np.uint64)
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)
-        if n <= 16 * CHUNK_BYTES:
+        if n <= 4 * CHUNK_BYTES:
             _powers[key] = have
     return have[:n]
 
@@ -76,7 +79,14 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         end = min(max(end, first + 1), rows)
         yield first, end, raw[off[first] : off[end]], off[first : end + 1] - off[first]
         first = end
+    release()
+
+
+def release() -> None:
+    """Hand freed memory back to the machine, as workers stay for further tasks."""
     pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def byte_class(keep: str) -> np.ndarray:
