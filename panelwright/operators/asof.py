@@ -39,12 +39,16 @@ def membership_intervals(members: DataFrame) -> DataFrame:
     return members.withColumn("until", F.coalesce(F.lead("as_of_date").over(w), F.lit("9999-12-31").cast("date")))
 
 
-def split_factor(filings: DataFrame, splits: DataFrame, basis_date: str) -> DataFrame:
-    """``filings`` with the product of ratios of splits after they took effect, up to a basis date (1 if none)."""
-    s = splits.select(F.col("ticker").alias("__k"), "ex_date", "ratio")
-    inside = (F.col("ticker") == F.col("__k")) & (F.col("ex_date") > F.col("effective_eod_date")) & (F.col("ex_date") <= F.lit(basis_date).cast("date"))
-    rows = filings.join(s, inside, "left")
-    return rows.groupBy(*filings.columns).agg(F.coalesce(F.exp(F.sum(F.ln("ratio"))), F.lit(1.0)).alias("split_factor"))
+def split_factor(filings: DataFrame, splits: DataFrame, bars: DataFrame) -> DataFrame:
+    """``filings`` with the product of ratios of splits after they took effect, up to the ticker's last bar (1 if none).
+
+    A ticker's few splits meet its filings as one array, so a filing is never multiplied and equal filings stay apart.
+    """
+    basis = bars.groupBy("ticker").agg(F.max("date").alias("basis"))
+    own = splits.join(basis, "ticker").where("ex_date <= basis").groupBy("ticker").agg(F.collect_list(F.struct("ex_date", "ratio")).alias("splits"))
+    after = F.filter("splits", lambda s: s.ex_date > F.coalesce("effective_eod_date", "filed_date"))
+    total = F.aggregate(after, F.lit(0.0), lambda a, s: a + F.ln(s.ratio))
+    return filings.join(own, "ticker", "left").select(*filings.columns, F.coalesce(F.exp(total), F.lit(1.0)).alias("split_factor"))
 
 
 def reindex(series: DataFrame, key: str, axis: DataFrame, at: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions.windows import rolling
+from panelwright.functions.windows import lagged_return, rolling
 from panelwright.operators.series import ema_array, ordered_values, week_ending
 
 
@@ -34,12 +34,28 @@ def states(rs: DataFrame) -> DataFrame:
     return last.withColumn("state", F.when(high & rising, "LEADING").when(high, "WEAKENING").when(rising, "IMPROVING").otherwise("LAGGING"))
 
 
-def breadth(signals: DataFrame, members: DataFrame) -> DataFrame:
-    """(bucket, member_count, breadth_ma50, breadth_ma200, at_high) at each member's last row; a missing average counts against."""
-    last = signals.groupBy("ticker").agg(F.max_by(F.struct("close", "ma50", "ma200", "high_prox"), "date").alias("x")).select("ticker", "x.*")
-    rows = members.select("bucket", "ticker").distinct().join(last, "ticker")
+def breadth(rows: DataFrame, members: DataFrame, min_bars: int = 60) -> DataFrame:
+    """(bucket, member_count, breadth_ma50, breadth_ma200, at_high, candidates) on the last day that ``rows`` has.
+
+    Members with at least ``min_bars`` bars (column n_bars) count; a missing close or average counts against.
+    """
+    day = rows.agg(F.max("date").alias("date"))
+    last = rows.where(F.col("n_bars") >= min_bars).join(F.broadcast(day), "date", "left_semi")
+    rows = members.where("bucket is not null").select("bucket", "ticker").distinct().join(last, "ticker")
     return rows.groupBy("bucket").agg(
         F.count("*").alias("member_count"),
         *((100 * F.avg(F.when(F.col("close") > F.col(m), 1.0).otherwise(0.0))).alias(f"breadth_{m}") for m in ("ma50", "ma200")),
-        F.sum(F.when(F.col("high_prox") >= 0.99, 1).otherwise(0)).alias("at_high"),
+        F.sum(F.when(F.col("high_prox") >= 0.99, 1).otherwise(0)).alias("at_high"), F.sum(F.when(F.col("candidate") == 1, 1).otherwise(0)).alias("candidates"),
     )
+
+
+def relative_returns(buckets: DataFrame, spx: DataFrame, **horizons: int) -> DataFrame:
+    """(bucket, one column per horizon): a bucket's return over its last n rows less the benchmark's over the same days.
+
+    The benchmark is carried forward onto the bucket's days; NULL where there are no more than n rows.
+    """
+    by = Window.partitionBy("bucket").orderBy("date")
+    rows = buckets.select("bucket", "date", "close").join(spx.select("date", F.col("close").alias("base")), "date", "left").withColumn("base", F.last("base", ignorenulls=True).over(by))
+    rel = [(lagged_return(F.col("close"), n, by) - lagged_return(F.col("base"), n, by)).alias(name) for name, n in horizons.items()]
+    last = rows.select("bucket", "date", *rel)
+    return last.groupBy("bucket").agg(F.max_by(F.struct(*horizons), "date").alias("x")).select("bucket", "x.*")

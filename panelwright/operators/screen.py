@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from panelwright.functions.windows import by_ticker, clamp, lagged_return, last_rows, log_return, percent_rank_of, rolling
 
 
-def riser_metrics(bars: DataFrame) -> DataFrame:
-    """(ticker, date, close, net5, net10, net20, up10, ddw10, ker10): short-horizon path measures.
+def riser_metrics(bars: DataFrame, *carried: str) -> DataFrame:
+    """(ticker, date, close, net5, net10, net20, up10, ddw10, ker10): short-horizon path measures, with columns carried along.
 
     ddw10 is the worst fall from a running high within the last 11 closes.
     """
     d = log_return(F.col("adj_close"))
-    rows = bars.select("ticker", "date", "adj_close", "close").withColumn("d", d).withColumn("i", F.row_number().over(by_ticker()))
+    rows = bars.select("ticker", "date", "adj_close", "close", *carried).withColumn("d", d).withColumn("i", F.row_number().over(by_ticker()))
     path = F.transform(F.array_agg("adj_close").over(last_rows(11)), lambda x: x)
     fall = F.aggregate(
         path,
@@ -25,13 +25,26 @@ def riser_metrics(bars: DataFrame) -> DataFrame:
     full = F.col("i") > 10
     total = F.sum("d").over(last_rows(10))
     return rows.select(
-        *("ticker", "date", "close"), *(lagged_return(F.col("adj_close"), n).alias(f"net{n}") for n in (5, 10, 20)),
+        *("ticker", "date", "close", *carried), *(lagged_return(F.col("adj_close"), n).alias(f"net{n}") for n in (5, 10, 20)),
         F.when(full, F.sum(F.when(F.col("d") > 0, 1).otherwise(0)).over(last_rows(10)) / 10).alias("up10"),
         F.when(full, fall).alias("ddw10"),
         F.when(full, clamp(F.try_divide(F.abs(total), F.sum(F.abs("d")).over(last_rows(10))))).alias("ker10"),
     )
 
 
+def with_relative_strength(bars: DataFrame, spx: DataFrame) -> DataFrame:
+    """``bars`` with rs_raw: returns over 63 and 126 rows less the benchmark's, which is carried forward onto the ticker's own dates."""
+    px = F.col("adj_close")
+    rows = bars.join(spx.select("date", F.col("close").alias("spx")), "date", "left").withColumn("spx", F.last("spx", ignorenulls=True).over(by_ticker()))
+    excess = sum((lagged_return(px, n) - lagged_return(F.col("spx"), n) for n in (63, 126)), F.lit(0.0))
+    return rows.withColumn("rs_raw", excess).drop("spx")
+
+
+def population(bars: DataFrame, spx: DataFrame) -> DataFrame:
+    """Riser metrics of the rows that the screen ranks: those with a relative strength. Earlier rows only feed the windows."""
+    return riser_metrics(with_relative_strength(bars, spx), "rs_raw").where("rs_raw is not null").drop("rs_raw")
+
+
 def candidates(rows: DataFrame, top_n: int = 50, up: float = 0.6) -> DataFrame:
     """Adds net10_pct, candidate (gated and among the top_n of its date) and streak_days (consecutive candidate rows)."""
     gate = (F.col("up10") >= up) & (F.col("net10") > 0)
@@ -59,7 +72,7 @@ def signals(bars: DataFrame, spx: DataFrame, min_bars: int = 60) -> DataFrame:
         *("ticker", "date", "close"), r63.alias("ret_63"), r126.alias("ret_126"),
         ((r63 - lagged_return(F.col("spx"), 63)) + (r126 - lagged_return(F.col("spx"), 126))).alias("rs_raw"),
         *(rolling(F.avg, px, n).alias(f"ma{n}") for n in (50, 150, 200)),
-        F.try_divide(px, rolling(F.max, px, 252, 126)).alias("high_prox"),
+        F.try_divide(px, rolling(F.max, px, 252, 20)).alias("high_prox"),
         clamp(F.try_divide(F.abs(px - F.lag(px, 63).over(by_ticker())), rolling(F.sum, F.abs("step"), 63))).alias("trend_quality"),
         F.try_divide(rolling(F.avg, volume, 50), rolling(F.avg, volume, 200)).alias("vol_ratio"),
         F.try_divide(rolling(F.sum, up, 50), rolling(F.sum, down, 50).cast("double")).alias("ud_vol_ratio"),
@@ -77,7 +90,7 @@ def composite(rows: DataFrame, k: float = 0.5) -> DataFrame:
     out = rows.where("rs_raw is not null").withColumn("rs_pct", 100 * percent_rank_of(F.col("rs_raw"), "date"))
     out = out.withColumn("rs_accel", F.col("rs_pct") - F.lag("rs_pct", 21).over(by_ticker()))
     parts: dict[str, Column] = {
-        "rs": clamp(F.col("rs_pct") / 100), "high": clamp((F.col("high_prox") - 0.7) / 0.3), "trend": clamp(F.col("trend_quality")),
+        "rs": clamp(F.col("rs_pct") / 100), "high": clamp(F.col("high_prox")), "trend": clamp(F.col("trend_quality")),
         "vol": clamp((F.col("vol_ratio") - 1) / 0.6 + 0.5), "accel": clamp(F.coalesce("rs_accel", F.lit(0.0)) / 100 + 0.5),
     }
     # a missing input scores 0: greatest() passes over NULL

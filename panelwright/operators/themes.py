@@ -43,18 +43,19 @@ def chained_index(bars: DataFrame, members: DataFrame, cap: float = 0.30) -> Dat
     """
     ever = members.where("exposure > 0").select("theme", "ticker").distinct()
     start = members.groupBy("theme").agg(F.min("as_of_date").alias("start"))
-    dates = bars.join(ever, "ticker").select("theme", "date").distinct().join(start, "theme").where("date >= start").select("theme", "date")
+    prices = bars.select("ticker", "date", F.col("adj_close").alias("p1")).join(ever, "ticker")
+    dates = prices.select("theme", "date").distinct().join(start, "theme").where("date >= start").select("theme", "date")
     axis = dates.unionByName(start.select("theme", F.col("start").alias("date"))).distinct()
     w = Window.partitionBy("theme").orderBy("date")
-    axis = axis.withColumn("before", F.lag("date").over(w))
     weights = segment_weights(members, cap)
     segments = weights.select("theme", "segment").distinct().withColumn("until", F.coalesce(F.lead("segment").over(Window.partitionBy("theme").orderBy("segment")), F.lit("9999-12-31").cast("date")))
-    days = axis.where("before is not null").join(segments.withColumnRenamed("theme", "__t"), (F.col("theme") == F.col("__t")) & (F.col("segment") <= F.col("before")) & (F.col("before") < F.col("until"))).select("theme", "date", "before", "segment")
-    held = days.join(weights, ["theme", "segment"])
-    now = bars.select("ticker", "date", F.col("adj_close").alias("p1"))
-    then = bars.select("ticker", F.col("date").alias("before"), F.col("adj_close").alias("p0"))
-    priced = held.join(now, ["ticker", "date"]).join(then, ["ticker", "before"])
-    moves = priced.groupBy("theme", "date").agg(F.try_divide(F.sum(F.col("weight") * (F.col("p1") / F.col("p0") - 1)), F.sum("weight")).alias("ret"))
+    days = axis.withColumn("before", F.lag("date").over(w)).withColumn("place", F.row_number().over(w))
+    days = days.join(segments.withColumnRenamed("theme", "__t"), (F.col("theme") == F.col("__t")) & (F.col("segment") <= F.col("before")) & (F.col("before") < F.col("until")), "left").select("theme", "date", "place", "segment")
+    # a member is priced on both days where its last bar lies on the axis date before
+    own = Window.partitionBy("theme", "ticker").orderBy("date")
+    priced = prices.join(days, ["theme", "date"]).withColumn("p0", F.when(F.lag("place").over(own) == F.col("place") - 1, F.lag("p1").over(own)))
+    held = priced.where("p0 is not null and segment is not null").join(weights, ["theme", "segment", "ticker"])
+    moves = held.groupBy("theme", "date").agg(F.try_divide(F.sum(F.col("weight") * (F.col("p1") / F.col("p0") - 1)), F.sum("weight")).alias("ret"))
     path = axis.join(moves, ["theme", "date"], "left")
     growth = F.sum(F.log1p(F.coalesce("ret", F.lit(0.0)))).over(w)
     return path.select("theme", "date", "ret", (100 * F.exp(growth)).alias("level"), (F.ln(F.lit(100.0)) + growth).alias("log_level"))

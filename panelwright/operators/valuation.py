@@ -25,15 +25,16 @@ def valuation(bars: DataFrame, filings: DataFrame) -> DataFrame:
     ``filings`` carry ``split_factor`` (asof.split_factor) and growth (with_growth); shares and earnings are brought
     to the price's basis with it.
     """
-    rows = as_of(bars.select("ticker", "date", "close"), filings, "ticker", "date", "effective_eod_date").where("revenue_ttm is not null and shares is not null")
-    cap = F.col("close") * F.col("shares") * F.col("split_factor")
+    filed = filings.withColumn("in_force", F.coalesce("effective_eod_date", "filed_date"))
+    rows = as_of(bars.select("ticker", "date", "close", "adj_close"), filed, "ticker", "date", "in_force").where("revenue_ttm is not null and shares is not null")
+    cap = F.col("adj_close") * F.col("shares") * F.col("split_factor")
     ev = cap + F.coalesce("total_debt", F.lit(0.0)) - F.coalesce("cash", F.lit(0.0))
-    eps = F.col("eps_ttm") / F.col("split_factor")
-    pe = F.when(eps > 0, F.col("close") / eps)
+    earns, sells, shares = F.col("eps_ttm") > 0, F.col("revenue_ttm") > 0, F.col("shares") > 0
+    pe = F.when(earns, F.col("adj_close") * F.col("split_factor") / F.col("eps_ttm"))
     return rows.select(
-        *("ticker", "date", "close"), pe.alias("pe"), F.when(F.col("revenue_ttm") > 0, cap / F.col("revenue_ttm")).alias("ps"),
-        F.when(F.col("revenue_ttm") > 0, ev / F.col("revenue_ttm")).alias("evs"), F.when(F.col("ebitda_ttm") > 0, ev / F.col("ebitda_ttm")).alias("ev_ebitda"),
-        F.when((F.col("growth") > 0) & (eps > 0), pe / (100 * F.col("growth"))).alias("peg"), "growth", "margin", (100 * (F.col("growth") + F.col("margin"))).alias("rule40"),
+        *("ticker", "date", "close"), pe.alias("pe"), F.when(sells & shares, cap / F.col("revenue_ttm")).alias("ps"),
+        F.when(sells & shares, ev / F.col("revenue_ttm")).alias("evs"), F.when((F.col("ebitda_ttm") > 0) & shares, ev / F.col("ebitda_ttm")).alias("ev_ebitda"),
+        F.when((F.col("growth") > 0) & earns, pe / (100 * F.col("growth"))).alias("peg"), "growth", "margin", (100 * (F.col("growth") + F.col("margin"))).alias("rule40"),
         F.col("period_end").alias("as_of_period_end"), F.col("filed_date").alias("as_of_filed"), F.col("effective_eod_date").alias("as_of_effective_eod"),
     )
 

@@ -36,7 +36,7 @@ def rounded(df: DataFrame, digits: int = 6, **other: int | None) -> DataFrame:
 
 
 def _risers(spark: SparkSession, sf: str) -> DataFrame:
-    return screen.candidates(screen.riser_metrics(src.daily_bars(spark, sf)), top_n=3)
+    return screen.candidates(screen.population(src.daily_bars(spark, sf), src.benchmark(spark, sf)), top_n=3)
 
 
 def _signals(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,7 +44,7 @@ def _signals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _filings(spark: SparkSession, sf: str) -> DataFrame:
-    return valuation.with_growth(asof.split_factor(src.fundamentals(spark, sf), src.splits(spark, sf), "2001-11-04"))
+    return valuation.with_growth(asof.split_factor(src.fundamentals(spark, sf), src.splits(spark, sf), src.daily_bars(spark, sf)))
 
 
 def _valued(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,9 +96,9 @@ FLAGSHIP = "SELECT ticker, date, round(net10, 6) AS net10, net10_pct, round(up10
 @query(FLAGSHIP)
 def o2_latest_candidates(spark, sf):
     """The screen's list: candidates on the latest date that has any (F2, O2)."""
-    rows = _risers(spark, sf).where("candidate = 1")
-    last = rows.join(rows.groupBy().agg(F.max("date").alias("__last")), F.col("date") == F.col("__last"), "left_semi")
-    return rounded(last.select("ticker", "date", "net10", "net10_pct", "up10", "streak_days")).orderBy(F.desc_nulls_last("net10"), "ticker")
+    rows = _risers(spark, sf).where("candidate = 1").groupBy("date").agg(F.collect_list(F.struct("ticker", "net10", "net10_pct", "up10", "streak_days")).alias("listed"))
+    last = rows.orderBy(F.desc("date")).limit(1)  # a date lists no more than top_n
+    return rounded(last.select("date", F.inline("listed")).select("ticker", "date", "net10", "net10_pct", "up10", "streak_days")).orderBy(F.desc_nulls_last("net10"), "ticker")
 
 
 @query(
@@ -153,18 +153,18 @@ def j11_theme_lists(spark, sf):
     return m.groupBy("ticker").agg(F.array_join(F.array_sort(F.collect_list("theme")), ",").alias("themes"))
 
 
-WEIGHTS = """, held AS (SELECT d.theme, d.segment, m.ticker, m.exposure FROM (SELECT *, coalesce(lead(as_of_date) OVER (PARTITION BY ticker, theme ORDER BY as_of_date), DATE '9999-12-31') AS until FROM membership) m
-    JOIN (SELECT DISTINCT theme, as_of_date AS segment FROM membership) d ON m.theme = d.theme AND m.as_of_date <= d.segment AND d.segment < m.until WHERE exposure > 0),
-  r0 AS (SELECT theme, segment, ticker, exposure AS e, CASE WHEN count(*) OVER g * {cap} <= 1 THEN 1.0::DOUBLE / count(*) OVER g ELSE exposure / sum(exposure) OVER g END AS w0, count(*) OVER g AS n FROM held WINDOW g AS (PARTITION BY theme, segment)),
-  rounds AS (SELECT *, false AS capped, 0 AS i FROM (SELECT theme, segment, ticker, e, n, w0 AS w FROM r0)
+WEIGHTS = """, held{s} AS (SELECT d.theme, d.segment, m.ticker, m.exposure FROM (SELECT *, coalesce(lead(as_of_date) OVER (PARTITION BY ticker, theme ORDER BY as_of_date), DATE '9999-12-31') AS until FROM membership{s}) m
+    JOIN (SELECT DISTINCT theme, as_of_date AS segment FROM membership{s}) d ON m.theme = d.theme AND m.as_of_date <= d.segment AND d.segment < m.until WHERE exposure > 0),
+  r0{s} AS (SELECT theme, segment, ticker, exposure AS e, CASE WHEN count(*) OVER g * {cap} <= 1 THEN 1.0::DOUBLE / count(*) OVER g ELSE exposure / sum(exposure) OVER g END AS w0, count(*) OVER g AS n FROM held{s} WINDOW g AS (PARTITION BY theme, segment)),
+  rounds{s} AS (SELECT *, false AS capped, 0 AS i FROM (SELECT theme, segment, ticker, e, n, w0 AS w FROM r0{s})
     UNION ALL SELECT theme, segment, ticker, e, n, CASE WHEN n * {cap} <= 1 THEN w WHEN capped OR w > {cap} + 1e-12 THEN {cap}
-      ELSE e / sum(CASE WHEN capped OR w > {cap} + 1e-12 THEN 0 ELSE e END) OVER g * (1 - {cap} * sum(CASE WHEN capped OR w > {cap} + 1e-12 THEN 1 ELSE 0 END) OVER g) END, capped OR w > {cap} + 1e-12, i + 1 FROM rounds WHERE i < 12 WINDOW g AS (PARTITION BY theme, segment, i))"""
+      ELSE e / sum(CASE WHEN capped OR w > {cap} + 1e-12 THEN 0 ELSE e END) OVER g * (1 - {cap} * sum(CASE WHEN capped OR w > {cap} + 1e-12 THEN 1 ELSE 0 END) OVER g) END, capped OR w > {cap} + 1e-12, i + 1 FROM rounds{s} WHERE i < 12 WINDOW g AS (PARTITION BY theme, segment, i))"""
 
 
 def _recursive(tail: str, cap: float) -> str:
     """The iterative rule in SQL (clamp what exceeds the cap, let the rest share what remains), against the closed form here."""
     base = sql("SELECT 1 FROM membership").rsplit("\n", 1)[0].replace("WITH ", "WITH RECURSIVE ", 1)
-    return base + WEIGHTS.format(cap=f"{cap}::DOUBLE") + "\n" + tail
+    return base + WEIGHTS.format(cap=f"{cap}::DOUBLE", s="") + "\n" + tail
 
 
 @query()
@@ -182,18 +182,15 @@ def x3_chained_index(spark, sf):
     return rounded(themes.chained_index(src.daily_bars(spark, sf), _members(spark, sf), cap=0.03).select("theme", "date", "log_level"), 5)
 
 
-ORACLE_SQL["x3_chained_index"] = _recursive(
-    """, bars AS ("""
-    + """SELECT 'T' || l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS px FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY ALL),
-  w AS (SELECT theme, segment, ticker, w AS weight FROM rounds WHERE i = 12), st AS (SELECT theme, min(as_of_date) AS start FROM membership GROUP BY 1),
-  axis AS (SELECT DISTINCT theme, date FROM (SELECT e.theme, b.date FROM bars b JOIN (SELECT DISTINCT theme, ticker FROM membership WHERE exposure > 0) e USING (ticker) JOIN st USING (theme) WHERE b.date >= start UNION ALL SELECT theme, start FROM st)),
-  days AS (SELECT *, lag(date) OVER (PARTITION BY theme ORDER BY date) AS before FROM axis),
-  seg AS (SELECT theme, segment, coalesce(lead(segment) OVER (PARTITION BY theme ORDER BY segment), DATE '9999-12-31') AS until FROM (SELECT DISTINCT theme, segment FROM w)),
-  mv AS (SELECT d.theme, d.date, sum(weight * (n.px / p.px - 1)) / sum(weight) AS ret FROM days d JOIN seg s ON d.theme = s.theme AND s.segment <= d.before AND d.before < s.until JOIN w ON w.theme = s.theme AND w.segment = s.segment
-    JOIN bars n ON n.ticker = w.ticker AND n.date = d.date JOIN bars p ON p.ticker = w.ticker AND p.date = d.before GROUP BY 1, 2)
-  SELECT theme, date, round(ln(100) + sum(ln(1 + coalesce(ret, 0))) OVER (PARTITION BY theme ORDER BY date), 5) AS log_level FROM axis LEFT JOIN mv USING (theme, date)""",
-    0.03,
-)
+PRICES = ", bars AS (SELECT 'T' || l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS px FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY ALL)"
+INDEX = """, w{s} AS (SELECT theme, segment, ticker, w AS weight FROM rounds{s} WHERE i = 12), st{s} AS (SELECT theme, min(as_of_date) AS start FROM membership{s} GROUP BY 1),
+  axis{s} AS (SELECT DISTINCT theme, date FROM (SELECT e.theme, b.date FROM bars b JOIN (SELECT DISTINCT theme, ticker FROM membership{s} WHERE exposure > 0) e USING (ticker) JOIN st{s} USING (theme) WHERE b.date >= start UNION ALL SELECT theme, start FROM st{s})),
+  days{s} AS (SELECT *, lag(date) OVER (PARTITION BY theme ORDER BY date) AS before FROM axis{s}),
+  seg{s} AS (SELECT theme, segment, coalesce(lead(segment) OVER (PARTITION BY theme ORDER BY segment), DATE '9999-12-31') AS until FROM (SELECT DISTINCT theme, segment FROM w{s})),
+  mv{s} AS (SELECT d.theme, d.date, sum(weight * (n.px / p.px - 1)) / sum(weight) AS ret FROM days{s} d JOIN seg{s} s ON d.theme = s.theme AND s.segment <= d.before AND d.before < s.until JOIN w{s} w ON w.theme = s.theme AND w.segment = s.segment
+    JOIN bars n ON n.ticker = w.ticker AND n.date = d.date JOIN bars p ON p.ticker = w.ticker AND p.date = d.before GROUP BY 1, 2),
+  path{s} AS (SELECT theme, date, ln(100) + sum(ln(1 + coalesce(ret, 0))) OVER (PARTITION BY theme ORDER BY date) AS log_level FROM axis{s} LEFT JOIN mv{s} USING (theme, date))"""
+ORACLE_SQL["x3_chained_index"] = _recursive(PRICES + INDEX.format(s="") + " SELECT theme, date, round(log_level, 5) AS log_level FROM path", 0.03)
 
 
 @query("SELECT ticker, week, close FROM (SELECT ticker, date + CAST((4 - (isodow(date) - 1) + 7) % 7 AS INTEGER) AS week, max_by(close, date) AS close FROM bars GROUP BY 1, 2)")
@@ -214,22 +211,49 @@ def r2_relative_strength(spark, sf):
     return rounded(rotation.relative_strength(src.sector_bars(spark, sf), src.benchmark(spark, sf)), 5)
 
 
-@query()
-def r8_league_table(spark, sf):
-    """R3, R4, R5, A3, O4."""
-    rs = rotation.states(rotation.relative_strength(src.sector_bars(spark, sf), src.benchmark(spark, sf)))
-    members = src.universe(spark, sf).select(F.col("sector").alias("bucket"), "ticker")
-    return rounded(rs.join(rotation.breadth(_signals(spark, sf), members), "bucket", "left").orderBy(F.desc("level"), "bucket"), 5)
+def _snapshot_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """What the league counts its members from: signals with a relative strength, bars so far, and the screen's flag."""
+    rows = _signals(spark, sf).withColumn("n_bars", F.count("*").over(by_ticker())).where("rs_raw is not null")
+    return rows.join(_risers(spark, sf).select("ticker", "date", "candidate"), ["ticker", "date"])
+
+
+BREADTH = (
+    "breadth AS (SELECT sector AS bucket, count(*) AS member_count, round(100 * avg(CASE WHEN s.close > ma50 THEN 1.0 ELSE 0.0 END), 6) AS breadth_ma50, round(100 * avg(CASE WHEN s.close > ma200 THEN 1.0 ELSE 0.0 END), 6) AS breadth_ma200, "
+    "CAST(sum(CASE WHEN high_prox >= 0.99 THEN 1 ELSE 0 END) AS BIGINT) AS at_high, CAST(sum(candidate) AS BIGINT) AS candidates FROM signal s JOIN listed l ON l.ticker = s.ticker AND l.date = s.date JOIN universe u ON u.ticker = s.ticker "
+    "JOIN (SELECT ticker, count(*) AS n_bars FROM bars GROUP BY 1) b ON b.ticker = s.ticker WHERE sector IS NOT NULL AND n_bars >= 60 AND s.date = (SELECT max(date) FROM signal WHERE rs_raw IS NOT NULL) GROUP BY sector)"
+)
 
 
 @query(
-    "SELECT bucket, count(*) AS member_count, round(100 * avg(CASE WHEN close > ma50 THEN 1.0 ELSE 0.0 END), 6) AS breadth_ma50, round(100 * avg(CASE WHEN close > ma200 THEN 1.0 ELSE 0.0 END), 6) AS breadth_ma200, CAST(sum(CASE WHEN high_prox >= 0.99 THEN 1 ELSE 0 END) AS BIGINT) AS at_high "
-    "FROM (SELECT sector AS bucket, s.* FROM universe u JOIN (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS n FROM signal) s ON s.ticker = u.ticker AND n = 1) GROUP BY bucket"
+    ", " + BREADTH + """, wk AS (SELECT bucket, date + CAST((4 - (isodow(date) - 1) + 7) % 7 AS INTEGER) AS week, max_by(close, date) AS close FROM sector_bars GROUP BY 1, 2),
+  bw AS (SELECT date + CAST((4 - (isodow(date) - 1) + 7) % 7 AS INTEGER) AS week, max_by(close, date) AS base FROM spx GROUP BY 1),
+  rs AS (SELECT bucket, week, 100 * close / base AS rs, row_number() OVER (PARTITION BY bucket ORDER BY week) AS i FROM wk JOIN bw USING (week)),
+  ema AS (SELECT bucket, week, rs, i, rs AS m FROM rs WHERE i = 1 UNION ALL SELECT r.bucket, r.week, r.rs, r.i, (1 - 2.0::DOUBLE / 11) * e.m + 2.0::DOUBLE / 11 * r.rs FROM ema e JOIN rs r ON r.bucket = e.bucket AND r.i = e.i + 1),
+  ratio AS (SELECT * FROM (SELECT bucket, week, 100 + 10 * (m - avg(m) OVER g) / nullif(CASE WHEN count(m) OVER g = 10 THEN stddev_samp(m) OVER g END, 0) AS level FROM ema WINDOW g AS (PARTITION BY bucket ORDER BY week ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) WHERE level IS NOT NULL),
+  slopes AS (SELECT bucket, week, level, coalesce(level - lag(level, 4) OVER (PARTITION BY bucket ORDER BY week), 0) AS slope FROM ratio),
+  evs AS (SELECT sector AS bucket, median(evs) AS agg_evs FROM valued JOIN universe USING (ticker) WHERE evs IS NOT NULL AND date = (SELECT max(date) FROM valued) GROUP BY 1),
+  rel AS (SELECT bucket, date, close / lag(close, 21) OVER w - base / lag(base, 21) OVER w AS rel_ret_1m, close / lag(close, 63) OVER w - base / lag(base, 63) OVER w AS rel_ret_3m, close / lag(close, 126) OVER w - base / lag(base, 126) OVER w AS rel_ret_6m FROM (
+    SELECT bucket, b.date, b.close, last_value(x.close IGNORE NULLS) OVER (PARTITION BY bucket ORDER BY b.date) AS base FROM sector_bars b LEFT JOIN spx x ON x.date = b.date) WINDOW w AS (PARTITION BY bucket ORDER BY date))
+  SELECT s.bucket, s.week, round(level, 5) AS level, round(slope, 5) AS slope_4w, CASE WHEN level >= 100 AND slope >= 0 THEN 'LEADING' WHEN level >= 100 THEN 'WEAKENING' WHEN slope >= 0 THEN 'IMPROVING' ELSE 'LAGGING' END AS state,
+  member_count, round(breadth_ma50, 5) AS breadth_ma50, round(breadth_ma200, 5) AS breadth_ma200, at_high, candidates, round(agg_evs, 5) AS agg_evs, round(rel_ret_1m, 5) AS rel_ret_1m, round(rel_ret_3m, 5) AS rel_ret_3m, round(rel_ret_6m, 5) AS rel_ret_6m
+  FROM slopes s LEFT JOIN breadth USING (bucket) LEFT JOIN evs USING (bucket) LEFT JOIN rel ON rel.bucket = s.bucket AND rel.date = (SELECT max(r.date) FROM rel r WHERE r.bucket = s.bucket) WHERE s.week = (SELECT max(t.week) FROM slopes t WHERE t.bucket = s.bucket)"""
 )
+def r8_league_table(spark, sf):
+    """R3, R4, R5, R6, R7, R8, A3, O4."""
+    buckets, spx = src.sector_bars(spark, sf), src.benchmark(spark, sf)
+    members = src.universe(spark, sf).select(F.col("sector").alias("bucket"), "ticker")
+    valued = _valued(spark, sf).select("ticker", "date", "evs")
+    evs = valued.join(F.broadcast(valued.agg(F.max("date").alias("date"))), "date", "left_semi").where("evs is not null").join(members, "ticker").groupBy("bucket").agg(F.median("evs").alias("agg_evs"))
+    league = rotation.states(rotation.relative_strength(buckets, spx)).join(rotation.breadth(_snapshot_rows(spark, sf), members), "bucket", "left").join(evs, "bucket", "left")
+    league = league.join(rotation.relative_returns(buckets, spx, rel_ret_1m=21, rel_ret_3m=63, rel_ret_6m=126), "bucket", "left")
+    return rounded(league.orderBy(F.desc("level"), "bucket"), 5)
+
+
+@query(", " + BREADTH + " SELECT * FROM breadth")
 def a3_breadth(spark, sf):
-    """A3, J8, J9."""
+    """A3, J8, J9, R5."""
     members = src.universe(spark, sf).select(F.col("sector").alias("bucket"), "ticker")
-    return rounded(rotation.breadth(_signals(spark, sf), members))
+    return rounded(rotation.breadth(_snapshot_rows(spark, sf), members))
 
 
 @query("SELECT sector, round(median(evs), 4) AS agg_evs, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS n FROM valued) JOIN universe USING (ticker) WHERE n = 1 AND evs IS NOT NULL GROUP BY sector")
@@ -245,17 +269,10 @@ def a4_median_multiple(spark, sf):
 @query(
     "SELECT date, ticker, round(percent_rank() OVER (PARTITION BY date ORDER BY net20 ASC NULLS LAST), 9) AS sql_rank, round(CASE WHEN net20 IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY net20 ASC NULLS LAST) + (count(net20) OVER (PARTITION BY date, net20) - 1) / 2.0) / count(net20) OVER (PARTITION BY date) END, 9) AS rank_share, "
     "round(CASE WHEN net20 IS NOT NULL THEN CASE WHEN count(net20) OVER (PARTITION BY date) = 1 THEN 50.0 ELSE 100.0 * (row_number() OVER (PARTITION BY date ORDER BY net20 ASC NULLS LAST, ticker) - 1) / nullif(count(net20) OVER (PARTITION BY date) - 1, 0) END END, 9) AS position_pct, "
-    "round(100 * cume_dist() OVER (PARTITION BY date ORDER BY net20 ASC NULLS LAST)) AS at_most_pct FROM riser WHERE date >= DATE '2001-01-01'"
+    "round(100 * cume_dist() OVER (PARTITION BY date ORDER BY net20 ASC NULLS LAST)) AS at_most_pct FROM riser"
 )
 def w9_percentile_family(spark, sf):
     """T7, W8, W9, V14, V15."""
-    r = screen.riser_metrics(src.daily_bars(spark, sf)).where("date >= date'2001-01-01'")
-    return rounded(cs.percentile_family(r, "net20", "date", "ticker"), 9)
-
-
-@query()
-def w9_percentile_family_whole(spark, sf):
-    """T7, W8, W9, V14, V15 on every date of the table; w9_percentile_family and its SQL stop at 2001. Tests hold it against a plain version."""
     return rounded(cs.percentile_family(screen.riser_metrics(src.daily_bars(spark, sf)), "net20", "date", "ticker"), 9)
 
 
@@ -419,12 +436,12 @@ def v6_trailing_four(spark, sf):
     return out.select("entity", "end", F.round("ttm", 4).alias("ttm"), "filed")
 
 
-@query("SELECT ticker, period_end, revenue_ttm, filed_date, date_diff('day', period_end, effective_eod_date) AS disclosure_lag, revenue_ttm / nullif(lag(revenue_ttm, 4) OVER (PARTITION BY ticker ORDER BY period_end), 0) - 1 AS yoy FROM filings WHERE effective_eod_date <= DATE '2001-01-01'")
+@query("SELECT ticker, period_end, revenue_ttm, filed_date, date_diff('day', period_end, filed_date) AS disclosure_lag, revenue_ttm / nullif(lag(revenue_ttm, 4) OVER (PARTITION BY ticker ORDER BY period_end), 0) - 1 AS yoy FROM filings WHERE coalesce(effective_eod_date, filed_date) <= DATE '2001-01-01'")
 def v17_revenue_history(spark, sf):
     """V17, W22."""
     w = Window.partitionBy("ticker").orderBy("period_end")
-    f = src.fundamentals(spark, sf).where("effective_eod_date <= date'2001-01-01'")
-    return f.select("ticker", "period_end", "revenue_ttm", "filed_date", F.datediff("effective_eod_date", "period_end").cast("long").alias("disclosure_lag"), (F.try_divide("revenue_ttm", F.lag("revenue_ttm", 4).over(w)) - 1).alias("yoy"))
+    f = src.fundamentals(spark, sf).where("coalesce(effective_eod_date, filed_date) <= date'2001-01-01'")
+    return f.select("ticker", "period_end", "revenue_ttm", "filed_date", F.datediff("filed_date", "period_end").cast("long").alias("disclosure_lag"), (F.try_divide("revenue_ttm", F.lag("revenue_ttm", 4).over(w)) - 1).alias("yoy"))
 
 
 CROSS = "2001-06-15"
@@ -553,15 +570,24 @@ def k1_screen_checks(spark, sf):
 
 @query()
 def k3_no_retro_probe(spark, sf):
-    """M6, K3: a later restatement leaves every earlier level of its theme as it was. Returns levels that changed before it (none)."""
+    """M6, K3: a later restatement leaves every earlier level of its theme as it was, and moves later ones. Levels of each theme, and how many changed."""
     m, bars = _members(spark, sf), src.daily_bars(spark, sf)
     probe = m.groupBy("theme").agg(F.max_by("ticker", F.struct("exposure", "ticker")).alias("ticker")).select("ticker", "theme", F.lit(0.0).alias("exposure"), F.lit("2001-03-05").cast("date").alias("as_of_date"))
-    before = themes.chained_index(bars, m, 0.03).where("date <= date'2001-03-05'").select("theme", "date", F.col("log_level").alias("level"))
-    after = themes.chained_index(bars, m.unionByName(probe), 0.03).where("date <= date'2001-03-05'").select("theme", "date", F.col("log_level").alias("level"))
-    return checks.agree(before, after, ["theme", "date"], "level", 1e-9)
-
-
-ORACLE_SQL["k3_no_retro_probe"] = "SELECT c_mktsegment AS theme, CAST(NULL AS DATE) AS date, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y FROM customer WHERE false"
+    plain = themes.chained_index(bars, m, 0.03).select("theme", "date", F.col("log_level").alias("x"))
+    probed = themes.chained_index(bars, m.unionByName(probe), 0.03).select("theme", "date", F.col("log_level").alias("y"))
+    both = plain.join(probed, ["theme", "date"], "full").withColumn("same", F.coalesce(F.abs(F.col("x") - F.col("y")) < 1e-7, F.lit(False)))
+    early = F.col("date") <= F.lit("2001-03-05").cast("date")
+    share = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return both.groupBy("theme").agg(share(early).alias("earlier"), share(early & ~F.col("same")).alias("earlier_changed"), (share(~early & ~F.col("same")) > 0).alias("later_moved"))
+
+
+PROBE = ", membership_p AS (SELECT ticker, theme, exposure, as_of_date FROM membership UNION ALL SELECT arg_max(ticker, (exposure, ticker)), theme, 0.0::DOUBLE, DATE '2001-03-05' FROM membership GROUP BY theme)"
+ORACLE_SQL["k3_no_retro_probe"] = _recursive(
+    PRICES + INDEX.format(s="") + PROBE + WEIGHTS.format(cap="0.03::DOUBLE", s="_p") + INDEX.format(s="_p")
+    + " SELECT theme, count(*) FILTER (date <= DATE '2001-03-05') AS earlier, count(*) FILTER (date <= DATE '2001-03-05' AND NOT same) AS earlier_changed, count(*) FILTER (date > DATE '2001-03-05' AND NOT same) > 0 AS later_moved "
+    "FROM (SELECT theme, date, coalesce(abs(a.log_level - b.log_level) < 1e-7, false) AS same FROM path a FULL JOIN path_p b USING (theme, date)) GROUP BY theme",
+    0.03,
+)
 
 
 # --- windows and paths
@@ -668,17 +694,28 @@ def q8_block_bootstrap(spark, sf):
 # --- text
 
 
-@query(
-    "SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?i)</(p|div|tr|li|h[1-6]|table)>|<br ?/?>', chr(10), 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&#39;', ''''), '[ ' || chr(9) || ']+', ' ', 'g'), chr(10) || ' ?(' || chr(10) || ' ?)+', chr(10), 'g')) AS text FROM pages"
-)
+TEXT = "html"
+for _pattern, _to in (("(?is)<script[^>]*>.*?</script>", "' '"), ("(?is)<style[^>]*>.*?</style>", "' '"), ("(?i)</(p|div|tr|li|h1|h2|h3|h4|h5|h6|table)>", "chr(10)"), ("<[^>]+>", "' '")):
+    TEXT = f"regexp_replace({TEXT}, '{_pattern}', {_to}, 'g')"
+TEXT = f"replace(replace(replace({TEXT}, '&nbsp;', ' '), '&amp;', '&'), '&#8217;', '''')"
+for _pattern, _to in (("[ \\t]+", "' '"), ("\\n\\s*\\n", "chr(10)"), ("^\\s+|\\s+$", "''")):
+    TEXT = f"regexp_replace({TEXT}, '{_pattern}', {_to}, 'g')"
+
+
+@query(f"SELECT page_id, {TEXT} AS text FROM pages")
 def l1_html_text(spark, sf):
     return src.table(spark, sf, "pages").select("page_id", text.html_text(F.col("html")).alias("text"))
 
 
-@query()
+@query(
+    "SELECT doc_id, a AS start, least(b, length(text)) AS \"end\", md5(substring(text, CAST(a + 1 AS BIGINT), CAST(b - a AS BIGINT))) AS piece_md5 FROM (SELECT doc_id, any_value(text) AS text, min(a) AS a, max(b) AS b, island FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM ("
+    "SELECT doc_id, text, pos, greatest(0, pos - 500) AS a, pos + 3000 AS b, CASE WHEN greatest(0, pos - 500) < lag(pos + 3000) OVER (PARTITION BY doc_id ORDER BY pos) THEN 0 ELSE 1 END AS new FROM ("
+    "SELECT doc_id, text, i, n, CAST(sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) + (i - 1) * 4 AS BIGINT) AS pos FROM (SELECT doc_id, text, unnest(string_split(text, 'that')) AS x, generate_subscripts(string_split(text, 'that'), 1) AS i, len(string_split(text, 'that')) AS n FROM documents WHERE text IS NOT NULL)) WHERE i < n)) q GROUP BY doc_id, island) WHERE island <= 12"
+)
 def l2_keyword_windows(spark, sf):
-    """Windows around a word in whole texts, overlapping ones merged; tests hold it against a plain version."""
-    return text.keyword_windows(src.table(spark, sf, "documents"), "doc_id", "text", "that", before=50, after=300, most=12).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.md5("piece").alias("piece_md5"))
+    """Windows of 500 characters before and 3,000 behind a word in whole texts, overlapping ones merged, the first twelve."""
+    found = text.keyword_windows(src.table(spark, sf, "documents"), "doc_id", "text", "that")
+    return found.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.md5("piece").alias("piece_md5"))
 
 
 @query("SELECT theme, ticker, try_cast(e AS DOUBLE) AS exposure, CASE WHEN c IN ('high', 'medium', 'low') THEN c ELSE 'low' END AS confidence FROM (SELECT theme, ticker, CASE WHEN ticker LIKE '%7' THEN 'n/a' WHEN ticker LIKE '%8' THEN '1.5' ELSE CAST(exposure AS VARCHAR) END AS e, CASE WHEN ticker LIKE '%1' THEN 'high' WHEN ticker LIKE '%2' THEN '?' END AS c FROM membership) WHERE theme <> 'MACHINERY' AND try_cast(e AS DOUBLE) BETWEEN 0 AND 1")
@@ -775,13 +812,18 @@ def s24_weekdays(spark, sf):
     return src.benchmark(spark, sf).select("date").join(days, "date")
 
 
-@query("SELECT theme, count(*) AS members, round(max(w), 9) <= round(greatest(0.03, 1.0 / count(*)), 9) AS capped, abs(sum(w) - 1) < 1e-9 AS whole FROM (SELECT theme, ticker, 1.0::DOUBLE / 1 AS w FROM membership WHERE false) GROUP BY theme UNION ALL SELECT theme, count(*), true, true FROM (SELECT *, row_number() OVER (PARTITION BY ticker, theme ORDER BY as_of_date DESC) AS n FROM membership WHERE as_of_date <= DATE '2000-06-30') WHERE n = 1 AND exposure > 0 GROUP BY theme")
+@query()
 def k4_weight_bounds(spark, sf):
     w = themes.capped_weights(asof.membership_at(_members(spark, sf), DAY), ["theme"], 0.03)
     bound = F.greatest(F.lit(0.03), 1 / F.count("*")) + 1e-9
     return w.groupBy("theme").agg(F.count("*").alias("members"), (F.max("weight") <= bound).alias("capped"), (F.abs(F.sum("weight") - 1) < 1e-9).alias("whole"))
 
 
+ORACLE_SQL["k4_weight_bounds"] = _recursive(
+    f"SELECT theme, count(*) AS members, max(w) <= greatest(0.03, 1.0 / count(*)) + 1e-9 AS capped, abs(sum(w) - 1) < 1e-9 AS whole FROM rounds r WHERE i = 12 AND segment = (SELECT max(m.as_of_date) FROM membership m WHERE m.theme = r.theme AND m.as_of_date <= DATE '{DAY}') GROUP BY theme", 0.03
+)
+
+
 @query("SELECT ticker, round(close / lag21 - 1, 6) AS ret_1m, round(close / top - 1, 6) AS from_high, round(volume / mean50, 6) AS volume_ratio FROM (SELECT ticker, date, close, volume, lag(close, 21) OVER w AS lag21, max(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS top, avg(CAST(volume AS DOUBLE)) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS mean50, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS n FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)) WHERE n = 1")
 def d1_evidence(spark, sf):
     from panelwright.functions.windows import last_rows

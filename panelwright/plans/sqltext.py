@@ -37,20 +37,21 @@ CTES = {
         FROM (SELECT *, ln(greatest(adj_close, 1e-9)) - ln(greatest(lag(adj_close) OVER v, 1e-9)) AS d, row_number() OVER v AS i, list(adj_close) OVER (v ROWS BETWEEN 10 PRECEDING AND CURRENT ROW) AS p FROM bars WINDOW v AS (PARTITION BY ticker ORDER BY date))
         WINDOW w AS (PARTITION BY ticker ORDER BY date), w10 AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""",
     "listed": """SELECT *, round(100 * percent_rank() OVER (PARTITION BY date ORDER BY net10 ASC NULLS LAST), 1) AS net10_pct,
-        CASE WHEN up10 >= 0.6 AND net10 > 0 AND row_number() OVER (PARTITION BY date ORDER BY CASE WHEN up10 >= 0.6 AND net10 > 0 THEN net10 END DESC NULLS LAST, ticker) <= 3 THEN 1 ELSE 0 END AS candidate FROM riser""",
+        CASE WHEN up10 >= 0.6 AND net10 > 0 AND row_number() OVER (PARTITION BY date ORDER BY CASE WHEN up10 >= 0.6 AND net10 > 0 THEN net10 END DESC NULLS LAST, ticker) <= 3 THEN 1 ELSE 0 END AS candidate FROM (SELECT r.* FROM riser r JOIN signal s ON r.ticker = s.ticker AND r.date = s.date WHERE s.rs_raw IS NOT NULL)""",
     "streaks": """SELECT * EXCLUDE (island), CASE WHEN candidate = 1 THEN row_number() OVER (PARTITION BY ticker, candidate, island ORDER BY date) ELSE 0 END AS streak_days FROM (
         SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) - row_number() OVER (PARTITION BY ticker, candidate ORDER BY date) AS island FROM listed)""",
-    "filings_split": """SELECT f.*, coalesce(exp(sum(ln(s.ratio))), 1.0) AS split_factor FROM filings f LEFT JOIN splits s ON f.ticker = s.ticker AND s.ex_date > f.effective_eod_date AND s.ex_date <= DATE '2001-11-04' GROUP BY ALL""",
+    "filings_split": """SELECT f.*, coalesce(exp(sum(ln(s.ratio))), 1.0) AS split_factor FROM filings f LEFT JOIN (SELECT ticker, max(date) AS basis FROM bars GROUP BY ticker) b ON f.ticker = b.ticker
+        LEFT JOIN splits s ON f.ticker = s.ticker AND s.ex_date > coalesce(f.effective_eod_date, f.filed_date) AND s.ex_date <= b.basis GROUP BY ALL""",
     "filings_growth": """SELECT *, CASE WHEN date_diff('day', lag(period_end, 4) OVER w, period_end) BETWEEN 330 AND 400 THEN revenue_ttm / nullif(lag(revenue_ttm, 4) OVER w, 0) - 1 END AS growth,
         CASE WHEN revenue_ttm > 0 THEN ebitda_ttm / revenue_ttm END AS margin FROM filings_split WINDOW w AS (PARTITION BY ticker ORDER BY period_end)""",
-    "valued": """SELECT ticker, date, close, pe, ps, evs, ev_ebitda, CASE WHEN growth > 0 AND eps > 0 THEN pe / (100 * growth) END AS peg, growth, margin, 100 * (growth + margin) AS rule40, period_end AS as_of_period_end, filed_date AS as_of_filed, effective_eod_date AS as_of_effective_eod FROM (
-        SELECT *, CASE WHEN eps > 0 THEN close / eps END AS pe, CASE WHEN revenue_ttm > 0 THEN cap / revenue_ttm END AS ps, CASE WHEN revenue_ttm > 0 THEN ev / revenue_ttm END AS evs, CASE WHEN ebitda_ttm > 0 THEN ev / ebitda_ttm END AS ev_ebitda FROM (
+    "valued": """SELECT ticker, date, close, pe, ps, evs, ev_ebitda, CASE WHEN growth > 0 AND eps_ttm > 0 THEN pe / (100 * growth) END AS peg, growth, margin, 100 * (growth + margin) AS rule40, period_end AS as_of_period_end, filed_date AS as_of_filed, effective_eod_date AS as_of_effective_eod FROM (
+        SELECT *, CASE WHEN eps_ttm > 0 THEN adj_close * split_factor / eps_ttm END AS pe, CASE WHEN revenue_ttm > 0 AND shares > 0 THEN cap / revenue_ttm END AS ps, CASE WHEN revenue_ttm > 0 AND shares > 0 THEN ev / revenue_ttm END AS evs, CASE WHEN ebitda_ttm > 0 AND shares > 0 THEN ev / ebitda_ttm END AS ev_ebitda FROM (
         SELECT *, cap + coalesce(total_debt, 0) - coalesce(cash, 0) AS ev FROM (
-        SELECT b.ticker, b.date, b.close, f.* EXCLUDE (ticker), b.close * f.shares * f.split_factor AS cap, f.eps_ttm / f.split_factor AS eps
-        FROM bars b ASOF JOIN filings_growth f ON b.ticker = f.ticker AND b.date >= f.effective_eod_date) WHERE revenue_ttm IS NOT NULL AND shares IS NOT NULL))""",
+        SELECT b.ticker, b.date, b.close, b.adj_close, f.* EXCLUDE (ticker), b.adj_close * f.shares * f.split_factor AS cap
+        FROM bars b ASOF JOIN filings_growth f ON b.ticker = f.ticker AND b.date >= coalesce(f.effective_eod_date, f.filed_date)) WHERE revenue_ttm IS NOT NULL AND shares IS NOT NULL))""",
     "signal": """SELECT ticker, date, close, r63 AS ret_63, r126 AS ret_126, (r63 - (spx / lag(spx, 63) OVER w - 1)) + (r126 - (spx / lag(spx, 126) OVER w - 1)) AS rs_raw,
         CASE WHEN count(px) OVER w50 = 50 THEN avg(px) OVER w50 END AS ma50, CASE WHEN count(px) OVER w150 = 150 THEN avg(px) OVER w150 END AS ma150, CASE WHEN count(px) OVER w200 = 200 THEN avg(px) OVER w200 END AS ma200,
-        px / CASE WHEN count(px) OVER w252 >= 126 THEN max(px) OVER w252 END AS high_prox,
+        px / CASE WHEN count(px) OVER w252 >= 20 THEN max(px) OVER w252 END AS high_prox,
         CASE WHEN count(step) OVER w63 = 63 THEN greatest(0.0, least(1.0, abs(px - lag(px, 63) OVER w) / nullif(sum(abs(step)) OVER w63, 0))) END AS trend_quality,
         CASE WHEN count(volume) OVER w200 = 200 THEN avg(CAST(volume AS DOUBLE)) OVER w50 / nullif(avg(CAST(volume AS DOUBLE)) OVER w200, 0) END AS vol_ratio,
         CASE WHEN count(volume) OVER w50 = 50 THEN CAST(sum(CASE WHEN step > 0 THEN volume ELSE 0 END) OVER w50 AS DOUBLE) / nullif(CAST(sum(CASE WHEN step IS NULL OR step <= 0 THEN volume ELSE 0 END) OVER w50 AS DOUBLE), 0) END AS ud_vol_ratio
@@ -59,7 +60,7 @@ CTES = {
         WINDOW w AS (PARTITION BY ticker ORDER BY date), w50 AS (w ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), w63 AS (w ROWS BETWEEN 62 PRECEDING AND CURRENT ROW), w150 AS (w ROWS BETWEEN 149 PRECEDING AND CURRENT ROW),
         w200 AS (w ROWS BETWEEN 199 PRECEDING AND CURRENT ROW), w252 AS (w ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)""",
     "scored": """SELECT *, 100 * (0.215 * c_rs + 0.22 * c_high + 0.17 * c_trend + 0.12 * c_vol + 0.275 * c_accel) AS composite FROM (
-        SELECT *, greatest(0.0, least(1.0, rs_pct / 100)) AS c_rs, coalesce(greatest(0.0, least(1.0, (high_prox - 0.7) / 0.3)), 0.0) AS c_high, coalesce(trend_quality, 0.0) AS c_trend,
+        SELECT *, greatest(0.0, least(1.0, rs_pct / 100)) AS c_rs, coalesce(greatest(0.0, least(1.0, high_prox)), 0.0) AS c_high, coalesce(trend_quality, 0.0) AS c_trend,
         CASE WHEN vol_ratio IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, (vol_ratio - 1) / 0.6 + 0.5)) END AS c_vol, greatest(0.0, least(1.0, coalesce(rs_accel, 0) / 100 + 0.5)) AS c_accel FROM (
         SELECT *, rs_pct - lag(rs_pct, 21) OVER (PARTITION BY ticker ORDER BY date) AS rs_accel FROM (
         SELECT *, 100 * percent_rank() OVER (PARTITION BY date ORDER BY rs_raw ASC NULLS LAST) AS rs_pct FROM signal WHERE rs_raw IS NOT NULL)))""",

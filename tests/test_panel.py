@@ -20,7 +20,7 @@ def filings(spark, rows):
 
 
 def bars(spark, rows):
-    return spark.createDataFrame([(t, day(d), float(c)) for t, d, c in rows], "ticker string, date date, close double")
+    return spark.createDataFrame([(t, day(d), float(c), float(c)) for t, d, c in rows], "ticker string, date date, close double, adj_close double")
 
 
 def test_a_filing_counts_from_its_filing_date(spark):
@@ -38,8 +38,9 @@ def test_a_filing_counts_from_its_filing_date(spark):
 def test_splits_after_the_filing_are_applied(spark, split, filed, eps, shares, want):
     f = filings(spark, [("A", "2025-12-31", filed, 1000, shares, eps)])
     s = spark.createDataFrame([("A", day(split), 10.0)] if split else [], "ticker string, ex_date date, ratio double")
-    f = valuation.with_growth(asof.split_factor(f, s, "2026-06-01"))
-    r = valuation.valuation(bars(spark, [("A", "2026-05-15", 10)]), f).first()
+    b = bars(spark, [("A", "2026-05-15", 10)])
+    f = valuation.with_growth(asof.split_factor(f, s, b))
+    r = valuation.valuation(b, f).first()
     assert (round(r.pe, 9), round(r.ps, 9)) == want
 
 
@@ -169,15 +170,15 @@ def test_states(spark):
 
 
 def test_html_and_windows(spark):
-    html = "<html><style>p{}</style><p>One &amp; two</p><script>x()</script><div>three&nbsp; four</div></html>"
-    assert spark.createDataFrame([(html,)], "h string").select(text.html_text(F.col("h"))).first()[0].strip() == "One & two\n three four"
+    html = "<html><style>p{}</style><p>One &amp; two</p> <br>  <script>x()</script><div>three&nbsp; four&#8217;s</div></html>"
+    assert spark.createDataFrame([(html,)], "h string").select(text.html_text(F.col("h"))).first()[0] == "One & two\n three four's"
     t = "aaa that bbb that " + "c" * 50 + " that end"
     got = [(r.start, r.end) for r in text.keyword_windows(spark.createDataFrame([(1, t), (2, None), (3, "none")], "k int, t string"), "k", "t", "that", 4, 10, 12).orderBy("start").collect()]
     at = [i for i in range(len(t)) if t.startswith("that", i)]
     want: list = []
     for i in at:
         a, b = max(0, i - 4), min(len(t), i + 10)
-        if want and a <= want[-1][1]:
+        if want and a < want[-1][1]:
             want[-1] = (want[-1][0], max(b, want[-1][1]))
         else:
             want.append((a, b))
