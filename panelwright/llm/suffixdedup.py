@@ -16,13 +16,14 @@ anchor at the same place inside. Around each anchor lies a *segment*: every such
 
 Defined cases: null texts are empty; texts shorter than ``length`` lose nothing; matches never cross texts; a row
 that repeats id and text is the same text (both rows get equal results); rows that repeat an id with other text
-rank by a 24-bit hash of the text after the id; rows without an id rank first; an empty table gives an empty table; other columns are ignored.
+rank by a 32-bit hash of the text after the id, by which they are told apart; rows without an id rank first, by a
+72-bit hash of the text; ids within 2**40 of the smallest long count as none; an empty table gives an empty table;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,16 +40,20 @@ U = np.uint64
 K = 32
 #: Bytes of segments in one Burrows-Wheeler transform.
 BLOCK_BYTES = 1 << 20
-#: Starts are kept in the low bits, the text's 24-bit hash above them.
-START_BITS = 38
-#: Stands for a null id inside; such rows rank first.
-NO_ID = -(1 << 63)
+#: Starts are kept in the low bits (a text has less than 2 GB), the text's 32-bit hash above them.
+START_BITS = 31
+#: Rows without an id rank first: they get one of the smallest ids, by another 40 bits of the text's hash.
+NO_ID, NO_ID_BITS = -(1 << 63), 40
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _text_keys(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     data = raw.tobytes()
-    return np.array([zlib.crc32(data[a:b]) & 0xFFFFFF for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], np.int64)
+    return np.array([text_key(data[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], np.int64)
+
+
+def text_key(text: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(text, digest_size=4).digest(), "little")
 
 
 def prefix_hash(raw: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -127,7 +132,7 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         texts = [(x.as_py() or "").encode() for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.crc32(t) & 0xFFFFFF for t in texts], pa.int64()), pa.array([pack.compress(t) for t in texts], pa.binary())], ["doc_id", "text_key", "packed"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_key(t) for t in texts], pa.int64()), pa.array([pack.compress(t) for t in texts], pa.binary())], ["doc_id", "text_key", "packed"])
 
 
 def _segments(length: int):
@@ -335,7 +340,8 @@ def _strings(length: int):
 
 
 def _ranked(documents: DataFrame) -> DataFrame:
-    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    none = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("text"), 64 - NO_ID_BITS)
+    return documents.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("doc_id"), "text")
 
 
 def repeated_spans(documents: DataFrame, length: int = 100, hot: int = 4096) -> DataFrame:
@@ -409,4 +415,4 @@ def without_repeats(documents: DataFrame, length: int = 100, hot: int = 4096) ->
     docs = _ranked(documents)
     spans = repeated_spans(documents, length, hot).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     packed = docs.mapInArrow(_compressed, "doc_id long, text_key long, packed binary")
-    return packed.join(spans, ["doc_id", "text_key"], "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "packed", "spans").mapInArrow(_cut(length), RESULT)
+    return packed.join(spans, ["doc_id", "text_key"], "left").select(F.when(F.col("doc_id") >= NO_ID + (1 << NO_ID_BITS), F.col("doc_id")).alias("doc_id"), "packed", "spans").mapInArrow(_cut(length), RESULT)
