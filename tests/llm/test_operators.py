@@ -362,6 +362,60 @@ def test_lm_counts_and_gain(spark, docs, rows, nothing):
     assert brownlm.scores(nothing).count() == 0
 
 
+def test_lm_scores_equal_a_plain_class_model(spark, docs, rows):
+    """The model's classes are taken as given; transitions, class sizes, smoothing and scores are counted again plainly."""
+    import math
+    from collections import Counter
+
+    sizes = {"head": 64, "single": 24, "shapes": 8, "classes": 5, "rounds": 8}
+    learn = [(d, t) for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
+    model = brownlm.fit(docs.where(docs.doc_id.isin([d for d, _ in learn])).select("text"), **sizes)[0]
+
+    def read(t):
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        h, _, ending = brownlm.tokens(raw, np.array([0, len(raw)]), 8)
+        at, c = brownlm.classes_of(model.words, model.class_of, model.of_group, h, ending)
+        return list(zip(h.tolist(), c.tolist(), (at >= 0).tolist(), strict=True))
+
+    count, size, unseen, pair = Counter(), Counter(), Counter(), Counter()
+    kinds: dict = {}
+    for _, t in learn:
+        seq = read(t)
+        for (w, c, near), following in zip(seq, [*seq[1:], None], strict=True):
+            count[w] += 1
+            size[c] += 1
+            if not near:
+                kinds.setdefault(c, set()).add(w)
+            if following:
+                pair[c, following[1]] += 1
+    unseen = {c: len(x) for c, x in kinds.items()}
+    whole = sum(size.values()) + 5
+    share = {c: (size[c] + 1) / whole for c in range(5)}
+    out = {r.doc_id: r.score for r in brownlm.scores(docs, **sizes).collect()}
+    for d, t in rows:
+        score, before = 0.0, None
+        for w, c, near in read(t):
+            if before is None:
+                score += math.log10(share[c])
+            else:
+                back = sum(pair[before, x] > 0 for x in range(5)) + 1
+                score += math.log10((pair[before, c] + back * share[c]) / (sum(pair[before, x] for x in range(5)) + back))
+            score += math.log10((count[w] if near else count[w] + 1) / (size[c] + unseen.get(c, 0) + 1))
+            before = c
+        assert out[d] == pytest.approx(score, abs=1e-9)
+
+
+def test_lm_scores_do_not_depend_on_tasks(spark, docs):
+    sizes = {"head": 200, "single": 60, "shapes": 16, "classes": 6, "rounds": 8}
+    one, many = (got(brownlm.scores(docs.repartition(n), **sizes)) for n in (1, 7))
+    assert [x[:6] for x in one] == [x[:6] for x in many] and [x[6] for x in one] == pytest.approx([x[6] for x in many], abs=1e-9)
+
+
+def test_lm_of_odd_rows(odd):
+    out = brownlm.scores(odd).collect()
+    assert len(out) == 6 and len({r.score for r in out if r.n_tokens > 5 and r.doc_id == 1}) == 1
+
+
 def test_exchange_finds_alternating_words(spark):
     r = random.Random(1)
     rows = [(i, " ".join(x for _ in range(40) for x in (f"a{r.randrange(3)}", f"b{r.randrange(8)}"))) for i in range(60)]
