@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.llm.shared import written
+from panelwright.llm.textbytes import release
 
 END_ID = 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RESULT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 #: Word forms that a worker remembers; the memory is emptied when it is full.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 
 # The split pattern of the vocabulary file for lower-case Latin text, and the characters for which
 # it is known to hold (others, and texts that name a special token, go through the tokenizer as a whole).
@@ -92,6 +93,7 @@ def _pieces(vocabulary: str | None, capacity: int):
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            release()
 
     return run
 
