@@ -9,7 +9,7 @@ pass over the documents carries to each task, so memory has a bound whatever the
 document or occurrence is left out.
 
 Defined cases: null or empty texts have no words and no hits; an item with fewer words than ``window`` is one
-window of its own length; an item without words is ignored; rows that repeat an item's id count as one item; documents that repeat an id
+window of its own length; an item without words is ignored; rows that repeat an item's id count as one item, and items without an id as one whose id is the empty string; documents that repeat an id
 keep a row each when there is one block, and are told apart by a row number otherwise; an empty benchmark gives
 no hits; other columns of either table are ignored.
 """

@@ -11,7 +11,7 @@ Decoding accumulates the scans into coefficient arrays, inverse-transforms them
 float64, so results do not depend on the machine or the batch), doubles chroma and converts to RGB.
 
 Defined cases: null texts are empty; an empty text is one unit of 576 bytes 255; equal texts give equal files;
-very long texts are chunks alone; rows may repeat; an empty table gives an empty table; other columns are ignored.
+very long texts are chunks alone; rows may repeat, or have no id; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -556,7 +556,7 @@ def rgb_tensors(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_tensors, "doc_id long, n_bytes long, media binary, payload binary, height int, width int, rgb binary")
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height int, width int, rgb binary"
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -567,13 +567,13 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for stored, (payload, height, width, rgb) in zip(media[part], decode(media[part]), strict=True):
                 total = rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64).tolist()
                 feature = f"{width}x{height} {'/'.join(map(str, total))} {zlib.crc32(rgb.tobytes()):08x}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, height, width, rgb.tobytes()))
             columns = list(zip(*rows, strict=True))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary())
             names = [x.split()[0] for x in DIGEST.split(", ")]
             yield pa.RecordBatch.from_arrays([batch.column(0)[part], batch.column(1)[part], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """What the stored files say of themselves: payload and file digests, and the picture's size, channel sums and checksum."""
+    """What the stored files say of themselves: payload and file digests, the picture's channel sums and checksum, and its RGB tensor."""
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_digests, DIGEST)

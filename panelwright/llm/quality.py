@@ -141,6 +141,19 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int, surenes
     return float(np.clip(tail_u[best] / tail_p[best], 0.05, 0.98))
 
 
+def risk_slope(z: np.ndarray, n: int, prior: float) -> np.ndarray:
+    """Slope of the non-negative unbiased risk by outputs z, of which the first n are positives'; the loss is the sigmoid's.
+
+    The risk is prior * loss(positives as 1) + max(0, loss(unlabelled as 0) - prior * loss(positives as 0)); where the
+    second part is below zero it is pushed back alone.
+    """
+    s, m = _sigmoid(z), len(z) - n
+    d = s * (1 - s)
+    if s[n:].mean() - prior * s[:n].mean() >= 0:
+        return np.concatenate([-2 * prior * d[:n] / n, d[n:] / m])
+    return np.concatenate([prior * d[:n] / n, -d[n:] / m])
+
+
 def fit(documents: DataFrame, labels: DataFrame, divisor: int = 3, held_out: int = 1, max_positive: int = 8000, max_unlabelled: int = 16000, hidden: int = 32, steps: int = 1500, seed: int = 3) -> Network | None:
     """The network, or nothing where there are too few positives to learn from."""
     good = labelled_sample(documents, labels, "quality", divisor, held_out, max_positive).where("label = 1")
@@ -157,17 +170,7 @@ def fit(documents: DataFrame, labels: DataFrame, divisor: int = 3, held_out: int
         i, j = random.integers(0, len(p), min(len(p), 512)), random.integers(0, len(u), min(len(u), 512))
         x = np.concatenate([p[i], u[j]])
         z, a = net.forward(x)
-        s = _sigmoid(z)
-        d = s * (1 - s)  # slope of the sigmoid loss
-        zp, n, m = slice(0, len(i)), len(i), len(j)
-        negative = s[n:].mean() - prior * s[zp].mean()
-        slope = np.zeros(len(z))
-        if negative >= 0:
-            slope[zp] = -prior * d[zp] / n - prior * d[zp] / n
-            slope[n:] = d[n:] / m
-        else:  # the part that must not be negative is pushed back alone
-            slope[zp] = prior * d[zp] / n
-            slope[n:] = -d[n:] / m
+        slope = risk_slope(z, len(i), prior)
         net.step(x, a, slope, 3e-3, 1e-4)
     return net
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwright.llm import brownlm, decontaminate, jaccard, jpegmedia, linededup, pack, quality, suffixdedup, tokencount, toxicity
 from panelwright.llm.oracles import ORACLE_SQL
-from panelwright.llm.shared import table
+from panelwright.llm.shared import table, written
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -17,7 +17,8 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jpegmedia.digests(jpegmedia.encoded(table(spark, sf_dir, "documents")))
+    """Files are stored in the shared folder and read back."""
+    return jpegmedia.digests(written(jpegmedia.encoded(table(spark, sf_dir, "documents")), "media"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ in order, and every token is given to exactly one field, so field counts add up
 - a token that touches no field (blanks between them) belongs to the field before it, or the first one.
 
 Defined cases: null and empty texts have no tokens and one empty field; texts without field ends are one field;
-special tokens' strings are ordinary text; repeated rows count alike; an empty table gives an empty table; other
+special tokens' strings are ordinary text; repeated rows and rows without an id count alike; an empty table gives an empty table; other
 columns are ignored.
 """
 

@@ -334,6 +334,42 @@ def test_token_fields(docs, rows, nothing):
     assert tokencount.field_tokens(nothing).count() == 0
 
 
+def test_token_sentences_against_a_plain_version(docs, rows):
+    out = {r.doc_id: r for r in tokencount.field_tokens(docs, "sentence", "largest").collect()}
+    encoding, _ = tokencount._encoding(None)
+    for d, t in rows:
+        raw = (t or "").encode()
+        spans, begin = [], 0
+        for i in range(len(raw)):
+            stop = raw[i : i + 1] in (b".", b"!", b"?") and raw[i + 1 : i + 2] not in (b".", b"!", b"?")
+            if stop or (raw[i + 1 : i + 2] == b"\n" and raw[i : i + 1] not in (b".", b"!", b"?")):
+                spans.append((begin, i + 1))
+                begin = i + 1
+        if begin < len(raw) or not raw:
+            spans.append((begin, len(raw)))
+        spans = [(a, b) for a, b in spans if b > a] or [(0, len(raw))]
+        if raw.startswith(b"\n"):
+            continue  # its first end is at 0
+        tokens, crossing, at = [0] * len(spans), 0, 0
+        for piece in map(encoding.decode_single_token_bytes, encoding.encode_ordinary(t or "")):
+            shares = [min(b, at + len(piece)) - max(a, at) for a, b in spans]
+            tokens[shares.index(max(shares))] += 1
+            crossing += sum(x > 0 for x in shares) > 1
+            at += len(piece)
+        r = out[d]
+        assert [(f.start, f.end) for f in r.fields] == spans
+        assert ([f.tokens for f in r.fields], r.n_crossing) == (tokens, crossing)
+
+
+def test_maps_of_odd_rows(spark, odd):
+    assert sorted(r.n_tokens for r in tokencount.field_tokens(odd, "sentence").collect()) == sorted(len(tokencount._encoding(None)[0].encode_ordinary(r.text or "")) for r in odd.collect())
+    media = jpegmedia.digests(jpegmedia.encoded(odd)).collect()
+    assert len(media) == 6 and len({r.media_sha256 for r in media}) == 3 and all(len(r.rgb) == r.height * r.width * 3 for r in media)
+    bench = spark.createDataFrame([(None, "some words that are long enough to be looked at by"), (4, "again and again until a hundred bytes are full")], "item_id long, text string")
+    out = decontaminate.contamination(odd, bench).collect()
+    assert len(out) == 6 and sum(r.contaminated for r in out) == 4
+
+
 @pytest.mark.parametrize("rule,want", [("largest", [0, 0, 1, 1, 2]), ("start", [0, 0, 0, 1, 2])])
 def test_token_rules(rule, want):
     # fields 0-5, 5-9, 11-14; tokens: inside, inside, over 5 (2 bytes right), in the gap, last
@@ -495,6 +531,27 @@ def test_quality(spark, nothing):
     assert {r.score for r in quality.quality(docs, labels.limit(0)).collect()} == {0.5}
 
 
+@pytest.mark.parametrize("prior", [0.4, 0.95])
+def test_risk_slope(prior):
+    r = np.random.default_rng(2)
+    z = r.normal(0.5, 1, 12)
+    loss = lambda t: 1 / (1 + np.exp(t))
+
+    def parts(x):
+        return prior * loss(x[:5]).mean(), loss(-x[5:]).mean() - prior * loss(-x[:5]).mean()
+
+    second = parts(z)[1] >= 0
+    risk = (lambda x: sum(parts(x))) if second else (lambda x: -parts(x)[1])
+    plain = [(risk(z + e) - risk(z - e)) / 2e-6 for e in 1e-6 * np.eye(12)]
+    assert np.allclose(quality.risk_slope(z, 5, prior), plain, atol=1e-6)
+
+
+def test_quality_of_odd_rows(odd):
+    labels = odd.sparkSession.createDataFrame([(1, 1), (2, None), (None, 1)], "doc_id long, quality int")
+    out = quality.quality(odd, labels).collect()
+    assert len(out) == 6 and len({r.score for r in out if r.doc_id == 2}) == 1
+
+
 def test_class_prior():
     r = np.random.default_rng(0)
     p, n = r.normal(2, 1, (3000, 2)), r.normal(-2, 1, (1200, 2))
