@@ -42,18 +42,19 @@ def ew_std_array(x: Column, span: int) -> Column:
     return F.aggregate(x, F.struct(null.alias("mean"), F.lit(0.0).alias("cov"), F.lit(1.0).alias("w2"), F.array().cast("array<double>").alias("out")), step, lambda s: s.out)
 
 
-def ewmac(bars: DataFrame, fast: int = 16, slow: int = 64) -> DataFrame:
-    """(ticker, date, ewmac): difference of two EMAs over the EW deviation of daily steps; recursion per ticker in an Arrow-batched group."""
-    import pandas as pd
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("date")
-        px = x["adj_close"]
-        spread = px.ewm(span=fast, adjust=False).mean() - px.ewm(span=slow, adjust=False).mean()
-        sd = px.diff().ewm(span=slow, adjust=False).std()
-        return pd.DataFrame({"ticker": x["ticker"], "date": x["date"], "ewmac": (spread / sd.where(sd > 0)).astype(float)})
-
-    return bars.select("ticker", "date", "adj_close").groupBy("ticker").applyInPandas(run, "ticker string, date date, ewmac double").withColumn("ewmac", F.nanvl("ewmac", F.lit(None).cast("double")))
+#: fixed values: spans of the two pairs of averages
+EWMAC_PAIRS = {"ewmac_fast": (16, 64), "ewmac_slow": (32, 128)}
+
+
+def ewmac(bars: DataFrame, pairs: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """(ticker, date, one column per pair): difference of two EMAs over the EW deviation of daily steps; NULL where that is 0 or unknown."""
+    pairs = EWMAC_PAIRS if pairs is None else pairs
+    s = ordered_values(bars, "ticker", "date", "adj_close").select("ticker", F.transform("s", lambda p: p.t).alias("t"), F.transform("s", lambda p: p.x).alias("x"))
+    s = s.withColumn("d", F.zip_with(F.slice("x", 2, F.size("x")), F.slice("x", 1, F.size("x") - 1), lambda new, old: new - old))
+    for name, (fast, slow) in pairs.items():
+        s = s.withColumn(name, F.zip_with(F.zip_with(ema_array(F.col("x"), fast), ema_array(F.col("x"), slow), lambda f, g: f - g), F.concat(F.array(F.lit(None).cast("double")), ew_std_array(F.col("d"), slow)), lambda y, sd: F.try_divide(y, F.nullif(sd, F.lit(0.0)))))
+    rows = s.select("ticker", F.explode(F.arrays_zip("t", *pairs)).alias("p"))
+    return rows.select("ticker", F.col("p.t").alias("date"), *(F.col(f"p.{name}").alias(name) for name in pairs))
 
 
 def spaced_events(events: DataFrame, key: str, place: str, spacing: int) -> DataFrame:

@@ -395,10 +395,26 @@ def w4_expanding_share(spark, sf):
     return rounded(series.expanding_share_at_most(src.daily_bars(spark, sf), "ticker", "date", "close", 252))
 
 
-@query()
+def _ewmac_sql() -> str:
+    """The recursion row by row: two averages, and mean, squared deviation and sum of squared weights of the steps, for each pair."""
+    first, step, means, out = [], [], [], []
+    for j, (fast, slow) in enumerate(series.EWMAC_PAIRS.values()):
+        a, b = f"(2.0::DOUBLE / {fast + 1})", f"(2.0::DOUBLE / {slow + 1})"
+        first.append(f"x AS f{j}, x AS g{j}, NULL::DOUBLE AS m{j}, 0.0::DOUBLE AS c{j}, 1.0::DOUBLE AS w{j}")
+        means.append(f"coalesce((1 - {b}) * r.m{j} + {b} * d, d) AS n{j}")
+        step.append(f"(1 - {a}) * f{j} + {a} * x, (1 - {b}) * g{j} + {b} * x, n{j}, CASE WHEN m{j} IS NULL THEN 0 ELSE (1 - {b}) * (c{j} + (m{j} - n{j}) * (m{j} - n{j})) + {b} * (d - n{j}) * (d - n{j}) END, CASE WHEN m{j} IS NULL THEN 1 ELSE (1 - {b}) * (1 - {b}) * w{j} + {b} * {b} END")
+        out.append(f"round((f{j} - g{j}) / nullif(CASE WHEN w{j} < 1 THEN sqrt(c{j} / (1 - w{j})) END, 0), 6) + 0.0 AS {list(series.EWMAC_PAIRS)[j]}")
+    return (
+        ", p AS (SELECT ticker, date, close AS x, close - lag(close) OVER w AS d, row_number() OVER w AS i FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)), "
+        f"r AS (SELECT ticker, date, i, {', '.join(first)} FROM p WHERE i = 1 UNION ALL SELECT ticker, date, i, {', '.join(step)} FROM (SELECT r.* EXCLUDE (date, i), p.date, p.i, p.x, p.d, {', '.join(means)} FROM r JOIN p ON p.ticker = r.ticker AND p.i = r.i + 1)) SELECT ticker, date, {', '.join(out)} FROM r"
+    )
+
+
+@query(_ewmac_sql())
 def e3_ewmac(spark, sf):
-    """Recursion per ticker; tests hold it against plain pandas and hand-computed values."""
-    return rounded(series.ewmac(src.daily_bars(spark, sf)))
+    """Both pairs of averages, a ticker's series as one array."""
+    out = rounded(series.ewmac(src.daily_bars(spark, sf)))
+    return out.withColumns({c: F.col(c) + 0.0 for c in series.EWMAC_PAIRS})  # no negative zero
 
 
 @query(

@@ -120,7 +120,7 @@ def test_ewmac_equals_pandas(spark):
     for _ in range(120):
         x.append(x[-1] * (1 + r.gauss(0, 0.02)))
     rows = [("A", day("2024-01-01") + dt.timedelta(days=i), v) for i, v in enumerate(x)]
-    out = series.ewmac(spark.createDataFrame(rows, "ticker string, date date, adj_close double")).orderBy("date").toPandas()["ewmac"]
+    out = series.ewmac(spark.createDataFrame(rows, "ticker string, date date, adj_close double")).orderBy("date").toPandas()["ewmac_fast"]
     s = pd.Series(x)
     want = (s.ewm(span=16, adjust=False).mean() - s.ewm(span=64, adjust=False).mean()) / s.diff().ewm(span=64, adjust=False).std()
     assert out[5:].tolist() == pytest.approx(want[5:].tolist())
