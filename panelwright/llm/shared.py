@@ -40,6 +40,18 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
+#: Spark's own limit of an Arrow batch, and the one used where a session has left it at that.
+_BATCH, BATCH = "67108864b", "4MB"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of whole texts in a few MB: they lie in memory on both sides of the pipe to Python, once per running task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == _BATCH:
+        spark.conf.set(name, BATCH)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
