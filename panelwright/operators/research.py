@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions.windows import average_rank
+from panelwright.functions.windows import average_rank, by_ticker, rolling
 
 
 def draw(replicate: Column, slot: Column, n: Column, seed: int = 1) -> Column:
@@ -56,3 +56,29 @@ def fold_metrics(rows: DataFrame, by: str, label: str, score: str) -> DataFrame:
         F.count("*").alias("n"), F.try_divide(F.sum(F.when(y == 1, F.col("__r"))) - n1 * (n1 + 1) / 2, n1 * n0).alias("auc"),
         F.avg(F.when(y == 1, F.col("__hits") / F.col("__seen"))).alias("average_precision"), F.avg((p - y) * (p - y)).alias("brier"),
     )
+
+
+def normalised_paths(bars: DataFrame, events: DataFrame, before: int = 60, after: int = 126) -> DataFrame:
+    """(ticker, launch, step, path): prices around each event's row, as multiples of the price on it. ``events``: ticker and place, from 0."""
+    numbered = bars.select("ticker", (F.row_number().over(by_ticker()) - 1).cast("long").alias("place"), "close")
+    steps = events.select("ticker", F.col("place").cast("long").alias("launch"), F.explode(F.sequence(F.lit(-before), F.lit(after))).alias("step"))
+    seen = steps.withColumn("place", F.col("launch") + F.col("step")).join(numbered, ["ticker", "place"])
+    base = F.max(F.when(F.col("step") == 0, F.col("close"))).over(Window.partitionBy("ticker", "launch"))
+    return seen.select("ticker", "launch", "step", F.try_divide("close", base).alias("path"))
+
+
+def washed_out_now(bars: DataFrame, washout: float, vol: float, reclaim: bool = False, least: int = 300, stale: int = 10) -> DataFrame:
+    """(ticker, date, dd252, min_dd_126, rvol126, dist_ma200) of tickers whose last row is volatile after a deep fall.
+
+    Only tickers with ``least`` rows whose last is at most ``stale`` days older than the newest of all count; with
+    ``reclaim`` the last row must also have crossed above its average of 50.
+    """
+    px, by = F.col("close"), by_ticker()
+    rows = bars.where("close is not null").select("ticker", "date", "close", F.count("*").over(Window.partitionBy("ticker")).alias("n"), F.coalesce(F.ln(px) - F.ln(F.lag(px).over(by)), F.lit(0.0)).alias("step"),
+        (F.try_divide(px, rolling(F.max, px, 252, 120)) - 1).alias("dd252"), (F.try_divide(px, rolling(F.avg, px, 200, 120)) - 1).alias("dist_ma200"), (px > rolling(F.avg, px, 50)).alias("above")).where(F.col("n") >= least)
+    rows = rows.withColumn("min_dd_126", rolling(F.min, F.col("dd252"), 126, 40)).withColumn("rvol126", rolling(F.stddev_samp, F.col("step"), 126, 60) * F.sqrt(F.lit(252.0)))
+    rows = rows.withColumn("crossed", F.col("above") & ~F.coalesce(F.lag("above").over(by), F.lit(False)))
+    last = rows.groupBy("ticker").agg(F.max_by(F.struct("date", "dd252", "min_dd_126", "rvol126", "dist_ma200", "crossed"), "date").alias("x")).select("ticker", "x.*")
+    newest = bars.where("close is not null").agg(F.date_sub(F.max("date"), stale).alias("since"))  # one row
+    fired = last.join(F.broadcast(newest), F.col("date") >= F.col("since")).where((F.col("min_dd_126") <= -washout) & (F.col("rvol126") >= vol))
+    return (fired.where("crossed") if reclaim else fired).drop("since", "crossed")

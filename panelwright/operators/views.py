@@ -50,3 +50,23 @@ def instant_value(filings: DataFrame, facts: DataFrame, name: str) -> DataFrame:
     """``filings`` with the value at the latest end up to ``period_end`` of a balance, whose first filing of each end counts."""
     first = facts.groupBy("ticker", "end").agg(F.min_by("val", F.struct("filed", "val")).alias(name))
     return as_of(filings, first, "ticker", "period_end", "end")
+
+
+def between_snapshots(grid: DataFrame, x: str, y: str, state: str, phases: list[float]) -> DataFrame:
+    """(ticker, place, phase, x, y, state, fade): a point on its way from each place of a panel grid to the next.
+
+    ``x`` moves evenly in its logarithm, ``y`` evenly, and ``state`` is the nearer place's. Where one of the two places
+    has no point, the other's stands still and fades; where neither has one there is no row.
+    """
+    by = Window.partitionBy("ticker").orderBy("place")
+    here, there = F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.struct(x, y, state)), F.col("there")
+    pairs = grid.select("ticker", "place", here.alias("here"), F.lead(here).over(by).alias("there"), F.lead("place").over(by).alias("next")).where("next is not null and (here is not null or there is not null)")
+    rows = pairs.select("*", F.explode(F.array(*(F.lit(float(p)) for p in phases))).alias("phase"))
+    here, t, both = F.col("here"), F.col("phase"), F.col("here").isNotNull() & F.col("there").isNotNull()
+    low, high = (F.log10(F.greatest(p[x], F.lit(1e-9))) for p in (here, there))
+    only = F.coalesce(here, there)
+    return rows.select(
+        "ticker", "place", "phase",
+        F.when(both, F.pow(F.lit(10.0), low + (high - low) * t)).otherwise(only[x]).alias(x), F.when(both, here[y] + (there[y] - here[y]) * t).otherwise(only[y]).alias(y),
+        F.when(both & (t >= 0.5), there[state]).otherwise(only[state]).alias(state), F.when(both, 1.0).when(here.isNotNull(), 1.0 - t).otherwise(t).alias("fade"),
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.windows import average_rank_share, by_ticker, forward, lagged_return, last_rows, rolling
-from panelwright.operators import asof, fundamentals, screen, screener, series, themes, valuation, views
+from panelwright.operators import asof, fundamentals, research, screen, screener, series, themes, valuation, views
 from panelwright.plans import queries as base
 from panelwright.plans.queries import ORACLE_SQL, query, rounded
 from panelwright.sources import adapters as src
@@ -293,3 +293,36 @@ def q11_smooth_winners(spark, sf):
     steps = F.aggregate(F.zip_with(F.slice("path", 2, n), F.slice("path", 1, n), lambda x, y: F.abs(x - y)), F.lit(0.0), lambda a, x: a + x)
     ker = F.try_divide(F.abs(F.element_at("path", n + 1) - F.element_at("path", 1)), F.nullif(steps, F.lit(0.0)))
     return series.spaced_events(b.where((fall >= -0.8) & (ker >= 0.01)), "ticker", "place", n)
+
+
+@query(
+    GRID + ", nx AS (SELECT ticker, place, ps, net10_pct, candidate, lead(ps) OVER w AS ps2, lead(net10_pct) OVER w AS y2, lead(candidate) OVER w AS c2, lead(place) OVER w AS p2 FROM grid WINDOW w AS (PARTITION BY ticker ORDER BY place)) "
+    "SELECT ticker, place, phase, round(CASE WHEN ps IS NULL THEN ps2 WHEN ps2 IS NULL THEN ps ELSE pow(10, log10(ps) + (log10(ps2) - log10(ps)) * phase) END, 4) AS ps, round(CASE WHEN ps IS NULL THEN y2 WHEN ps2 IS NULL THEN net10_pct ELSE net10_pct + (y2 - net10_pct) * phase END, 4) AS net10_pct, "
+    "CASE WHEN ps IS NULL OR (ps2 IS NOT NULL AND phase >= 0.5) THEN c2 ELSE candidate END AS candidate, CASE WHEN ps IS NULL THEN phase WHEN ps2 IS NULL THEN 1 - phase ELSE 1.0 END AS fade FROM nx CROSS JOIN (SELECT unnest([0.0, 0.25, 0.5, 0.75]::DOUBLE[]) AS phase) v WHERE p2 IS NOT NULL AND (ps IS NOT NULL OR ps2 IS NOT NULL)"
+)
+def e15_between_snapshots(spark, sf):
+    """Four steps between any two neighbouring dates of the phase map."""
+    return rounded(views.between_snapshots(views.panel_grid(_points(spark, sf), 20), "ps", "net10_pct", "candidate", [0, 0.25, 0.5, 0.75]), 4)
+
+
+@query(
+    "SELECT e.ticker, e.place AS launch, b.place - e.place AS step, round(b.close / a.close, 6) AS path FROM (" + ORACLE_SQL["q11_smooth_winners"] + ") e "
+    "JOIN (SELECT ticker, close, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS place FROM bars) a ON a.ticker = e.ticker AND a.place = e.place "
+    "JOIN (SELECT ticker, close, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS place FROM bars) b ON b.ticker = e.ticker AND b.place BETWEEN e.place - 60 AND e.place + 126"
+)
+def q13_normalised_paths(spark, sf):
+    """Q13: the price on its way 60 rows before and 126 after the start of each smooth rise."""
+    return rounded(research.normalised_paths(src.daily_bars(spark, sf), q11_smooth_winners(spark, sf)))
+
+
+@query(
+    ", f AS (SELECT *, close / CASE WHEN count(close) OVER w252 >= 120 THEN max(close) OVER w252 END - 1 AS dd252, close / CASE WHEN count(close) OVER w200 >= 120 THEN avg(close) OVER w200 END - 1 AS dist_ma200, coalesce(ln(close) - ln(lag(close) OVER w), 0) AS step, count(*) OVER (PARTITION BY ticker) AS n, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS back FROM bars "
+    "WINDOW w AS (PARTITION BY ticker ORDER BY date), w252 AS (w ROWS BETWEEN 251 PRECEDING AND CURRENT ROW), w200 AS (w ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)), "
+    "g AS (SELECT *, CASE WHEN count(dd252) OVER w >= 40 THEN min(dd252) OVER w END AS min_dd_126, CASE WHEN count(step) OVER w >= 60 THEN stddev_samp(step) OVER w * sqrt(252) END AS rvol126 FROM f WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 125 PRECEDING AND CURRENT ROW)) "
+    "SELECT ticker, date, n, round(dd252, 6) AS dd252, round(min_dd_126, 6) AS min_dd_126, round(rvol126, 6) AS rvol126, round(dist_ma200, 6) AS dist_ma200 FROM g WHERE back = 1 AND n >= 300 AND date >= (SELECT max(date) FROM bars) - 10 AND min_dd_126 <= -0.4 AND rvol126 >= 0.4"
+)
+def q16_washed_out_now(spark, sf):
+    """Q16: tickers that are volatile after a deep fall, as of their last row, with the number of their rows."""
+    b = src.daily_bars(spark, sf)
+    n = b.groupBy("ticker").agg(F.count("*").alias("n"))
+    return rounded(research.washed_out_now(b, 0.4, 0.4).join(n, "ticker"))
