@@ -25,3 +25,20 @@ def test_percentiles_of_every_date(spark):
         assert abs(r.rank_share - (below + 1 + (ties - 1) / 2) / len(known)) < 1e-8
     cut = queries.QUERIES["w9_percentile_family"](spark, SF).collect()
     assert cut and len(cut) < len(out) and all(out[r.date, r.ticker] == r for r in cut)
+
+
+def test_points_between_snapshots(spark):
+    from panelwright.operators import views
+
+    grid = spark.createDataFrame([("a", 0, 1.0, 10.0, 1), ("a", 1, 100.0, 20.0, 0), ("a", 2, None, None, None), ("a", 3, None, None, None)], "ticker string, place int, ps double, pct double, state int")
+    got = {(r.place, r.phase): (round(r.ps, 6), r.pct, r.state, r.fade) for r in views.between_snapshots(grid, "ps", "pct", "state", [0.25, 0.5]).collect()}
+    assert got == {(0, 0.25): (round(10**0.5, 6), 12.5, 1, 1.0), (0, 0.5): (10.0, 15.0, 0, 1.0), (1, 0.25): (100.0, 20.0, 0, 0.75), (1, 0.5): (100.0, 20.0, 0, 0.5)}
+
+
+def test_paths_around_events(spark):
+    from panelwright.operators import research
+
+    bars = spark.sql("select 'a' as ticker, date_add(date'2020-01-01', cast(id as int)) as date, cast(id + 1 as double) as close from range(6)")
+    events = spark.createDataFrame([("a", 1), ("a", 5)], "ticker string, place int")
+    got = {(r.launch, r.step): r.path for r in research.normalised_paths(bars, events, 2, 2).collect()}
+    assert got == {(1, -1): 0.5, (1, 0): 1.0, (1, 1): 1.5, (1, 2): 2.0, (5, -2): 4 / 6, (5, -1): 5 / 6, (5, 0): 1.0}
