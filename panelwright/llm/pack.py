@@ -34,7 +34,7 @@ END_ID = 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RESULT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 #: Word forms that a worker remembers. When they are so many, the first half stays: common words are met early.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 200_000
 
 # The split pattern of the vocabulary file for lower-case Latin text, and the characters for which
 # it is known to hold (others, and texts that name a special token, go through the tokenizer as a whole).
