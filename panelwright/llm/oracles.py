@@ -46,4 +46,63 @@ links AS (SELECT a, b FROM shared JOIN size p ON p.doc_id = a JOIN size q ON q.d
 reach AS (SELECT doc_id AS d, doc_id AS r FROM d UNION SELECT reach.d, links.b FROM reach JOIN links ON links.a = reach.r)
 SELECT d.doc_id, coalesce(size.n, 0) AS n_shingles, c AS component_id FROM d LEFT JOIN size USING (doc_id) JOIN (SELECT d AS doc_id, min(r) AS c FROM reach GROUP BY 1) USING (doc_id)"""
 
-ORACLE_SQL = {"op5_benchmark_decontamination": OP5, "op6_suffix_array_dedup": OP6, "op8_substring_dedup": OP8, "op9_ngram_jaccard_join": OP9}
+#: Unsigned crc32 of a string of ASCII characters, bit by bit.
+CRC32 = "xor(list_reduce(list_transform(string_split({0}, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda a, c: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(a, c)), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+OP12 = rf"""
+WITH t AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w, {CRC32.format("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+s AS (SELECT *, len(w) AS n, h // 10 AS g, h % 10 = 0 AND len(w) > 0 AS planted FROM t),
+f AS (SELECT *, CASE WHEN planted THEN g % n END AS a FROM s),
+p AS (SELECT *, CASE WHEN planted THEN 1 + (n - a) // (3 + g % 8) END AS p FROM f),
+u AS (SELECT doc_id, n, w, planted, a, p, unnest(range(n)) AS i FROM p),
+x AS (SELECT doc_id, n, i, w[1 + CASE WHEN planted AND i >= a THEN a + (i - a) % p ELSE i END] AS word FROM u),
+eq AS (SELECT l.doc_id, r.i - l.i AS q, l.i FROM x l JOIN x r ON l.doc_id = r.doc_id AND l.word = r.word AND r.i > l.i AND 3 * (r.i - l.i) <= l.n),
+st AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS isle FROM eq) GROUP BY doc_id, q, isle),
+r AS (SELECT doc_id, s, len, min(q) AS q FROM st WHERE len >= 24 AND len >= 3 * q GROUP BY doc_id, s, len),
+b AS (SELECT doc_id, s AS start, len AS length, q AS period, 1000 * len // q AS exponent_milli FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY len / q DESC, s, q) = 1),
+a AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM r GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM x WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = x.doc_id AND x.i >= r.s + r.q AND x.i < r.s + r.len) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+_HEAD = " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars")))
+
+OP13 = f"""
+WITH RECURSIVE leaves AS (
+    SELECT doc_id, coalesce('=' || lang, '-') AS tree, sha256({_HEAD} || {_field("text")}) AS leaf,
+        CASE WHEN {CRC32.format("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN sha256({_HEAD} || {_field("low")}) END AS tampered
+    FROM (SELECT *, {AZ} AS low FROM documents)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+grown AS (
+    SELECT tree, 0 AS level, place, leaf AS digest, n FROM placed
+    UNION ALL
+    SELECT tree, level + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place)), (n + 7) // 8 FROM grown WHERE n > 1 GROUP BY tree, level, place // 8, n),
+sub AS (SELECT tree, level AS depth, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS rank, count(*) OVER () AS n FROM grown WHERE n = 1),
+peak AS (
+    SELECT '' AS tree, 0 AS level, rank AS place, subroot AS digest, n FROM sub
+    UNION ALL
+    SELECT tree, level + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place)), (n + 7) // 8 FROM peak WHERE n > 1 GROUP BY tree, level, place // 8, n),
+top AS (SELECT level AS height, digest AS root FROM peak WHERE n = 1),
+nodes AS (SELECT * FROM grown UNION ALL SELECT * FROM peak),
+steps AS (
+    SELECT tree AS t, place AS p, unnest(range(depth)) AS k, tree AS node_tree, place AS spot, 0 AS base FROM placed JOIN sub USING (tree)
+    UNION ALL
+    SELECT tree, place, depth + unnest(range(height)), '', rank, depth FROM placed JOIN sub USING (tree), top),
+sides AS (
+    SELECT t, p, k, coalesce(string_agg(digest, '' ORDER BY place) FILTER (place < own), '') AS l, coalesce(string_agg(digest, '' ORDER BY place) FILTER (place > own), '') AS r
+    FROM (SELECT *, spot // CAST(pow(8, k - base) AS BIGINT) AS own FROM steps) JOIN nodes ON node_tree = tree AND k - base = level AND place // 8 = own // 8 GROUP BY t, p, k),
+fold AS (
+    SELECT tree AS t, place AS p, CAST(0 AS BIGINT) AS k, coalesce(tampered, leaf) AS digest FROM placed
+    UNION ALL
+    SELECT t, p, k + 1, sha256(l || digest || r) FROM fold JOIN sides USING (t, p, k)),
+proofs AS (SELECT t, p, sha256(string_agg(l || r, '' ORDER BY k)) AS proof FROM sides GROUP BY t, p),
+ends AS (SELECT t, p, arg_max(digest, k) AS folded FROM fold GROUP BY t, p)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM placed JOIN sub USING (tree) JOIN ends ON t = tree AND ends.p = place LEFT JOIN proofs ON proofs.t = tree AND proofs.p = place, top"""
+
+ORACLE_SQL = {"op5_benchmark_decontamination": OP5, "op6_suffix_array_dedup": OP6, "op8_substring_dedup": OP8, "op9_ngram_jaccard_join": OP9, "op12_periodic_runs": OP12, "op13_merkle_manifest": OP13}

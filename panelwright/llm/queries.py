@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import brownlm, decontaminate, jaccard, jpegmedia, linededup, pack, quality, suffixdedup, tokencount, toxicity
+from panelwright.llm import brownlm, decontaminate, jaccard, jpegmedia, linededup, merkle, pack, periodic, quality, suffixdedup, tokencount, toxicity
 from panelwright.llm.oracles import ORACLE_SQL
 from panelwright.llm.shared import table, written
 
@@ -70,6 +70,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.repetitions(periodic.planted(table(spark, sf_dir, "documents")), min_length=24, min_periods=3))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digests(merkle.manifest(table(spark, sf_dir, "documents"), fanout=8))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_media_columns": op2_media_columns,
@@ -81,4 +89,6 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_classifier": op10_quality_classifier,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
