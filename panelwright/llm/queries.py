@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import brownlm, decontaminate, jaccard, jpegmedia, linededup, merkle, pack, periodic, quality, suffixdedup, tokencount, toxicity
+from panelwright.llm import brownlm, decontaminate, duckbpe, jaccard, jpegmedia, linededup, merkle, pack, periodic, quality, suffixdedup, tokencount, toxicity
 from panelwright.llm.oracles import ORACLE_SQL
 from panelwright.llm.shared import table, written
 
@@ -70,6 +70,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duckbpe.digests(duckbpe.coded(table(spark, sf_dir, "documents")))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.repetitions(periodic.planted(table(spark, sf_dir, "documents")), min_length=24, min_periods=3))
 
@@ -89,6 +93,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_byte_bpe": op11_byte_bpe,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
