@@ -47,7 +47,7 @@ from panelwright.llm.shared import written
 
 U = np.uint64
 #: Shingles counted together before those above COMMON of the texts are reported.
-FLUSH_SHINGLES = 2_000_000
+FLUSH_SHINGLES = 1_000_000
 COMMON = 1 / 2000
 #: Rows of one prefix element that are dealt out together.
 BLOCK = 4096
@@ -87,7 +87,7 @@ def _survey(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        docs = 0
+        docs = size = 0
 
         def common() -> tuple[np.ndarray, np.ndarray]:
             if not held:
@@ -107,10 +107,11 @@ def _survey(k: int):
                 sizes.append(len(s))
                 held.append(s)
                 docs += 1
-                if len(held) % 512 == 0 and sum(map(len, held)) > FLUSH_SHINGLES:
+                size += len(s)
+                if size > FLUSH_SHINGLES:
                     value, n = common()
                     yield rows(1, np.zeros(len(value), np.int64), value, np.zeros(len(value), np.int64), n)
-                    held, docs = [], 0
+                    held, docs, size = [], 0, 0
             yield rows(0, batch.column(0), [x for x, _ in names], [x for _, x in names], sizes)
         value, n = common()
         yield rows(1, np.zeros(len(value), np.int64), value, np.zeros(len(value), np.int64), n)

@@ -31,7 +31,7 @@ from panelwright.llm.shared import unused, written
 
 U = np.uint64
 #: Units that a task looks at together before it reports the earliest of each digest.
-FLUSH = 1_000_000
+FLUSH = 250_000
 _ENDS = np.zeros(256, bool)
 _ENDS[[0x0A, 0x21, 0x2E, 0x3F]] = True
 
