@@ -5,21 +5,29 @@ similarity is at least t share one of their first ``n - ceil(t n) + 1`` elements
 meets every pair. The order puts shingles that many documents hold last (rarest of them first) and the rest by
 hash; it only decides how much work is done, never which links are found.
 
-Documents of a task with the same prefix and size form one group and only its first member's prefix is emitted;
-group pairs are filtered by size and by how many prefix elements they share; then groups are expanded and
-members verified on whole sets. That runs in three steps, of which only the last decides what is not linked:
+Documents with the same prefix and size form one group, over the whole corpus; a task emits a prefix once for each
+group it sees and the rows that several tasks emit for one group are one from then on. Group pairs are filtered by
+size and by how many prefix elements they share; then groups are expanded and members verified on whole sets. That
+runs in three steps, of which only the last decides what is not linked:
 
-1. Guesses, a linear number: neighbours in size order among the rows of a prefix element, and its smallest set.
+1. Guesses, a linear number: neighbours in size order among the rows of a prefix element, and its smallest set; and
+   the members of a group with its smallest id.
 2. For elements of more than ``hot`` sets that are still in several components, each set's closest one of another
    component, by sketches.
-3. All pairs of sets in different components that share a prefix element, less those that sketches rule out.
+3. All pairs of sets in different components that can meet first at a prefix element, less those that sketches rule out.
+
+Two sets of n and m elements need ``percent (n + m) / (100 + percent)`` common ones, so where they first meet both must
+have that many left, this one included. A row of an element carries how many its set has left, which bounds the sizes
+it can still be linked to there. Rows are dealt by element and band of sizes: into the bands of the smaller sets it
+can meet, and into its own if it can meet larger ones. Frequent elements stand last in their order, so a passage that
+many otherwise different texts share leaves no two rows that can meet at it, however many the texts are.
 
 A sketch has one bit for each residue of the shingles' hashes, the parity of how many fall there. Two sets differ in
 at least as many shingles as their sketches differ in bits, so what a sketch rules out is no link. Sketches are
 compared inside the tasks and pairs leave a task only if their sketches allow a link; the rows of an element that
-only FEW sets have go without sketches. Texts to verify are picked by a bitmap of bounded size. Rows of one prefix element
-that do not fit a block are dealt into pairs of blocks: the sets outside the element's largest component, against
-all, so no task holds more than two blocks of an element and no pair within that component is looked at.
+only FEW sets have go without sketches. Texts to verify are picked by a bitmap of bounded size. Rows of one element and band
+that do not fit a block are dealt into pairs of blocks: the sets outside the largest component there, against
+all, so no task holds more than two blocks and no pair within that component is looked at.
 
 Shingles and sets are named by 64-bit and 128-bit hashes of their content. ``hot``, FEW, the sizes of blocks and
 bitmaps and COMMON change the amount of work, never the links.
@@ -59,7 +67,7 @@ FEW = 4
 SIEVE_BITS = 1 << 26
 #: Documents whose prefixes leave a task together.
 ROWS_AT_ONCE = 1000
-PREFIX_ROWS = {"token": pa.int64(), "doc_id": pa.int64(), "n": pa.int32(), "part": pa.int32(), "lead": pa.int64(), "sketch": pa.binary()}
+PREFIX_ROWS = {"token": pa.int64(), "doc_id": pa.int64(), "n": pa.int32(), "part": pa.int32(), "group": pa.int64(), "left": pa.int32(), "sketch": pa.binary()}
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -128,16 +136,16 @@ def sketch(s: np.ndarray) -> bytes:
 
 
 def _prefixes(k: int, percent: int, common):
-    """Prefix elements (token, doc_id, n, part) of the first document of each group of a task.
+    """Prefix elements (token, doc_id, n, part, group, left) of the first document of each group in a task.
 
-    A row with a ``lead`` states instead which document of the task stands for ``doc_id``'s group, and has its sketch.
-    part is 0 but for common shingles, whose rows are dealt into parts of about BLOCK rows from 1 on.
+    A row with a sketch states instead that ``doc_id`` is in the group. part is 0 but for common shingles, whose rows
+    are dealt into parts of about BLOCK rows from 1 on; left is the number of the set's elements from this one on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, level = common.value
         sets_seen: set[tuple] = set()
-        leads: dict[int, int] = {}
+        groups: set[int] = set()
         for part in (batch.slice(at, ROWS_AT_ONCE) for batch in batches for at in range(0, batch.num_rows, ROWS_AT_ONCE)):
             prefixes: list[tuple] = []
             members: list[tuple] = []
@@ -147,18 +155,21 @@ def _prefixes(k: int, percent: int, common):
                     continue
                 sets_seen.add(name)
                 key, dealt = s >> U(7), np.zeros(n, np.int64)
-                own = tb.mix(np.array([doc_id], np.int64).view(U))
+                listed = np.zeros(n, bool)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     listed = known[at] == s
                     key = np.where(listed, U(1 << 63) | (level[at] << U(57)) | key, key)
-                    dealt[listed] = 1 + (int(own[0] >> U(32)) & ((1 << np.maximum(level[at[listed]].astype(np.int64) - BLOCK.bit_length() + 1, 0)) - 1))
                 first = np.argsort(key, kind="stable")[: n - -(-percent * n // 100) + 1]
                 prefix = s[first]
-                lead = leads.setdefault(set_name(prefix + U(n))[0], doc_id)
-                members.append((own.view(np.int64)[0], doc_id, n, -1, lead, sketch(s)))
-                if lead == doc_id:
-                    prefixes.append((prefix.view(np.int64), np.full(len(prefix), doc_id), np.full(len(prefix), n), dealt[first]))
+                group = set_name(prefix + U(n))[0]
+                members.append((group ^ doc_id, doc_id, n, -1, group, None, sketch(s)))
+                if group in groups:
+                    continue
+                groups.add(group)
+                if listed.any():
+                    dealt[listed] = 1 + ((group >> 20) & ((1 << np.maximum(level[at[listed]].astype(np.int64) - BLOCK.bit_length() + 1, 0)) - 1))
+                prefixes.append((prefix.view(np.int64), np.full(len(prefix), doc_id), np.full(len(prefix), n), dealt[first], np.full(len(prefix), group), n - np.arange(len(prefix))))
             for rows, columns in ((len(members), list(zip(*members, strict=True))), (sum(len(x[0]) for x in prefixes), [np.concatenate(x) for x in zip(*prefixes, strict=True)])):
                 if rows:
                     columns += [None] * (len(PREFIX_ROWS) - len(columns))
@@ -240,22 +251,15 @@ def verified(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> Da
 
 
 def _close(percent: int, closest: bool):
-    """Pairs (a, b, n, m) of nodes in different components whose sketches allow a link, from rows sorted by block.
+    """Pairs (a, b) of nodes in different components that can meet first at this element and whose sketches allow a link, from rows sorted by block.
 
-    Each row with role 1 meets each row with role 2 of its block; rows have both as 3. closest: of each row's
-    partners only the one whose sketch differs least.
+    Each row that asks (role 1) meets each row that is told (role 2; both are 3) of its block, but no two rows meet that
+    can both only be the larger set of a pair (without role 4). closest: of each row's partners only the one whose
+    sketch differs least.
     """
 
-    def rows_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        token, block, node, component, n, role = (batch.column(c).to_numpy() for c in ("token", "block", "node", "component", "n", "role"))
-        new = np.ones(len(node), bool)
-        new[1:] = (token[1:] != token[:-1]) | (block[1:] != block[:-1])
-        fresh = new.copy()
-        fresh[1:] |= node[1:] != node[:-1]  # a node stands for many documents; its row counts once
-        group = np.cumsum(new) - 1
-        raw, off = tb.text_buffer(batch.column("sketch"))
-        width = np.diff(off)
-        asks, told = np.flatnonzero(fresh & (role & 1 > 0)), np.flatnonzero(fresh & (role & 2 > 0))
+    def met(asks: np.ndarray, told: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each of ``asks`` with each of ``told`` of its group, PAIRS_AT_ONCE at a time."""
         first = np.searchsorted(group[told], np.arange(group[-1] + 2))
         partners = np.diff(first)[group[asks]]
         ends = np.cumsum(partners)
@@ -264,38 +268,35 @@ def _close(percent: int, closest: bool):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
             many = partners[at:to]
             x = np.repeat(asks[at:to], many)
-            y = told[np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[group[asks[at:to]]], many)]
+            yield x, told[np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[group[asks[at:to]]], many)]
             at = to
-            least, most = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-            keep = (component[x] != component[y]) & (least * 100 >= most * percent)
-            if not closest:
-                keep &= (role[y] & 1 == 0) | (node[x] < node[y])
-            x, y = x[keep], y[keep]
-            total = n[x] + n[y]
-            room = total - 2 * -(-percent * total // (100 + percent))
-            differ = np.zeros(len(x), np.int64)
-            narrow = np.minimum(width[x], width[y])
-            for w in np.unique(narrow[narrow > 0]).tolist():  # 0: no sketch, so nothing is ruled out
-                some = np.flatnonzero(narrow == w)
-                sides = []
-                for side in (x[some], y[some]):
-                    own, back = np.unique(side, return_inverse=True)
-                    folded = np.zeros((len(own), w), np.uint8)
-                    for half in range(int(width[own].max()) // w):
-                        has = width[own] > half * w
-                        folded[has] ^= raw[off[own[has], None] + half * w + np.arange(w)]
-                    sides.append((folded.view(U), back))
-                (p, i), (q, j) = sides
-                for a in range(0, len(some), max(1, PAIRS_AT_ONCE * 32 // w)):
-                    b = a + max(1, PAIRS_AT_ONCE * 32 // w)
-                    differ[some[a:b]] = np.bitwise_count(p[i[a:b]] ^ q[j[a:b]]).sum(axis=1)
-            near = np.flatnonzero(differ <= room)
-            if closest and len(near):
-                near = near[np.lexsort((differ[near] / total[near], x[near]))]
-                near = near[np.concatenate([[True], x[near[1:]] != x[near[:-1]]])]
-            x, y = x[near], y[near]
-            a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.minimum(n[x], n[y])), pa.array(np.maximum(n[x], n[y]))], ["a", "b", "n", "m"])
+
+    def rows_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        token, block, node, component, n, left, role = (batch.column(c).to_numpy() for c in ("token", "block", "node", "component", "n", "left", "role"))
+        new = np.ones(len(node), bool)
+        new[1:] = (token[1:] != token[:-1]) | (block[1:] != block[:-1])
+        fresh = new.copy()
+        fresh[1:] |= node[1:] != node[:-1]  # a node stands for many documents; its row counts once
+        group = np.cumsum(new) - 1
+        raw, off = tb.text_buffer(batch.column("sketch"))
+        width = np.diff(off)
+        small = role & 4 > 0
+        asks, told = fresh & (role & 1 > 0), fresh & (role & 2 > 0)
+        for mine, theirs in ((asks & small, told), (asks & ~small, told & small)):
+            for x, y in met(np.flatnonzero(mine), np.flatnonzero(theirs), group):
+                least, total = np.minimum(n[x], n[y]), n[x] + n[y]
+                need = -(-percent * total // (100 + percent))
+                keep = (component[x] != component[y]) & (least * 100 >= (total - least) * percent) & (np.minimum(left[x], left[y]) >= need)
+                if not closest:
+                    keep &= (role[y] & 1 == 0) | (node[x] < node[y])
+                x, y, total = x[keep], y[keep], total[keep]
+                differ = differing(raw, off, width, x, y)
+                near = np.flatnonzero(differ <= total - 2 * need[keep])
+                if closest and len(near):
+                    near = near[np.lexsort((differ[near] / total[near], x[near]))]
+                    near = near[np.concatenate([[True], x[near[1:]] != x[near[:-1]]])]
+                a, b = node[x[near]], node[y[near]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -317,6 +318,27 @@ def _close(percent: int, closest: bool):
     return run
 
 
+def differing(raw: np.ndarray, off: np.ndarray, width: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which the sketches of rows x and y differ, the wider one folded to the other's size; 0 where one has none."""
+    differ = np.zeros(len(x), np.int64)
+    narrow = np.minimum(width[x], width[y])
+    for w in np.unique(narrow[narrow > 0]).tolist():
+        some = np.flatnonzero(narrow == w)
+        sides = []
+        for side in (x[some], y[some]):
+            own, back = np.unique(side, return_inverse=True)
+            folded = np.zeros((len(own), w), np.uint8)
+            for half in range(int(width[own].max()) // w):
+                has = width[own] > half * w
+                folded[has] ^= raw[off[own[has], None] + half * w + np.arange(w)]
+            sides.append((folded.view(U), back))
+        (p, i), (q, j) = sides
+        step = max(1, PAIRS_AT_ONCE * 32 // w)
+        for a in range(0, len(some), step):
+            differ[some[a : a + step]] = np.bitwise_count(p[i[a : a + step]] ^ q[j[a : a + step]]).sum(axis=1)
+    return differ
+
+
 def likely(n: Column, m: Column, shared: Column, percent: int, first: Column | None = None) -> Column:
     """Whether sets of sizes n <= m that share so many prefix elements can be similar.
 
@@ -339,31 +361,35 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 75, hot: in
     copies = linked.join(named.where("first != last"), ["a", "b", "n"]).select("doc_id", F.col("first").alias("rep")).where("doc_id != rep")
     copies = written(copies.distinct(), "copies")
 
-    in_order = Window.partitionBy("token", "part").orderBy("n", "doc_id")
-    rows = docs.where("doc_id is not null").mapInArrow(_prefixes(k, percent, broadcast), "token long, doc_id long, n int, part int, lead long, sketch binary")
+    in_order = Window.partitionBy("token", "part").orderBy("n", "group", "doc_id")
+    rows = docs.where("doc_id is not null").mapInArrow(_prefixes(k, percent, broadcast), "token long, doc_id long, n int, part int, group long, left int, sketch binary")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = rows.select(
-        *("token", "doc_id", "n", "part", "lead", "sketch"),
-        F.lag(F.struct("doc_id", "n")).over(in_order).alias("near"),
+        *("token", "doc_id", "n", "part", "group", "left", "sketch"),
+        F.lag(F.struct("doc_id", "n", "group")).over(in_order).alias("near"),
         F.lead("doc_id").over(in_order).alias("next"),
         F.first(F.struct("doc_id", "n")).over(so_far).alias("smallest"),
     ).where("near is not null or next is not null or part != 0")
-    met = written(met.select("token", "doc_id", "n", "lead", "sketch", "near", F.when(F.col("smallest") != F.col("near"), F.col("smallest")).alias("smallest")), "met")
+    other = met.where(F.col("sketch").isNotNull() | ~F.col("near.group").eqNullSafe(F.col("group")))  # one row for each group
+    near = F.when(F.col("near").isNotNull(), F.struct("near.doc_id", "near.n"))
+    met = written(other.select("token", "doc_id", "n", "group", "left", "sketch", near.alias("near"), F.when(F.col("smallest.doc_id") != F.col("near.doc_id"), F.col("smallest")).alias("smallest")), "met")
 
     comps = components(verified(_of_reps(_guesses(met, percent), copies), docs, k, percent))
 
-    member = met.where("lead is not null").join(copies, "doc_id", "left").select("lead", F.coalesce("rep", "doc_id").alias("node"), "n", "sketch")
+    member = met.where("sketch is not null").join(copies, "doc_id", "left").select("group", F.coalesce("rep", "doc_id").alias("node"), "n", "sketch")
     shape = written(member.groupBy("node").agg(F.first("sketch").alias("sketch")), "nodes")
-    places = met.where("lead is null").select("token", F.col("doc_id").alias("lead")).join(member.select("lead", "node", "n").distinct(), "lead").select("token", "node", "n")
-    live = places.join(comps, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("component"))
+    nodes = member.select("group", "node", "n").distinct().join(comps, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component"))
+    places = met.where("sketch is null").select("token", "group", "n", "left")
+    pure = nodes.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    several = places.join(pure, "group").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("token")
+    live = _cells(places.join(several, "token", "left_semi").join(nodes, "group"), percent)
     live = written(_mixed(live), "live")
 
-    best = _pairs_by_sketch(live.where(F.col("c") > hot), shape, percent, closest=True).select("a", "b").distinct()
+    best = _pairs_by_sketch(live.where(F.col("c") > hot), shape, percent, closest=True).distinct()
     comps = merged(comps, verified(best, docs, k, percent))
     now = comps.select(F.col("node").alias("component"), F.col("component").alias("now"))
-    live = live.join(now, "component", "left").select("token", "node", "n", F.coalesce("now", "component").alias("component"))
-    rest = _pairs_by_sketch(_mixed(live), shape, percent, closest=False).groupBy("a", "b", "n", "m").agg(F.count("*").alias("shared"))
-    rest = rest.where(likely(F.col("n"), F.col("m"), F.col("shared"), percent)).select("a", "b")
+    live = live.join(now, "component", "left").select("token", "node", "n", "left", "small", F.coalesce("now", "component").alias("component"))
+    rest = _pairs_by_sketch(_mixed(live), shape, percent, closest=False).distinct()
     settled = merged(comps, verified(rest, docs, k, percent))
 
     label = sets.select("doc_id", "n").join(copies, "doc_id", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("node"))
@@ -376,7 +402,7 @@ def one_of_each(documents: DataFrame, k: int = 5, percent: int = 75) -> DataFram
     Of rows that repeat both id and text one stays; rows that repeat an id with other texts stay, as do rows without an id.
     """
     keep = near_duplicates(documents, k, percent).where("doc_id = component_id").select("doc_id").distinct()
-    kept = documents.where("doc_id is not null").join(keep, "doc_id", "left_semi").select(*documents.columns)
+    kept = documents.where("doc_id is not null").join(keep, "doc_id", "left_semi").select(*(F.col(f"`{c}`") for c in documents.columns))
     return kept.dropDuplicates(["doc_id", "text"]).unionByName(documents.where("doc_id is null"))
 
 
@@ -394,11 +420,13 @@ def _common(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _guesses(met: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of likely links; those of one group are always among them."""
-    row = met.where("lead is null")
+    row = met.where("sketch is null")
     pairs = row.select(F.explode(F.array("near", "smallest")).alias("x"), F.col("doc_id").alias("b"), F.col("n").alias("m")).where("x is not null")
     pairs = pairs.select(F.col("x.doc_id").alias("a"), "b", F.col("x.n").alias("n"), "m").where((F.col("a") != F.col("b")) & (F.col("n") * 100 >= F.col("m") * percent))
     counted = pairs.groupBy("a", "b", "n", "m").agg(F.count("*").alias("shared")).where(likely(F.col("n"), F.col("m"), F.col("shared"), percent))
-    group = met.where("lead != doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))
+    member = met.where("sketch is not null").select("group", "doc_id")
+    first = member.groupBy("group").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a != last")
+    group = member.join(first, "group").where("a != doc_id").select("a", F.col("doc_id").alias("b"))
     return counted.select("a", "b").unionByName(group).distinct()
 
 
@@ -410,16 +438,30 @@ def _of_reps(pairs: DataFrame, copies: DataFrame) -> DataFrame:
     return b.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a != b").distinct()
 
 
+def _cells(places: DataFrame, percent: int) -> DataFrame:
+    """Rows (token, node, n, left, small, component), one for each band of sizes that a row of an element can meet; ``token`` then names element and band.
+
+    Of two sets that meet, the larger is in the band of the smaller: in all bands from the least size it can be linked
+    to up to the largest that what it has left allows. ``small`` marks a row in its own band that can meet larger sets.
+    """
+    n, left = F.col("n"), F.col("left").cast("long")
+    most = F.floor(left * (100 + percent) / F.lit(float(percent)) + 1e-9) - n
+    band = lambda size: F.floor(F.log(size.cast("double")) * F.lit(2 / math.log(100 / percent)))
+    low, top = F.ceil(n * percent / 100 - 1e-9), F.least(n.cast("long"), most)
+    met = places.where(top >= low).withColumn("band", F.explode(F.sequence(band(low), band(top)))).withColumn("small", (most >= n) & (F.col("band") == band(n)))
+    return met.select(F.xxhash64("token", "band").alias("token"), "node", "n", "left", "small", "component")
+
+
 def _mixed(live: DataFrame) -> DataFrame:
-    """The rows (token, node, n, component) of tokens in several components, with the token's rows ``c``, its largest component ``major`` and the rows ``s`` outside it."""
-    sizes = live.groupBy("token", "component").agg(F.count("*").alias("c"))
-    tokens = sizes.groupBy("token").agg(F.sum("c").alias("c"), F.max(F.struct("c", "component")).alias("most")).where("c > most.c")
+    """The rows of tokens in several components and with a small row, with the token's rows ``c``, its largest component ``major`` and the rows ``s`` outside it."""
+    sizes = live.groupBy("token", "component").agg(F.count("*").alias("c"), F.sum(F.col("small").cast("int")).alias("few"))
+    tokens = sizes.groupBy("token").agg(F.sum("c").alias("c"), F.sum("few").alias("few"), F.max(F.struct("c", "component")).alias("most")).where("c > most.c and few > 0")
     tokens = tokens.select("token", "c", F.col("most.component").alias("major"), (F.col("c") - F.col("most.c")).alias("s"))
-    return live.select("token", "node", "n", "component").join(tokens, "token")
+    return live.select("token", "node", "n", "left", "small", "component").join(tokens, "token")
 
 
 def _pairs_by_sketch(live: DataFrame, shape: DataFrame, percent: int, closest: bool) -> DataFrame:
-    """(a, b, n, m) once for every token at which the two meet, see ``_close``.
+    """(a, b) once for every token at which the two can meet, see ``_close``.
 
     Rows outside the largest component ask, dealt into ``asked`` blocks; all rows are told, dealt into ``told`` blocks.
     """
@@ -427,12 +469,14 @@ def _pairs_by_sketch(live: DataFrame, shape: DataFrame, percent: int, closest: b
     deal = F.xxhash64("node")
     mine, own = F.pmod(deal, asked).cast("int"), F.pmod(F.shiftright(deal, 20), told).cast("int")
     asks = F.col("component") != F.col("major")
-    cell = lambda i, j, role: F.struct((i.cast("long") * told + j).alias("block"), role.cast("int").alias("role"))
+    bit = F.col("small").cast("int") * 4
+    cell = lambda i, j, role: F.struct((i.cast("long") * told + j).alias("block"), (role + bit).cast("int").alias("role"))
     both = F.transform(F.sequence(F.lit(0), asked - 1), lambda i: cell(i, own, F.when(asks & (i == mine), F.lit(3)).otherwise(F.lit(2))))
     others = F.filter(F.sequence(F.lit(0), told - 1), lambda j: asks & (j != own))
     cells = F.concat(both, F.transform(others, lambda j: cell(mine, j, F.lit(1))))
-    placed = live.select("token", "node", "component", "n", "c", F.explode(cells).alias("cell")).select("token", "cell.block", "node", "component", "n", "cell.role", "c")
-    ready = placed.where(F.col("c") > FEW).drop("c").join(shape, "node").select("token", "block", "node", "component", "n", "role", "sketch")
+    row = ("node", "component", "n", "left")
+    placed = live.select("token", *row, "c", F.explode(cells).alias("cell")).select("token", "cell.block", *row, "cell.role", "c")
+    ready = placed.where(F.col("c") > FEW).drop("c").join(shape, "node").select("token", "block", *row, "role", "sketch")
     ready = ready.unionByName(placed.where(F.col("c") <= FEW).drop("c").withColumn("sketch", F.lit(None).cast("binary")))
     ready = ready.repartition("token", "block").sortWithinPartitions("token", "block", "node")
-    return ready.mapInArrow(_close(percent, closest), "a long, b long, n int, m int")
+    return ready.mapInArrow(_close(percent, closest), "a long, b long")
