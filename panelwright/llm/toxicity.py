@@ -6,9 +6,10 @@ likelihood of the noisy-or trains the sentence model, which then says where the
 
 Fitting takes at most ``max_labelled`` labelled documents, whole texts, chosen by a hash of the id; scoring covers
 every text and runs map-only with the weights (2**BITS numbers) broadcast. Where labels are rare or wrong in part,
-the likelihood's own scores lie low. So the log odds are shifted by one number, which puts 0.5 where two halves of
-the same learning rows, each scored by a model of the other, tell the labels apart best (most of the toxic above
-less clean above); ranks stay as they are.
+the likelihood's own scores lie low. So the log odds are shifted by one number, which puts 0.5 where the labels of
+learning rows are told apart when each is scored by a model of the other FOLDS - 1 folds: where a logistic curve through
+their odds, both labels weighing alike, gives even chances, or higher, so that SPARED of the clean rows lie below.
+Ranks stay as they are.
 
 Defined cases: null or empty texts and texts without words have no sentence and score 0; a sentence is what lies
 between full stops, exclamation and question marks and line ends; repeated rows score alike; a document whose
@@ -32,6 +33,8 @@ from panelwright.llm.labelled import labelled_sample, remainder
 BITS = 20
 #: Besides whole words, their first so many bytes are features, so that inflected forms share what they have in common.
 STEMS = (5, 6, 7)
+#: Parts of the learning rows that are scored by models of the others, and the share of clean ones that must lie below 0.5.
+FOLDS, SPARED = 4, 0.95
 _ENDS = np.zeros(256, np.int64)
 _ENDS[[0x0A, 0x21, 0x2E, 0x3F]] = 1
 
@@ -146,16 +149,27 @@ def log_odds(miss: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(np.expm1(np.maximum(miss, 1e-300)), 1e-300))
 
 
-def best_cut(odds: np.ndarray, label: np.ndarray) -> float:
-    """The log odds that tell labels apart best: between the two rows where most of the ones less most of the zeros lie above."""
-    ones, zeros = int((label > 0).sum()), int((label <= 0).sum())
-    if min(ones, zeros) < 20:
+def balanced_cut(odds: np.ndarray, label: np.ndarray, spared: float = SPARED) -> float:
+    """The log odds at which a label is as likely as the other if both were as frequent, but not below ``spared`` of the zeros; 0 with fewer than 20 of a label."""
+    ones, zeros = label > 0, label <= 0
+    if min(ones.sum(), zeros.sum()) < 20:
         return 0.0
-    order = np.argsort(-odds, kind="stable")
-    gain = np.cumsum(label[order] > 0) / ones - np.cumsum(label[order] <= 0) / zeros
-    gain[:-1][odds[order[1:]] == odds[order[:-1]]] = -1  # no cut between equal scores
-    at = int(np.argmax(gain))
-    return float(odds[order[at : at + 2]].mean())
+    x = np.clip(odds, -30, 30)
+    weight = np.where(ones, 0.5 / ones.sum(), 0.5 / zeros.sum())
+    center, scale = np.average(x, weights=weight), max(float(np.sqrt(np.cov(x, aweights=weight))), 1e-9)
+    z = (x - center) / scale
+    slope = level = 0.0
+    for _ in range(50):  # Newton's steps, with a small penalty that keeps the slope finite where labels don't overlap
+        p = _sigmoid(level + slope * z)
+        gap, bend = weight * (p - ones), weight * p * (1 - p) + 1e-12
+        g = np.array([gap.sum(), (gap * z).sum() + 1e-3 * slope])
+        h = np.array([[bend.sum(), (bend * z).sum()], [(bend * z).sum(), (bend * z * z).sum() + 1e-3]])
+        step = np.linalg.solve(h, g)
+        level, slope = level - step[0], slope - step[1]
+        if np.abs(step).max() < 1e-9:
+            break
+    even = center - scale * level / slope if slope > 1e-6 else -np.inf
+    return float(max(even, np.quantile(x[zeros], spared)))
 
 
 def fit(documents: DataFrame, labels: DataFrame, divisor: int = 5, held_out: int = 0, max_labelled: int = 8000, epochs: int = 20, penalty: float = 1e-4, least: int = 10, seed: int = 1) -> tuple[np.ndarray, float, float]:
@@ -164,11 +178,11 @@ def fit(documents: DataFrame, labels: DataFrame, divisor: int = 5, held_out: int
     bags = Bags(sample.mapInArrow(_features, "label int, sentence array<int>, word array<int>").toArrow())
     cut = 0.0
     if len(np.unique(bags.label[bags.full] > 0)) == 2:
-        half = np.random.default_rng(seed).permutation(len(bags.full)) % 2
+        part = np.random.default_rng(seed).permutation(len(bags.full)) % FOLDS
         odds = np.zeros(len(bags.full))
-        for h in (0, 1):
-            odds[half == h] = _noisy_or_odds(bags, bags.full[half == h], *_descend(bags, bags.full[half != h], epochs, penalty, least, seed))
-        cut = best_cut(odds, bags.label[bags.full])
+        for k in range(FOLDS):
+            odds[part == k] = _noisy_or_odds(bags, bags.full[part == k], *_descend(bags, bags.full[part != k], epochs, penalty, least, seed))
+        cut = balanced_cut(odds, bags.label[bags.full])
     weight, bias = _descend(bags, bags.full, epochs, penalty, least, seed)
     return weight, bias, -cut
 

@@ -506,8 +506,46 @@ def test_noisy_or_slope():
 def test_cut_tells_labels_apart():
     odds = np.concatenate([np.linspace(-6, -2, 50), np.linspace(-1, 4, 30)])
     label = np.repeat([0, 1], [50, 30])
-    assert -2 < toxicity.best_cut(odds, label) < -1
-    assert toxicity.best_cut(odds[:60], label[:60]) == 0.0  # too few to tell
+    assert -2.2 < toxicity.balanced_cut(odds, label) < 0
+    assert toxicity.balanced_cut(odds[:60], label[:60]) == 0.0  # too few to tell
+    # where labels overlap, clean rows are spared; where they are the same, all but a few
+    r = np.random.default_rng(2)
+    mixed = np.concatenate([r.normal(-3, 1, 400), r.normal(-1, 1, 40)])
+    label = np.repeat([0, 1], [400, 40])
+    cut = toxicity.balanced_cut(mixed, label)
+    assert (mixed[:400] < cut).mean() >= 0.949 and (mixed[400:] > cut).mean() > 0.4
+    assert (r.permutation(mixed) > toxicity.balanced_cut(mixed, r.permutation(label))).mean() < 0.1
+
+
+def test_toxicity_scores_equal_a_plain_noisy_or(spark):
+    """Scores recomputed word by word from given weights."""
+    import re
+
+    r = np.random.default_rng(5)
+    weight, bias, shift = r.normal(0, 1, 1 << toxicity.BITS).astype(np.float32), -1.5, 0.7
+    texts = ["Some words. Other words! some WORDS? longerword longerwords", "", None, "one", "a b c\nd e f... g", "...", "tie tie tie. tie", "schön über alles, Straße 5.5 x"]
+
+    def feature(word):
+        return int(textbytes.words(np.frombuffer(word, np.uint8), np.array([0, len(word)]), "alnum")[0][0] >> np.uint64(64 - toxicity.BITS))
+
+    def stem(word, n):
+        raw = np.frombuffer(word, np.uint8)
+        return int(textbytes.prefixes(raw, np.array([0]), np.array([len(word)]), n, "alnum")[1][0] >> np.uint64(64 - toxicity.BITS))
+
+    def plain(text):
+        miss = 0.0
+        for sentence in re.split(rb"[.!?\n]", (text or "").encode()):
+            words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", sentence)
+            seen = {feature(w) for w in words} | {stem(w, n) for w in words for n in toxicity.STEMS if len(w) > n}
+            if words:
+                miss -= np.log1p(-1 / (1 + np.exp(-(bias + sum(float(weight[f]) for f in seen)))))
+        return 1 / (1 + np.exp(-(np.log(np.expm1(miss)) + shift))) if miss > 0 else 0.0
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.score for x in toxicity.scored(docs, (weight, bias, shift)).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], [plain(t) for t in texts], rtol=1e-6)
+    kept = {x.doc_id for x in toxicity.without_toxic(docs, (weight, bias, shift)).collect()}
+    assert kept == {i for i, t in enumerate(texts) if plain(t) < 0.5}
 
 
 def test_toxicity_of_odd_rows(odd):
