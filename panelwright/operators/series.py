@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,14 +50,24 @@ EWMAC_PAIRS = {"ewmac_fast": (16, 64), "ewmac_slow": (32, 128)}
 
 
 def ewmac(bars: DataFrame, pairs: dict[str, tuple[int, int]] | None = None) -> DataFrame:
-    """(ticker, date, one column per pair): difference of two EMAs over the EW deviation of daily steps; NULL where that is 0 or unknown."""
+    """(ticker, date, one column per pair): difference of two EMAs over the EW deviation of daily steps; NULL where that is 0 or unknown.
+
+    Averages begin at the first price and weigh each new one by 2 / (span + 1); the deviation is corrected for bias and
+    known from the second step on. Recursions run over one ticker's series at a time, in linear time.
+    """
     pairs = EWMAC_PAIRS if pairs is None else pairs
-    s = ordered_values(bars, "ticker", "date", "adj_close").select("ticker", F.transform("s", lambda p: p.t).alias("t"), F.transform("s", lambda p: p.x).alias("x"))
-    s = s.withColumn("d", F.zip_with(F.slice("x", 2, F.size("x")), F.slice("x", 1, F.size("x") - 1), lambda new, old: new - old))
-    for name, (fast, slow) in pairs.items():
-        s = s.withColumn(name, F.zip_with(F.zip_with(ema_array(F.col("x"), fast), ema_array(F.col("x"), slow), lambda f, g: f - g), F.concat(F.array(F.lit(None).cast("double")), ew_std_array(F.col("d"), slow)), lambda y, sd: F.try_divide(y, F.nullif(sd, F.lit(0.0)))))
-    rows = s.select("ticker", F.explode(F.arrays_zip("t", *pairs)).alias("p"))
-    return rows.select("ticker", F.col("p.t").alias("date"), *(F.col(f"p.{name}").alias(name) for name in pairs))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("date")
+        out, px = rows[["ticker", "date"]].copy(), rows["adj_close"]
+        for name, (fast, slow) in pairs.items():
+            spread = px.ewm(span=fast, adjust=False).mean() - px.ewm(span=slow, adjust=False).mean()
+            deviation = px.diff().ewm(span=slow, adjust=False).std()
+            out[name] = spread / deviation.where(deviation > 0)
+        return out
+
+    fields = ", ".join(f"{name} double" for name in pairs)
+    return bars.select("ticker", "date", "adj_close").groupBy("ticker").applyInPandas(run, f"ticker string, date date, {fields}")
 
 
 def spaced_events(events: DataFrame, key: str, place: str, spacing: int) -> DataFrame:
@@ -78,13 +91,19 @@ def week_ending(d: Column) -> Column:
 
 
 def expanding_share_at_most(rows: DataFrame, key: str, order: str, value: str, least: int) -> DataFrame:
-    """Share of a series' own history up to each point that is at most the point, once there are ``least`` values. One row's array per key."""
-    s = ordered_values(rows.where(F.col(value).isNotNull()), key, order, value)
-    places = F.transform(
-        F.col("s"),
-        lambda p, i: F.struct(p.t.alias("t"), F.when(i + 1 >= least, F.size(F.filter(F.slice(F.col("s"), 1, i + 1), lambda q: q.x <= p.x)) / (i + 1)).alias("share")),
-    )
-    return s.select(key, F.explode(places).alias("p")).select(key, F.col("p.t").alias(order), F.col("p.share").alias("share"))
+    """Share of a series' own history up to each point that is at most the point, once there are ``least`` values. One key's series at a time, kept sorted as it grows."""
+    known = rows.where(F.col(value).isNotNull()).select(key, order, F.col(value).cast("double").alias("share"))
+
+    def run(series: pd.DataFrame) -> pd.DataFrame:
+        series = series.sort_values(order)
+        seen: list[float] = []
+        shares = []
+        for n, x in enumerate(series["share"].tolist(), 1):
+            insort(seen, x)
+            shares.append(bisect_right(seen, x) / n if n >= least else None)
+        return series.assign(share=pd.array(shares, "Float64"))
+
+    return known.groupBy(key).applyInPandas(run, known.schema)
 
 
 def iid_equity(rows: DataFrame, key: str, order: str, ret: str) -> DataFrame:

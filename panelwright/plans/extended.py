@@ -154,18 +154,23 @@ SIGNALS = (
 )
 
 
-@query(SIGNALS + " SELECT ticker, date, round(ret_5, 6) AS ret_5, round(ret_21, 6) AS ret_21, round(ret_63, 6) AS ret_63, round(ret_126, 6) AS ret_126, round(mom_12_1, 6) AS mom_12_1, round(slope_r2, 6) AS slope_r2, round(ker_63, 6) AS ker_63, round(sharpe_63, 6) AS sharpe_63, round(list_avg([r_slope_r2, r_ker_63, r_sharpe_63]), 6) AS stable_mom FROM k")
-def q5_signal_panel(spark, sf):
-    """Returns, momentum, trend quality, and the mean of three ranks within a date, of those that a ticker has."""
+def signal_panel(spark, sf):
+    """Returns over several spans, momentum and trend quality of every ticker and day."""
     px, w90, one = F.col("close"), last_rows(90), by_ticker()
     b = src.daily_bars(spark, sf).select("ticker", "date", "close").withColumn("d", px - F.lag(px).over(one)).withColumn("lr", F.ln(px) - F.ln(F.lag(px).over(one))).withColumn("i", F.row_number().over(one).cast("double")).withColumn("y", F.ln(px))
     r63 = lagged_return(px, 63)
-    s = b.select(
+    return b.select(
         "ticker", "date", *(lagged_return(px, n).alias(f"ret_{n}") for n in (5, 21, 63, 126)), (F.try_divide(F.lag(px, 21).over(one), F.lag(px, 252).over(one)) - 1).alias("mom_12_1"),
         F.when(F.col("i") >= 90, F.regr_slope("y", "i").over(w90) * 252 * F.regr_r2("y", "i").over(w90)).alias("slope_r2"),
         F.try_divide(F.abs(px - F.lag(px, 63).over(one)), rolling(F.sum, F.abs("d"), 63)).alias("ker_63"),
         F.try_divide(r63, F.nullif(rolling(F.stddev_samp, F.col("lr"), 63) * F.sqrt(F.lit(252.0)), F.lit(0.0))).alias("sharpe_63"),
     )
+
+
+@query(SIGNALS + " SELECT ticker, date, round(ret_5, 6) AS ret_5, round(ret_21, 6) AS ret_21, round(ret_63, 6) AS ret_63, round(ret_126, 6) AS ret_126, round(mom_12_1, 6) AS mom_12_1, round(slope_r2, 6) AS slope_r2, round(ker_63, 6) AS ker_63, round(sharpe_63, 6) AS sharpe_63, round(list_avg([r_slope_r2, r_ker_63, r_sharpe_63]), 6) AS stable_mom FROM k")
+def q5_signal_panel(spark, sf):
+    """Returns, momentum, trend quality, and the mean of three ranks within a date, of those that a ticker has."""
+    s = signal_panel(spark, sf)
     parts = ["slope_r2", "ker_63", "sharpe_63"]
     s = s.withColumns({f"r_{c}": average_rank_share(F.col(c), "date") for c in parts})
     known = F.filter(F.array(*(F.col(f"r_{c}") for c in parts)), lambda x: x.isNotNull())

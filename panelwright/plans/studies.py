@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelwright.operators import changepoint, drawdowns
+from panelwright.operators import changepoint, drawdowns, formation, launches, screen
+from panelwright.plans import extended
+from panelwright.plans import queries as base
 from panelwright.plans.queries import query, rounded
 from panelwright.sources import adapters as src
 
@@ -142,3 +144,240 @@ def q9_year_interval(spark, sf):
 def q19_round_trips(spark, sf):
     """Q19: medians before days that rose by half and before the others, and how many of the former stayed below their old high."""
     return rounded(drawdowns.followers(_days(spark, sf), 0.5))
+
+
+# --- signals at formation dates, pools and intervals
+
+
+def _roll(f: str, x: str, n: int, least: int | None = None) -> str:
+    frame = f"OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count({x}) {frame} >= {least or n} THEN {f}({x}) {frame} END"
+
+
+def _rank(x: str, by: str) -> str:
+    return f"CASE WHEN {x} IS NOT NULL THEN rank() OVER (PARTITION BY {by} ORDER BY {x} ASC NULLS LAST) + (count({x}) OVER (PARTITION BY {by}, {x}) - 1) / 2.0 END"
+
+
+def _share(x: str, by: str = "date") -> str:
+    return f"({_rank(x, by)}) / nullif(count({x}) OVER (PARTITION BY {by}), 0)"
+
+
+AHEAD = (
+    ", fw AS (SELECT ticker, date, lead(close, 21) OVER w / close - 1 AS ret, CASE WHEN count(lr) OVER (w ROWS BETWEEN 1 FOLLOWING AND 21 FOLLOWING) = 21 THEN stddev_samp(lr) OVER (w ROWS BETWEEN 1 FOLLOWING AND 21 FOLLOWING) * sqrt(252) END AS vol, "
+    "CASE WHEN count(close) OVER (w ROWS BETWEEN 1 FOLLOWING AND 21 FOLLOWING) = 21 THEN min(close) OVER (w ROWS BETWEEN 1 FOLLOWING AND 21 FOLLOWING) END / close - 1 AS trough "
+    "FROM (SELECT ticker, date, close, ln(close) - ln(lag(close) OVER (PARTITION BY ticker ORDER BY date)) AS lr FROM bars) WINDOW w AS (PARTITION BY ticker ORDER BY date)), "
+    "form AS (SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS o, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM bars)) WHERE o >= 300 AND o < n - 22 AND (o - 300) % 21 = 0)"
+)
+_RETURNS = ("ret_5", "ret_21", "ret_63", "ret_126", "mom_12_1", "slope_r2", "ker_63", "sharpe_63")
+_PARTS = ("slope_r2", "ker_63", "sharpe_63")
+FORMED = (
+    extended.SIGNALS + AHEAD + ", c0 AS (SELECT s.*, ret, vol, trough FROM s JOIN fw USING (ticker, date) JOIN form USING (date) WHERE ret IS NOT NULL AND vol IS NOT NULL), "
+    f"c1 AS (SELECT *, {', '.join(f'{_share(c)} AS q_{c}' for c in _PARTS)} FROM c0), formed AS (SELECT * EXCLUDE ({', '.join(f'q_{c}' for c in _PARTS)}), round(list_avg([{', '.join(f'q_{c}' for c in _PARTS)}]), 9) AS stable_mom FROM c1)"
+)
+
+
+def _formed(spark, sf, h: int = 21):
+    """Signals and what follows on formation dates: every 21st date from the 300th on."""
+    bars = src.daily_bars(spark, sf)
+    signals = extended.signal_panel(spark, sf).join(formation.ahead(bars, h), ["ticker", "date"]).join(formation.formation_dates(bars, 300, h, 21), "date").where("ret is not null and vol is not null")
+    return formation.mean_rank_share(signals, list(_PARTS), "stable_mom").withColumn("stable_mom", F.round("stable_mom", 9))
+
+
+_SIGNALS = (*_RETURNS, "stable_mom")
+
+
+@query(
+    FORMED + ", l AS (" + " UNION ALL ".join(f"SELECT ticker, date, ret, vol, trough, '{s}' AS signal, {s} AS x FROM formed WHERE {s} IS NOT NULL" for s in _SIGNALS) + "), "
+    f"m AS (SELECT *, count(*) OVER (PARTITION BY signal, date) AS n, {_rank('x', 'signal, date')} AS rx, {_rank('ret', 'signal, date')} AS ry, row_number() OVER (PARTITION BY signal, date ORDER BY x DESC, ticker) AS t, row_number() OVER (PARTITION BY signal, date ORDER BY x, ticker DESC) AS b FROM l), "
+    "d AS (SELECT signal, date, corr(rx, ry) AS ic, avg(ret) FILTER (t <= greatest(5, floor(n * 0.1))) AS r, avg(vol) FILTER (t <= greatest(5, floor(n * 0.1))) AS v, avg(trough) FILTER (t <= greatest(5, floor(n * 0.1))) AS tr, avg(ret) FILTER (b <= greatest(5, floor(n * 0.1))) AS br FROM m WHERE n >= 10 GROUP BY signal, date) "
+    "SELECT signal, count(*) AS n, round(avg(ic), 6) AS ic_mean, round(stddev_pop(ic), 6) AS ic_std, CASE WHEN count(ic) > 2 THEN round(avg(ic) / (nullif(stddev_pop(ic), 0) / sqrt(count(ic))), 6) END AS ic_t, round(avg(r), 6) AS top_ret, round(avg(v), 6) AS top_vol, round(avg(tr), 6) AS top_trough, round(avg(r) - avg(br), 6) AS spread, round(avg(r) / avg(v), 6) AS ret_over_vol FROM d GROUP BY signal"
+)
+def q6_signal_study(spark, sf):
+    """Q6: nine signals on every formation date of at least ten names."""
+    return rounded(formation.study_summary(formation.signal_study(_formed(spark, sf), list(_SIGNALS), least=10)))
+
+
+_PICK = "greatest(2, floor({n} * 0.1))"
+POOLED = (
+    FORMED + ", brk AS (WITH " + BREAKOUTS[2:].replace("{columns}", "base_slope, drift * fit_gain AS brk") + "), "
+    f"u0 AS (SELECT ticker, date, ret, vol, trough, stable_mom AS a, round(brk, 9) AS b FROM formed LEFT JOIN brk USING (ticker, date)), u1 AS (SELECT *, count(*) OVER (PARTITION BY date) AS n_all, a IS NOT NULL AND row_number() OVER (PARTITION BY date ORDER BY a DESC NULLS LAST, ticker) <= {_PICK.format(n='count(*) OVER (PARTITION BY date)')} AS ka, coalesce({_share('b')} >= 0.9, false) AS kb FROM u0), "
+    "wide AS (SELECT date, any_value(n_all) AS n_all, sum(ka::INT)::DOUBLE AS k1, sum(kb::INT)::DOUBLE AS k2, sum((ka AND kb)::INT)::DOUBLE AS k12 FROM u1 GROUP BY date), "
+    f"i0 AS (SELECT *, count(*) OVER (PARTITION BY date) AS n, {_rank('a', 'date')} AS ra, {_rank('b', 'date')} AS rb, {_rank('ret', 'date')} AS rr FROM u0 WHERE b > 0), "
+    + "i1 AS (SELECT *, " + " + ".join(f"coalesce((r{x} - avg(r{x}) OVER (PARTITION BY date)) / nullif(stddev_samp(r{x}) OVER (PARTITION BY date), 0), 0)" for x in "ab") + " AS c FROM i0 WHERE n >= 6), "
+    + "i2 AS (SELECT *, " + ", ".join(f"{x} IS NOT NULL AND row_number() OVER (PARTITION BY date ORDER BY {'round(c, 9)' if x == 'c' else x} DESC NULLS LAST, ticker) <= {_PICK.format(n='n')} AS p{x}" for x in "abc") + " FROM i1), "
+    + "i3 AS (SELECT date, any_value(n) AS n, " + ", ".join(f"avg({m}) FILTER (p{x}) AS {m}_{x}" for x in "abc" for m in ("ret", "vol", "trough")) + ", " + ", ".join(f"avg({m}) AS {m}_pool" for m in ("ret", "vol", "trough")) + ", corr(ra, rr) AS ic_a, corr(rb, rr) AS ic_b FROM i2 GROUP BY date), "
+    "pooled AS (SELECT *, ret_a - ret_b AS gap_ret, trough_a - trough_b AS gap_trough, ret_a / nullif(vol_a, 0) - ret_b / nullif(vol_b, 0) AS gap_ret_over_vol, CASE WHEN k1 > 0 AND k2 > 0 THEN k12 / (k1 + k2 - k12) END AS jaccard, CASE WHEN k1 > 0 AND k2 > 0 THEN (k1 * k2 / n_all) / (k1 + k2 - k1 * k2 / n_all) END AS by_chance FROM i3 JOIN wide USING (date))"
+)
+_POOL_COLUMNS = [*(f"{m}_{x}" for x in "abc" for m in ("ret", "vol", "trough")), *(f"{m}_pool" for m in ("ret", "vol", "trough")), "ic_a", "ic_b", "gap_ret", "gap_trough", "gap_ret_over_vol", "jaccard", "by_chance"]
+
+
+def _pooled(spark, sf):
+    """The pool are names whose slope has risen; the guards of the strength would leave too few of the test tables' names on a date."""
+    rise = changepoint.breakouts(src.daily_bars(spark, sf)).select("ticker", "date", F.round(F.col("drift") * F.col("fit_gain"), 9).alias("brk"))
+    rows = _formed(spark, sf).select("ticker", "date", "ret", "vol", "trough", "stable_mom").join(rise, ["ticker", "date"], "left")
+    return formation.pool_comparison(rows, F.col("brk") > 0, "stable_mom", "brk", least=6, least_top=2)
+
+
+@query(POOLED + " SELECT date, n, n_all, " + ", ".join(f"round({c}, 6) AS {c}" for c in _POOL_COLUMNS) + " FROM pooled")
+def q7_pool_comparison(spark, sf):
+    """Q7: on each formation date, picks of one size out of the pool of names that turned up: by stable momentum, by the turn, by both."""
+    return rounded(_pooled(spark, sf))
+
+
+_MEASURES = ("gap_ret", "gap_trough", "gap_ret_over_vol", "ic_a", "ic_b")
+
+
+def _intervals(points: str, block: int) -> str:
+    """Of ``points`` (key, i from 0, v): as series_intervals, point by point."""
+    return (
+        f", pts AS ({points}), size AS (SELECT key, count(*) AS n, avg(v) AS mean FROM pts GROUP BY key), "
+        f"slots AS (SELECT key, n, r, s FROM size, (SELECT unnest(range(2000)) AS r), LATERAL (SELECT unnest(range(CAST(ceil(n / {block}) AS BIGINT))) AS s) WHERE n > {block}), "
+        f"draws AS (SELECT key, n, r, s, ((r * 7919 + s * 104729 + 1299709) % 2147483647 * 48271 % 2147483647) % (n - {block} + 1) AS start FROM slots), "
+        f"means AS (SELECT key, r, avg(v) AS m FROM (SELECT key, r, start + j AS i FROM draws, (SELECT unnest(range({block})) AS j) WHERE s * {block} + j < n) JOIN pts USING (key, i) GROUP BY key, r), "
+        f"ends AS (SELECT key, quantile_cont(m, 0.05) AS low, quantile_cont(m, 0.95) AS high FROM means GROUP BY key), "
+        f"intervals AS (SELECT key, n, mean, CASE WHEN n >= 5 THEN CASE WHEN n <= {block} THEN mean ELSE low END END AS low, CASE WHEN n >= 5 THEN CASE WHEN n <= {block} THEN mean ELSE high END END AS high FROM size LEFT JOIN ends USING (key))"
+    )
+
+
+@query(
+    POOLED + _intervals(" UNION ALL ".join(f"SELECT '{m}' AS key, row_number() OVER (ORDER BY date) - 1 AS i, {m} AS v FROM pooled WHERE {m} IS NOT NULL" for m in _MEASURES), 3)
+    + " SELECT key AS measure, n, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high FROM intervals"
+)
+def q7_pool_intervals(spark, sf):
+    """Q7, Q8: gaps between the two pickers and their rank correlations, each with an interval by blocks of three dates."""
+    found = _pooled(spark, sf)
+    long = found.select("date", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in _MEASURES))).alias("x")).select("date", "x.measure", "x.v")
+    return rounded(formation.series_intervals(long, "measure", ["date"], "v", block=3))
+
+
+@query(
+    POOLED + " SELECT CASE WHEN year(date) < 1997 THEN 'early' WHEN year(date) < 1999 THEN 'middle' ELSE 'late' END AS regime, count(*) AS dates, round(avg(trough_a), 6) AS trough_a, round(avg(trough_b), 6) AS trough_b, round(avg(ret_a), 6) AS ret_a, round(avg(ret_b), 6) AS ret_b, round(avg(jaccard), 6) AS jaccard, round(avg(by_chance), 6) AS by_chance FROM pooled GROUP BY 1"
+)
+def q7_pool_regimes(spark, sf):
+    """Q7: the same by regime, with years that the test tables have."""
+    by = formation.regime(F.year("date"), (("early", 1997), ("middle", 1999)), "late")
+    return rounded(_pooled(spark, sf).groupBy(by.alias("regime")).agg(F.count("*").alias("dates"), *(F.avg(c).alias(c) for c in ("trough_a", "trough_b", "ret_a", "ret_b", "jaccard", "by_chance"))))
+
+
+@query(", " + _intervals("SELECT bucket AS key, row_number() OVER (PARTITION BY bucket ORDER BY date) - 1 AS i, ln(close) AS v FROM sector_bars", 20)[2:] + " SELECT key AS bucket, n, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high FROM intervals")
+def q8_block_intervals(spark, sf):
+    """Q8: the mean log price of every sector with an interval over 2000 draws of blocks of 20 dates."""
+    return rounded(formation.series_intervals(src.sector_bars(spark, sf).withColumn("v", F.ln("close")), "bucket", ["date"], "v", block=20))
+
+
+# --- launches
+
+IGNITE = (
+    ", g0 AS (SELECT b.ticker, b.date, b.adj_close AS px, coalesce(b.volume, 0)::DOUBLE AS v, last_value(x.close IGNORE NULLS) OVER (PARTITION BY b.ticker ORDER BY b.date) AS m FROM bars b LEFT JOIN spx x ON x.date = b.date), "
+    "g1 AS (SELECT *, px / m AS line, abs(px - lag(px) OVER w) AS move FROM g0 WINDOW w AS (PARTITION BY ticker ORDER BY date)), "
+    f"g2 AS (SELECT ticker, date, (px / lag(px, 10) OVER w - 1) / 10 - (px / lag(px, 50) OVER w - 1) / 50 AS accel, {_roll('avg', 'move', 10)} / nullif({_roll('avg', 'move', 60)}, 0) AS expand, {_roll('avg', 'v', 5)} / nullif({_roll('avg', 'v', 60)}, 0) AS vsurge, "
+    f"px / ({_roll('max', 'px', 60)}) * coalesce((px > {_roll('avg', 'px', 50)})::INT, 0) AS breakout, (line / lag(line, 10) OVER w - 1) - (line / lag(line, 30) OVER w - 1) / 3 AS rsturn FROM g1 WINDOW w AS (PARTITION BY ticker ORDER BY date)), "
+    f"g3 AS (SELECT *, {', '.join(f'{_share(c)} AS q_{c}' for c in launches.IGNITION)} FROM g2), g4 AS (SELECT * EXCLUDE ({', '.join(f'q_{c}' for c in launches.IGNITION)}), round(100 * list_avg([{', '.join(f'q_{c}' for c in launches.IGNITION)}]), 9) AS ignition FROM g3), "
+    f"ignite AS (SELECT *, 100 * {_share('ignition')} AS ignition_pct FROM g4)"
+)
+
+
+def _ignition(spark, sf):
+    return launches.ignition(src.daily_bars(spark, sf), src.benchmark(spark, sf))
+
+
+@query(IGNITE + " SELECT ticker, date, " + ", ".join(f"round({c}, 6) AS {c}" for c in (*launches.IGNITION, "ignition", "ignition_pct")) + " FROM ignite")
+def q1_ignition(spark, sf):
+    """Q1: five short-window measures of every ticker and day, and the rank of their mean rank."""
+    return rounded(_ignition(spark, sf))
+
+
+@query(
+    IGNITE + f", comp AS (SELECT ticker, date, 100 * {_share('cr')} AS composite FROM (SELECT ticker, date, round(composite, 9) AS cr FROM scored)), "
+    "h AS (SELECT ticker, date, adj_close AS px, max(adj_close) OVER (PARTITION BY ticker) AS top, CASE WHEN count(adj_close) OVER (w ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) >= 20 THEN max(adj_close) OVER (w ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) END AS before, max(adj_close) OVER (w ROWS BETWEEN 1 FOLLOWING AND 60 FOLLOWING) AS nxt FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)), "
+    "l AS (SELECT ticker, coalesce(min(date) FILTER (px > before AND px < 0.6 * top AND nxt > px * 1.15), min(date) FILTER (px > 0.2 * top)) AS t0 FROM h GROUP BY ticker), l0 AS (SELECT l.ticker, t0, px AS p0 FROM l JOIN h ON h.ticker = l.ticker AND h.date = t0), "
+    + ", ".join(f"{n}_d AS (SELECT l0.ticker, min(x.date) AS d FROM l0 JOIN {table} x ON x.ticker = l0.ticker AND x.date >= t0 AND x.{col} >= 90 GROUP BY 1)" for n, table, col in (("ig", "ignite", "ignition_pct"), ("co", "comp", "composite")))
+    + " SELECT l0.ticker, t0, round(p0, 6) AS p0, ig_d.d AS ignition_lit, date_diff('day', t0, ig_d.d) // 7 AS ignition_weeks, round(i.px / p0 - 1, 6) AS ignition_runup, co_d.d AS composite_lit, date_diff('day', t0, co_d.d) // 7 AS composite_weeks, round(c.px / p0 - 1, 6) AS composite_runup "
+    "FROM l0 LEFT JOIN ig_d USING (ticker) LEFT JOIN co_d USING (ticker) LEFT JOIN h i ON i.ticker = l0.ticker AND i.date = ig_d.d LEFT JOIN h c ON c.ticker = l0.ticker AND c.date = co_d.d"
+)
+def q2_first_lit(spark, sf):
+    """Q2: when each ticker's rise began, and how late the ignition and the composite first put it among a date's top tenth."""
+    bars = src.daily_bars(spark, sf)
+    comp = screen.composite(base._signals(spark, sf)).select("ticker", "date", (100 * launches.average_rank_share(F.round("composite", 9), "date")).alias("composite"))
+    scores = _ignition(spark, sf).select("ticker", "date", F.col("ignition_pct").alias("ignition")).join(comp, ["ticker", "date"], "full")
+    return rounded(launches.first_lit(launches.launch_dates(bars, high_share=0.6), scores, bars, ["ignition", "composite"]))
+
+
+SIGNED = (
+    ", k0 AS (SELECT ticker, date, close, row_number() OVER w - 1 AS i, coalesce(ln(close) - ln(lag(close) OVER w), 0) AS step, count(*) OVER (PARTITION BY ticker) AS n FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)), "
+    f"k1 AS (SELECT *, close / ({_roll('max', 'close', 252, 120)}) - 1 AS dd252, close / ({_roll('avg', 'close', 200, 120)}) - 1 AS dist_ma200, coalesce(close > {_roll('avg', 'close', 50)}, false) AS above FROM k0 WINDOW w AS (PARTITION BY ticker ORDER BY i)), "
+    f"signed AS (SELECT *, {_roll('min', 'dd252', 126, 40)} AS min_dd_126, {_roll('stddev_samp', 'step', 126, 60)} * sqrt(252) AS rvol126, above AND NOT coalesce(lag(above) OVER w, false) AS reclaim FROM k1 WINDOW w AS (PARTITION BY ticker ORDER BY i))"
+)
+
+
+@query(
+    SIGNED + ", lo AS (SELECT ticker, arg_min(i, (close, i)) AS low_i FROM signed WHERE n >= 300 AND i >= n - 504 GROUP BY ticker), trn AS (SELECT ticker, low_i, coalesce(min(s.i) FILTER (s.reclaim AND s.i >= low_i), low_i) AS i FROM lo JOIN signed s USING (ticker) GROUP BY ticker, low_i) "
+    "SELECT x.ticker, y.date AS low, x.date AS launch, " + ", ".join(f"round(x.{c}, 6) AS {c}" for c in ("dd252", "min_dd_126", "rvol126", "dist_ma200")) + " FROM trn JOIN signed x USING (ticker, i) JOIN signed y ON y.ticker = trn.ticker AND y.i = low_i"
+)
+def q15_launch_signature(spark, sf):
+    """Q15: how washed out and volatile every ticker was when it first crossed its average after its two-year low."""
+    return rounded(launches.launch_signature(launches.signature_features(src.daily_bars(spark, sf))))
+
+
+@query(
+    SIGNED + ", y0 AS (SELECT ticker, i, CASE WHEN lead(close, 63) OVER w IS NOT NULL THEN max(close) OVER (w ROWS BETWEEN 1 FOLLOWING AND 63 FOLLOWING) END / close - 1 >= 30 AS y, coalesce(rvol126 >= 0.4, false) AS vol, coalesce(rvol126 >= 0.4 AND min_dd_126 <= -0.4, false) AS washed, coalesce(rvol126 >= 0.4 AND min_dd_126 <= -0.4 AND reclaim, false) AS sig, n FROM signed WINDOW w AS (PARTITION BY ticker ORDER BY i)), "
+    "y1 AS (SELECT * FROM y0 WHERE n >= 363 AND y IS NOT NULL), sg AS (SELECT ticker, i, y, row_number() OVER (PARTITION BY ticker ORDER BY i) AS k FROM y1 WHERE sig), "
+    "chain AS (SELECT ticker, i, y FROM sg WHERE k = 1 UNION ALL SELECT sg.ticker, sg.i, sg.y FROM chain JOIN sg ON sg.ticker = chain.ticker AND sg.i = (SELECT min(z.i) FROM sg z WHERE z.ticker = chain.ticker AND z.i >= chain.i + 126)), "
+    "pops AS (SELECT 'all' AS key, count(*) AS n, sum(y::INT) AS k FROM y1 UNION ALL SELECT 'volatile', count(*), sum(y::INT) FROM y1 WHERE vol UNION ALL SELECT 'volatile and washed out', count(*), sum(y::INT) FROM y1 WHERE washed UNION ALL SELECT 'signal', count(*), sum(y::INT) FROM chain), "
+    "ev AS (SELECT n, k FROM pops WHERE key = 'signal'), rates AS (SELECT r, avg((((r * 7919 + s * 104729 + 1299709) % 2147483647 * 48271 % 2147483647) % n < k)::INT) AS m FROM ev, (SELECT unnest(range(2000)) AS r), LATERAL (SELECT unnest(range(n)) AS s) GROUP BY r) "
+    "SELECT key AS population, n, CAST(k AS BIGINT) AS k, round(k / n, 6) AS rate, CASE WHEN key = 'signal' THEN round((SELECT quantile_cont(m, 0.05) FROM rates), 6) END AS low, CASE WHEN key = 'signal' THEN round((SELECT quantile_cont(m, 0.95) FROM rates), 6) END AS high, round((SELECT k / n FROM ev) / nullif(k / n, 0), 6) AS lift FROM pops WHERE n > 0"
+)
+def q15_nested_baselines(spark, sf):
+    """Q15, Q10: how often a rise to 31 times (prices of the test tables leap) follows the signal, against all rows, volatile ones and washed-out ones; the signal's rate with an interval over 2000 draws of its events."""
+    pops = launches.baselines(launches.signature_features(src.daily_bars(spark, sf)), h=63, rise=30.0, washout=0.4, vol=0.4)
+    rate = formation.rate_interval(pops.where("population = 'signal'").withColumnRenamed("population", "key")).select(F.col("key").alias("population"), "low", "high", F.col("rate").alias("signal_rate"))
+    own = F.try_divide("k", "n")
+    out = pops.join(rate.select("population", "low", "high"), "population", "left").crossJoin(F.broadcast(rate.select("signal_rate")))  # one row
+    return rounded(out.select("population", "n", "k", own.alias("rate"), "low", "high", F.try_divide("signal_rate", F.nullif(own, F.lit(0.0))).alias("lift")))
+
+
+RANKED = (
+    ", v0 AS (" + " UNION ALL ".join(f"SELECT '{n}' AS variant, ticker, date, {score} AS score FROM riser" for n, score in (
+        ("net", "net10"), ("strict", "CASE WHEN ker10 >= 0.6 AND ddw10 >= -0.05 AND net10 > 0 THEN net10 END"), ("net_times_ker", "CASE WHEN net10 > 0 THEN net10 * ker10 END"),
+        ("up_days", "CASE WHEN up10 >= 0.6 AND net10 > 0 THEN net10 END"), ("loose", "CASE WHEN ker10 >= 0.5 AND ddw10 >= -0.08 AND net10 > 0 THEN net10 END"))) + "), "
+    f"listed AS (SELECT * FROM (SELECT variant, ticker, date, {_rank('-score', 'variant, date')} AS place FROM v0 WHERE score IS NOT NULL) WHERE place <= 3)"
+)
+
+
+def _variant_lists(spark, sf):
+    metrics = screen.riser_metrics(src.daily_bars(spark, sf))
+    return metrics, launches.variant_ranks(metrics)
+
+
+@query(
+    RANKED.replace("listed AS", "picks AS") + f", q0 AS (SELECT ticker, date, adj_close AS px, ln(adj_close) - ln(lag(adj_close) OVER (PARTITION BY ticker ORDER BY date)) AS step FROM bars), q1 AS (SELECT ticker, date, {_roll('max', 'step', 10)} / greatest(abs({_roll('sum', 'step', 10)}), 1e-9) AS spike, lead(px, 21) OVER w / px - 1 AS ret FROM q0 WINDOW w AS (PARTITION BY ticker ORDER BY date)) "
+    "SELECT variant, count(*) AS n, " + ", ".join(f"round(median({c}), 6) AS {c}" for c in ("net10", "ker10", "up10", "ddw10", "spike", "ret")) + " FROM picks JOIN riser USING (ticker, date) JOIN q1 USING (ticker, date) GROUP BY variant"
+)
+def q24_pick_quality(spark, sf):
+    """Q24: what the picks of five gates look like, and what follows them, in medians over all dates."""
+    metrics, ranks = _variant_lists(spark, sf)
+    return rounded(launches.pick_quality(metrics, ranks, src.daily_bars(spark, sf), top_n=3))
+
+
+@query(
+    RANKED.replace("listed AS", "picks AS") + ", dn AS (SELECT date, row_number() OVER (ORDER BY date) AS o FROM (SELECT DISTINCT date FROM bars)), pd AS (SELECT variant, ticker, o FROM picks JOIN dn USING (date)), "
+    "bo AS (SELECT variant, ticker, o, true AS now FROM pd UNION ALL SELECT variant, ticker, o + 1, false FROM pd), un AS (SELECT variant, o, ticker, count(*) AS k FROM bo WHERE o > 1 AND o <= (SELECT max(o) FROM dn) GROUP BY ALL), jd AS (SELECT variant, o, count(*) FILTER (k = 2) / count(*) AS j FROM un GROUP BY ALL) SELECT variant, count(*) AS days, round(median(j), 6) AS jaccard FROM jd GROUP BY variant"
+)
+def q24_list_overlap(spark, sf):
+    """Q24: how much of each gate's list is left on the next date."""
+    _, ranks = _variant_lists(spark, sf)
+    return rounded(launches.list_overlap(ranks, src.daily_bars(spark, sf), top_n=3))
+
+
+@query(
+    RANKED.replace("listed AS", "picks AS") + ", n0 AS (SELECT ticker, date, adj_close AS px, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i FROM bars), pk AS (SELECT ticker, arg_max(i, (px, -i)) AS peak_i FROM n0 GROUP BY ticker), "
+    "tr AS (SELECT ticker, peak_i, arg_min(i, (px, i)) AS trough_i FROM n0 JOIN pk USING (ticker) WHERE i <= peak_i AND i > peak_i - 189 GROUP BY ticker, peak_i), "
+    "rn AS (SELECT tr.ticker, a.date AS trough, b.date AS peak, trough_i, a.px AS low, b.px / a.px - 1 AS run FROM tr JOIN n0 a ON a.ticker = tr.ticker AND a.i = trough_i JOIN n0 b ON b.ticker = tr.ticker AND b.i = peak_i), "
+    "vs AS (SELECT unnest(['net', 'strict', 'net_times_ker', 'up_days', 'loose']) AS variant), ft AS (SELECT rn.ticker, variant, min(date) AS listed FROM rn JOIN picks USING (ticker) WHERE date BETWEEN trough AND peak GROUP BY ALL) "
+    "SELECT rn.ticker, vs.variant, trough, peak, round(run, 6) AS run, listed, n0.i - trough_i AS day, round(n0.px / low - 1, 6) AS gained FROM rn CROSS JOIN vs LEFT JOIN ft ON ft.ticker = rn.ticker AND ft.variant = vs.variant LEFT JOIN n0 ON n0.ticker = rn.ticker AND n0.date = listed"
+)
+def q24_first_listed(spark, sf):
+    """How soon after the trough of its biggest run each gate lists a ticker, and what it has gained by then."""
+    _, ranks = _variant_lists(spark, sf)
+    bars = src.daily_bars(spark, sf)
+    return rounded(launches.first_listed(launches.biggest_runs(bars), ranks, bars, top_n=3))
