@@ -125,7 +125,7 @@ def boosted(columns: list[str], rounds: int = 10, depth: int = 3) -> Pipeline:
 def fold_scores(rows: DataFrame, columns: list[str], model: Callable[[list[str]], Pipeline], least: int = 100) -> DataFrame:
     """(fold, date, label, score) of the test rows of ``walk_forward`` (fold, part, date, label, columns): one model a fold, fitted on its train rows alone.
 
-    Rows without a label are neither learnt from nor scored. Folds of fewer than ``least`` labelled train rows, or of one
+    Rows without a label are neither learnt from nor scored, columns that no train row of a fold has are left out of its model. Folds of fewer than ``least`` labelled train rows, or of one
     label only, are left out. The folds are a handful, each a few jobs of pyspark.ml; scores stay distributed.
     """
     known = rows.where("label is not null").withColumn("label", F.col("label").cast("double"))
@@ -133,7 +133,9 @@ def fold_scores(rows: DataFrame, columns: list[str], model: Callable[[list[str]]
     out = None
     for fold in sorted(r["fold"] for r in sizes.select("fold").collect()):  # a handful of folds
         mine = known.where(F.col("fold") == fold)
-        fitted = model(columns).fit(mine.where("part = 'train'"))
+        train = mine.where("part = 'train'")
+        seen = train.agg(*(F.count(c).alias(c) for c in columns)).first()  # a column that no train row has says nothing
+        fitted = model([c for c in columns if seen[c]]).fit(train)
         scored = fitted.transform(mine.where("part = 'test'")).select("fold", "date", "label", vector_to_array("probability")[1].alias("score"))
         out = scored if out is None else out.unionByName(scored)
     return known.select("fold", "date", "label", F.lit(0.0).alias("score")).limit(0) if out is None else out

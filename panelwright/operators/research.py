@@ -1,30 +1,13 @@
-"""Event studies: matched controls, bootstrap intervals, walk-forward folds and their metrics."""
+"""Event studies: matched controls, walk-forward folds and their metrics, paths around events."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.windows import average_rank, by_ticker, rolling
 
 
-def draw(replicate: Column, slot: Column, n: Column, seed: int = 1) -> Column:
-    """A place in 0..n-1 for each draw, by arithmetic that any SQL engine repeats."""
-    x = (replicate * 7919 + slot * 104729 + seed * 1299709) % 2147483647
-    return (x * 48271 % 2147483647) % n
-
-
-def block_bootstrap(rows: DataFrame, value: str, order: list[str], block: int, draws: int, seed: int = 1) -> DataFrame:
-    """(mean, low, high): 5th and 95th percentile of means of resampled blocks. One series, joined by place; draws are spread over tasks."""
-    series = rows.where(F.col(value).isNotNull()).select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).alias("i"), F.col(value).alias("v")).withColumn("i", F.col("i").cast("long") - 1)
-    size = series.groupBy().agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
-    slots = rows.sparkSession.range(draws).withColumnRenamed("id", "r").join(F.broadcast(size)).withColumn("s", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)))
-    starts = slots.select("r", "mean", draw(F.col("r"), F.col("s").cast("long"), F.greatest(F.col("n") - block + 1, F.lit(1)), seed).alias("start"))
-    places = starts.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).select("r", "mean", (F.col("start") + F.col("j")).alias("i"))
-    means = places.join(series, "i").groupBy("r").agg(F.avg("v").alias("m"), F.first("mean").alias("mean"))
-    return means.agg(F.first("mean").alias("mean"), F.percentile("m", F.lit(0.05)).alias("low"), F.percentile("m", F.lit(0.95)).alias("high"))
-
-
 def matched_lift(rows: DataFrame, cells: list[str], treated: str, outcome: str, least: int) -> DataFrame:
     """Outcome rates of treated rows and their controls within cells that have enough of both, and the treated-weighted ratio."""
     t = F.col(treated)

@@ -14,14 +14,9 @@ def riser_metrics(bars: DataFrame, *carried: str) -> DataFrame:
     ddw10 is the worst fall from a running high within the last 11 closes.
     """
     d = log_return(F.col("adj_close"))
-    rows = bars.select("ticker", "date", "adj_close", "close", *carried).withColumn("d", d).withColumn("i", F.row_number().over(by_ticker()))
-    path = F.transform(F.array_agg("adj_close").over(last_rows(11)), lambda x: x)
-    fall = F.aggregate(
-        path,
-        F.struct(F.lit(None).cast("double").alias("top"), F.lit(0.0).alias("worst")),
-        lambda a, x: F.struct(F.greatest(a.top, x).alias("top"), F.least(a.worst, F.try_divide(x, F.greatest(a.top, x)) - 1).alias("worst")),
-        lambda a: a.worst,
-    )
+    rows = bars.select("ticker", "date", "adj_close", "close", *carried, d.alias("d"), F.row_number().over(by_ticker()).alias("i"), *(F.lag("adj_close", k).over(by_ticker()).alias(f"__p{k}") for k in range(11)))
+    back = [F.col(f"__p{k}") for k in range(10, -1, -1)]  # the closes of ten rows before, nine, ... and the row's own
+    fall = F.least(F.lit(0.0), *(F.try_divide(x, F.greatest(*back[: k + 1])) - 1 for k, x in enumerate(back) if k))
     full = F.col("i") > 10
     total = F.sum("d").over(last_rows(10))
     return rows.select(

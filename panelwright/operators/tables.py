@@ -42,3 +42,8 @@ def largest_of(rows: DataFrame, key: str, amount: str, *order: str) -> DataFrame
     """Per key the row with the largest amount (NULL is 0), the first by ``order`` among equals."""
     w = Window.partitionBy(key).orderBy(F.coalesce(F.col(amount), F.lit(0.0)).desc(), *order)
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def evolved(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of both in the columns named, in that order: what a side lacks is NULL there, what isn't named goes. Names decide, not places."""
+    return old.select(*(c for c in columns if c in old.columns)).unionByName(new.select(*(c for c in columns if c in new.columns)), allowMissingColumns=True).select(*columns)

@@ -30,9 +30,9 @@ def capped_weights(members: DataFrame, by: list[str], cap: float = 0.30) -> Data
 
 def segment_weights(members: DataFrame, cap: float = 0.30) -> DataFrame:
     """(theme, segment, ticker, weight): weights of the members in force on each date on which a theme is restated."""
-    dates = members.select("theme", F.col("as_of_date").alias("segment")).distinct()
-    inside = (F.col("theme") == F.col("__theme")) & (F.col("as_of_date") <= F.col("segment")) & (F.col("segment") < F.col("until"))
-    held = membership_intervals(members).withColumnRenamed("theme", "__theme").join(dates, inside).where("exposure > 0")
+    dates = members.groupBy("theme").agg(F.collect_set("as_of_date").alias("__dates"))  # a theme's few restatements, one row a theme
+    held = membership_intervals(members).where("exposure > 0").join(dates, "theme")
+    held = held.withColumn("segment", F.explode(F.filter("__dates", lambda d: (d >= F.col("as_of_date")) & (d < F.col("until")))))
     return capped_weights(held.select("theme", "segment", "ticker", "exposure"), ["theme", "segment"], cap).select("theme", "segment", "ticker", "weight")
 
 

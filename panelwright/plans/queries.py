@@ -697,16 +697,6 @@ def q29_fold_metrics(spark, sf):
     return rounded(research.fold_metrics(_forward(spark, sf), "sector", "y", "up10"))
 
 
-@query(
-    ", s AS (SELECT row_number() OVER (ORDER BY bucket, date) - 1 AS i, ln(close) AS v FROM sector_bars WHERE bucket = 'ASIA'), z AS (SELECT count(*) AS n, avg(v) AS mean FROM s), d AS (SELECT r, mean, (((r * 7919 + k * 104729 + 1299709) % 2147483647) * 48271 % 2147483647) % greatest(n - 20 + 1, 1) AS start FROM (SELECT unnest(range(200)) AS r), z, LATERAL (SELECT unnest(range(CAST(ceil(n / 20) AS BIGINT))) AS k)), "
-    "m AS (SELECT r, avg(v) AS m, any_value(mean) AS mean FROM d, (SELECT unnest(range(20)) AS j) JOIN s ON s.i = start + j GROUP BY r) SELECT round(any_value(mean), 6) AS mean, round(quantile_cont(m, 0.05), 6) AS low, round(quantile_cont(m, 0.95), 6) AS high FROM m"
-)
-def q8_block_bootstrap(spark, sf):
-    """Q8, Q10."""
-    s = src.sector_bars(spark, sf).where("bucket = 'ASIA'").withColumn("v", F.ln("close"))
-    return rounded(research.block_bootstrap(s, "v", ["bucket", "date"], block=20, draws=200))
-
-
 # --- text
 
 

@@ -177,3 +177,65 @@ def k1_rules(spark, sf):
         found = checks.checks(tables[t], **{n: F.expr(c) for n, c in rules.items()}).withColumn("check", F.concat(F.lit(f"{t}."), F.col("check")))
         out = found if out is None else out.unionByName(found)
     return out
+
+
+# --- D5, R9: what stands behind the phase map's points, and the rotation's rows
+
+_DETAIL = ("net5", "net10", "net20", "up10", "ddw10", "streak_days", "evs", "pe", "ev_ebitda", "freshness", "as_of_period_end", "as_of_effective_eod")
+DETAIL = (
+    ", pts AS (SELECT s.ticker, s.date, net10_pct, net5, net10, net20, up10, ddw10, CAST(streak_days AS BIGINT) AS streak_days, evs, pe, ev_ebitda, CASE WHEN date_diff('day', as_of_period_end, s.date) <= 95 THEN 'fresh' WHEN date_diff('day', as_of_period_end, s.date) <= 160 THEN 'stale' WHEN as_of_period_end IS NOT NULL THEN 'overdue' END AS freshness, "
+    "as_of_period_end, as_of_effective_eod, round(ps, 2) AS ps FROM streaks s JOIN valued v ON v.ticker = s.ticker AND v.date = s.date WHERE round(ps, 2) > 0), ax AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS place FROM (SELECT DISTINCT date FROM pts ORDER BY date DESC LIMIT 60)), "
+    "detail AS (SELECT t.ticker, place, ax.date, pts.* EXCLUDE (ticker, date) FROM (SELECT ticker FROM pts WHERE date = (SELECT max(date) FROM pts)) t CROSS JOIN ax LEFT JOIN pts ON pts.ticker = t.ticker AND pts.date = ax.date)"
+)
+
+
+def _detail(spark, sf):
+    v = base._valued(spark, sf).select("ticker", "date", "evs", "pe", "ev_ebitda", "as_of_period_end", "as_of_effective_eod", F.round("ps", 2).alias("ps")).where("ps > 0")
+    points = base._risers(spark, sf).select("ticker", "date", "net10_pct", "net5", "net10", "net20", "up10", "ddw10", "streak_days").join(v, ["ticker", "date"])
+    points = points.withColumn("freshness", valuation.freshness(F.datediff("date", "as_of_period_end")))
+    return views.panel_grid(points, 60)
+
+
+@query(DETAIL + " SELECT ticker, place, date, ps, net10_pct, " + ", ".join(f"round({c}, 4) AS {c}" if c in ("net5", "net10", "net20", "up10", "ddw10", "evs", "pe", "ev_ebitda") else c for c in _DETAIL) + " FROM detail")
+def d5_phase_detail(spark, sf):
+    """The twelve numbers behind every point of the phase map over 60 dates, unknown exactly where the point is."""
+    return rounded(_detail(spark, sf).select("ticker", "place", "date", "ps", "net10_pct", *_DETAIL), 4)
+
+
+@query(DETAIL + " SELECT coalesce(round(min(ps), 4), 0.1) AS low, coalesce(round(max(ps), 4), 100.0) AS high, count(ps) AS points, count(DISTINCT ticker) AS names FROM detail")
+def d5_domain(spark, sf):
+    """The span of the multiple over all points, and a fixed one where there are none."""
+    d = _detail(spark, sf).agg(F.min("ps").alias("low"), F.max("ps").alias("high"), F.count("ps").alias("points"), F.count_distinct("ticker").alias("names"))
+    return rounded(d.select(F.coalesce("low", F.lit(0.1)).alias("low"), F.coalesce("high", F.lit(100.0)).alias("high"), "points", "names"), 4)
+
+
+@query(
+    ", rr AS (SELECT * FROM (" + base.ORACLE_SQL["r2_relative_strength"] + ")), wa AS (SELECT week, row_number() OVER (ORDER BY week) - 1 AS place FROM (SELECT DISTINCT week FROM rr ORDER BY week DESC LIMIT 26)) SELECT b.bucket, place, wa.week, rr.rs_ratio FROM (SELECT DISTINCT bucket FROM rr) b CROSS JOIN wa LEFT JOIN rr ON rr.bucket = b.bucket AND rr.week = wa.week"
+)
+def r9_aligned_weeks(spark, sf):
+    """Every sector's relative strength on the last 26 weeks that any has, unknown where it has none."""
+    rs = rotation.relative_strength(src.sector_bars(spark, sf), src.benchmark(spark, sf)).select("bucket", "week", "rs_ratio")
+    axis = rs.select("week").distinct().orderBy(F.desc("week")).limit(26)
+    grid = asof.reindex(rs, "bucket", axis, "week")
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("week")) - 1
+    return rounded(grid.select("bucket", place.alias("place"), "week", "rs_ratio"), 5)
+
+
+_LEAGUE = ("level", "slope_4w", "breadth_ma50", "breadth_ma200", "agg_evs", "rel_ret_1m", "rel_ret_3m", "rel_ret_6m")
+
+
+@query(
+    ", le AS (SELECT * FROM (" + base.ORACLE_SQL["r8_league_table"] + ")), md AS (SELECT max(date) AS as_of FROM listed), mb AS (SELECT sector AS bucket, string_agg(ticker, ',' ORDER BY place) AS members FROM (SELECT sector, l.ticker, row_number() OVER (PARTITION BY sector ORDER BY net10 DESC NULLS LAST, l.ticker) AS place FROM listed l JOIN universe u ON u.ticker = l.ticker WHERE l.date = (SELECT as_of FROM md)) WHERE place <= 6 GROUP BY sector) "
+    "SELECT le.bucket, as_of, 'SPX' AS benchmark, 10 AS n_ema, 10 AS n_window, 10.0::DOUBLE AS k, state, " + ", ".join(_LEAGUE) + ", member_count, at_high, candidates, members FROM le LEFT JOIN mb USING (bucket), md"
+)
+def r9_rotation_rows(spark, sf):
+    """The league's row of every sector with parameters, the last trading day as its date, and its six strongest members."""
+    last = base._risers(spark, sf).select("ticker", "date", "net10")
+    day = last.agg(F.max("date").alias("as_of"))  # one row
+    now = last.join(F.broadcast(day), F.col("date") == F.col("as_of")).join(src.universe(spark, sf).select("ticker", F.col("sector").alias("bucket")), "ticker")
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc_nulls_last("net10"), "ticker"))
+    top = now.withColumn("place", place).where("place <= 6").groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("place", "ticker"))).alias("s"))
+    members = top.select("bucket", F.array_join(F.transform("s", lambda x: x.ticker), ",").alias("members"))
+    league = base.r8_league_table(spark, sf).drop("week")
+    rows = league.join(members, "bucket", "left").crossJoin(F.broadcast(day)).withColumn("benchmark", F.lit("SPX")).withColumn("n_ema", F.lit(10)).withColumn("n_window", F.lit(10)).withColumn("k", F.lit(10.0))
+    return rounded(rows.select("bucket", "as_of", "benchmark", "n_ema", "n_window", "k", "state", *_LEAGUE, "member_count", "at_high", "candidates", "members"), 5)
