@@ -29,3 +29,26 @@ def test_jaccard_of_passages_in_texts_of_differing_lengths(spark):
     assert want[0][2] == want[1][2]
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     assert sorted(tuple(x) for x in jaccard.near_duplicates(df).collect()) == want
+
+
+def test_jaccard_of_texts_around_one_template(spark):
+    """Texts that share most of their words and are linked with nothing, and some that are linked; whatever tasks hold them."""
+    base = [f"t{i}" for i in range(130)]
+    rows = [(i, " ".join(base + [f"d{i}_{k}" for k in range(34)])) for i in range(240)]
+    for c in range(6):  # linked with row 0, each in another way
+        words = base + [f"d0_{k}" for k in range(34)]
+        words[20 * c + 3] = f"x{c}"
+        rows.append((1000 + c, " ".join(words[c:])))
+    for n in (20, 60, 110):  # sizes of other bands, part of the template alone
+        rows += [(2000 + n, " ".join(base[:n])), (3000 + n, " ".join(base[: n - 2])), (4000 + n, " ".join(base[: n // 2]))]
+    want = sorted(brute.shingle_components(rows))
+    assert len({c for *_, c in want}) < len(rows) - 6
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for dealt in (df.coalesce(1), df.repartition(5)):
+        assert sorted(tuple(x) for x in jaccard.near_duplicates(dealt, hot=8).collect()) == want
+
+
+def test_one_of_each_keeps_columns_with_dots(spark):
+    df = spark.createDataFrame([(1, "one text", 5), (2, "one text", 6)], "doc_id long, text string, `a.b` int")
+    out = jaccard.one_of_each(df)
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [(1, "one text", 5)]
