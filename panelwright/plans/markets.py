@@ -110,9 +110,9 @@ def _folds(spark, sf, h: int = 21, embargo: int = 5):
 @query()
 def q30_fold_models(spark, sf):
     """Q30, Q29: a logistic model, boosted trees and volatilities of a day, week and month by least squares, each fitted on a fold's train rows; area, precision and Brier score of its test rows."""
-    rows = _folds(spark, sf)
+    rows = _folds(spark, sf).coalesce(4).persist()  # some thousands of rows that every fit passes over many times
     columns = [*_FEATURES, "orders_pct"]
-    scores = {"logistic": regimes.fold_scores(rows, columns, regimes.logistic), "boosted": regimes.fold_scores(rows, columns, regimes.boosted), "har": regimes.har_scores(rows, ["day", "week", "month"], "ahead")}
+    scores = {"logistic": regimes.fold_scores(rows, columns, regimes.logistic), "boosted": regimes.fold_scores(rows, columns, lambda c: regimes.boosted(c, rounds=4, depth=2)), "har": regimes.har_scores(rows, ["day", "week", "month"], "ahead")}
     out = None
     for name, scored in scores.items():
         m = research.fold_metrics(scored, "fold", "label", "score").select(F.lit(name).alias("model"), "fold", "n", "auc", "average_precision", F.when(F.lit(name != "har"), F.col("brier")).alias("brier"))
