@@ -68,8 +68,8 @@ def s12_theme_definitions(spark, sf):
 
 def _u(place: str, row: str, kind: int) -> str:
     x = f"(({place} * 7919 + {row} * 104729 + {kind * 15485863 + 42 * 1299709}) % 2147483647)"
-    for _ in range(3):
-        x = f"({x} * 48271 % 2147483647)"
+    for _ in range(2):
+        x = f"(({x} * {x} + 12345) % 2147483647 * 48271 % 2147483647)"
     return f"(({x} + 1) / 2147483648.0::DOUBLE)"
 
 

@@ -18,8 +18,8 @@ AGE, QUARTER_DAYS, QUARTERS = 50, 91, 8
 def uniform(place: Column, row: Column, kind: int, seed: int) -> Column:
     """A number in (0, 1) for a place, a row and a kind of draw."""
     x = (place * 7919 + row * 104729 + F.lit(kind * 15485863 + seed * 1299709)) % 2147483647
-    for _ in range(3):  # one step leaves neighbouring rows alike
-        x = x * 48271 % 2147483647
+    for _ in range(2):  # squares, as multiples alone leave neighbouring rows in a row
+        x = (x * x + 12345) % 2147483647 * 48271 % 2147483647
     return (x + 1) / F.lit(2147483648.0)
 
 
