@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.windows import by_ticker
+from panelwright.session import ship
 
 # fixed values: look-back, least length of the base, youngest and oldest rise, weights and guards of the strength
 LOOK_BACK, BASE_LEAST, RISE_LEAST, RISE_MOST = 504, 40, 15, 252
 FLAT_WEIGHT, CLEARANCE_MOST, SLOPE_MOST, PRICE_LEAST, FLAT_MOST, AFTER = 1.5, 2.5, 0.6, 3.0, 0.08, 20
 
-#: Rows of one ticker that meet in one group of the join below.
-BLOCK = 256
+#: Rows of one ticker that meet in one group of the join below, and of ``by_blocks``; rows whose windows lie in memory together.
+BLOCK, SERIES_BLOCK, TOGETHER = 256, 4096, 128
 
 
 def span_join(ends: DataFrame, points: DataFrame, low: str, high: str, block: int = BLOCK) -> DataFrame:
@@ -27,18 +32,32 @@ def span_join(ends: DataFrame, points: DataFrame, low: str, high: str, block: in
     return left.join(right, ["ticker", "block"]).where((F.col("point") >= F.col(low)) & (F.col("point") <= F.col(high))).drop("block")
 
 
-def line_fit(n: Column, x: Column, xx: Column, y: Column, yy: Column, xy: Column) -> tuple[Column, Column]:
-    """Squared error and slope of the least-squares line through n points, from their sums; NULL for points of one place."""
-    sx = xx - x * x / n
-    sx = F.when(F.abs(sx) >= 1e-12, sx)
-    s = xy - x * y / n
-    return yy - y * y / n - s * s / sx, s / sx
-
+def by_blocks(rows: DataFrame, reach: int, find: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], reads: list[str], schema: str, keep: list[str] | None = None, block: int = SERIES_BLOCK) -> DataFrame:
+    """``rows`` (ticker, i from 0 without gaps, n: the ticker's rows, ...; of them the columns ``keep``, all unless given) and what ``find`` says of each from itself and the ``reach`` rows before it.
 
-def places_sum(i: Column) -> tuple[Column, Column]:
-    """Sums of the places below i and of their squares."""
-    i = i.cast("double")
-    return i * (i - 1) / 2, (i - 1) * i * (2 * i - 1) / 6
+    A ticker's rows are dealt into blocks by place, and each block also gets the ``reach`` rows before it, so a group is
+    bounded however long a series is. ``find`` gets the columns ``reads`` of a block's rows in order, NULL as NaN, and
+    answers for all of them; answers of the rows before the block are dropped. ``schema`` names what is added.
+    """
+    ship(rows.sparkSession)
+    names, added = keep or rows.columns, [c.split()[0] for c in schema.split(",")]
+    types = rows.select(*names).schema
+    last = F.floor((F.col("n") - 1) / block)
+    dealt = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("i") / block), F.least(last, F.floor((F.col("i") + reach) / block))))).select(*dict.fromkeys(["ticker", "i", *names, *reads, "block"]))
+
+    def group(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by("i").combine_chunks()
+        i = table["i"].to_numpy()
+        found = find({c: table[c].to_numpy() for c in reads})
+        own = np.flatnonzero(i >= key[1].as_py() * block)
+        whole = table.select(names).slice(own[0] if len(own) else len(i))
+        for c in added:
+            x = found[c][own]
+            whole = whole.append_column(c, pa.array(x, mask=np.isnan(x)) if x.dtype.kind == "f" else pa.array(x, mask=x < 0))
+        return whole
+
+    out = types.simpleString()[len("struct<") : -1].replace(":", " ") + ", " + schema  # columns of plain types
+    return dealt.groupBy("ticker", "block").applyInArrow(group, out)
 
 
 def breakouts(bars: DataFrame) -> DataFrame:
@@ -51,7 +70,7 @@ def breakouts(bars: DataFrame) -> DataFrame:
     """
     by = by_ticker()
     before = by.rowsBetween(Window.unboundedPreceding, -1)
-    look = by.rowsBetween(-(LOOK_BACK - 1), 0)
+    since = lambda x: F.coalesce(F.lag(x, LOOK_BACK - 1).over(by), F.lit(0.0))  # noqa: E731  of the window's first row; a ticker's first row has 0
     after = by.rowsBetween(0, AFTER - 1)
     y = F.ln(F.greatest("adj_close", F.lit(1e-9)))
     rows = bars.select("ticker", "date", "adj_close", F.coalesce(F.col("volume"), F.lit(0)).cast("double").alias("v"), y.alias("y"))
@@ -59,38 +78,71 @@ def breakouts(bars: DataFrame) -> DataFrame:
     terms = {"y": F.col("y"), "yy": F.col("y") * F.col("y"), "xy": F.col("y") * F.col("i"), "d": F.col("d"), "dd": F.col("d") * F.col("d"), "a": F.abs("d"), "v": F.col("v")}
     # sums of all rows before a row; those of all rows up to it are the next row's
     rows = rows.select("*", *(F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"s_{k}") for k, c in terms.items()))
-    rows = rows.select("*", *(F.coalesce(F.lead(f"s_{k}").over(by), F.col(f"s_{k}") + c).alias(f"e_{k}") for k, c in terms.items()), *(F.first(f"s_{k}").over(look).alias(f"w_{k}") for k in terms),
-        F.first("d").over(look).alias("w_d0"), F.avg(F.abs("d")).over(after).alias("after_a"), F.avg("v").over(after).alias("after_v"))
+    rows = rows.select("*", *(F.coalesce(F.lead(f"s_{k}").over(by), F.col(f"s_{k}") + c).alias(f"e_{k}") for k, c in terms.items()), *(since(f"s_{k}").alias(f"w_{k}") for k in terms),
+        since("d").alias("w_d0"), F.avg(F.abs("d")).over(after).alias("after_a"), F.avg("v").over(after).alias("after_v"))
     rows = rows.withColumn("ws", F.greatest(F.lit(0).cast("long"), F.col("i") - (LOOK_BACK - 1))).withColumn("low", F.greatest(F.col("ws") + BASE_LEAST, F.col("i") - (RISE_MOST - 1))).withColumn("high", F.col("i") - RISE_LEAST)
 
-    ends = rows.where((F.col("i") >= BASE_LEAST + RISE_LEAST) & (F.col("n") >= BASE_LEAST + RISE_LEAST + 5) & (F.col("low") <= F.col("high")))
-    ends = ends.select("ticker", "i", "ws", "low", "high", *(f"{p}_{k}" for p in "ew" for k in ("y", "yy", "xy")))
-    points = rows.select("ticker", F.col("i").alias("point"), *(F.col(f"s_{k}").alias(f"p_{k}") for k in ("y", "yy", "xy")))
-    met = span_join(ends, points, "low", "high")
-    best = met.groupBy("ticker", "i").agg(F.min_by("point", sum(fit[0] for fit in _two_lines())).alias("tau"), F.min(sum(fit[0] for fit in _two_lines())).alias("sse"))
-
-    tau = rows.select("ticker", F.col("i").alias("tau"), F.col("date").alias("tau_date"), *(F.col(f"s_{k}").alias(f"p_{k}") for k in ("y", "yy", "xy", "a", "v")), "after_a", "after_v")
-    fitted = rows.drop("after_a", "after_v").join(best, ["ticker", "i"], "left").join(tau, ["ticker", "tau"], "left").withColumnRenamed("tau", "point")
-    base = F.slice(F.collect_list("adj_close").over(look), 1, F.coalesce(F.col("point") - F.col("ws"), F.lit(0)).cast("int"))
-    return _described(fitted.withColumn("base", base))
-
-
-def _two_lines() -> tuple[tuple[Column, Column], tuple[Column, Column]]:
-    """The fits of [ws, point) and of [point, i]."""
-    spans = []
-    sums = {p: [F.col(f"{p}_{k}") for k in ("y", "yy", "xy")] for p in "wpe"}
-    for a, b, low, high in ((F.col("ws"), F.col("point"), "w", "p"), (F.col("point"), F.col("i") + 1, "p", "e")):
-        (xa, xxa), (xb, xxb) = places_sum(a), places_sum(b)
-        y, yy, xy = (q - p for p, q in zip(sums[low], sums[high], strict=True))
-        spans.append(line_fit(b - a, xb - xa, xxb - xxa, y, yy, xy))
-    return tuple(spans)
+    enough = (F.col("i") >= BASE_LEAST + RISE_LEAST) & (F.col("n") >= BASE_LEAST + RISE_LEAST + 5) & (F.col("low") <= F.col("high"))
+    rows = rows.withColumn("ends", F.when(enough, 1).otherwise(0).cast("long"))
+    reads = ["i", "ws", "low", "high", "ends", "adj_close", *(f"{p}_{k}" for p in "sew" for k in ("y", "yy", "xy")), "s_a", "s_v", "after_a", "after_v"]
+    added = "point long, sse double, s1 double, s2 double, whole double, p_a double, p_v double, tau_a double, tau_v double, top double, mid double"
+    keep = ["ticker", "date", "i", "adj_close", "ws", "e_d", "e_dd", *(f"w_{k}" for k in ("d", "dd", "a", "v")), "w_d0"]
+    fitted = by_blocks(rows, LOOK_BACK - 1, _best_splits, reads, added, keep)
+    # the day itself is looked up by place, as arrays of a block hold numbers only
+    tau = rows.select("ticker", F.col("i").alias("point"), F.col("date").alias("tau_date"))
+    return _described(fitted.withColumnsRenamed({"tau_a": "after_a", "tau_v": "after_v"}).join(tau, ["ticker", "point"], "left"))
+
+
+def _best_splits(r: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """For the rows that end a window: the place with the least error of two lines, its sums, and highest and middle price of the base before it."""
+    i, first = r["i"], r["i"][0]
+    n = len(i)
+    out = {c: np.full(n, np.nan) for c in ("sse", "s1", "s2", "whole", "p_a", "p_v", "tau_a", "tau_v", "top", "mid")} | {"point": np.full(n, -1, dtype=np.int64)}
+    ends = np.flatnonzero((r["ends"] == 1) & (r["ws"] >= first))  # others lie before the block
+    for at in (ends[k : k + TOGETHER] for k in range(0, len(ends), TOGETHER)):
+        ws, low, high = (r[c][at][:, None] for c in ("ws", "low", "high"))
+        point = low + np.arange((high - low).max() + 1)[None, :]
+        met = point <= high
+        place = np.where(met, point, low) - first
+        sums = {k: r[f"s_{k}"][place] for k in ("y", "yy", "xy")}
+        w, e = ({k: r[f"{p}_{k}"][at][:, None] for k in ("y", "yy", "xy")} for p in "we")
+        end = i[at][:, None] + 1
+        error = _segment(ws, point, w, sums)[0] + _segment(point, end, sums, e)[0]
+        best = np.nanargmin(np.where(met, error, np.inf), axis=1)
+        tau = point[np.arange(len(at)), best]
+        there = tau - first
+        out["point"][at], out["sse"][at] = tau, error[np.arange(len(at)), best]
+        split = {k: r[f"s_{k}"][there][:, None] for k in sums}
+        out["s1"][at], out["s2"][at], out["whole"][at] = _segment(ws, tau[:, None], w, split)[1][:, 0], _segment(tau[:, None], end, split, e)[1][:, 0], _segment(ws, end, w, e)[0][:, 0]
+        for c, source in (("p_a", "s_a"), ("p_v", "s_v"), ("tau_a", "after_a"), ("tau_v", "after_v")):
+            out[c][at] = r[source][there]
+        size = (tau - ws[:, 0])[:, None]
+        span = np.arange(size.max())[None, :]
+        base = r["adj_close"][np.where(span < size, ws - first + span, ws - first)]
+        base = np.sort(np.where((span < size) & ~np.isnan(base), base, np.inf), axis=1)
+        known = np.isfinite(base).sum(axis=1)
+        row, half = np.arange(len(at)), known // 2
+        with np.errstate(invalid="ignore"):
+            middle = np.where(known % 2 == 1, base[row, np.minimum(half, base.shape[1] - 1)], (base[row, np.maximum(half - 1, 0)] + base[row, np.minimum(half, base.shape[1] - 1)]) / 2)
+        out["top"][at] = np.where(known > 0, base[row, np.maximum(known - 1, 0)], np.nan)
+        out["mid"][at] = np.where(known > 0, middle, np.nan)
+    return out
+
+
+def _segment(a: np.ndarray, b: np.ndarray, low: dict, high: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Squared error and slope of the least-squares line over the places from a to b - 1, by running sums at a and b; NaN for points of one place."""
+    a, b = a.astype(float), b.astype(float)
+    n, x = b - a, b * (b - 1) / 2 - a * (a - 1) / 2
+    xx = (b - 1) * b * (2 * b - 1) / 6 - (a - 1) * a * (2 * a - 1) / 6
+    y, yy, xy = (high[k] - low[k] for k in ("y", "yy", "xy"))
+    sx, s = xx - x * x / n, xy - x * y / n
+    slope = s / np.where(np.abs(sx) >= 1e-12, sx, np.nan)
+    return yy - y * y / n - s * slope, slope
 
 
 def _described(fitted: DataFrame) -> DataFrame:
-    (_, s1), (_, s2) = _two_lines()
     c, known = F.col, F.col("point").isNotNull()
-    (xa, xxa), (xb, xxb) = places_sum(c("ws")), places_sum(c("i") + 1)
-    whole = line_fit(c("i") + 1 - c("ws"), xb - xa, xxb - xxa, *(c(f"e_{k}") - c(f"w_{k}") for k in ("y", "yy", "xy")))[0]
+    s1, s2, whole = c("s1"), c("s2"), c("whole")
     m = c("i") - c("ws")  # the window's own first step doesn't count
     mean = (c("e_d") - c("w_d") - c("w_d0")) / m
     spread = (c("e_dd") - c("w_dd") - c("w_d0") * c("w_d0")) / m - mean * mean
@@ -98,14 +150,12 @@ def _described(fitted: DataFrame) -> DataFrame:
     size = c("point") - c("ws")
     base_a = F.when(size > 1, (c("p_a") - c("w_a") - F.abs("w_d0")) / (size - 1))
     base_v = (c("p_v") - c("w_v")) / size
-    top, half = F.array_max("base"), F.floor(F.size("base") / 2).cast("int")
-    ordered = F.array_sort("base")
-    median = F.when(F.size("base") % 2 == 1, F.element_at(ordered, half + 1)).otherwise((F.element_at(ordered, F.greatest(half, F.lit(1))) + F.element_at(ordered, half + 1)) / 2)
+    fitted, sigma = fitted.withColumn("sigma", F.when(known, sigma)), c("sigma")
     out = fitted.select(
         *("ticker", "date", "tau_date"),
         F.when(known, s1 / sigma).alias("base_slope"), F.when(known, s2 / sigma).alias("rise_slope"), F.when(known, (s2 - s1) / sigma).alias("drift"),
-        F.when(known, F.when(whole > 0, 1 - c("sse") / whole).otherwise(0.0)).alias("fit_gain"), F.when(top > 0, c("adj_close") / top - 1).alias("clearance"),
-        F.when(base_a > 0, c("after_a") / base_a).alias("range_ratio"), F.when(base_v > 0, c("after_v") / base_v).alias("volume_ratio"), F.when(known, median).alias("base_price"),
+        F.when(known, F.when(whole > 0, 1 - c("sse") / whole).otherwise(0.0)).alias("fit_gain"), F.when(c("top") > 0, c("adj_close") / c("top") - 1).alias("clearance"),
+        F.when(base_a > 0, c("after_a") / base_a).alias("range_ratio"), F.when(base_v > 0, c("after_v") / base_v).alias("volume_ratio"), F.when(known, c("mid")).alias("base_price"),
     )
     fine = (c("clearance") > 0) & (c("clearance") < CLEARANCE_MOST) & (c("drift") > 0) & (c("rise_slope") < SLOPE_MOST) & (c("base_price") > PRICE_LEAST) & (F.abs("base_slope") < FLAT_MOST)
     strength = F.when(F.coalesce(fine, F.lit(False)), c("fit_gain") * F.greatest(c("drift"), F.lit(0.0)) * F.exp(-FLAT_WEIGHT * F.abs("base_slope"))).otherwise(0.0)

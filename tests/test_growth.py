@@ -32,3 +32,21 @@ def test_capped_weights_of_a_large_group_by_running_sums(spark):
     total = sum(left.values())
     want = {f"T{i:05}": left[i] / total * rest if i in left else cap for i in range(len(xs))}
     assert {x.ticker: x.weight for x in out.collect()} == pytest.approx(want, abs=1e-10)
+
+
+def test_best_splits_do_not_lay_windows_into_rows(spark):
+    from panelwright.operators import changepoint
+
+    r = random.Random(7)
+    rows = [(t, i, 20.0 + 3 * r.random() + (0.2 * max(0, i - 400) if t == "a" else 0.0), r.randint(1, 50)) for t in "ab" for i in range(700)]
+    bars = spark.createDataFrame(rows, "ticker string, i int, adj_close double, volume long").selectExpr("ticker", "date_add(date'2020-01-01', i) as date", "adj_close", "volume")
+    whole = changepoint.breakouts(bars)
+    assert "collect_list" not in plan(whole) and "min_by" not in plan(whole)  # once every window was an array, and every pair a row
+    want = {(x.ticker, x.date): x for x in whole.collect()}
+    by_blocks, changepoint.by_blocks = changepoint.by_blocks, lambda *a: changepoint_blocks(*a, block=90)
+    changepoint_blocks = by_blocks
+    try:
+        got = {(x.ticker, x.date): x for x in changepoint.breakouts(bars).collect()}
+    finally:
+        changepoint.by_blocks = by_blocks
+    assert got == want and sum(x.tau_date is not None for x in want.values()) > 1200
