@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.windows import average_rank_share, by_ticker, rolling
-from panelwright.operators.changepoint import span_join
+from panelwright.operators.changepoint import TOGETHER, by_blocks
 
 # fixed values: windows of beta, volatility and highs, rows ahead, a deep fall, the market's stress
 BETA_ROWS, VOL_ROWS, HIGH_ROWS, AHEAD, DEEP, STRESS = 252, 126, 252, 252, 0.30, 0.10
@@ -26,30 +27,63 @@ def decomposed(bars: DataFrame, market: DataFrame, stride: int = 5) -> DataFrame
     rows = rows.withColumn("i", (F.row_number().over(by) - 1).cast("long"))
     first = F.col("i") == 0
     rows = rows.withColumn("r", F.when(first, 0.0).otherwise(F.ln("close") - F.ln(F.lag("close").over(by)))).withColumn("q", F.when(first, 0.0).otherwise(F.ln(F.try_divide("m", F.lag("m").over(by)))))
-    w, half, so_far = by.rowsBetween(-(BETA_ROWS - 1), 0), BETA_ROWS // 2, by.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
     both = F.when(F.col("q").isNotNull(), F.col("r"))
-    pairs = F.count(both).over(w)
-    spread = F.var_samp(F.when(both.isNotNull(), F.col("q"))).over(w)
-    beta = F.when((pairs >= half) & (spread > 0), F.covar_samp(both, F.col("q")).over(w) / spread)
-    rows = rows.select(
-        *("ticker", "date", "i", "close", "m"), beta.alias("b"), F.sum(F.coalesce(both, F.lit(0.0))).over(so_far).alias("s"), F.sum(F.coalesce("q", F.lit(0.0))).over(so_far).alias("k"),
-        (F.try_divide("close", rolling(F.max, F.col("close"), HIGH_ROWS, HIGH_ROWS // 2)) - 1).alias("dd_total"),
-        (rolling(F.stddev_samp, F.col("r"), VOL_ROWS, VOL_ROWS // 2) * F.sqrt(F.lit(252.0))).alias("rvol"), (F.try_divide("m", rolling(F.max, F.col("m"), HIGH_ROWS, HIGH_ROWS // 2)) - 1).alias("mkt_dd"),
-    )
-    far = F.when(F.col("b") >= 0, F.max("k").over(w)).otherwise(F.min("k").over(w))
-    rows = rows.withColumn("fall_b", F.col("b") * (F.col("k") - far))
-    at = rows.where((F.col("i") >= BETA_ROWS) & ((F.col("i") - BETA_ROWS) % stride == 0) & F.col("b").isNotNull()).select("ticker", "i", "b", "s", "k", (F.col("i") - (BETA_ROWS - 1)).alias("low"))
-    met = span_join(at, rows.select("ticker", F.col("i").alias("point"), F.col("s").alias("ps"), F.col("k").alias("pk")), "low", "i")
-    own = met.groupBy("ticker", "i").agg(F.max(F.col("ps") - F.col("b") * F.col("pk")).alias("top"))
-    held = rows.join(own, ["ticker", "i"], "left")
-    seen = F.col("top").isNotNull()
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("ticker"))).withColumn("s", F.sum(F.coalesce(both, F.lit(0.0))).over(so_far)).withColumn("k", F.sum(F.coalesce("q", F.lit(0.0))).over(so_far))
+    rows = rows.withColumn("at", ((F.col("i") >= BETA_ROWS) & ((F.col("i") - BETA_ROWS) % stride == 0)).cast("long"))
+    added = "b double, fall_b double, fall_i double, dd_total double, rvol double, mkt_dd double"
+    held = by_blocks(rows, max(BETA_ROWS, VOL_ROWS, HIGH_ROWS) - 1, _falls, ["i", "at", "close", "m", "r", "q", "s", "k"], added, ["ticker", "date", "i", "close", "at"])
+    seen = (F.col("at") == 1) & F.col("b").isNotNull()
     carried = lambda x: F.last(F.when(seen, x), ignorenulls=True).over(so_far)
     return held.select(
-        *("ticker", "date", "i", "close", "dd_total"), F.expm1(carried(F.col("fall_b"))).alias("dd_beta"), F.expm1(carried(F.col("s") - F.col("b") * F.col("k") - F.col("top"))).alias("dd_idio"),
+        *("ticker", "date", "i", "close", "dd_total"), F.expm1(carried(F.col("fall_b"))).alias("dd_beta"), F.expm1(carried(F.col("fall_i"))).alias("dd_idio"),
         "rvol", carried(F.col("b")).alias("beta"), "mkt_dd",
     )
 
 
+def _falls(r: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Beta, deviation and falls of each row from the rows before it, windows laid side by side."""
+    n, first = len(r["i"]), r["i"][0]
+    out = {c: np.full(n, np.nan) for c in ("b", "fall_b", "fall_i", "dd_total", "rvol", "mkt_dd")}
+    longest = max(BETA_ROWS, VOL_ROWS, HIGH_ROWS) - 1
+    led = {c: np.concatenate([np.full(longest, np.nan), r[c].astype(float)]) for c in ("close", "m", "r", "q", "s", "k")}
+    for a in range(0, n, TOGETHER):
+        at = np.arange(a, min(a + TOGETHER, n))
+        seen = {(c, k): led[c][at[:, None] + (longest - k + 1) + np.arange(k)[None, :]] for c, k in (("close", HIGH_ROWS), ("m", HIGH_ROWS), ("r", BETA_ROWS), ("q", BETA_ROWS), ("r", VOL_ROWS))}
+        for c, name in (("close", "dd_total"), ("m", "mkt_dd")):
+            x = seen[c, HIGH_ROWS]
+            top = np.where(np.isnan(x), -np.inf, x).max(axis=1)
+            enough = ((~np.isnan(x)).sum(axis=1) >= HIGH_ROWS // 2) & (top != 0)
+            out[name][at] = np.where(enough, r[c][at] / np.where(enough, top, 1.0), np.nan) - 1
+        x = seen["r", VOL_ROWS]
+        count, _, square = _spread(x, ~np.isnan(x))
+        out["rvol"][at] = np.where(count >= max(VOL_ROWS // 2, 2), np.sqrt(square / np.maximum(count - 1, 1)), np.nan) * np.sqrt(252.0)
+        x, y = seen["r", BETA_ROWS], seen["q", BETA_ROWS]
+        pairs = ~np.isnan(x) & ~np.isnan(y)
+        count, away, square = _spread(y, pairs)
+        _, own, _ = _spread(x, pairs)
+        fine = (count >= BETA_ROWS // 2) & (square > 0)
+        b = np.where(fine, (away * own).sum(axis=1) / np.where(fine, square, 1.0), np.nan)
+        out["b"][at] = b
+        looked = (r["at"][at] == 1) & ~np.isnan(b) & (r["i"][at] - first >= BETA_ROWS - 1)
+        if looked.any():
+            at, b = at[looked], b[looked]
+            places = at[:, None] - np.arange(BETA_ROWS)[None, ::-1]
+            s, k = r["s"][places], r["k"][places]
+            far = np.where(b >= 0, k.max(axis=1), k.min(axis=1))
+            out["fall_b"][at] = b * (r["k"][at] - far)
+            out["fall_i"][at] = r["s"][at] - b * r["k"][at] - (s - b[:, None] * k).max(axis=1)
+    return out
+
+
+def _spread(x: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many values each row has, how far each lies from their mean (0 where unknown), and the sum of squares of that."""
+    count = known.sum(axis=1)
+    mean = np.where(known, x, 0.0).sum(axis=1) / np.maximum(count, 1)
+    away = np.where(known, x - mean[:, None], 0.0)
+    return count, away, (away * away).sum(axis=1)
+
+
 def sampled_days(parts: DataFrame, sectors: DataFrame, step: int, least: int = 300, ahead: int = AHEAD) -> DataFrame:
     """Every ``step``-th row from the row ``least`` on, of tickers with ``least`` + ``ahead`` rows: what was known, and the best that follows.
 

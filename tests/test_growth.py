@@ -50,3 +50,21 @@ def test_best_splits_do_not_lay_windows_into_rows(spark):
     finally:
         changepoint.by_blocks = by_blocks
     assert got == want and sum(x.tau_date is not None for x in want.values()) > 1200
+
+
+def test_falls_do_not_lay_windows_into_rows(spark):
+    from panelwright.operators import drawdowns
+
+    r = random.Random(9)
+    bars = spark.createDataFrame([(t, i, 20.0 + 9 * r.random()) for t in "ab" for i in range(420)], "ticker string, i int, adj_close double").selectExpr("ticker", "date_add(date'2020-01-01', i) as date", "adj_close")
+    market = bars.where("ticker = 'a' and day(date) <> 7").selectExpr("date", "adj_close * 2 + dayofmonth(date) as close")
+    whole = drawdowns.decomposed(bars, market)
+    assert "covar_samp" not in plan(whole) and "span" not in plan(whole) and plan(whole).count("explode") <= 1
+    want = {(x.ticker, x.i): x for x in whole.collect()}
+    by_blocks = drawdowns.by_blocks
+    drawdowns.by_blocks = lambda *a: by_blocks(*a, block=100)
+    try:
+        got = {(x.ticker, x.i): x for x in drawdowns.decomposed(bars, market).collect()}
+    finally:
+        drawdowns.by_blocks = by_blocks
+    assert got == want and sum(x.dd_idio is not None for x in want.values()) == 2 * (420 - 252)
