@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from bisect import bisect_right, insort
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.windows import by_ticker
+from panelwright.operators.changepoint import TOGETHER, by_blocks
 
 
 def ordered_values(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -111,3 +113,30 @@ def iid_equity(rows: DataFrame, key: str, order: str, ret: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(order)
     path = rows.withColumn("c", F.sum(F.log1p(ret)).over(w)).withColumn("top", F.max("c").over(w))
     return path.groupBy(key).agg((F.try_divide(F.avg(ret), F.stddev_pop(ret)) * F.sqrt(F.lit(252.0))).alias("sharpe"), F.min(F.col("c") - F.col("top")).alias("max_drawdown"))
+
+
+def rolling_regression(rows: DataFrame, size: int) -> DataFrame:
+    """(ticker, date, slope, r2) of the least-squares line through ``y`` of the last ``size`` rows, where there are as many; a flat line fits wholly."""
+    by = Window.partitionBy("ticker").orderBy("date")
+    placed = rows.select("ticker", "date", "y", (F.row_number().over(by) - 1).cast("long").alias("i"), F.count(F.lit(1)).over(Window.partitionBy("ticker")).alias("n"))
+
+    def lines(r: dict) -> dict:
+        n = len(r["i"])
+        out = {"slope": np.full(n, np.nan), "r2": np.full(n, np.nan)}
+        for a in range(size - 1, n, TOGETHER):
+            at = np.arange(a, min(a + TOGETHER, n))
+            y = r["y"][at[:, None] - np.arange(size)[None, ::-1]]
+            known = ~np.isnan(y)
+            flat = np.where(known, y, -np.inf).max(axis=1) == np.where(known, y, np.inf).min(axis=1)
+            count = np.maximum(known.sum(axis=1), 1)[:, None]
+            x = np.where(known, np.arange(size)[None, :].astype(float), 0.0)
+            x = np.where(known, x - x.sum(axis=1, keepdims=True) / count, 0.0)
+            filled = np.where(known, y, 0.0)
+            y = np.where(known, y - filled.sum(axis=1, keepdims=True) / count, 0.0)
+            xx, yy, xy = (x * x).sum(axis=1), (y * y).sum(axis=1), (x * y).sum(axis=1)
+            fit = xx > 0
+            out["slope"][at] = np.where(fit, xy / np.where(fit, xx, 1.0), np.nan)
+            out["r2"][at] = np.where(fit, np.where(flat, 1.0, xy * xy / np.where(fit & ~flat, xx * yy, 1.0)), np.nan)
+        return out
+
+    return by_blocks(placed, size - 1, lines, ["i", "y"], "slope double, r2 double", ["ticker", "date", "i"]).drop("i")
