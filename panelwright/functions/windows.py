@@ -55,8 +55,9 @@ def percent_rank_of(x: Column, *by: str) -> Column:
 
 def average_rank(x: Column, *by: str) -> Column:
     """Rank where ties share their mean place; NULL for NULL."""
-    ties = F.count(x).over(Window.partitionBy(*by, x))
-    return F.when(x.isNotNull(), F.rank().over(Window.partitionBy(*by).orderBy(x.asc_nulls_last())) + (ties - 1) / 2)
+    order = Window.partitionBy(*by).orderBy(x.asc_nulls_last())
+    ties = F.count(x).over(order.rangeBetween(Window.currentRow, Window.currentRow))  # in the same order, so rows are sorted once
+    return F.when(x.isNotNull(), F.rank().over(order) + (ties - 1) / 2)
 
 
 def average_rank_share(x: Column, *by: str) -> Column:

@@ -68,3 +68,31 @@ def test_falls_do_not_lay_windows_into_rows(spark):
     finally:
         drawdowns.by_blocks = by_blocks
     assert got == want and sum(x.dd_idio is not None for x in want.values()) == 2 * (420 - 252)
+
+
+def test_rolling_regression_of_windows_side_by_side(spark):
+    import numpy as np
+
+    from panelwright.operators import series
+
+    r = random.Random(11)
+    ys = [r.random() + (0.0 if i < 60 else 1.0) for i in range(150)] + [2.0] * 20
+    rows = spark.createDataFrame([("a", i, y) for i, y in enumerate(ys)], "ticker string, i int, y double").selectExpr("ticker", "date_add(date'2020-01-01', i) as date", "y")
+    out = series.rolling_regression(rows, 12)
+    got = [(x.slope, x.r2) for x in out.orderBy("date").collect()]
+    assert "regr" not in plan(out) and got[:11] == [(None, None)] * 11 and got[-1] == (0.0, 1.0)
+    for i in range(11, 150):
+        y = np.array(ys[i - 11 : i + 1])
+        assert got[i] == pytest.approx((np.polyfit(np.arange(12), y, 1)[0], np.corrcoef(np.arange(12), y)[0, 1] ** 2), abs=1e-9)
+
+
+def test_shared_ranks_sort_once(spark):
+    from pyspark.sql import functions as F
+
+    from panelwright.functions.windows import average_rank
+
+    rows = spark.createDataFrame([("g", x) for x in (3.0, 1.0, 3.0, None, 2.0, 3.0)] + [("h", 5.0)], "g string, x double")
+    out = rows.withColumn("r", average_rank(F.col("x"), "g"))
+    assert plan(out).count("sort [") == 1
+    assert sorted((x.g, x.x or 0.0, x.r) for x in out.collect() if x.x) == [("g", 1.0, 1.0), ("g", 2.0, 2.0), ("g", 3.0, 4.0), ("g", 3.0, 4.0), ("g", 3.0, 4.0), ("h", 5.0, 1.0)]
+    assert [x.r for x in out.collect() if x.x is None] == [None]
