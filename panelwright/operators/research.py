@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions.windows import average_rank, by_ticker, rolling
+from panelwright.functions.windows import average_rank, by_ticker, rolling  # noqa: F401  average_rank is used by the plans
 
 
 def matched_lift(rows: DataFrame, cells: list[str], treated: str, outcome: str, least: int) -> DataFrame:
@@ -31,13 +31,16 @@ def walk_forward(rows: DataFrame, at: str, folds: int, gap: int, first: float =
 
 def fold_metrics(rows: DataFrame, by: str, label: str, score: str) -> DataFrame:
     """Per fold: area under the ROC curve (rank sum, ties shared), average precision and Brier score."""
-    y, p = F.col(label).cast("int"), F.col(score)
-    down = Window.partitionBy(by).orderBy(F.desc(score))
-    marked = rows.withColumn("__r", average_rank(p, by)).withColumn("__seen", F.count(F.lit(1)).over(down)).withColumn("__hits", F.sum(y).over(down))
-    n1, n0 = F.sum(y), F.sum(1 - y)
+    y, p, n, k, h = F.col(label).cast("int"), F.col(score), F.col("__n"), F.col("__known"), F.col("__h")
+    # equal scores are one row with their counts, so a fold is as long as it has different scores
+    counts = rows.groupBy(by, score).agg(F.count(F.lit(1)).alias("__n"), F.count(y).alias("__known"), F.coalesce(F.sum(y), F.lit(0)).alias("__h"))
+    up, down = Window.partitionBy(by).orderBy(p.asc_nulls_last()), Window.partitionBy(by).orderBy(F.desc(score))
+    marked = counts.withColumn("__r", F.when(p.isNotNull(), F.sum(n).over(up) - (n - 1) / 2)).withColumn("__seen", F.sum(n).over(down)).withColumn("__hits", F.sum(h).over(down))
+    n1, n0 = F.sum(h), F.sum(k - h)
+    square = F.when(p.isNotNull(), (p - 1) * (p - 1) * h + p * p * (k - h))
     return marked.groupBy(by).agg(
-        F.count("*").alias("n"), F.try_divide(F.sum(F.when(y == 1, F.col("__r"))) - n1 * (n1 + 1) / 2, n1 * n0).alias("auc"),
-        F.avg(F.when(y == 1, F.col("__hits") / F.col("__seen"))).alias("average_precision"), F.avg((p - y) * (p - y)).alias("brier"),
+        F.sum(n).alias("n"), F.try_divide(F.sum(h * F.col("__r")) - n1 * (n1 + 1) / 2, n1 * n0).alias("auc"),
+        F.try_divide(F.sum(h * F.col("__hits") / F.col("__seen")), n1).alias("average_precision"), F.try_divide(F.sum(square), F.sum(F.when(p.isNotNull(), k))).alias("brier"),
     )
 
 

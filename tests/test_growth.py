@@ -96,3 +96,17 @@ def test_shared_ranks_sort_once(spark):
     assert plan(out).count("sort [") == 1
     assert sorted((x.g, x.x or 0.0, x.r) for x in out.collect() if x.x) == [("g", 1.0, 1.0), ("g", 2.0, 2.0), ("g", 3.0, 4.0), ("g", 3.0, 4.0), ("g", 3.0, 4.0), ("h", 5.0, 1.0)]
     assert [x.r for x in out.collect() if x.x is None] == [None]
+
+
+def test_fold_metrics_window_over_different_scores_only(spark):
+    from panelwright.operators import research
+
+    rows = spark.sql("select 'g' as g, cast(id % 4 as double) / 4 as p, cast(id % 3 = 0 as int) as y from range(2000)")
+    out = research.fold_metrics(rows, "g", "y", "p")
+    assert plan(out).rindex("hashaggregate") > plan(out).rindex("window [")  # counted before it is put in order
+    all_ = [(r.p, r.y) for r in rows.collect()]
+    pos, neg = [p for p, y in all_ if y], [p for p, y in all_ if not y]
+    r = out.first()
+    auc = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg)
+    ap = sum(sum(q >= p for q in pos) / sum(q >= p for q, _ in all_) for p in pos) / len(pos)
+    assert (r.n, r.auc, r.average_precision, r.brier) == pytest.approx((2000, auc, ap, sum((p - y) ** 2 for p, y in all_) / 2000))
