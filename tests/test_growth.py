@@ -110,3 +110,27 @@ def test_fold_metrics_window_over_different_scores_only(spark):
     auc = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg)
     ap = sum(sum(q >= p for q in pos) / sum(q >= p for q, _ in all_) for p in pos) / len(pos)
     assert (r.n, r.auc, r.average_precision, r.brier) == pytest.approx((2000, auc, ap, sum((p - y) ** 2 for p, y in all_) / 2000))
+
+
+def test_nearest_point_of_crowded_cells(spark, monkeypatch):
+    from panelwright.operators import filters
+
+    monkeypatch.setattr(filters, "LEAF", 3)
+    r = random.Random(13)
+    rows = [(f"K{i:03}", *r.choice([(r.random() * 3, r.random() * 3), (r.choice([0.5, 0.25, -2.0]), 1.0), (r.random() * 1e-3, 7.0), (r.uniform(-60, 60), r.uniform(-60, 60))])) for i in range(400)]
+    rows += [("K000", 0.5, 1.0), ("n", None, 1.0), ("m", float("nan"), 1.0), (None, 0.3, 1.0)]
+    points = spark.createDataFrame(rows, "k string, x double, y double")
+    out = filters.nearest(points.where("k is null or k < 'K350' or k >= 'L'"), points, "k", ("x", "y"), 5.0)
+    want = {}
+    for k, x, y in rows:
+        if k and k < "K350" and x is not None and x == x:
+            near = [((a - x) * (a - x) + (b - y) * (b - y), j) for j, a, b in rows if j and j != k and a is not None and a == a]
+            near = [p for p in near if p[0] <= 25.0]
+            want[k] = min([*want.get(k, []), *near], default=None) and [min([*want.get(k, []), *near])]
+    want = {k: v[0][1] for k, v in want.items() if v}
+    assert {x.k: x.nearest for x in out.collect()} == want and len(want) > 250
+    # once all points of a cell met all queries near it: 900 million pairs here
+    crowd = spark.sql("select cast(id as int) as k, cast(id % 3 as double) as x, 0d as y from range(30000)")
+    out = filters.nearest(crowd, crowd, "k", ("x", "y"), 5.0)
+    assert plan(out).count("min(__k") > 1 and {(x.k % 3, x.nearest) for x in out.where("k > 2").collect()} == {(0, 0), (1, 1), (2, 2)}
+    assert {x.k: x.nearest for x in out.where("k < 3").collect()} == {0: 3, 1: 4, 2: 5}
