@@ -9,6 +9,8 @@ from panelwright.functions.windows import average_rank, average_rank_share, by_t
 
 #: fixed values: the top share of a pool, the least number of picks, names that a date needs
 TOP_SHARE, TOP_LEAST = 0.10, 5
+#: Events of a replicate that are drawn together.
+STRETCH = 1 << 14
 #: fixed values: first years of the regimes
 REGIMES = (("pre-2020", 2020), ("2020-COVID", 2021), ("2021-22", 2023))
 
@@ -131,14 +133,23 @@ def series_intervals(rows: DataFrame, key: str, order: list[str], value: str, bl
     return size.join(ends, key, "left").select(key, "n", "mean", *(F.when(enough, F.when(F.col("n") <= block, F.col("mean")).otherwise(F.col(c))).alias(c) for c in ("low", "high")))
 
 
-def rate_interval(counts: DataFrame, draws: int = 2000, seed: int = 1) -> DataFrame:
+def rate_interval(counts: DataFrame, draws: int = 2000, seed: int = 1, of: Column | None = None) -> DataFrame:
     """``counts`` (key, n, k: k of n events came true) with rate, low and high: percentiles of the rate over n events drawn one by one.
 
     Which event comes true doesn't matter for a rate, so a draw below k is a true one and the events themselves aren't needed.
+    Draws are dealt over all tasks in stretches of STRETCH events and counted there. ``of``: the rows that get an interval,
+    by default all of them. ``counts`` is read once.
     """
-    slots = counts.where("n > 0").select("key", "n", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))).alias("r"))
-    slots = slots.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    known = F.col("n") > 0
+    own = known if of is None else known & of
+    no = F.array().cast("array<long>")
+    replicates = F.when(own, F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))).otherwise(no)
+    slots = counts.select("key", "n", "k", F.explode_outer(replicates).alias("r"))
+    slots = slots.withColumn("at", F.explode_outer(F.when(own, F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(STRETCH).cast("long"))).otherwise(no)))
+    slots = slots.repartition(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "r", "at")
+    until = F.least(F.col("at") + STRETCH, F.col("n")) - 1
+    slots = slots.withColumn("s", F.explode_outer(F.when(own, F.sequence("at", until)).otherwise(no)))
     x = (F.col("r") * 7919 + F.col("s") * 104729 + F.lit(seed * 1299709)) % 2147483647
-    rates = slots.groupBy("key", "r").agg(F.avg(((x * 48271 % 2147483647) % F.col("n") < F.col("k")).cast("int")).alias("m"))
-    ends = rates.groupBy("key").agg(F.percentile("m", F.lit(0.05)).alias("low"), F.percentile("m", F.lit(0.95)).alias("high"))
-    return counts.join(ends, "key", "left").select("key", "n", "k", F.try_divide("k", "n").alias("rate"), "low", "high")
+    rates = slots.groupBy("key", "n", "k", "r").agg(F.avg(((x * 48271 % 2147483647) % F.col("n") < F.col("k")).cast("int")).alias("m"))
+    ends = rates.groupBy("key", "n", "k").agg(F.percentile("m", F.lit(0.05)).alias("low"), F.percentile("m", F.lit(0.95)).alias("high"))
+    return ends.select("key", "n", "k", F.try_divide("k", "n").alias("rate"), "low", "high")

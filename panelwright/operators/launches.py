@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.windows import average_rank, average_rank_share, by_ticker, lagged_return, rolling
-from panelwright.operators.series import spaced_events
+from panelwright.operators.series import spaced
 
 IGNITION = ("accel", "expand", "vsurge", "breakout", "rsturn")
 
@@ -91,9 +91,14 @@ def baselines(features: DataFrame, h: int, rise: float, washout: float, vol: flo
     rows = features.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("ticker"))).withColumn("drawup", F.try_divide(best, "close") - 1).where((F.col("n") >= least + h) & F.col("drawup").isNotNull())
     volatile, washed = F.coalesce(F.col("rvol126") >= vol, F.lit(False)), F.coalesce(F.col("min_dd_126") <= -washout, F.lit(False))
     rows = rows.select("ticker", "i", (F.col("drawup") >= rise).cast("int").alias("y"), volatile.alias("volatile"), (volatile & washed).alias("washed"), (volatile & washed & (F.col("reclaim") | F.lit(not reclaim))).alias("signal"))
-    nested = rows.select("y", F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("volatile"), "volatile"), F.when(F.col("washed"), "volatile and washed out")))).alias("population"))
-    events = spaced_events(rows.where("signal"), "ticker", "i", spacing).join(rows.select("ticker", "i", "y"), ["ticker", "i"]).select("y", F.lit("signal").alias("population"))
-    return nested.unionByName(events).groupBy("population").agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("k"))
+    parts = {"all": F.lit(True), "volatile": F.col("volatile"), "volatile and washed out": F.col("washed")}
+    count = lambda held: F.struct(F.sum(held.cast("long")).alias("n"), F.sum(F.when(held, F.col("y")).otherwise(0)).alias("k"))
+    events = F.array_sort(F.collect_list(F.when(F.col("signal"), F.struct("i", "y"))))
+    # a ticker's rows lie together here, so all is counted in the pass that windows them
+    each = rows.groupBy("ticker").agg(*(count(held).alias(p) for p, held in parts.items()), spaced(events, "i", spacing).alias("events"))
+    each = each.withColumn("signal", F.struct(F.size("events").cast("long").alias("n"), F.aggregate("events.y", F.lit(0).cast("long"), lambda a, y: a + y).alias("k")))
+    total = each.agg(F.array(*(F.struct(F.lit(p).alias("population"), *(F.sum(F.col(f"`{p}`.{x}")).alias(x) for x in "nk")) for p in (*parts, "signal"))).alias("found"))
+    return total.select(F.explode("found").alias("x")).select("x.population", "x.n", "x.k").where("n > 0")
 
 
 #: The five gates that a screen can have, each with what it ranks by.

@@ -72,14 +72,16 @@ def ewmac(bars: DataFrame, pairs: dict[str, tuple[int, int]] | None = None) -> D
     return bars.select("ticker", "date", "adj_close").groupBy("ticker").applyInPandas(run, f"ticker string, date date, {fields}")
 
 
+def spaced(events: Column, place: str, spacing: int) -> Column:
+    """Of an array of structs in order of ``place``, greedily those that lie at least ``spacing`` places after the last one that stayed."""
+    far = lambda a, p: F.coalesce(p[place] - F.try_element_at(a, F.lit(-1))[place] >= spacing, F.lit(True))
+    return F.aggregate(events, F.filter(events, lambda _: F.lit(False)), lambda a, p: F.when(far(a, p), F.concat(a, F.array(p))).otherwise(a))
+
+
 def spaced_events(events: DataFrame, key: str, place: str, spacing: int) -> DataFrame:
     """Greedy spacing: an event stays if it lies at least ``spacing`` places after the last one that stayed."""
-    kept = F.aggregate(
-        F.array_sort(F.collect_list(F.col(place).cast("long"))),
-        F.array(F.lit(-(10**9)).cast("long")),
-        lambda a, p: F.when(p - F.element_at(a, -1) >= spacing, F.concat(a, F.array(p))).otherwise(a),
-    )
-    return events.groupBy(key).agg(kept.alias("__kept")).select(key, F.explode(F.slice("__kept", 2, 10**6)).alias(place))
+    kept = spaced(F.array_sort(F.collect_list(F.struct(F.col(place).cast("long").alias(place)))), place, spacing)
+    return events.where(F.col(place).isNotNull()).groupBy(key).agg(kept.alias("__kept")).select(key, F.explode(f"__kept.{place}").alias(place))
 
 
 def entries(flag: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelwright.operators import changepoint, drawdowns, formation, launches, screen
@@ -330,10 +331,10 @@ def q15_launch_signature(spark, sf):
 def q15_nested_baselines(spark, sf):
     """Q15, Q10: how often a rise to 31 times (prices of the test tables leap) follows the signal, against all rows, volatile ones and washed-out ones; the signal's rate with an interval over 2000 draws of its events."""
     pops = launches.baselines(launches.signature_features(src.daily_bars(spark, sf)), h=63, rise=30.0, washout=0.4, vol=0.4)
-    rate = formation.rate_interval(pops.where("population = 'signal'").withColumnRenamed("population", "key")).select(F.col("key").alias("population"), "low", "high", F.col("rate").alias("signal_rate"))
-    own = F.try_divide("k", "n")
-    out = pops.join(rate.select("population", "low", "high"), "population", "left").crossJoin(F.broadcast(rate.select("signal_rate")))  # one row
-    return rounded(out.select("population", "n", "k", own.alias("rate"), "low", "high", F.try_divide("signal_rate", F.nullif(own, F.lit(0.0))).alias("lift")))
+    signal = F.col("key") == "signal"
+    rates = formation.rate_interval(pops.withColumnRenamed("population", "key"), of=signal)
+    signal_rate = F.max(F.when(signal, F.col("rate"))).over(Window.partitionBy(F.lit(0)))  # four rows
+    return rounded(rates.select(F.col("key").alias("population"), "n", "k", "rate", "low", "high", F.try_divide(signal_rate, F.nullif("rate", F.lit(0.0))).alias("lift")))
 
 
 RANKED = (

@@ -5,6 +5,7 @@ import io
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelwright.operators import themes
 
@@ -134,3 +135,29 @@ def test_nearest_point_of_crowded_cells(spark, monkeypatch):
     out = filters.nearest(crowd, crowd, "k", ("x", "y"), 5.0)
     assert plan(out).count("min(__k") > 1 and {(x.k % 3, x.nearest) for x in out.where("k > 2").collect()} == {(0, 0), (1, 1), (2, 2)}
     assert {x.k: x.nearest for x in out.where("k < 3").collect()} == {0: 3, 1: 4, 2: 5}
+
+
+def test_rates_draw_in_stretches_of_one_reading(spark, monkeypatch):
+    import numpy as np
+
+    from panelwright.operators import formation
+
+    monkeypatch.setattr(formation, "STRETCH", 64)
+    counts = spark.createDataFrame([("x", 150, 40), ("y", 0, 0), ("z", 9, 3)], "key string, n long, k long")
+    out = formation.rate_interval(counts, draws=100, of=counts["key"] != "z")
+    assert plan(out).count("existingrdd") == 1 and "join" not in plan(out)  # once read for the rates and again for their ends
+    assert any("hashpartitioning(key" in x and "at#" in x for x in plan(out).splitlines())  # once all draws of a key were made in one task
+    got = {r.key: (r.n, r.k, r.rate, r.low, r.high) for r in out.collect()}
+    draws = [np.mean([((rep * 7919 + s * 104729 + 1299709) % 2147483647 * 48271 % 2147483647) % 150 < 40 for s in range(150)]) for rep in range(100)]
+    assert got["x"] == pytest.approx((150, 40, 40 / 150, *np.percentile(draws, [5, 95])))
+    assert got["y"] == (0, 0, None, None, None) and got["z"] == (9, 3, 3 / 9, None, None)
+
+
+def test_baselines_in_one_pass(spark):
+    from panelwright.operators import launches
+
+    rows = [(t, i, 1.0 if i % 40 else 0.5, -0.5 if i > 100 else 0.0, 0.6 if i > 50 else 0.1, i % 40 == 39) for t in "ab" for i in range(400)]
+    f = spark.createDataFrame(rows, "ticker string, i long, close double, min_dd_126 double, rvol126 double, reclaim boolean").withColumn("date", F.expr("date_add(date'2020-01-01', cast(i as int))"))
+    out = launches.baselines(f, h=20, rise=0.9, washout=0.4, vol=0.4)
+    assert plan(out).count("existingrdd") == 1 and "join" not in plan(out)
+    assert {r.population: r.n for r in out.collect()} == {"all": 760, "volatile": 658, "volatile and washed out": 558, "signal": 4}
