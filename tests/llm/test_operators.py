@@ -304,6 +304,15 @@ def test_media_pixels_are_the_inverse_transform():
     assert np.abs(ours - np.clip(plain, 0, 255)).max() <= 1
 
 
+def test_media_of_ordinary_text_are_smaller_than_the_text():
+    assert sorted(jpegmedia.BYTES.tolist()) == list(range(256)) and (jpegmedia.BYTES[jpegmedia.PLACE] == np.arange(256)).all()
+    text = ("The quick brown fox jumps over the lazy dog, and nobody in the long queue sees where it has gone. " * 200).encode()
+    payload = text[: len(text) // 576 * 576]
+    media = jpegmedia.encode([payload])[0]
+    assert len(media) < 0.9 * len(payload)  # once more than all of it, a byte being stored as its value
+    assert next(jpegmedia.decode([media]))[0] == payload
+
+
 def test_slow_scans_of_runs_and_ended_blocks():
     codes = jpegmedia.canonical({0x01: 2, 0x21: 2, 0x00: 3, 0x10: 3, 0xF0: 3})
     lengths = {0x01: 2, 0x21: 2, 0x00: 3, 0x10: 3, 0xF0: 3}
