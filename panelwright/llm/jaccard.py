@@ -24,13 +24,13 @@ many otherwise different texts share leaves no two rows that can meet at it, how
 
 A sketch has one bit for each residue of the shingles' hashes, the parity of how many fall there. Two sets differ in
 at least as many shingles as their sketches differ in bits, so what a sketch rules out is no link. Sketches are
-compared inside the tasks and pairs leave a task only if their sketches allow a link; the rows of an element that
-only FEW sets have go without sketches. Texts to verify are picked by a bitmap of bounded size. Rows of one element and band
+compared inside the tasks and pairs leave a task only if their sketches allow a link. Rows that can meet no small row of
+another component, by what they have left and by its sizes, are dropped before. Texts to verify are picked by a bitmap of bounded size. Rows of one element and band
 that do not fit a block are dealt into pairs of blocks: the sets outside the largest component there, against
 all, so no task holds more than two blocks and no pair within that component is looked at.
 
-Shingles and sets are named by 64-bit and 128-bit hashes of their content. ``hot``, FEW, the sizes of blocks and
-bitmaps and COMMON change the amount of work, never the links.
+Shingles and sets are named by 64-bit and 128-bit hashes of their content. ``hot``, the sizes of blocks and bitmaps
+and COMMON change the amount of work, never the links.
 
 Defined cases: null or empty texts and texts without words have no shingles and are linked with nothing; with
 fewer than k words the whole sequence is one shingle; equal sets are one node; rows that repeat an id are one
@@ -62,8 +62,6 @@ BLOCK = 4096
 #: Bits of a sketch, least and most; and pairs whose sketches are compared at once.
 SKETCH_BITS = (64, 8192)
 PAIRS_AT_ONCE = 1 << 17
-#: Up to so many rows of a prefix element are paired without sketches.
-FEW = 4
 SIEVE_BITS = 1 << 26
 #: Documents whose prefixes leave a task together.
 ROWS_AT_ONCE = 1000
@@ -319,7 +317,7 @@ def _close(percent: int, closest: bool):
 
 
 def differing(raw: np.ndarray, off: np.ndarray, width: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Bits in which the sketches of rows x and y differ, the wider one folded to the other's size; 0 where one has none."""
+    """Bits in which the sketches of rows x and y differ, the wider one folded to the other's size."""
     differ = np.zeros(len(x), np.int64)
     narrow = np.minimum(width[x], width[y])
     for w in np.unique(narrow[narrow > 0]).tolist():
@@ -383,13 +381,13 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 75, hot: in
     pure = nodes.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     several = places.join(pure, "group").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("token")
     live = _cells(places.join(several, "token", "left_semi").join(nodes, "group"), percent)
-    live = written(_mixed(live), "live")
+    live = written(_mixed(live, percent), "live")
 
     best = _pairs_by_sketch(live.where(F.col("c") > hot), shape, percent, closest=True).distinct()
     comps = merged(comps, verified(best, docs, k, percent))
     now = comps.select(F.col("node").alias("component"), F.col("component").alias("now"))
     live = live.join(now, "component", "left").select("token", "node", "n", "left", "small", F.coalesce("now", "component").alias("component"))
-    rest = _pairs_by_sketch(_mixed(live), shape, percent, closest=False).distinct()
+    rest = _pairs_by_sketch(_mixed(live, percent), shape, percent, closest=False).distinct()
     settled = merged(comps, verified(rest, docs, k, percent))
 
     label = sets.select("doc_id", "n").join(copies, "doc_id", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("node"))
@@ -452,12 +450,22 @@ def _cells(places: DataFrame, percent: int) -> DataFrame:
     return met.select(F.xxhash64("token", "band").alias("token"), "node", "n", "left", "small", "component")
 
 
-def _mixed(live: DataFrame) -> DataFrame:
-    """The rows of tokens in several components and with a small row, with the token's rows ``c``, its largest component ``major`` and the rows ``s`` outside it."""
-    sizes = live.groupBy("token", "component").agg(F.count("*").alias("c"), F.sum(F.col("small").cast("int")).alias("few"))
-    tokens = sizes.groupBy("token").agg(F.sum("c").alias("c"), F.sum("few").alias("few"), F.max(F.struct("c", "component")).alias("most")).where("c > most.c and few > 0")
-    tokens = tokens.select("token", "c", F.col("most.component").alias("major"), (F.col("c") - F.col("most.c")).alias("s"))
-    return live.select("token", "node", "n", "left", "small", "component").join(tokens, "token")
+def _mixed(live: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``live`` that can meet another one of their token, with the token's rows ``c``, its largest component ``major`` and the rows ``s`` outside it.
+
+    Of two rows that meet, the smaller is a small row of another component. A row goes if even the smallest, the largest
+    or the fullest small row of its token leaves it too few common elements, whatever their components are.
+    """
+    whole, own = Window.partitionBy("token"), Window.partitionBy("token", "component")
+    few = F.when(F.col("small"), 1)
+    rows = live.select("token", "node", "n", "left", "small", "component").repartition("token")  # one exchange for all windows
+    rows = rows.withColumn("own", F.count(F.lit(1)).over(own)).withColumn("own_few", F.count(few).over(own))
+    rows = rows.withColumns({"c": F.count(F.lit(1)).over(whole), "few": F.count(few).over(whole), "most": F.max(F.struct("own", "component")).over(whole)})
+    rows = rows.withColumns({name: f(F.when(F.col("small"), F.col(c))).over(whole) for name, f, c in (("least", F.min, "n"), ("largest", F.max, "n"), ("fullest", F.max, "left"))})
+    n, need = F.col("n"), F.ceil(percent * (F.col("n") + F.col("least")) / F.lit(100.0 + percent) - 1e-9)
+    larger = (F.col("few") > F.col("own_few")) & (F.col("largest") * 100 >= n * percent) & (F.least(F.col("left"), F.col("fullest")) >= need)
+    kept = rows.where((F.col("c") > F.col("most.own")) & (F.col("small") | larger))
+    return kept.select("token", "node", "n", "left", "small", "component", "c", F.col("most.component").alias("major"), (F.col("c") - F.col("most.own")).alias("s"))
 
 
 def _pairs_by_sketch(live: DataFrame, shape: DataFrame, percent: int, closest: bool) -> DataFrame:
@@ -475,8 +483,7 @@ def _pairs_by_sketch(live: DataFrame, shape: DataFrame, percent: int, closest: b
     others = F.filter(F.sequence(F.lit(0), told - 1), lambda j: asks & (j != own))
     cells = F.concat(both, F.transform(others, lambda j: cell(mine, j, F.lit(1))))
     row = ("node", "component", "n", "left")
-    placed = live.select("token", *row, "c", F.explode(cells).alias("cell")).select("token", "cell.block", *row, "cell.role", "c")
-    ready = placed.where(F.col("c") > FEW).drop("c").join(shape, "node").select("token", "block", *row, "role", "sketch")
-    ready = ready.unionByName(placed.where(F.col("c") <= FEW).drop("c").withColumn("sketch", F.lit(None).cast("binary")))
+    placed = live.select("token", *row, F.explode(cells).alias("cell")).select("token", "cell.block", *row, "cell.role")
+    ready = placed.join(shape, "node").select("token", "block", *row, "role", "sketch")
     ready = ready.repartition("token", "block").sortWithinPartitions("token", "block", "node")
     return ready.mapInArrow(_close(percent, closest), "a long, b long")

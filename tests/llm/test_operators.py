@@ -604,3 +604,16 @@ def test_class_prior():
     p, n = r.normal(2, 1, (3000, 2)), r.normal(-2, 1, (1200, 2))
     u = np.concatenate([r.normal(2, 1, (2800, 2)), n])
     assert abs(quality.class_prior(p, u[r.permutation(len(u))], 1) - 0.7) < 0.08
+
+
+def test_pairs_of_few_sets_go_by_sketches_too(spark):
+    """Rows that can meet nothing leave before sketches are joined, and two sets of one element need not be read to be told apart."""
+    row = "token long, node long, n int, left int, small boolean, component long"
+    live = spark.createDataFrame([(1, 1, 100, 60, True, 1), (1, 2, 102, 60, True, 2), (2, 1, 100, 90, True, 1), (2, 3, 130, 90, False, 3), (3, 1, 100, 90, True, 1), (3, 4, 130, 97, False, 4), (3, 5, 131, 131, False, 1), (4, 6, 9, 9, True, 6)], row)
+    kept = {(r.token, r.node): (r.c, r.major, r.s) for r in jaccard._mixed(live, 75).collect()}
+    # of elements 2 and 3 the larger rows have less left than the 99 that both would need, node 5 has its own component's small row only; 6 is alone
+    assert kept == {(1, 1): (2, 2, 1), (1, 2): (2, 2, 1), (2, 1): (2, 3, 1), (3, 1): (3, 1, 1)}
+    sets = {i: np.unique(textbytes.mix(np.arange(100, dtype=np.uint64) + np.uint64(1000 * i))) for i in (1, 2)}
+    shape = spark.createDataFrame([(i, bytearray(jaccard.sketch(x))) for i, x in sets.items()], "node long, sketch binary")
+    pairs = jaccard._pairs_by_sketch(jaccard._mixed(live.where("token = 1"), 75), shape, 75, closest=False)
+    assert pairs.count() == 0  # once a pair to verify, as elements of up to four sets went without sketches
