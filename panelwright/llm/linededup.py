@@ -150,7 +150,8 @@ def _edited(min_words: int):
         span = pa.struct({"place": pa.int32(), "start": pa.int64(), "end": pa.int64()})
         return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(units), pa.array(spans, pa.list_(span))], ["kept", "n_units", "removed"])
 
-    return F.arrow_udf(run, "struct<kept:string,n_units:int,removed:array<struct<place:int,start:long,end:long>>>")
+    # a filter on the result would otherwise run the function a second time, in workers of its own
+    return F.arrow_udf(run, "struct<kept:string,n_units:int,removed:array<struct<place:int,start:long,end:long>>>").asNondeterministic()
 
 
 def _found(documents: DataFrame, min_words: int, name: str) -> DataFrame:

@@ -232,6 +232,10 @@ def test_jaccard_of_odd_rows(odd, nothing):
     assert jaccard.one_of_each(odd).where("doc_id = 2").count() == 0
 
 
+def plan_of(df):
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 50), (50, 199)]
     out = dict(got(components.components(spark.createDataFrame(edges, "a long, b long"))))
@@ -262,6 +266,11 @@ def test_units_of_many_chunks(spark):
         assert {r.doc_id: sorted(r.goes) for r in linededup.later_units(df, flush).collect()} == want
 
 
+def test_units_are_cut_out_once(docs):
+    plan = plan_of(linededup.without_repeated_units(docs))
+    assert len(re.findall(r"\(\d+\) ArrowEvalPython", plan)) == 1
+
+
 def test_units_leave_columns_alone(spark):
     t = "a passage of some words that is long enough to be judged as one unit, and of which there are two copies in all of the rows that there are. "
     names = ["kept_text", "n_units", "removed", "found", "key", "later_doc", "goes"]
