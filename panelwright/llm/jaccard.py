@@ -65,7 +65,8 @@ PAIRS_AT_ONCE = 1 << 17
 SIEVE_BITS = 1 << 26
 #: Documents whose prefixes leave a task together.
 ROWS_AT_ONCE = 1000
-PREFIX_ROWS = {"token": pa.int64(), "doc_id": pa.int64(), "n": pa.int32(), "part": pa.int32(), "group": pa.int64(), "left": pa.int32(), "sketch": pa.binary()}
+#: What changes from row to row of a document stands together, and so does what doesn't: shuffled rows are compressed in their order.
+PREFIX_ROWS = {"part": pa.int32(), "token": pa.int64(), "place": pa.int64(), "group": pa.int64()}
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -89,10 +90,11 @@ def set_name(s: np.ndarray) -> tuple[int, int]:
 
 
 def _survey(k: int):
-    """Rows of kind 0: id, set name and size of each document; of kind 1: a shingle common in the rows counted together."""
+    """Rows of kind 0: id, set name and size of each document, and a sketch where the task sees the set first; of kind 1: a shingle common in the rows counted together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        sets_seen: set[tuple] = set()
         docs = size = 0
 
         def common() -> tuple[np.ndarray, np.ndarray]:
@@ -102,15 +104,21 @@ def _survey(k: int):
             keep = n >= max(4, COMMON * docs)
             return value[keep].view(np.int64), n[keep].astype(np.int64)
 
-        def rows(kind: int, *columns) -> pa.RecordBatch:
+        def rows(kind: int, *columns, sketches: list[bytes | None] | None = None) -> pa.RecordBatch:
             n = len(columns[0])
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(pa.array(c, pa.int64()) for c in columns)], ["kind", "doc_id", "a", "b", "n"])
+            shapes = pa.nulls(n, pa.binary()) if sketches is None else pa.array(sketches, pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(pa.array(c, pa.int64()) for c in columns), shapes], ["kind", "doc_id", "a", "b", "n", "sketch"])
 
         for batch in batches:
-            names, sizes = [], []
-            for s in shingle_sets(batch.column(1), k):
-                names.append(set_name(s))
+            names, sizes, sketches = [], [], []
+            for doc_id, s in zip(batch.column(0), shingle_sets(batch.column(1), k), strict=True):
+                name = set_name(s)
+                names.append(name)
                 sizes.append(len(s))
+                new = len(s) > 0 and doc_id.is_valid and (*name, len(s)) not in sets_seen
+                sketches.append(sketch(s) if new else None)
+                if new:
+                    sets_seen.add((*name, len(s)))
                 held.append(s)
                 docs += 1
                 size += len(s)
@@ -118,7 +126,7 @@ def _survey(k: int):
                     value, n = common()
                     yield rows(1, np.zeros(len(value), np.int64), value, np.zeros(len(value), np.int64), n)
                     held, docs, size = [], 0, 0
-            yield rows(0, batch.column(0), [x for x, _ in names], [x for _, x in names], sizes)
+            yield rows(0, batch.column(0), [x for x, _ in names], [x for _, x in names], sizes, sketches=sketches)
         value, n = common()
         yield rows(1, np.zeros(len(value), np.int64), value, np.zeros(len(value), np.int64), n)
 
@@ -134,10 +142,11 @@ def sketch(s: np.ndarray) -> bytes:
 
 
 def _prefixes(k: int, percent: int, common):
-    """Prefix elements (token, doc_id, n, part, group, left) of the first document of each group in a task.
+    """Prefix elements (part, token, place, group) of the first document of each group in a task.
 
-    A row with a sketch states instead that ``doc_id`` is in the group. part is 0 but for common shingles, whose rows
-    are dealt into parts of about BLOCK rows from 1 on; left is the number of the set's elements from this one on.
+    place is the set's size times 2^32, plus the elements before this one. A row of part -1 states instead that the
+    document ``token`` is in the group. part is 0 but for common shingles, whose rows are dealt into parts of about
+    BLOCK rows from 1 on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,17 +170,16 @@ def _prefixes(k: int, percent: int, common):
                 first = np.argsort(key, kind="stable")[: n - -(-percent * n // 100) + 1]
                 prefix = s[first]
                 group = set_name(prefix + U(n))[0]
-                members.append((group ^ doc_id, doc_id, n, -1, group, None, sketch(s)))
+                members.append((-1, doc_id, n << 32, group))
                 if group in groups:
                     continue
                 groups.add(group)
                 if listed.any():
                     dealt[listed] = 1 + ((group >> 20) & ((1 << np.maximum(level[at[listed]].astype(np.int64) - BLOCK.bit_length() + 1, 0)) - 1))
-                prefixes.append((prefix.view(np.int64), np.full(len(prefix), doc_id), np.full(len(prefix), n), dealt[first], np.full(len(prefix), group), n - np.arange(len(prefix))))
+                prefixes.append((dealt[first], prefix.view(np.int64), (n << 32) + np.arange(len(prefix)), np.full(len(prefix), group)))
             for rows, columns in ((len(members), list(zip(*members, strict=True))), (sum(len(x[0]) for x in prefixes), [np.concatenate(x) for x in zip(*prefixes, strict=True)])):
                 if rows:
-                    columns += [None] * (len(PREFIX_ROWS) - len(columns))
-                    yield pa.RecordBatch.from_arrays([pa.nulls(rows, t) if x is None else pa.array(x, t) for x, t in zip(columns, PREFIX_ROWS.values(), strict=True)], list(PREFIX_ROWS))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, PREFIX_ROWS.values(), strict=True)], list(PREFIX_ROWS))
 
     return run
 
@@ -349,7 +357,7 @@ def likely(n: Column, m: Column, shared: Column, percent: int, first: Column | N
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 75, hot: int = 32) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest id reachable by links, for every row of ``documents``."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    survey = written(docs.mapInArrow(_survey(k), "kind int, doc_id long, a long, b long, n long"), "survey")
+    survey = written(docs.mapInArrow(_survey(k), "kind int, doc_id long, a long, b long, n long, sketch binary"), "survey")
     sets = survey.where("kind = 0")
     broadcast = docs.sparkSession.sparkContext.broadcast(_common(survey))
 
@@ -359,25 +367,31 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 75, hot: in
     copies = linked.join(named.where("first != last"), ["a", "b", "n"]).select("doc_id", F.col("first").alias("rep")).where("doc_id != rep")
     copies = written(copies.distinct(), "copies")
 
-    in_order = Window.partitionBy("token", "part").orderBy("n", "group", "doc_id")
-    rows = docs.where("doc_id is not null").mapInArrow(_prefixes(k, percent, broadcast), "token long, doc_id long, n int, part int, group long, left int, sketch binary")
+    rows = docs.where("doc_id is not null").mapInArrow(_prefixes(k, percent, broadcast), "part int, token long, place long, group long")
+    rows = rows.repartition("token", "part")  # before the windows' own columns are computed, which would be shuffled else
+    n = F.shiftright("place", 32).cast("int")
+    in_order = Window.partitionBy("token", "part").orderBy(n, "group")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = rows.select(
-        *("token", "doc_id", "n", "part", "group", "left", "sketch"),
-        F.lag(F.struct("doc_id", "n", "group")).over(in_order).alias("near"),
-        F.lead("doc_id").over(in_order).alias("next"),
-        F.first(F.struct("doc_id", "n")).over(so_far).alias("smallest"),
+        *("token", "part", "group", n.alias("n"), (n - F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("left")),
+        F.lag(F.struct("group", n.alias("n"))).over(in_order).alias("near"),
+        F.lead("group").over(in_order).alias("next"),
+        F.first(F.struct("group", n.alias("n"))).over(so_far).alias("smallest"),
     ).where("near is not null or next is not null or part != 0")
-    other = met.where(F.col("sketch").isNotNull() | ~F.col("near.group").eqNullSafe(F.col("group")))  # one row for each group
-    near = F.when(F.col("near").isNotNull(), F.struct("near.doc_id", "near.n"))
-    met = written(other.select("token", "doc_id", "n", "group", "left", "sketch", near.alias("near"), F.when(F.col("smallest.doc_id") != F.col("near.doc_id"), F.col("smallest")).alias("smallest")), "met")
-
-    comps = components(verified(_of_reps(_guesses(met, percent), copies), docs, k, percent))
-
-    member = met.where("sketch is not null").join(copies, "doc_id", "left").select("group", F.coalesce("rep", "doc_id").alias("node"), "n", "sketch")
-    shape = written(member.groupBy("node").agg(F.first("sketch").alias("sketch")), "nodes")
-    nodes = member.select("group", "node", "n").distinct().join(comps, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component"))
-    places = met.where("sketch is null").select("token", "group", "n", "left")
+    other = met.where((F.col("part") < 0) | ~F.col("near.group").eqNullSafe(F.col("group")))  # one row for each group
+    smallest = F.when(F.col("smallest.group") != F.col("near.group"), F.col("smallest"))
+    met = written(other.select("token", "n", "group", F.when(F.col("part") >= 0, F.col("left")).alias("left"), "near", smallest.alias("smallest")), "met")
+
+    member = met.where("left is null").select(F.col("token").alias("doc_id"), "group", "n")
+    comps = components(verified(_of_reps(_guesses(met, member, percent), copies), docs, k, percent))
+
+    shapes = sets.where("sketch is not null").select("doc_id", "sketch").join(copies, "doc_id", "left").select(F.coalesce("rep", "doc_id").alias("node"), "sketch", F.xxhash64("sketch").alias("name"))
+    shapes = shapes.groupBy("node").agg(F.first("sketch").alias("sketch"), F.min("name").alias("least"), F.max("name").alias("most"))
+    # an id with several texts has no sketch of its own: an empty one rules nothing out
+    shape = written(shapes.select("node", F.when(F.col("least") == F.col("most"), F.col("sketch")).otherwise(F.lit(b"")).alias("sketch")), "nodes")
+    nodes = member.join(copies, "doc_id", "left").select("group", F.coalesce("rep", "doc_id").alias("node"), "n").distinct()
+    nodes = nodes.join(comps, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component"))
+    places = met.where("left is not null").select("token", "group", "n", "left")
     pure = nodes.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     several = places.join(pure, "group").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("token")
     live = _cells(places.join(several, "token", "left_semi").join(nodes, "group"), percent)
@@ -416,16 +430,17 @@ def _common(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return value[order], np.log2(np.maximum(count[order], 1)).astype(np.uint64)
 
 
-def _guesses(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of likely links; those of one group are always among them."""
-    row = met.where("sketch is null")
-    pairs = row.select(F.explode(F.array("near", "smallest")).alias("x"), F.col("doc_id").alias("b"), F.col("n").alias("m")).where("x is not null")
-    pairs = pairs.select(F.col("x.doc_id").alias("a"), "b", F.col("x.n").alias("n"), "m").where((F.col("a") != F.col("b")) & (F.col("n") * 100 >= F.col("m") * percent))
-    counted = pairs.groupBy("a", "b", "n", "m").agg(F.count("*").alias("shared")).where(likely(F.col("n"), F.col("m"), F.col("shared"), percent))
-    member = met.where("sketch is not null").select("group", "doc_id")
-    first = member.groupBy("group").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a != last")
-    group = member.join(first, "group").where("a != doc_id").select("a", F.col("doc_id").alias("b"))
-    return counted.select("a", "b").unionByName(group).distinct()
+def _guesses(met: DataFrame, member: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of likely links, of the smallest ids of two groups; and those of a group's members with its smallest id."""
+    row = met.where("left is not null")
+    pairs = row.select(F.explode(F.array("near", "smallest")).alias("x"), F.col("group").alias("y"), F.col("n").alias("m")).where("x is not null")
+    pairs = pairs.select(F.col("x.group").alias("x"), "y", F.col("x.n").alias("n"), "m").where((F.col("x") != F.col("y")) & (F.col("n") * 100 >= F.col("m") * percent))
+    counted = pairs.groupBy("x", "y", "n", "m").agg(F.count("*").alias("shared")).where(likely(F.col("n"), F.col("m"), F.col("shared"), percent)).select("x", "y")
+    first = member.groupBy("group").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last"))
+    ends = first.select(F.col("group").alias("x"), "a"), first.select(F.col("group").alias("y"), F.col("a").alias("b"))
+    across = counted.join(ends[0], "x").join(ends[1], "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b")
+    group = member.join(first.where("a != last"), "group").where("a != doc_id").select("a", F.col("doc_id").alias("b"))
+    return across.unionByName(group).distinct()
 
 
 def _of_reps(pairs: DataFrame, copies: DataFrame) -> DataFrame:

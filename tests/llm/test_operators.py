@@ -236,6 +236,13 @@ def plan_of(df):
     return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
 
+def test_prefix_rows_are_dealt_without_the_windows_own_columns(docs, monkeypatch):
+    plans, write = {}, jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name: (plans.setdefault(name, plan_of(df)), write(df, name))[1])
+    jaccard.near_duplicates(docs)
+    assert re.findall(r"\(\d+\) Exchange\s+Input \[(\d+)\]", plans["met"])[-1] == "4"
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 50), (50, 199)]
     out = dict(got(components.components(spark.createDataFrame(edges, "a long, b long"))))
