@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -18,6 +19,8 @@ FLAT_WEIGHT, CLEARANCE_MOST, SLOPE_MOST, PRICE_LEAST, FLAT_MOST, AFTER = 1.5, 2.
 
 #: Rows of one ticker that meet in one group of the join below, and of ``by_blocks``; rows whose windows lie in memory together.
 BLOCK, SERIES_BLOCK, TOGETHER = 256, 4096, 128
+#: Ends of windows whose points ``_turns`` lays side by side.
+NEAR = 64
 
 
 def span_join(ends: DataFrame, points: DataFrame, low: str, high: str, block: int = BLOCK) -> DataFrame:
@@ -93,6 +96,85 @@ def breakouts(bars: DataFrame) -> DataFrame:
     return _described(fitted.withColumnsRenamed({"tau_a": "after_a", "tau_v": "after_v"}).join(tau, ["ticker", "point"], "left"))
 
 
+def turns(bars: DataFrame, *carried: str, dates: DataFrame | None = None) -> DataFrame:
+    """(ticker, date, drift, fit_gain) as ``breakouts`` has them, with columns of ``bars`` carried along; where ``dates`` is given, on these dates alone.
+
+    What only the other columns need is left out: highs and sorted prices of the base, the day of the change.
+    """
+    by = by_ticker()
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    rows = bars.select("ticker", "date", *carried, F.ln(F.greatest("adj_close", F.lit(1e-9))).alias("y"))
+    rows = rows.withColumn("i", (F.row_number().over(by) - 1).cast("long")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("ticker"))).withColumn("d", F.coalesce(F.col("y") - F.lag("y").over(by), F.lit(0.0)))
+    terms = {"y": F.col("y"), "yy": F.col("y") * F.col("y"), "xy": F.col("y") * F.col("i"), "d": F.col("d"), "dd": F.col("d") * F.col("d")}
+    rows = rows.select("*", *(F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"s_{k}") for k, c in terms.items()))
+    asked = F.lit(1)
+    if dates is not None:
+        rows, asked = rows.join(F.broadcast(dates.select("date", F.lit(1).alias("asked"))), "date", "left"), F.coalesce("asked", F.lit(0))
+    rows = rows.withColumn("ends", F.when((F.col("i") >= BASE_LEAST + RISE_LEAST) & (F.col("n") >= BASE_LEAST + RISE_LEAST + 5), asked).otherwise(0).cast("long"))
+    found = by_blocks(rows, LOOK_BACK - 1, _turns, ["i", "y", "d", "ends", *(f"s_{k}" for k in terms)], "drift double, fit_gain double", ["ticker", "date", *carried, *(["asked"] if dates is not None else [])])
+    return found if dates is None else found.where("asked = 1").drop("asked")
+
+
+@functools.lru_cache(maxsize=32)
+def _places(i: tuple[int, ...]) -> tuple[np.ndarray, ...]:
+    """Points of the windows that end at the places ``i``, which of them lie outside an end's own, and number, sum and spread of the places from a point to an end."""
+    end = np.array(i, dtype=np.int64)[:, None]
+    low, high = np.maximum(np.maximum(0, end - (LOOK_BACK - 1)) + BASE_LEAST, end - (RISE_MOST - 1)), end - RISE_LEAST
+    points = np.arange(low.min(), high.max() + 1)
+    a, b = points.astype(float), end + 1.0
+    n, x = b - a, b * (b - 1) / 2 - a * (a - 1) / 2
+    xx = (b - 1) * b * (2 * b - 1) / 6 - (a - 1) * a * (2 * a - 1) / 6
+    with np.errstate(all="ignore"):
+        return points, (points < low) | (points > high), n, x, xx - x * x / n
+
+
+def _turns(r: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Change of slope and gain of two lines over one for the rows that end a window.
+
+    Ends that follow each other share their points: what a point or an end has alone is one line of an array, and while
+    their windows begin at the same row, so is the first line's error. What comes from places alone is kept between tickers.
+    """
+    i, first, d = r["i"], r["i"][0], r["d"]
+    n = len(i)
+    out = {c: np.full(n, np.nan) for c in ("drift", "fit_gain")}
+    terms = {"y": r["y"], "yy": r["y"] * r["y"], "xy": r["y"] * i, "d": d, "dd": d * d}
+    ws_all = np.maximum(0, i - (LOOK_BACK - 1))
+    ends = np.flatnonzero((r["ends"] == 1) & (ws_all >= first))  # others lie before the block
+    fits = ("y", "yy", "xy")
+    k = 0
+    while k < len(ends):
+        at = ends[k : k + NEAR]
+        at = at[at < at[0] + 2 * NEAR]
+        k += len(at)
+        ws, end = ws_all[at], i[at] + 1
+        points, outside, size, x, spread = _places(tuple(i[at].tolist()))
+        here = slice(points[0] - first, points[-1] + 1 - first)
+        w, e, sums = {c: r[f"s_{c}"][ws - first] for c in terms}, {c: r[f"s_{c}"][at] + x[at] for c, x in terms.items()}, {c: r[f"s_{c}"][here] for c in fits}
+        column = lambda x: {c: x[c][:, None] for c in fits}
+        with np.errstate(all="ignore"):  # points outside an end's own are left out below
+            left = _segment(ws[:1], points, {c: w[c][:1] for c in fits}, sums)[0] if ws[0] == ws[-1] else _segment(ws[:, None], points, column(w), sums)[0]
+            y, error, cross = (e[c][:, None] - sums[c] for c in fits)  # the second line's, as _segment has it
+            part = np.multiply(x, y)
+            cross -= np.divide(part, size, out=part)
+            np.multiply(y, y, out=part)
+            error -= np.divide(part, size, out=part)
+            cross *= np.divide(cross, spread, out=part)
+            error -= cross
+            error += left
+            error[outside] = np.inf
+            best = error.argmin(axis=1)  # the first NaN, where there is one
+            if np.isnan(error[np.arange(len(at)), best]).any():
+                best = np.nanargmin(error, axis=1)
+            tau = points[best]
+            split = {c: r[f"s_{c}"][tau - first] for c in fits}
+            (e1, s1), (e2, s2), (whole, _) = _segment(ws, tau, w, split), _segment(tau, end, split, e), _segment(ws, end, w, e)
+            m = i[at] - ws
+            mean = (e["d"] - w["d"] - d[ws - first]) / m  # the window's own first step doesn't count
+            sigma = np.sqrt(np.maximum((e["dd"] - w["dd"] - d[ws - first] * d[ws - first]) / m - mean * mean, 0.0)) + 1e-9
+            out["drift"][at], out["fit_gain"][at] = (s2 - s1) / sigma, np.where(whole > 0, 1 - (e1 + e2) / whole, 0.0)
+    return out
+
+
 def _best_splits(r: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """For the rows that end a window: the place with the least error of two lines, its sums, and highest and middle price of the base before it."""
     i, first = r["i"], r["i"][0]

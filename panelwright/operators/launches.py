@@ -11,8 +11,8 @@ from panelwright.operators.series import spaced
 IGNITION = ("accel", "expand", "vsurge", "breakout", "rsturn")
 
 
-def ignition(bars: DataFrame, market: DataFrame) -> DataFrame:
-    """(ticker, date, accel, expand, vsurge, breakout, rsturn, ignition, ignition_pct).
+def ignition(bars: DataFrame, market: DataFrame, *carried: str) -> DataFrame:
+    """(ticker, date, accel, expand, vsurge, breakout, rsturn, ignition, ignition_pct), with columns of ``bars`` carried along.
 
     Five measures of a ticker against its own past: pace of 10 rows less that of 50, size of daily steps and volume
     against the last 60, closeness to the high of 60 while above the average of 50, and the turn of its line against
@@ -20,12 +20,12 @@ def ignition(bars: DataFrame, market: DataFrame) -> DataFrame:
     ``ignition_pct`` its own rank share.
     """
     px, by = F.col("adj_close"), by_ticker()
-    rows = bars.select("ticker", "date", "adj_close", F.coalesce(F.col("volume"), F.lit(0)).cast("double").alias("v")).join(market.select("date", F.col("close").alias("m")), "date", "left")
+    rows = bars.select("ticker", "date", "adj_close", *carried, F.coalesce(F.col("volume"), F.lit(0)).cast("double").alias("v")).join(F.broadcast(market.select("date", F.col("close").alias("m"))), "date", "left")  # one row a date
     rows = rows.withColumn("line", F.try_divide(px, F.last("m", ignorenulls=True).over(by))).withColumn("move", F.abs(px - F.lag(px).over(by)))
     line = F.col("line")
     above = F.coalesce((px > rolling(F.avg, px, 50)).cast("double"), F.lit(0.0))
     rows = rows.select(
-        *("ticker", "date"), (lagged_return(px, 10) / 10 - lagged_return(px, 50) / 50).alias("accel"),
+        *("ticker", "date", *carried), (lagged_return(px, 10) / 10 - lagged_return(px, 50) / 50).alias("accel"),
         F.try_divide(rolling(F.avg, F.col("move"), 10), F.nullif(rolling(F.avg, F.col("move"), 60), F.lit(0.0))).alias("expand"),
         F.try_divide(rolling(F.avg, F.col("v"), 5), F.nullif(rolling(F.avg, F.col("v"), 60), F.lit(0.0))).alias("vsurge"),
         (F.try_divide(px, rolling(F.max, px, 60)) * above).alias("breakout"), (lagged_return(line, 10) - lagged_return(line, 30) / 3).alias("rsturn"),

@@ -22,6 +22,9 @@ from panelwright.operators.series import expanding_share_at_most
 # fixed values: edges of the ratio of a short to a long volatility, and the regimes between them
 TERM_EDGES = ((-1.0, 0.90, "deep contango"), (0.90, 0.97, "contango"), (0.97, 1.00, "flat"), (1.00, 1.05, "backwardation"), (1.05, 9.0, "deep backwardation"))
 
+#: Bins of a unit of return, in which values are counted before those around the middle are put in order.
+BINS = 1024
+
 
 def dates() -> WindowSpec:
     return Window.partitionBy(F.lit(0)).orderBy("date")
@@ -170,20 +173,48 @@ def entry_study(rows: DataFrame, score: str, entries: dict[str, float], returns:
     ``persist`` rows on. ``rows`` has ticker, date, segment, the score and the returns ahead, which are clipped.
     """
     w = Window.partitionBy("ticker").orderBy("date")
-    s, before, later = F.col(score), F.lag(score).over(w), F.lead(score, persist).over(w)
+    steps = sorted(set(entries.values()))
+    # all that is asked of a score is which thresholds it reaches, so rows are dealt by ticker with a byte and not the score
+    rows = rows.select("ticker", "date", "segment", *returns, F.when(F.col(score).isNotNull(), sum(((F.col(score) >= t).cast("byte") for t in steps), F.lit(0).cast("byte"))).cast("byte").alias("__level"))
+    s, before, later = F.col("__level"), F.lag("__level").over(w), F.lead("__level", persist).over(w)
+    place = {t: k for k, t in enumerate(steps, 1)}
     (first, low), *_ = entries.items()
-    flags = {name: (s >= t) & (before < t) for name, t in entries.items()} | {f"{first}, stays": (s >= low) & (before < low) & (later >= low)}
+    flags = {name: (s >= place[t]) & (before < place[t]) for name, t in entries.items()} | {f"{first}, stays": (s >= place[low]) & (before < place[low]) & (later >= place[low])}
     marked = rows.select("segment", *returns, *(F.coalesce(f, F.lit(False)).alias(n) for n, f in flags.items()))
     each = F.explode(F.array(*(F.struct(F.lit(r).alias("horizon"), F.greatest(F.lit(-0.95), F.least(F.lit(10.0), F.col(r))).alias("x"), F.col(r).isNotNull().alias("ok")) for r in returns)))
-    long = marked.select("segment", each.alias("h"), *flags).where("h.ok").select("segment", "h.horizon", "h.x", *flags)
-    base = long.groupBy("segment", "horizon").agg(F.median("x").alias("base_median"), F.avg((F.col("x") > 0.10).cast("int")).alias("base_over_10"))
-    events = long.select("segment", "horizon", "x", F.explode(F.array_compact(F.array(*(F.when(F.col(n), n) for n in flags)))).alias("variant"))
-    found = events.groupBy("segment", "variant", "horizon").agg(F.count("*").alias("n"), F.median("x").alias("event_median"), F.avg((F.col("x") > 0.10).cast("int")).alias("event_over_10"))
-    return found.join(base, ["segment", "horizon"]).withColumn("lift", F.col("event_median") - F.col("base_median"))
+    long = marked.select("segment", each.alias("h"), *flags).where("h.ok").select("segment", "h.horizon", "h.x", F.floor(F.col("h.x") * BINS).alias("bin"), *flags)
+    found = _medians(long, {"": F.lit(True)} | {n: F.col(n) for n in flags})
+    of_all = lambda c: F.max(F.when(F.col("variant") == "", F.col(c))).over(Window.partitionBy("segment", "horizon"))
+    found = found.select("segment", "horizon", "variant", "n", F.col("median").alias("event_median"), of_all("median").alias("base_median"), F.col("over").alias("event_over_10"), of_all("over").alias("base_over_10")).where("variant <> ''")
+    return found.withColumn("lift", F.col("event_median") - F.col("base_median"))
+
 
+def _medians(long: DataFrame, variants: dict[str, Column]) -> DataFrame:
+    """(segment, horizon, variant, n, median, over: the share above 0.10) of the rows of ``long`` (segment, horizon, x, bin, ...) that each variant takes.
 
-def segment_of(rows: DataFrame, share: float = 0.6) -> DataFrame:
-    """Adds ``segment``: TRAIN on dates before the one at ``share`` of all dates, TEST from it on."""
+    Values are counted by bin first, which says in which bins the middle ones lie, and only values of these bins are
+    put in order. So no group's values meet in one task, and the rows, read twice, aren't dealt again.
+    """
+    group = ["segment", "horizon", "variant"]
+    whole = Window.partitionBy(*group)
+    counts = long.groupBy("segment", "horizon", "bin").agg(F.array(*(F.struct(F.lit(v).alias("variant"), F.count(F.when(c, 1)).alias("n"), F.count(F.when(c & (F.col("x") > 0.10), 1)).alias("over")) for v, c in variants.items())).alias("found"))
+    counts = counts.select("segment", "horizon", "bin", F.inline("found")).where("n > 0")
+    until = F.sum("n").over(whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = counts.select(*group, "bin", "n", (until - F.col("n")).alias("before"), F.sum("n").over(whole).alias("total"), F.sum("over").over(whole).alias("over"))
+    first, second = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    holds = lambda place: (place >= F.col("before")) & (place < F.col("before") + F.col("n"))
+    middle = placed.where(holds(first) | holds(second)).select(*group, "bin", "before", "total", "over")  # two bins of a group at most
+
+    taken = long.select("segment", "horizon", "x", "bin", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(v)) for v, c in variants.items())))).alias("variant"))
+    values = taken.join(F.broadcast(middle), [*group, "bin"]).groupBy(*group, "bin", "x").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("before", "total", "over")))
+    until = F.col("before") + F.sum("n").over(Window.partitionBy(*group, "bin").orderBy("x").rowsBetween(Window.unboundedPreceding, -1))
+    values = values.withColumn("before", F.coalesce(until, "before"))
+    ends = values.groupBy(*group).agg(F.first("total").alias("n"), F.first("over").alias("over"), *(F.max(F.when(holds(place), F.col("x"))).alias(c) for c, place in (("a", first), ("b", second))))
+    return ends.select(*group, "n", (F.col("a") * 0.5 + F.col("b") * 0.5).alias("median"), (F.col("over") / F.col("n")).alias("over"))
+
+
+def segment_of(rows: DataFrame, share: float = 0.6, dates: DataFrame | None = None) -> DataFrame:
+    """Adds ``segment``: TRAIN on dates before the one at ``share`` of all dates, TEST from it on. ``dates``: the dates of ``rows``, where they are had for less."""
     whole = Window.partitionBy(F.lit(0))
-    days = rows.select("date").distinct().select("date", (F.row_number().over(whole.orderBy("date")) - 1).alias("o"), F.count(F.lit(1)).over(whole).alias("c"))  # one row a date
-    return rows.join(days.select("date", F.when(F.col("o") < F.floor(F.col("c") * share), "TRAIN").otherwise("TEST").alias("segment")), "date")
+    days = (rows if dates is None else dates).select("date").distinct().select("date", (F.row_number().over(whole.orderBy("date")) - 1).alias("o"), F.count(F.lit(1)).over(whole).alias("c"))  # one row a date
+    return rows.join(F.broadcast(days.select("date", F.when(F.col("o") < F.floor(F.col("c") * share), "TRAIN").otherwise("TEST").alias("segment"))), "date")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelwright.functions.windows import forward, rolling
-from panelwright.operators import changepoint, regimes, research
+from panelwright.operators import changepoint, launches, regimes, research
 from panelwright.plans.queries import query, rounded
-from panelwright.plans.studies import BREAKOUTS, IGNITE, _ignition, _roll, _share
+from panelwright.plans.studies import BREAKOUTS, IGNITE, _roll, _share
 from panelwright.sources import adapters as src
 
 YEAR = 252**0.5
@@ -127,12 +127,12 @@ _ENTRIES = {"top tenth": 90.0, "top twentieth": 95.0}
 
 
 def _relative(spark, sf):
-    """Returns ahead on a ticker's own rows, less the market's over the same days."""
+    """Bars with the returns ahead on a ticker's own rows, less the market's over the same days."""
     w = research.by_ticker()
-    b = src.daily_bars(spark, sf).select("ticker", "date", "adj_close").join(src.benchmark(spark, sf).select("date", F.col("close").alias("m")), "date", "left")
+    b = src.daily_bars(spark, sf).join(F.broadcast(src.benchmark(spark, sf).select("date", F.col("close").alias("m"))), "date", "left")  # one row a date
     b = b.withColumn("m", F.last("m", ignorenulls=True).over(w))
     ahead = lambda x, k: F.try_divide(F.lead(x, k).over(w), x) - 1
-    return b.select("ticker", "date", *((ahead("adj_close", k) - ahead("m", k)).alias(n) for n, k in _HORIZONS.items()))
+    return b.select("ticker", "date", "adj_close", "volume", *((ahead("adj_close", k) - ahead("m", k)).alias(n) for n, k in _HORIZONS.items()))
 
 
 def _study(score: str, x: str) -> str:
@@ -152,13 +152,13 @@ def _study(score: str, x: str) -> str:
 @query(IGNITE + _study("ignite", "ignition_pct"))
 def q3_entry_study(spark, sf):
     """Q3, Q4: what follows the day on which a ticker's ignition enters a date's top, against all days, before and after the split of dates."""
-    rows = regimes.segment_of(_ignition(spark, sf).select("ticker", "date", "ignition_pct")).join(_relative(spark, sf), ["ticker", "date"])
-    return rounded(regimes.entry_study(rows, "ignition_pct", _ENTRIES, list(_HORIZONS)))
+    rows = launches.ignition(_relative(spark, sf), src.benchmark(spark, sf), *_HORIZONS).select("ticker", "date", "ignition_pct", *_HORIZONS)
+    return rounded(regimes.entry_study(regimes.segment_of(rows, dates=src.bar_dates(spark, sf)), "ignition_pct", _ENTRIES, list(_HORIZONS)))
 
 
 @query(", brk AS (WITH " + BREAKOUTS[2:].replace("{columns}", "round(drift * fit_gain, 9) AS turn") + f"), bk AS (SELECT ticker, date, 100 * {_share('turn')} AS pct FROM brk)" + _study("bk", "pct"))
 def q4_temporal_holdout(spark, sf):
     """Q4: the same for the change of slope, with its rank on each date."""
-    turn = changepoint.breakouts(src.daily_bars(spark, sf)).select("ticker", "date", F.round(F.col("drift") * F.col("fit_gain"), 9).alias("turn"))
-    ranked = turn.select("ticker", "date", (100 * research.average_rank(F.col("turn"), "date") / F.nullif(F.count("turn").over(research.Window.partitionBy("date")), F.lit(0))).alias("pct"))
-    return rounded(regimes.entry_study(regimes.segment_of(ranked).join(_relative(spark, sf), ["ticker", "date"]), "pct", _ENTRIES, list(_HORIZONS)))
+    turn = changepoint.turns(_relative(spark, sf), *_HORIZONS).select("ticker", "date", *_HORIZONS, F.round(F.col("drift") * F.col("fit_gain"), 9).alias("turn"))
+    ranked = turn.select("ticker", "date", *_HORIZONS, (100 * research.average_rank(F.col("turn"), "date") / F.nullif(F.count("turn").over(research.Window.partitionBy("date")), F.lit(0))).alias("pct"))
+    return rounded(regimes.entry_study(regimes.segment_of(ranked, dates=src.bar_dates(spark, sf)), "pct", _ENTRIES, list(_HORIZONS)))

@@ -161,3 +161,58 @@ def test_baselines_in_one_pass(spark):
     out = launches.baselines(f, h=20, rise=0.9, washout=0.4, vol=0.4)
     assert plan(out).count("existingrdd") == 1 and "join" not in plan(out)
     assert {r.population: r.n for r in out.collect()} == {"all": 760, "volatile": 658, "volatile and washed out": 558, "signal": 4}
+
+
+def test_turns_equal_breakouts_without_their_sorts(spark, monkeypatch):
+    from panelwright.operators import changepoint
+
+    r = random.Random(17)
+    rows = [(t, i, 20.0 + 3 * r.random() + (0.2 * max(0, i - 400) if t == "a" else 0.0), float(i)) for t, size in (("a", 700), ("b", 620), ("c", 59)) for i in range(size)]
+    bars = spark.createDataFrame(rows, "ticker string, i int, adj_close double, x double").selectExpr("ticker", "date_add(date'2020-01-01', i) as date", "adj_close", "x", "1L as volume")
+    out = changepoint.turns(bars, "x")
+    assert "join" not in plan(out) and plan(out).count("exchange") == 1  # breakouts deals its rows again to look up a day
+    want = {(y.ticker, y.date): (y.drift, y.fit_gain) for y in changepoint.breakouts(bars).collect()}
+    got = {(y.ticker, y.date): (y.drift, y.fit_gain) for y in out.collect()}
+    assert got == want and sum(v[0] is not None for v in want.values()) > 1200 and {y.x for y in out.collect()} == set(map(float, range(700)))
+    monkeypatch.setattr(changepoint, "by_blocks", lambda *a, f=changepoint.by_blocks: f(*a, block=90))
+    assert {(y.ticker, y.date): (y.drift, y.fit_gain) for y in changepoint.turns(bars).collect()} == want
+    some = bars.where("dayofmonth(date) in (3, 17)").select("date").distinct()
+    days = {y.date for y in some.collect()}
+    assert {(y.ticker, y.date): (y.drift, y.fit_gain) for y in changepoint.turns(bars, dates=some).collect()} == {k: v for k, v in want.items() if k[1] in days}
+
+
+def test_entry_study_counts_before_it_sorts(spark):
+    from statistics import median
+
+    from panelwright.operators import regimes
+
+    r = random.Random(19)
+    rows = [(f"t{k}", i, None if r.random() < 0.02 else 100 * r.random(), r.choice([r.gauss(0, 0.3), 50.0, 0.1, None, -2.0])) for k in range(20) for i in range(90)]
+    df = spark.createDataFrame(rows, "ticker string, i int, s double, f double").selectExpr("ticker", "date_add(date'2020-01-01', i) as date", "s", "f")
+    study = regimes.entry_study(regimes.segment_of(df, dates=df.select("date")), "s", {"top": 90.0, "higher": 95.0}, ["f"])
+    assert "percentile" not in plan(study)  # once all values of a group met in one task
+    got = {(x.segment, x.variant): (x.n, x.event_median, x.base_median, x.lift, x.event_over_10, x.base_over_10) for x in study.collect()}
+    assert study._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") >= 1
+    want = {}
+    for seg, days in (("TRAIN", range(54)), ("TEST", range(54, 90))):
+        of = {(t, i): (s, f) for t, i, s, f in rows}
+        clip = lambda f: max(-0.95, min(10.0, f))
+        base = [clip(f) for t, i, s, f in rows if i in days and f is not None]
+        was, later = (lambda t, i: (of.get((t, i - 1)) or (None,))[0]), (lambda t, i: (of.get((t, i + 5)) or (None,))[0])
+        for name, low, stays in (("top", 90, False), ("higher", 95, False), ("top, stays", 90, True)):
+            xs = [clip(f) for t, i, s, f in rows if i in days and f is not None and s is not None and s >= low and was(t, i) is not None and was(t, i) < low and (not stays or (later(t, i) or 0) >= low)]
+            if xs:
+                want[seg, name] = (len(xs), median(xs), median(base), median(xs) - median(base), sum(x > 0.1 for x in xs) / len(xs), sum(x > 0.1 for x in base) / len(base))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want) and len(want) == 6
+
+
+def test_bars_are_dealt_once(spark, tmp_path):
+    from panelwright.functions.windows import lagged_return
+    from panelwright.sources import adapters
+
+    lines = spark.sql("select id % 7 as l_suppkey, date_add(date'1995-01-01', cast(id % 11 as int)) as l_shipdate, cast(id % 5 + 1 as double) as l_quantity, cast(id as double) + 0.25 as l_extendedprice from range(300)")
+    lines.unionByName(spark.sql("select null as l_suppkey, date'1996-01-01' as l_shipdate, 1d as l_quantity, 2d as l_extendedprice")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    bars = adapters.daily_bars(spark, str(tmp_path))
+    out = bars.select("ticker", "date", "close", lagged_return(F.col("close"), 1).alias("r"))
+    assert plan(out).count("exchange") == 1  # once by ticker and date and again by ticker
+    assert out.count() == 77 and {x.date for x in bars.select("date").collect()} == {x.date for x in adapters.bar_dates(spark, str(tmp_path)).collect()}
