@@ -15,12 +15,12 @@ STRETCH = 1 << 14
 REGIMES = (("pre-2020", 2020), ("2020-COVID", 2021), ("2021-22", 2023))
 
 
-def ahead(bars: DataFrame, h: int) -> DataFrame:
-    """(ticker, date, ret, vol, trough) over each row's next h rows: return, yearly deviation of log steps, worst close against its own."""
+def ahead(bars: DataFrame, h: int, *carried: str) -> DataFrame:
+    """(ticker, date, ret, vol, trough) over each row's next h rows: return, yearly deviation of log steps, worst close against its own; with columns carried along."""
     px, by = F.col("close"), by_ticker()
-    rows = bars.select("ticker", "date", "close", (F.ln(px) - F.ln(F.lag(px).over(by))).alias("step"))
+    rows = bars.select("ticker", "date", *dict.fromkeys(("close", *carried)), (F.ln(px) - F.ln(F.lag(px).over(by))).alias("step"))
     return rows.select(
-        *("ticker", "date"), (F.try_divide(F.lead(px, h).over(by), px) - 1).alias("ret"),
+        *("ticker", "date", *carried), (F.try_divide(F.lead(px, h).over(by), px) - 1).alias("ret"),
         (forward(F.stddev_samp, F.col("step"), h) * F.sqrt(F.lit(252.0))).alias("vol"), (F.try_divide(forward(F.min, px, h), px) - 1).alias("trough"),
     )
 
@@ -39,13 +39,13 @@ def mean_rank_share(rows: DataFrame, parts: list[str], name: str) -> DataFrame:
     return ranked.withColumn(name, F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), F.size(known))).drop(*(f"__{c}" for c in parts))
 
 
-def _picked(score: Column, n: Column, share: float, least: int) -> Column:
-    place = F.row_number().over(Window.partitionBy("date").orderBy(score.desc_nulls_last(), "ticker"))
+def _picked(score: Column, n: Column, share: float, least: int, *by: str) -> Column:
+    place = F.row_number().over(Window.partitionBy("date", *by).orderBy(score.desc_nulls_last(), "ticker"))
     return (place <= F.greatest(F.lit(least), F.floor(n * share))) & score.isNotNull()
 
 
-def _z(x: Column) -> Column:
-    w = Window.partitionBy("date")
+def _z(x: Column, *by: str) -> Column:
+    w = Window.partitionBy("date", *by)
     return F.coalesce(F.try_divide(x - F.avg(x).over(w), F.nullif(F.stddev_samp(x).over(w), F.lit(0.0))), F.lit(0.0))
 
 
@@ -81,25 +81,28 @@ def pool_comparison(rows: DataFrame, pool: Column, a: str, b: str, least: int, s
     dates whose pool has ``least`` of them count. Both together is the sum of the two ranks' z-scores in the pool.
     ic_a and ic_b are rank correlations with ret within the pool. jaccard is the overlap of the picks by a and by b
     out of all rows of the date, whose pick by b is the top share of its ranks, and by_chance what sizes alone give.
+    ``rows`` is read once: what holds in the pool is windowed beside the rest of its date.
     """
-    w = Window.partitionBy("date")
-    known = rows.withColumn("__pool", F.coalesce(pool, F.lit(False))).withColumn("__all", F.count(F.lit(1)).over(w))
-    known = known.withColumn("__a", _picked(F.col(a), F.col("__all"), share, least_top)).withColumn("__b", F.coalesce(average_rank_share(F.col(b), "date") >= 1 - share, F.lit(False)))
-    wide = known.groupBy("date").agg(F.first("__all").alias("n_all"), *(F.sum(F.col(c).cast("int")).alias(n) for c, n in (("__a", "ka"), ("__b", "kb"))), F.sum((F.col("__a") & F.col("__b")).cast("int")).alias("both"))
+    known = rows.select("ticker", "date", "ret", "vol", "trough", F.col(a).alias("a"), F.col(b).alias("b"), F.coalesce(pool, F.lit(False)).alias("pool")).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("date")))
+    known = known.withColumn("wide_a", _picked(F.col("a"), F.col("all"), share, least_top)).withColumn("wide_b", F.coalesce(average_rank_share(F.col("b"), "date") >= 1 - share, F.lit(False)))
+    known = known.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("date", "pool"))).withColumns({f"r{x}": average_rank(F.col(c), "date", "pool") for x, c in (("a", "a"), ("b", "b"), ("r", "ret"))})
+    known = known.withColumn("c", F.round(_z(F.col("ra"), "pool") + _z(F.col("rb"), "pool"), 9))
+    known = known.withColumns({f"pick_{x}": _picked(F.col(x), F.col("n"), share, least_top, "pool") for x in "abc"})
+    held = F.col("pool") & (F.col("n") >= least)
+    own = lambda c: F.when(held, F.col(c))
+    picks = [F.avg(F.when(held & F.col(f"pick_{x}"), F.col(m))).alias(f"{m}_{x}") for x in "abc" for m in ("ret", "vol", "trough")]
+    found = known.groupBy("date").agg(
+        F.max(own("n")).alias("n"), *picks, *(F.avg(own(m)).alias(f"{m}_pool") for m in ("ret", "vol", "trough")), F.corr(own("ra"), own("rr")).alias("ic_a"), F.corr(own("rb"), own("rr")).alias("ic_b"),
+        F.first("all").alias("n_all"), *(F.sum(F.col(c).cast("int")).alias(n) for c, n in (("wide_a", "ka"), ("wide_b", "kb"))), F.sum((F.col("wide_a") & F.col("wide_b")).cast("int")).alias("both"),
+    ).where("n is not null")
+    over = F.try_divide("ret_a", F.nullif("vol_a", F.lit(0.0))) - F.try_divide("ret_b", F.nullif("vol_b", F.lit(0.0)))
     chance = F.col("ka") * F.col("kb") / F.col("n_all")
     met = (F.col("ka") > 0) & (F.col("kb") > 0)
-    wide = wide.select("date", "n_all", F.when(met, F.col("both") / (F.col("ka") + F.col("kb") - F.col("both"))).alias("jaccard"), F.when(met, chance / (F.col("ka") + F.col("kb") - chance)).alias("by_chance"))
-
-    inside = known.where("__pool").select("ticker", "date", "ret", "vol", "trough", F.col(a).alias("a"), F.col(b).alias("b")).withColumn("n", F.count(F.lit(1)).over(w)).where(F.col("n") >= least)
-    inside = inside.withColumn("ra", average_rank(F.col("a"), "date")).withColumn("rb", average_rank(F.col("b"), "date")).withColumn("rr", average_rank(F.col("ret"), "date"))
-    inside = inside.withColumn("c", F.round(_z(F.col("ra")) + _z(F.col("rb")), 9))
-    for x in "abc":
-        inside = inside.withColumn(f"pick_{x}", _picked(F.col(x), F.col("n"), share, least_top))
-    picks = [F.avg(F.when(F.col(f"pick_{x}"), F.col(m))).alias(f"{m}_{x}") for x in "abc" for m in ("ret", "vol", "trough")]
-    found = inside.groupBy("date").agg(F.first("n").alias("n"), *picks, *(F.avg(m).alias(f"{m}_pool") for m in ("ret", "vol", "trough")), F.corr("ra", "rr").alias("ic_a"), F.corr("rb", "rr").alias("ic_b"))
-    over = F.try_divide("ret_a", F.nullif("vol_a", F.lit(0.0))) - F.try_divide("ret_b", F.nullif("vol_b", F.lit(0.0)))
-    found = found.withColumn("gap_ret", F.col("ret_a") - F.col("ret_b")).withColumn("gap_trough", F.col("trough_a") - F.col("trough_b")).withColumn("gap_ret_over_vol", over)
-    return found.join(wide, "date")
+    of_all = ("n_all", "ka", "kb", "both")
+    return found.select(
+        *(c for c in found.columns if c not in of_all), (F.col("ret_a") - F.col("ret_b")).alias("gap_ret"), (F.col("trough_a") - F.col("trough_b")).alias("gap_trough"), over.alias("gap_ret_over_vol"),
+        "n_all", F.when(met, F.col("both") / (F.col("ka") + F.col("kb") - F.col("both"))).alias("jaccard"), F.when(met, chance / (F.col("ka") + F.col("kb") - chance)).alias("by_chance"),
+    )
 
 
 def regime(year: Column, regimes: tuple = REGIMES, last: str = "2023-25") -> Column:

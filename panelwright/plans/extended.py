@@ -156,14 +156,19 @@ SIGNALS = (
 
 def signal_panel(spark, sf):
     """Returns over several spans, momentum and trend quality of every ticker and day."""
+    return signals_of(src.daily_bars(spark, sf))
+
+
+def signals_of(bars, *carried):
+    """``signal_panel`` of given bars, with columns of theirs carried along."""
     px, w90, one = F.col("close"), last_rows(90), by_ticker()
-    b = src.daily_bars(spark, sf).select("ticker", "date", "close").withColumn("d", px - F.lag(px).over(one)).withColumn("lr", F.ln(px) - F.ln(F.lag(px).over(one))).withColumn("i", F.row_number().over(one).cast("double")).withColumn("y", F.ln(px))
+    b = bars.select("ticker", "date", "close", *carried).withColumn("d", px - F.lag(px).over(one)).withColumn("lr", F.ln(px) - F.ln(F.lag(px).over(one))).withColumn("i", F.row_number().over(one).cast("double")).withColumn("y", F.ln(px))
     r63 = lagged_return(px, 63)
     return b.select(
         "ticker", "date", *(lagged_return(px, n).alias(f"ret_{n}") for n in (5, 21, 63, 126)), (F.try_divide(F.lag(px, 21).over(one), F.lag(px, 252).over(one)) - 1).alias("mom_12_1"),
         F.when(F.col("i") >= 90, F.regr_slope("y", "i").over(w90) * 252 * F.regr_r2("y", "i").over(w90)).alias("slope_r2"),
         F.try_divide(F.abs(px - F.lag(px, 63).over(one)), rolling(F.sum, F.abs("d"), 63)).alias("ker_63"),
-        F.try_divide(r63, F.nullif(rolling(F.stddev_samp, F.col("lr"), 63) * F.sqrt(F.lit(252.0)), F.lit(0.0))).alias("sharpe_63"),
+        F.try_divide(r63, F.nullif(rolling(F.stddev_samp, F.col("lr"), 63) * F.sqrt(F.lit(252.0)), F.lit(0.0))).alias("sharpe_63"), *carried,
     )
 
 

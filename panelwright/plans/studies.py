@@ -177,10 +177,14 @@ FORMED = (
 )
 
 
+def _formation_dates(spark, sf, h: int = 21):
+    return formation.formation_dates(src.bar_dates(spark, sf), 300, h, 21)
+
+
 def _formed(spark, sf, h: int = 21):
     """Signals and what follows on formation dates: every 21st date from the 300th on."""
-    bars = src.daily_bars(spark, sf)
-    signals = extended.signal_panel(spark, sf).join(formation.ahead(bars, h), ["ticker", "date"]).join(formation.formation_dates(bars, 300, h, 21), "date").where("ret is not null and vol is not null")
+    bars = formation.ahead(src.daily_bars(spark, sf), h, "close")
+    signals = extended.signals_of(bars, "ret", "vol", "trough").join(F.broadcast(_formation_dates(spark, sf, h)), "date").where("ret is not null and vol is not null")
     return formation.mean_rank_share(signals, list(_PARTS), "stable_mom").withColumn("stable_mom", F.round("stable_mom", 9))
 
 
@@ -214,7 +218,7 @@ _POOL_COLUMNS = [*(f"{m}_{x}" for x in "abc" for m in ("ret", "vol", "trough")),
 
 def _pooled(spark, sf):
     """The pool are names whose slope has risen; the guards of the strength would leave too few of the test tables' names on a date."""
-    rise = changepoint.breakouts(src.daily_bars(spark, sf)).select("ticker", "date", F.round(F.col("drift") * F.col("fit_gain"), 9).alias("brk"))
+    rise = changepoint.turns(src.daily_bars(spark, sf), dates=_formation_dates(spark, sf)).select("ticker", "date", F.round(F.col("drift") * F.col("fit_gain"), 9).alias("brk"))
     rows = _formed(spark, sf).select("ticker", "date", "ret", "vol", "trough", "stable_mom").join(rise, ["ticker", "date"], "left")
     return formation.pool_comparison(rows, F.col("brk") > 0, "stable_mom", "brk", least=6, least_top=2)
 

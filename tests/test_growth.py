@@ -216,3 +216,23 @@ def test_bars_are_dealt_once(spark, tmp_path):
     out = bars.select("ticker", "date", "close", lagged_return(F.col("close"), 1).alias("r"))
     assert plan(out).count("exchange") == 1  # once by ticker and date and again by ticker
     assert out.count() == 77 and {x.date for x in bars.select("date").collect()} == {x.date for x in adapters.bar_dates(spark, str(tmp_path)).collect()}
+
+
+def test_pools_are_picked_in_one_reading(spark):
+    from panelwright.operators import formation
+
+    r = random.Random(23)
+    rows = [(f"t{i:02}", d, r.gauss(0, 1), 0.5, -r.random(), r.gauss(0, 1) if i % 5 else None, r.gauss(0, 1)) for d in range(3) for i in range(30)]
+    df = spark.createDataFrame(rows, "ticker string, d int, ret double, vol double, trough double, a double, b double").selectExpr("*", "date_add(date'2020-01-01', d) as date")
+    out = formation.pool_comparison(df, F.col("b") > 0, "a", "b", least=5, least_top=2)
+    assert "join" not in plan(out) and plan(out).count("existingrdd") == 1  # once read for the pool and again for all rows
+    got = {x.date.day - 1: x for x in out.collect()}
+    for d in range(3):
+        of = [x for x in rows if x[1] == d]
+        pool = [x for x in of if x[6] > 0]
+        k = max(2, int(len(pool) * 0.1))
+        best = sorted((x for x in pool if x[5] is not None), key=lambda x: -x[5])[:k]
+        wide_a = {x[0] for x in sorted((x for x in of if x[5] is not None), key=lambda x: -x[5])[:3]}
+        wide_b = {x[0] for x in sorted(of, key=lambda x: -x[6])[:4]}
+        assert (got[d].n, got[d].n_all) == (len(pool), 30) and got[d].ret_a == pytest.approx(sum(x[2] for x in best) / k) and got[d].ret_pool == pytest.approx(sum(x[2] for x in pool) / len(pool))
+        assert got[d].jaccard == pytest.approx(len(wide_a & wide_b) / len(wide_a | wide_b)) and got[d].by_chance == pytest.approx((12 / 30) / (7 - 12 / 30))
