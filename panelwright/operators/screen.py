@@ -30,14 +30,14 @@ def riser_metrics(bars: DataFrame, *carried: str) -> DataFrame:
 def with_relative_strength(bars: DataFrame, spx: DataFrame) -> DataFrame:
     """``bars`` with rs_raw: returns over 63 and 126 rows less the benchmark's, which is carried forward onto the ticker's own dates."""
     px = F.col("adj_close")
-    rows = bars.join(spx.select("date", F.col("close").alias("spx")), "date", "left").withColumn("spx", F.last("spx", ignorenulls=True).over(by_ticker()))
+    rows = bars.join(F.broadcast(spx.select("date", F.col("close").alias("spx"))), "date", "left").withColumn("spx", F.last("spx", ignorenulls=True).over(by_ticker()))
     excess = sum((lagged_return(px, n) - lagged_return(F.col("spx"), n) for n in (63, 126)), F.lit(0.0))
     return rows.withColumn("rs_raw", excess).drop("spx")
 
 
-def population(bars: DataFrame, spx: DataFrame) -> DataFrame:
-    """Riser metrics of the rows that the screen ranks: those with a relative strength. Earlier rows only feed the windows."""
-    return riser_metrics(with_relative_strength(bars, spx), "rs_raw").where("rs_raw is not null").drop("rs_raw")
+def population(bars: DataFrame, spx: DataFrame, *carried: str) -> DataFrame:
+    """Riser metrics of the rows that the screen ranks: those with a relative strength. Earlier rows only feed the windows. Columns are carried along."""
+    return riser_metrics(with_relative_strength(bars, spx), "rs_raw", *carried).where("rs_raw is not null").drop("rs_raw")
 
 
 def candidates(rows: DataFrame, top_n: int = 50, up: float = 0.6) -> DataFrame:
@@ -57,7 +57,7 @@ def signals(bars: DataFrame, spx: DataFrame, min_bars: int = 60) -> DataFrame:
     """
     px = F.col("adj_close")
     enough = F.count(F.lit(1)).over(Window.partitionBy("ticker")) >= min_bars
-    rows = bars.withColumn("__ok", enough).where("__ok").drop("__ok").join(spx.select("date", F.col("close").alias("spx")), "date", "left")
+    rows = bars.withColumn("__ok", enough).where("__ok").drop("__ok").join(F.broadcast(spx.select("date", F.col("close").alias("spx"))), "date", "left")  # one row a date
     rows = rows.withColumn("spx", F.last("spx", ignorenulls=True).over(by_ticker())).withColumn("step", px - F.lag(px).over(by_ticker()))
     up = F.when(F.col("step") > 0, F.col("volume")).otherwise(F.lit(0))
     down = F.when(F.coalesce(F.col("step") <= 0, F.lit(True)), F.col("volume")).otherwise(F.lit(0))

@@ -19,14 +19,17 @@ def with_growth(filings: DataFrame) -> DataFrame:
     return filings.withColumn("growth", growth).withColumn("margin", F.when(F.col("revenue_ttm") > 0, F.col("ebitda_ttm") / F.col("revenue_ttm")))
 
 
-def valuation(bars: DataFrame, filings: DataFrame) -> DataFrame:
+def valuation(bars: DataFrame, filings: DataFrame, *carried: str, unfiled: bool = False) -> DataFrame:
     """One row per bar from the first filing in force on: multiples are NULL where their sign makes no sense.
 
     ``filings`` carry ``split_factor`` (asof.split_factor) and growth (with_growth); shares and earnings are brought
-    to the price's basis with it.
+    to the price's basis with it. Columns of ``bars`` are carried along; with ``unfiled``, bars of no filing stay too.
     """
     filed = filings.withColumn("in_force", F.coalesce("effective_eod_date", "filed_date"))
-    rows = as_of(bars.select("ticker", "date", "close", "adj_close"), filed, "ticker", "date", "in_force").where("revenue_ttm is not null and shares is not null")
+    # dealt as the bars are, so the few filings move and the bars stay
+    filed = filed.repartition(int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ticker")
+    rows = as_of(bars.select("ticker", "date", "close", "adj_close", *carried), filed, "ticker", "date", "in_force")
+    rows = rows if unfiled else rows.where("revenue_ttm is not null and shares is not null")
     cap = F.col("adj_close") * F.col("shares") * F.col("split_factor")
     ev = cap + F.coalesce("total_debt", F.lit(0.0)) - F.coalesce("cash", F.lit(0.0))
     earns, sells, shares = F.col("eps_ttm") > 0, F.col("revenue_ttm") > 0, F.col("shares") > 0
@@ -35,7 +38,7 @@ def valuation(bars: DataFrame, filings: DataFrame) -> DataFrame:
         *("ticker", "date", "close"), pe.alias("pe"), F.when(sells & shares, cap / F.col("revenue_ttm")).alias("ps"),
         F.when(sells & shares, ev / F.col("revenue_ttm")).alias("evs"), F.when((F.col("ebitda_ttm") > 0) & shares, ev / F.col("ebitda_ttm")).alias("ev_ebitda"),
         F.when((F.col("growth") > 0) & earns, pe / (100 * F.col("growth"))).alias("peg"), "growth", "margin", (100 * (F.col("growth") + F.col("margin"))).alias("rule40"),
-        F.col("period_end").alias("as_of_period_end"), F.col("filed_date").alias("as_of_filed"), F.col("effective_eod_date").alias("as_of_effective_eod"),
+        F.col("period_end").alias("as_of_period_end"), F.col("filed_date").alias("as_of_filed"), F.col("effective_eod_date").alias("as_of_effective_eod"), *carried,
     )
 
 

@@ -64,19 +64,32 @@ def d2_chart(spark, sf):
 AS_OF = "2001-11-04"
 
 
-def _board(spark, sf):
-    """Identity, components, composite and the one before, the screen's block, the multiples in force with their age, and theme chips of every ticker's last scored day."""
+def _board(spark, sf, *shown: str, riser=None):
+    """Identity, components, composite and the one before, the screen's block, the multiples in force with their age, and theme chips of every ticker's last scored day.
+
+    ``shown``: the columns that are asked for besides ticker and date, all unless given. Parts of which none is asked
+    for and which have one row a ticker at most are left out; the universe stays, as it may name a ticker twice.
+    ``riser``: the screen's block, where its rows of the days that count are had for less than all of it.
+    """
     scored = screen.composite(base._signals(spark, sf))
     parts = [f"c_{n}" for n in screen.weights(0.5)]
     last = Window.partitionBy("ticker").orderBy("date")
     scored = scored.select("ticker", "date", *parts, "composite", F.lag("composite").over(last).alias("composite_prev"), "rank_in_universe")
+    riser = base._risers(spark, sf).drop("close") if riser is None else riser
+    if shown:
+        scored, riser = (x.select("ticker", "date", *(c for c in x.columns if c in shown)) for x in (scored, riser))
     rows = valuation.latest(scored, "ticker", "date")
-    riser = base._risers(spark, sf).drop("close")
     age = F.datediff("valued_on", "as_of_period_end")
     v = valuation.latest(base._valued(spark, sf).drop("close").withColumn("valued_on", F.col("date")), "ticker", "date").select("ticker", "pe", "ps", "evs", "growth", "margin", age.cast("long").alias("age"), F.datediff("as_of_filed", "as_of_period_end").cast("long").alias("disclosure_lag"), valuation.freshness(age).alias("freshness"))
+    out = rows.join(riser, ["ticker", "date"]).join(src.universe(spark, sf).select("ticker", "name", "sector", "mktcap"), "ticker", "left")
+    if shown:
+        v = v.select("ticker", *(c for c in v.columns if c in shown))
+    out = out.join(v, "ticker", "left") if len(v.columns) > 1 else out
+    if shown and "themes" not in shown:
+        return out.select("ticker", "date", *shown)
     chips = asof.membership_at(base._members(spark, sf), AS_OF).groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct((-F.col("exposure")).alias("e"), "theme"))).alias("s"))
     chips = chips.select("ticker", F.array_join(F.transform("s", lambda x: F.concat(x.theme, F.lit(":"), F.format_number(-x.e, 4))), ",").alias("themes"))
-    return rows.join(riser, ["ticker", "date"]).join(src.universe(spark, sf).select("ticker", "name", "sector", "mktcap"), "ticker", "left").join(v, "ticker", "left").join(chips, "ticker", "left")
+    return out.join(chips, "ticker", "left")
 
 
 _BOARD = ("composite", "composite_prev", "c_rs", "c_high", "c_trend", "c_vol", "c_accel", "net5", "net10", "net20", "up10", "ddw10", "ker10", "net10_pct", "pe", "ps", "evs", "growth", "margin")
@@ -98,12 +111,15 @@ def d3_board(spark, sf):
     return rounded(_board(spark, sf).select(*columns), 4, mktcap=2)
 
 
-def _agreement(pair: str, both, value: str, left, right, tolerance: float):
-    """One row: how many keys both surfaces have with a value, and on how many the two differ."""
-    known = left.isNotNull() & right.isNotNull()
-    apart = F.coalesce(F.abs(left - right) > tolerance, F.lit(False))
-    out = both.agg(F.count(F.when(known, 1)).alias("compared"), F.count(F.when(known & apart, 1)).alias("differ"), F.count(F.when(~known, 1)).alias("on_one_side"))
-    return out.select(F.lit(pair).alias("pair"), F.lit(value).alias("value"), "compared", "differ", "on_one_side")
+def _agreement(both, *pairs: tuple):
+    """One row for each (pair, value, left, right, tolerance): how many keys both surfaces have with a value, and on how many the two differ. ``both`` is read once."""
+    rows = []
+    for pair, value, left, right, tolerance in pairs:
+        left, right = F.col(left), F.col(right)
+        known = left.isNotNull() & right.isNotNull()
+        apart = F.coalesce(F.abs(left - right) > tolerance, F.lit(False))
+        rows.append(F.struct(F.lit(pair).alias("pair"), F.lit(value).alias("value"), F.count(F.when(known, 1)).alias("compared"), F.count(F.when(known & apart, 1)).alias("differ"), F.count(F.when(~known, 1)).alias("on_one_side")))
+    return both.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
 def _compared(pair: str, both: str, value: str, left: str, right: str, tolerance: float) -> str:
@@ -111,6 +127,19 @@ def _compared(pair: str, both: str, value: str, left: str, right: str, tolerance
     return f"SELECT '{pair}' AS pair, '{value}' AS value, count(*) FILTER ({known}) AS compared, count(*) FILTER ({known} AND abs(({left}) - ({right})) > {tolerance}) AS differ, count(*) FILTER (NOT ({known})) AS on_one_side FROM {both}"
 
 
+def _last_points(spark, sf):
+    """The phase map's points on the last date that has any, and the screen's block of that date.
+
+    Multiples are found on the screen's own rows, so the two need not be joined, and only the last date's rows are
+    dealt out by date to be ranked.
+    """
+    rows = screen.population(src.daily_bars(spark, sf), src.benchmark(spark, sf), "adj_close")
+    valued = valuation.valuation(rows, base._filings(spark, sf), "net10", "up10", unfiled=True).select("ticker", "date", "net10", "up10", F.round("ps", 2).alias("ps"))
+    last = F.broadcast(valued.where("ps > 0").agg(F.max("date").alias("date")))  # one row
+    ranked = screen.candidates(valued.join(last, "date"), top_n=3).select("ticker", "date", "net10_pct", "candidate", "ps")
+    return ranked.where("ps > 0"), ranked.drop("ps")
+
+
 _BM = "(SELECT b.ticker, b.net10_pct AS l1, g.net10_pct AS r1, b.candidate AS l2, g.candidate AS r2, round(b.ps, 2) AS l3, g.ps AS r3 FROM board b JOIN (SELECT * FROM grid WHERE place = (SELECT max(place) FROM grid) AND ps IS NOT NULL) g USING (ticker, date))"
 
 
@@ -119,12 +148,10 @@ _BM = "(SELECT b.ticker, b.net10_pct AS l1, g.net10_pct AS r1, b.candidate AS l2
 )
 def k5_board_and_phase_map(spark, sf):
     """K5: the board's numbers and the last points of the phase map, for tickers on both."""
-    grid = views.panel_grid(extended._points(spark, sf), 20)
-    last = grid.where("ps is not null").join(F.broadcast(grid.agg(F.max("place").alias("place"))), "place").select("ticker", "date", F.col("net10_pct").alias("r1"), F.col("candidate").alias("r2"), F.col("ps").alias("r3"))
-    both = _board(spark, sf).select("ticker", "date", F.col("net10_pct").alias("l1"), F.col("candidate").alias("l2"), F.round("ps", 2).alias("l3")).join(last, ["ticker", "date"])
-    out = _agreement("board, phase map", both, "net10_pct", F.col("l1"), F.col("r1"), 0.05)
-    out = out.unionByName(_agreement("board, phase map", both, "candidate", F.col("l2"), F.col("r2"), 0))
-    return out.unionByName(_agreement("board, phase map", both, "ps", F.col("l3"), F.col("r3"), 0.005))
+    points, riser = _last_points(spark, sf)
+    last = views.panel_grid(points, 1).select("ticker", "date", F.col("net10_pct").alias("r1"), F.col("candidate").alias("r2"), F.col("ps").alias("r3"))
+    both = _board(spark, sf, "net10_pct", "candidate", "ps", riser=riser).select("ticker", "date", F.col("net10_pct").alias("l1"), F.col("candidate").alias("l2"), F.round("ps", 2).alias("l3")).join(last, ["ticker", "date"])
+    return _agreement(both, *(("board, phase map", *x) for x in (("net10_pct", "l1", "r1", 0.05), ("candidate", "l2", "r2", 0), ("ps", "l3", "r3", 0.005))))
 
 
 _VAL = "(SELECT b.ticker, b.ps AS l1, t.ps AS r1, b.age AS l2, date_diff('day', c.as_of_period_end, c.date) AS r2 FROM board b FULL JOIN (SELECT ticker, arg_max(ps, date) AS ps FROM valued WHERE ps IS NOT NULL GROUP BY ticker) t USING (ticker) FULL JOIN (SELECT ticker, as_of_period_end, date FROM v0 WHERE back = 1) c USING (ticker))"
@@ -134,10 +161,11 @@ _VAL = "(SELECT b.ticker, b.ps AS l1, t.ps AS r1, b.age AS l2, date_diff('day',
 def k5_board_and_valuation(spark, sf):
     """K5: the board's multiple and the last of the stock page's series, and its filing's age and that of the cross-section."""
     valued = base._valued(spark, sf)
-    tail = valued.where("ps is not null").groupBy("ticker").agg(F.max_by("ps", "date").alias("r1"))
-    cross = valuation.latest(valued.select("ticker", "date", "as_of_period_end"), "ticker", "date").select("ticker", F.datediff("date", "as_of_period_end").alias("r2"))
-    both = _board(spark, sf).select("ticker", F.col("ps").alias("l1"), F.col("age").alias("l2")).join(tail, "ticker", "full").join(cross, "ticker", "full")
-    return _agreement("board, stock page", both, "ps", F.col("l1"), F.col("r1"), 0.0001).unionByName(_agreement("board, cross-section", both, "age", F.col("l2"), F.col("r2"), 0))
+    # the stock page's last multiple and the cross-section's filing, found in one reading
+    other = valued.groupBy("ticker").agg(F.max_by("ps", F.when(F.col("ps").isNotNull(), F.col("date"))).alias("r1"), F.max_by(F.datediff("date", "as_of_period_end"), "date").alias("r2"))
+    riser = valuation.latest(screen.population(src.daily_bars(spark, sf), src.benchmark(spark, sf)).select("ticker", "date"), "ticker", "date")  # a ticker's last scored day is the last that is ranked
+    both = _board(spark, sf, "ps", "age", riser=riser).select("ticker", F.col("ps").alias("l1"), F.col("age").alias("l2")).join(other, "ticker", "full")
+    return _agreement(both, ("board, stock page", "ps", "l1", "r1", 0.0001), ("board, cross-section", "age", "l2", "r2", 0))
 
 
 _ROT = "(SELECT bucket, m.n AS l1, member_count AS r1, m.c AS l2, candidates AS r2 FROM (SELECT sector AS bucket, count(*) AS n, sum(candidate) AS c FROM board WHERE date = (SELECT max(date) FROM board) GROUP BY sector) m FULL JOIN breadth USING (bucket))"
@@ -152,7 +180,7 @@ def k5_board_and_rotation(spark, sf):
     last = F.broadcast(board.agg(F.max("date").alias("date")))  # one row
     own = board.join(last, "date").groupBy(F.col("sector").alias("bucket")).agg(F.count("*").alias("l1"), F.sum("candidate").alias("l2"))
     both = own.join(counted, "bucket", "full")
-    return _agreement("board, rotation", both, "members", F.col("l1"), F.col("r1"), 0).unionByName(_agreement("board, rotation", both, "candidates", F.col("l2"), F.col("r2"), 0))
+    return _agreement(both, ("board, rotation", "members", "l1", "r1", 0), ("board, rotation", "candidates", "l2", "r2", 0))
 
 
 _RULES = {

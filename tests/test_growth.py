@@ -236,3 +236,42 @@ def test_pools_are_picked_in_one_reading(spark):
         wide_b = {x[0] for x in sorted(of, key=lambda x: -x[6])[:4]}
         assert (got[d].n, got[d].n_all) == (len(pool), 30) and got[d].ret_a == pytest.approx(sum(x[2] for x in best) / k) and got[d].ret_pool == pytest.approx(sum(x[2] for x in pool) / len(pool))
         assert got[d].jaccard == pytest.approx(len(wide_a & wide_b) / len(wide_a | wide_b)) and got[d].by_chance == pytest.approx((12 / 30) / (7 - 12 / 30))
+
+
+@pytest.fixture(scope="module")
+def star(spark, tmp_path_factory):
+    """Six suppliers with a line on most of 220 dates, one of which stops early and one of which is named twice."""
+    at = tmp_path_factory.mktemp("star")
+    r = random.Random(29)
+    lines = [(k, i, float(r.randint(1, 9)), round(100 + 40 * r.random() + k * i / 20, 2), 0.01 * r.randint(0, 9)) for k in range(1, 7) for i in range(220) if r.random() < 0.95 and (k < 6 or i < 180)]
+    rows = spark.createDataFrame(lines, "l_suppkey long, i int, l_quantity double, l_extendedprice double, l_discount double")
+    tables = {
+        "lineitem": rows.selectExpr("l_suppkey", "l_quantity", "l_extendedprice * l_quantity as l_extendedprice", "l_discount", "timestamp(date_add(date'1999-01-01', 3 * i)) as l_shipdate", "cast(i as long) as l_orderkey"),
+        "orders": spark.sql("select id as o_orderkey, id % 3 as o_custkey from range(220)"), "customer": spark.sql("select id as c_custkey, concat('S', id) as c_mktsegment from range(3)"),
+        "supplier": spark.sql("select explode(array(1, 2, 3, 4, 5, 5, 6)) as k").selectExpr("cast(k as long) as s_suppkey", "concat('s', k) as s_name", "0L as s_nationkey", "cast(k as double) as s_acctbal"),
+        "nation": spark.sql("select 0L as n_nationkey, 'n' as n_name, 0L as n_regionkey"), "region": spark.sql("select 0L as r_regionkey, 'r' as r_name"),
+    }
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(str(at / f"{name}.parquet"))
+    return str(at)
+
+
+def test_surfaces_read_what_they_compare(spark, star):
+    from panelwright.plans import extended, surfaces
+    from panelwright.plans import queries as base
+
+    board = surfaces._board(spark, star).collect()
+    assert sorted(x.ticker for x in board) == ["T1", "T2", "T3", "T4", "T5", "T5", "T6"]
+    grid = {x.ticker: x for x in extended.d5_phase_map(spark, star).where("place = 19 and ps is not null").collect()}
+    out = surfaces.k5_board_and_phase_map(spark, star)
+    assert "o_orderkey" not in plan(out) and "c_mktsegment" not in plan(out)  # the themes have no part in it
+    met = [x for x in board if x.ticker in grid and grid[x.ticker].date == x.date]
+    n = len([x for x in met if x.ps is not None])
+    assert [tuple(x) for x in out.collect()] == [("board, phase map", c, n, 0, 0) for c in ("net10_pct", "candidate", "ps")] and n >= 4
+
+    out = surfaces.k5_board_and_valuation(spark, star)
+    assert "o_orderkey" not in plan(out)
+    tail = {x.ticker for x in base._valued(spark, star).where("ps is not null").collect()}
+    known = [x for x in board if x.ps is not None and x.ticker in tail]
+    got = {x.value: x for x in out.collect()}
+    assert got["ps"].compared == len(known) == 6 and got["ps"].differ == got["age"].differ == 0 and got["age"].compared == 6 and got["ps"].on_one_side == 1  # T4 never files
