@@ -20,6 +20,16 @@ def as_of(left: DataFrame, right: DataFrame, by: str, at: str, effective: str) -
     return both.select(by, "__l.*", *(F.col(f"__r.{c}").alias(c) for c in columns))
 
 
+def meet(left: DataFrame, right: DataFrame, by: str, at: str) -> DataFrame:
+    """One row for each (by, at) that a side has, with the columns of both, NULL where one has no such row. Neither side has one twice.
+
+    The full join of both, but only ``right`` is dealt out: a ``left`` that lies together by ``by`` already stays where it is.
+    """
+    right = right.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+    both = left.unionByName(right, allowMissingColumns=True)
+    return both.groupBy(by, at).agg(*(F.max(c).alias(c) for c in both.columns if c not in (by, at)))
+
+
 def fill_forward(rows: DataFrame, by: str, order: str, *columns: str, limit: int | None = None) -> DataFrame:
     """Last value that is no NULL, at most ``limit`` rows back."""
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding if limit is None else -limit, Window.currentRow)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.windows import average_rank, average_rank_share, by_ticker, lagged_return, rolling
+from panelwright.operators.asof import meet
 from panelwright.operators.series import spaced
 
 IGNITION = ("accel", "expand", "vsurge", "breakout", "rsturn")
@@ -50,9 +51,16 @@ def launch_dates(bars: DataFrame, high_share: float = 0.35, window: int = 60, le
 
 
 def first_lit(launches: DataFrame, scores: DataFrame, bars: DataFrame, names: list[str], threshold: float = 90.0) -> DataFrame:
-    """(ticker, t0, p0, and for each score its first date from t0 on at the threshold, whole weeks until then, and the rise since p0)."""
-    after = scores.join(launches.select("ticker", "t0"), "ticker").where(F.col("date") >= F.col("t0")).join(bars.select("ticker", "date", "adj_close"), ["ticker", "date"])
-    found = after.groupBy("ticker").agg(*(F.min(F.when(F.col(n) >= threshold, F.struct("date", "adj_close"))).alias(n) for n in names))
+    """(ticker, t0, p0, and for each score its first date from t0 on at the threshold, whole weeks until then, and the rise since p0).
+
+    A ticker and date may have several rows of ``scores``, each with some of them. Only rows at the threshold go to the
+    bars' places, as a flag a score.
+    """
+    lit = [(F.col(n) >= threshold).alias(n) for n in names]
+    hits = scores.select("ticker", "date", *lit).where(" or ".join(f"`{n}`" for n in names)).groupBy("ticker", "date").agg(*(F.max(n).alias(n) for n in names))
+    met = meet(bars.select("ticker", "date", "adj_close", F.lit(True).alias("__bar")), hits, "ticker", "date").where(F.col("__bar") & F.coalesce(*names).isNotNull())
+    after = met.join(launches.select("ticker", "t0"), "ticker").where(F.col("date") >= F.col("t0"))
+    found = after.groupBy("ticker").agg(*(F.min(F.when(F.col(n), F.struct("date", "adj_close"))).alias(n) for n in names))
     out = launches.join(found, "ticker", "left")
     each = [(F.col(f"{n}.date").alias(f"{n}_lit"), F.floor(F.datediff(f"{n}.date", "t0") / 7).cast("long").alias(f"{n}_weeks"), (F.try_divide(f"{n}.adj_close", "p0") - 1).alias(f"{n}_runup")) for n in names]
     return out.select("ticker", "t0", "p0", *(c for three in each for c in three))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.windows import by_ticker, clamp, lagged_return, last_rows, log_return, percent_rank_of, rolling
+from panelwright.operators.asof import meet
 
 
 def riser_metrics(bars: DataFrame, *carried: str) -> DataFrame:
@@ -82,8 +83,20 @@ def weights(k: float) -> dict[str, float]:
 
 def composite(rows: DataFrame, k: float = 0.5) -> DataFrame:
     """Percentile of rs_raw among rows that have one, its 21-row change, component scores, composite and rank by date."""
-    out = rows.where("rs_raw is not null").withColumn("rs_pct", 100 * percent_rank_of(F.col("rs_raw"), "date"))
-    out = out.withColumn("rs_accel", F.col("rs_pct") - F.lag("rs_pct", 21).over(by_ticker()))
+    out = _scored(rows.where("rs_raw is not null").withColumn("rs_pct", 100 * percent_rank_of(F.col("rs_raw"), "date")), k)
+    return out.withColumn("rank_in_universe", F.rank().over(Window.partitionBy("date").orderBy(F.round("composite", 9).desc_nulls_last())))
+
+
+def composite_alone(rows: DataFrame, k: float = 0.5) -> DataFrame:
+    """(ticker, date, composite) as ``composite`` has it: only the relative strength goes to its date to be ranked and back, the other measures stay with their ticker."""
+    known = rows.where("rs_raw is not null")
+    ranked = known.select("ticker", "date", "rs_raw").select("ticker", "date", (100 * percent_rank_of(F.col("rs_raw"), "date")).alias("rs_pct"))
+    return _scored(meet(known.select("ticker", "date", "high_prox", "trend_quality", "vol_ratio"), ranked, "ticker", "date"), k).select("ticker", "date", "composite")
+
+
+def _scored(ranked: DataFrame, k: float) -> DataFrame:
+    """Adds the change of rs_pct over 21 rows, component scores and composite."""
+    out = ranked.withColumn("rs_accel", F.col("rs_pct") - F.lag("rs_pct", 21).over(by_ticker()))
     parts: dict[str, Column] = {
         "rs": clamp(F.col("rs_pct") / 100), "high": clamp(F.col("high_prox")), "trend": clamp(F.col("trend_quality")),
         "vol": clamp((F.col("vol_ratio") - 1) / 0.6 + 0.5), "accel": clamp(F.coalesce("rs_accel", F.lit(0.0)) / 100 + 0.5),
@@ -93,5 +106,4 @@ def composite(rows: DataFrame, k: float = 0.5) -> DataFrame:
     out = out.withColumns({f"c_{n}": F.coalesce(c, F.lit(0.0)) for n, c in parts.items()})
     w = weights(k)
     score = sum((F.col(f"c_{n}") * w[n] for n in w), F.lit(0.0)) * 100
-    out = out.withColumn("composite", score)
-    return out.withColumn("rank_in_universe", F.rank().over(Window.partitionBy("date").orderBy(F.round("composite", 9).desc_nulls_last())))
+    return out.withColumn("composite", score)

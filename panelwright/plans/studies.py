@@ -303,8 +303,8 @@ def q1_ignition(spark, sf):
 def q2_first_lit(spark, sf):
     """Q2: when each ticker's rise began, and how late the ignition and the composite first put it among a date's top tenth."""
     bars = src.daily_bars(spark, sf)
-    comp = screen.composite(base._signals(spark, sf)).select("ticker", "date", (100 * launches.average_rank_share(F.round("composite", 9), "date")).alias("composite"))
-    scores = _ignition(spark, sf).select("ticker", "date", F.col("ignition_pct").alias("ignition")).join(comp, ["ticker", "date"], "full")
+    comp = screen.composite_alone(base._signals(spark, sf)).select("ticker", "date", (100 * launches.average_rank_share(F.round("composite", 9), "date")).alias("composite"))
+    scores = _ignition(spark, sf).select("ticker", "date", F.col("ignition_pct").alias("ignition")).unionByName(comp, allowMissingColumns=True)
     return rounded(launches.first_lit(launches.launch_dates(bars, high_share=0.6), scores, bars, ["ignition", "composite"]))
 
 

@@ -275,3 +275,39 @@ def test_surfaces_read_what_they_compare(spark, star):
     known = [x for x in board if x.ps is not None and x.ticker in tail]
     got = {x.value: x for x in out.collect()}
     assert got["ps"].compared == len(known) == 6 and got["ps"].differ == got["age"].differ == 0 and got["age"].compared == 6 and got["ps"].on_one_side == 1  # T4 never files
+
+
+def test_composite_alone_and_first_lit_deal_little(spark, star):
+    from panelwright.operators import launches, screen
+    from panelwright.plans import queries as base
+    from panelwright.sources import adapters
+
+    rows = base._signals(spark, star)
+    want = {(x.ticker, x.date): x.composite for x in screen.composite(rows).collect()}
+    alone = screen.composite_alone(rows)
+    assert {(x.ticker, x.date): x.composite for x in alone.collect()} == want and len(want) > 300
+
+    bars = adapters.daily_bars(spark, star)
+    comp = alone.select("ticker", "date", F.col("composite").alias("c"))
+    ranks = bars.select("ticker", "date", F.col("volume").cast("double").alias("v"))
+    both = comp.unionByName(ranks, allowMissingColumns=True)
+    found = launches.first_lit(launches.launch_dates(bars, fallback=0.5), both, bars, ["c", "v"], threshold=55.0)
+    px = {(x.ticker, x.date): x.adj_close for x in bars.collect()}
+    vol = {(x.ticker, x.date): x.v for x in ranks.collect()}
+    for x in found.collect():
+        for name, of in (("c", want), ("v", vol)):
+            days = sorted(d for (t, d), s in of.items() if t == x.ticker and d >= x.t0 and s >= 55.0)
+            assert x[f"{name}_lit"] == (days[0] if days else None) and x[f"{name}_runup"] == (pytest.approx(px[x.ticker, days[0]] / x.p0 - 1) if days else None)
+    reads = alone._jdf.queryExecution().executedPlan().toString()
+    shared = [line for line in reads.splitlines() if "ReusedExchange" in line and "l_extendedprice" in line]
+    assert shared  # both readers of the bars take one exchange
+
+
+def test_meet_is_a_full_join_that_moves_one_side(spark):
+    from panelwright.operators import asof
+
+    a = spark.createDataFrame([("x", 1, 1.0), ("x", 2, None), ("y", 1, 3.0)], "t string, d int, a double").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "t")
+    b = spark.createDataFrame([("x", 2, True), ("z", 1, False)], "t string, d int, b boolean")
+    out = asof.meet(a, b, "t", "d")
+    assert plan(out).count("exchange") == 2  # one of each side
+    assert sorted(map(tuple, out.collect())) == [("x", 1, 1.0, None), ("x", 2, None, True), ("y", 1, 3.0, None), ("z", 1, None, False)]
