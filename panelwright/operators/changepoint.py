@@ -96,22 +96,28 @@ def breakouts(bars: DataFrame) -> DataFrame:
     return _described(fitted.withColumnsRenamed({"tau_a": "after_a", "tau_v": "after_v"}).join(tau, ["ticker", "point"], "left"))
 
 
-def turns(bars: DataFrame, *carried: str, dates: DataFrame | None = None) -> DataFrame:
+def turns(bars: DataFrame, *carried: str, dates: DataFrame | None = None, also: tuple[Callable, dict[str, Column], str] | None = None) -> DataFrame:
     """(ticker, date, drift, fit_gain) as ``breakouts`` has them, with columns of ``bars`` carried along; where ``dates`` is given, on these dates alone.
 
+    ``also``, with ``dates``: a function as ``by_blocks`` takes one, what it reads besides i and wanted (1 on the dates), and what it adds.
+
     What only the other columns need is left out: highs and sorted prices of the base, the day of the change.
     """
     by = by_ticker()
     before = by.rowsBetween(Window.unboundedPreceding, -1)
-    rows = bars.select("ticker", "date", *carried, F.ln(F.greatest("adj_close", F.lit(1e-9))).alias("y"))
+    rows = bars.select("ticker", "date", *carried, F.ln(F.greatest("adj_close", F.lit(1e-9))).alias("y"), *(c.alias(n) for n, c in (also[1] if also else {}).items()))
     rows = rows.withColumn("i", (F.row_number().over(by) - 1).cast("long")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("ticker"))).withColumn("d", F.coalesce(F.col("y") - F.lag("y").over(by), F.lit(0.0)))
     terms = {"y": F.col("y"), "yy": F.col("y") * F.col("y"), "xy": F.col("y") * F.col("i"), "d": F.col("d"), "dd": F.col("d") * F.col("d")}
+    find, reads, schema = _turns, ["i", "y", "d", "ends", *(f"s_{k}" for k in terms)], "drift double, fit_gain double"
+    if also is not None:
+        find, reads, schema = (lambda r, more=also[0]: _turns(r) | more(r)), [*reads, "wanted", *also[1]], f"{schema}, {also[2]}"
     rows = rows.select("*", *(F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"s_{k}") for k, c in terms.items()))
     asked = F.lit(1)
     if dates is not None:
         rows, asked = rows.join(F.broadcast(dates.select("date", F.lit(1).alias("asked"))), "date", "left"), F.coalesce("asked", F.lit(0))
+        rows = rows.withColumn("wanted", asked)
     rows = rows.withColumn("ends", F.when((F.col("i") >= BASE_LEAST + RISE_LEAST) & (F.col("n") >= BASE_LEAST + RISE_LEAST + 5), asked).otherwise(0).cast("long"))
-    found = by_blocks(rows, LOOK_BACK - 1, _turns, ["i", "y", "d", "ends", *(f"s_{k}" for k in terms)], "drift double, fit_gain double", ["ticker", "date", *carried, *(["asked"] if dates is not None else [])])
+    found = by_blocks(rows, LOOK_BACK - 1, find, reads, schema, ["ticker", "date", *carried, *(["asked"] if dates is not None else [])])
     return found if dates is None else found.where("asked = 1").drop("asked")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +28,54 @@ def ahead(bars: DataFrame, h: int, *carried: str) -> DataFrame:
     )
 
 
+#: What ``trends`` adds.
+TREND_SCHEMA = "slope_r2 double, ker_63 double, sharpe_63 double"
+
+
+def trend_reads() -> dict[str, Column]:
+    """Close, its logarithm and the step of it, for ``trends``."""
+    ln = F.ln("close")
+    return {"px": F.col("close"), "ly": ln, "lr": ln - F.lag(ln).over(by_ticker())}
+
+
+def trends(r: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """slope_r2, ker_63 and sharpe_63 of the signal panel, for the rows that are wanted alone; windows of these rows lie side by side.
+
+    Sums go through a window in the order and by the steps of Spark's own windows, so that equal series share their ranks.
+    """
+    out = {c: np.full(len(r["i"]), np.nan) for c in ("slope_r2", "ker_63", "sharpe_63")}
+    i, px, first = r["i"], r["px"], r["i"][0]
+    size = np.abs(np.diff(px, prepend=np.nan))
+    with np.errstate(all="ignore"):
+        at = np.flatnonzero((r["wanted"] == 1) & (i >= 89) & (i - 89 >= first))
+        if len(at):
+            n, ax, ay, ck, kc, mx, my, m2 = (np.zeros(len(at)) for _ in range(8))
+            for j in range(-89, 1):
+                x, y = i[at + j] + 1.0, r["ly"][at + j]
+                ok = ~np.isnan(y)
+                n = n + ok
+                dx, dy = x - ax, y - ay
+                xs, ys = dx / n, dy / n
+                bx, by = ax + xs, ay + ys
+                steps = ((ax, bx), (ay, by), (ck, ck + dx * (y - by)), (kc, kc + dy * (x - bx)), (mx, mx + dx * (x - bx)), (my, my + dy * (y - by)), (m2, m2 + dx * (dx - xs)))
+                ax, ay, ck, kc, mx, my, m2 = (np.where(ok, new, old) for old, new in steps)
+            corr = kc / np.sqrt(my) / np.sqrt(mx)
+            out["slope_r2"][at] = np.where((m2 == 0) | (mx == 0), np.nan, ck / m2 * 252 * np.where(my == 0, 1.0, corr * corr))
+        at = np.flatnonzero((r["wanted"] == 1) & (i >= 63) & (i - 63 >= first))
+        if len(at):
+            total, n, avg, m2 = (np.zeros(len(at)) for _ in range(4))
+            for j in range(-62, 1):
+                total, v, n = total + size[at + j], r["lr"][at + j], n + 1
+                delta = v - avg
+                part = delta / n
+                avg, m2 = avg + part, m2 + delta * (delta - part)
+            was = px[at - 63]
+            spread = np.sqrt(m2 / 62.0) * math.sqrt(252.0)
+            out["ker_63"][at] = np.where(total != 0, np.abs(px[at] - was) / total, np.nan)
+            out["sharpe_63"][at] = np.where((spread != 0) & (was != 0), (px[at] / was - 1) / spread, np.nan)
+    return out
+
+
 def formation_dates(rows: DataFrame, first: int, h: int, step: int) -> DataFrame:
     """Every ``step``-th date from the date number ``first`` on that leaves h dates and one more. One row a date is numbered, not the panel."""
     whole = Window.partitionBy(F.lit(0))

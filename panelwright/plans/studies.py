@@ -218,8 +218,9 @@ _POOL_COLUMNS = [*(f"{m}_{x}" for x in "abc" for m in ("ret", "vol", "trough")),
 
 def _pooled(spark, sf):
     """The pool are names whose slope has risen; the guards of the strength would leave too few of the test tables' names on a date."""
-    rise = changepoint.turns(src.daily_bars(spark, sf), dates=_formation_dates(spark, sf)).select("ticker", "date", F.round(F.col("drift") * F.col("fit_gain"), 9).alias("brk"))
-    rows = _formed(spark, sf).select("ticker", "date", "ret", "vol", "trough", "stable_mom").join(rise, ["ticker", "date"], "left")
+    bars = formation.ahead(src.daily_bars(spark, sf), 21, "close", "adj_close")
+    found = changepoint.turns(bars, "ret", "vol", "trough", dates=_formation_dates(spark, sf), also=(formation.trends, formation.trend_reads(), formation.TREND_SCHEMA)).where("ret is not null and vol is not null")
+    rows = formation.mean_rank_share(found, list(_PARTS), "stable_mom").select("ticker", "date", "ret", "vol", "trough", F.round("stable_mom", 9).alias("stable_mom"), F.round(F.col("drift") * F.col("fit_gain"), 9).alias("brk"))
     return formation.pool_comparison(rows, F.col("brk") > 0, "stable_mom", "brk", least=6, least_top=2)
 
 

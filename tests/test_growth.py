@@ -311,3 +311,21 @@ def test_meet_is_a_full_join_that_moves_one_side(spark):
     out = asof.meet(a, b, "t", "d")
     assert plan(out).count("exchange") == 2  # one of each side
     assert sorted(map(tuple, out.collect())) == [("x", 1, 1.0, None), ("x", 2, None, True), ("y", 1, 3.0, None), ("z", 1, None, False)]
+
+
+def test_trends_of_wanted_rows_equal_the_panel(spark):
+    from panelwright.operators import changepoint, formation
+    from panelwright.plans import extended
+
+    r = random.Random(31)
+    rows = [(t, i, {"c": 7.0, "n": None if i % 97 == 5 else 9.0 + r.random(), "z": 0.0 if i == 40 else 1.0 + r.random()}.get(t, 20.0 + r.random() + i / 50)) for t in ("a", "c", "n", "z") for i in range(260)]
+    bars = spark.createDataFrame(rows, "ticker string, i int, close double").selectExpr("ticker", "date_add(date'2020-01-01', i) as date", "close", "close as adj_close")
+    some = bars.where("datediff(date, date'2020-01-01') % 7 = 3").select("date").distinct()
+    columns = ("slope_r2", "ker_63", "sharpe_63")
+    out = changepoint.turns(bars, dates=some, also=(formation.trends, formation.trend_reads(), formation.TREND_SCHEMA))
+    assert "regr" not in plan(out) and plan(out).count("exchange hashpartitioning") == 2  # a ticker's rows once, and the dates; windows were summed anew for every row
+    want = {(x.ticker, x.date): [x[c] for c in columns] for x in extended.signals_of(bars).join(some, "date").collect()}
+    got = {(x.ticker, x.date): [x[c] for c in columns] for x in out.collect()}
+    assert got.keys() == want.keys() and sum(v[0] is not None for v in want.values()) > 90
+    for k, v in want.items():
+        assert [x is None for x in got[k]] == [x is None for x in v] and [x for x in got[k] if x is not None] == pytest.approx([x for x in v if x is not None], rel=1e-12, abs=1e-15)
